@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, linededup, mixing, pitman_yor, quality, simhash, tokens, wavelet
+from . import chat, decontam, langid, linededup, mixing, oracles, pitman_yor, quality, simhash, tokens, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,4 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    import corpus_pipeline
+
+    found = {"op1_line_dedup": oracles.LINE_DEDUP, "op6_source_mix": oracles.SOURCE_MIX, "op10_perspectives": oracles.PERSPECTIVES, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in found.items() if sql}
