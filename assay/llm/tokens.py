@@ -23,11 +23,13 @@ from assay.storage import new_path
 
 BYTE_BPE = "byte_bpe_50k.json"
 #: Chunks and pieces that a worker remembers; beyond it, it forgets all and starts anew.
-REMEMBERED = 300_000
+REMEMBERED, PIECES = 800_000, 200_000
 
-_L = "A-Za-zÀ-ÖØ-öø-ɏ"
-_PLAIN = re.compile(rf" ?[{_L}]+(?:[.,;:!?]+[{_L}]*|\n[{_L}]+)*")
-_PIECES = re.compile(rf" ?[{_L}]+|[.,;:!?]+|\n")
+#: Letters, digits and marks whose runs are pieces of their own; apostrophes and ``<`` are left to the library.
+_L, _N, _P = "A-Za-zÀ-ÖØ-öø-ɏ", "0-9", re.escape(".,;:!?&#*$%()[]{}\"+=/\\@^_~->|")
+#: Quantifiers are possessive: a run is never tried in parts, so a chunk that doesn't match fails in one pass.
+_PLAIN = re.compile(rf" ?(?:[{_L}]++|[{_P}]++|[{_N}]++)(?:[{_P}]++|[{_L}]++|[{_N}]++|\n(?=[{_L}{_P}{_N}]))*+")
+_PIECES = re.compile(rf" ?[{_L}]+| ?[{_P}]+| ?[{_N}]+|\n")
 _WIDE_GAP = re.compile(r"\s ")
 _CHUNK_END = re.compile(r"(?<=\S)(?= )")
 
@@ -39,6 +41,20 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Remembered(dict):
+    """What ``make`` gives for each key, kept for up to ``limit`` keys."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        found = self[key] = self.make(key)
+        return found
+
+
 class PieceEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers, without added special tokens."""
 
@@ -49,40 +65,32 @@ class PieceEncoder:
         pre = self.whole.pre_tokenizer
         described = pre.__getstate__().decode() if pre is not None else ""
         self.by_chunk = '"ByteLevel"' in described and '"add_prefix_space":false' in described and '"use_regex":true' in described and self.whole.normalizer is None
-        self.letters, self.remembered = _byte_letters(), remembered
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+        self.tokenize = self.whole.model.tokenize
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size(with_added_tokens=True))]
+        self.pieces = _Remembered(self._piece, min(PIECES, remembered))
+        self.after_space = _Remembered(lambda part: self._chunk(" " + part), remembered)
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) > self.remembered:
-                self.pieces.clear()
-            shown = piece.encode().decode("latin1").translate(self.letters)
-            found = self.pieces[piece] = np.array([t.id for t in self.whole.model.tokenize(shown)], "<u4").tobytes()
-        return found
+        shown = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin1").translate(self.letters)
+        ids = self.id_bytes
+        return b"".join([ids[t.id] for t in self.tokenize(shown)])
 
     def _chunk(self, chunk: str) -> bytes:
         if _PLAIN.fullmatch(chunk):
-            return b"".join(map(self._piece, _PIECES.findall(chunk)))
-        return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes() if chunk else b""
+            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(chunk)))
+        return self._by_library(chunk) if chunk else b""
+
+    def _by_library(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         if not self.by_chunk:
-            return self._chunk_whole(text)
+            return self._by_library(text)
         if _WIDE_GAP.search(text):
             return b"".join(map(self._chunk, _CHUNK_END.split(text)))
         first, *rest = text.split(" ")
-        known = self.chunks
-        for part in set(rest).difference(known):
-            if len(known) > self.remembered:
-                known.clear()
-                return self.encode(text) if len(set(rest)) <= self.remembered else b"".join(map(self._chunk, [first, *(" " + r for r in rest)]))
-            known[part] = self._chunk(" " + part)
-        return self._chunk(first) + b"".join(map(known.__getitem__, rest))
-
-    def _chunk_whole(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._chunk(first) + b"".join(map(self.after_space.__getitem__, rest))
 
 
 class _SentencePieces:
