@@ -13,8 +13,8 @@ SELECT doc_id, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed_chunks, 0)
 SOURCE_MIX = f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text,''), '{WORD}+')) AS size, ('0x'||substr(md5('mix:'||coalesce(doc_id::VARCHAR,'')),1,3))::BIGINT AS bucket FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM d GROUP BY source),
 w AS (SELECT *, [5,2,1][number % 3 + 1] AS weight, 3*source_size AS cap, (SELECT sum(size) FROM d) AS total FROM s),
-o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap/weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped, sum(weight) OVER (ORDER BY cap/weight, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM w),
-l AS (SELECT coalesce(min((total::DOUBLE - capped::DOUBLE)/free::DOUBLE) FILTER ((total - capped)/free*weight <= cap), 0) AS level FROM o),
+o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap/weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped, sum(weight) OVER (ORDER BY cap/weight, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free, row_number() OVER (ORDER BY cap/weight, number) AS rn FROM w),
+l AS (SELECT coalesce(arg_min((total::DOUBLE - capped::DOUBLE)/free::DOUBLE, rn) FILTER ((total - capped)/free*weight <= cap), 0) AS level FROM o),
 t AS (SELECT source, source_size, least(cap::DOUBLE, level*weight) AS target FROM w, l),
 p AS (SELECT *, least(floor(target/greatest(source_size,1)), 3)::BIGINT AS whole FROM t),
 b AS (SELECT source, bucket, sum(size) AS held, coalesce(sum(sum(size)) OVER (PARTITION BY source ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d GROUP BY source, bucket),
