@@ -272,3 +272,45 @@ def fit_eval_parts(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"))
     drawn = resample.quota(rows, ["quality"], [resample.seeded("9", "doc_id"), F.col("doc_id")], 20)
     return drawn.withColumn("part", F.lit("fit")).unionByName(pairing.unseen(rows, drawn, "doc_id").withColumn("part", F.lit("eval")))
+
+
+@query(f"""WITH {sql()}, a AS (SELECT id, ('0x'||substr(sha256('patch:'||id),1,2))::BIGINT % 3 AS side, top1 FROM pred WHERE primitive='choice'),
+r AS (SELECT CASE WHEN side = 0 AND top1 >= 0.6 THEN 'confident_without_evidence' WHEN side = 1 AND top1 >= 0.6 THEN 'confident_after_removal' ELSE 'kept' END AS reason FROM a) SELECT reason, count(*) AS n FROM r GROUP BY 1""")
+def patch_filter(spark, sf_dir):
+    """Patch examples whose teacher is sure of a substantive answer without the evidence, on either side."""
+    side = F.pmod(F.conv(F.substring(F.sha2(F.concat(F.lit("patch:"), "id"), 256), 1, 2), 16, 10).cast("bigint"), F.lit(3))
+    rows = predictions(spark, sf_dir).filter("primitive = 'choice'")
+    reason = filters.substantive(side == 0, side == 1, F.col("top1"), F.lit("a plain answer"), 0.6)
+    return filters.counted(rows.withColumn("reason", F.coalesce(reason, F.lit("kept"))), "reason")
+
+
+@query(f"""WITH {sql()}, {DOCS}, g AS (SELECT 'softness' AS gate, avg((top1 < 0.99)::INT) >= 0.10 AS ok FROM pred UNION ALL SELECT 'agreement', avg(correct::INT) BETWEEN 0.60 AND 0.97 FROM pred
+ UNION ALL SELECT 'coverage', min(n) >= 10 FROM (SELECT count(*) AS n FROM pred GROUP BY source) UNION ALL SELECT 'leakage', count(*) = 0 FROM d a WHERE doc_id % 5 <> 0 AND EXISTS (FROM d b WHERE b.doc_id % 5 = 0 AND b.content = a.content))
+SELECT gate, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS verdict FROM g""")
+def audit_gates(spark, sf_dir):
+    """Gates of a synthetic corpus: softness, agreement, coverage of sources, leakage against the test rows."""
+    rows, d = predictions(spark, sf_dir).select("source", "top1", "correct"), docs(spark, sf_dir)
+    whole = rows.agg((F.avg((F.col("top1") < 0.99).cast("double")) >= 0.10).alias("softness"), F.avg(F.col("correct").cast("double")).between(0.60, 0.97).alias("agreement"))
+    covered = rows.groupBy("source").count().agg((F.min("count") >= 10).alias("ok"))
+    test = d.filter("doc_id % 5 = 0").select("content").distinct()
+    clean = d.filter("doc_id % 5 <> 0").join(test, "content", "left_semi").agg((F.count("*") == 0).alias("ok"))
+    gates = whole.selectExpr("stack(2, 'softness', softness, 'agreement', agreement) as (gate, ok)")
+    gates = gates.union(covered.select(F.lit("coverage"), "ok")).union(clean.select(F.lit("leakage"), "ok"))
+    return gates.select("gate", F.when(F.col("ok"), "PASS").otherwise("FAIL").alias("verdict"))
+
+
+@query(f"""WITH {sql()}, v AS (SELECT id, k, greatest(k*40, k*25+100) AS tokens, source, primitive FROM pred) SELECT id, primitive FROM v WHERE tokens <= 300 QUALIFY row_number() OVER (PARTITION BY primitive ORDER BY sha256('arch:'||id), id) <= 40""")
+def readout_admission(spark, sf_dir):
+    """Examples whose prompts fit under both readouts, with a quota for each primitive in seeded order."""
+    k = F.col("k")
+    rows = predictions(spark, sf_dir).filter(F.greatest(k * 40, k * 25 + 100) <= 300).select("id", "primitive")
+    return resample.quota(rows, ["primitive"], [resample.seeded("arch", "id"), F.col("id")], 40)
+
+
+@query(f"""WITH {sql()} SELECT p.id, f.t AS temperature FROM pred p JOIN (SELECT 'choice' AS primitive, 0.8::DOUBLE AS t UNION ALL SELECT 'noul', 1.5 UNION ALL SELECT 'score', 1.1) f USING (primitive) WHERE p.source <> 'orders'""")
+def one_to_one_join(spark, sf_dir):
+    """Predictions joined with their examples exactly once, then with a small dimension of fits."""
+    rows = predictions(spark, sf_dir).filter("source <> 'orders'").select("id", "primitive")
+    both = pairing.one_to_one(rows, rows.select("id", F.lit(True).alias("seen")), "id")
+    fits = spark.createDataFrame([("choice", 0.8), ("noul", 1.5), ("score", 1.1)], "primitive string, temperature double")
+    return pairing.with_temperature(both, fits).select("id", "temperature")

@@ -122,3 +122,16 @@ def embedded_object(spark, sf_dir):
     p = table(spark, sf_dir, "pages").filter("page_id < 50")
     found = text.balanced_object(raw)
     return p.select("page_id", F.contains("html", F.lit("{")).alias("has_brace"), found.alias("_f")).filter("_f is not null").drop("_f")
+
+
+@query("""SELECT event_id, md5('kind: '||event_type||chr(10)||'user: '||user_id) AS flat_md5 FROM events WHERE event_id < 400""")
+def flattened_states(spark, sf_dir):
+    """Legacy text of object states: a ``key: value`` line for each member."""
+    state = F.concat(F.lit('{"kind":'), text.json_string(F.col("event_type")), F.lit(',"user":'), F.col("user_id").cast("string"), F.lit("}"))
+    return table(spark, sf_dir, "events").filter("event_id < 400").select("event_id", F.md5(text.flatten_state(state)).alias("flat_md5"))
+
+
+@query(f"""WITH {STATES} SELECT doc_id, sha256('["structured-v1","letters-v1",'||to_json(source)||']') AS prior_key FROM s""")
+def prior_keys(spark, sf_dir):
+    """Keys under which a question's content-free prior is kept."""
+    return states(spark, sf_dir).select("doc_id", text.prior_key(F.lit("structured-v1"), F.lit("letters-v1"), text.json_string(F.col("source"))).alias("prior_key"))
