@@ -83,8 +83,8 @@ def upstream_examples(rows: DataFrame, line_col: str = "line", keep: list[str] |
     return q.select(
         *keep,
         text.identity_key(m("repo"), m("id"), m("variant"), F.col("qid")).alias("id"),
-        F.concat(F.lit("kev:"), m("repo"), F.lit(":"), m("group_id")).alias("group_id"),
-        F.concat(F.lit("kev:"), F.col("src")).alias("source"),
+        F.concat(F.lit("upstream:"), m("repo"), F.lit(":"), m("group_id")).alias("group_id"),
+        F.concat(F.lit("upstream:"), F.col("src")).alias("source"),
         "state", "qid", "type", "instructions", "names", "descriptions", "answer_keys", "target_index",
         F.when(F.isnotnull("target_index"), prob.one_hot(F.col("target_index"), F.size("answer_keys"))).alias("target"),
         F.lit("gold").alias("target_origin"),

@@ -103,7 +103,7 @@ def canonical_json(spark, sf_dir):
     return table(spark, sf_dir, "events").filter("event_id < 400").select("event_id", text.canonical_json(F.col("props")).alias("canonical"))
 
 
-@query(f"""WITH {STATES} SELECT doc_id, 'kev:'||sha256('['||to_json('repo')||','||to_json(doc_id::VARCHAR)||','||to_json(lang)||',"good"]') AS id, 'kev:repo:'||(doc_id//3) AS group_id, 'kev:'||source AS source, quality AS label, quality::DOUBLE AS target_yes FROM s JOIN labels USING (doc_id) WHERE source <> 'src9'""")
+@query(f"""WITH {STATES} SELECT doc_id, 'upstream:'||sha256('['||to_json('repo')||','||to_json(doc_id::VARCHAR)||','||to_json(lang)||',"good"]') AS id, 'upstream:repo:'||(doc_id//3) AS group_id, 'upstream:'||source AS source, quality AS label, quality::DOUBLE AS target_yes FROM s JOIN labels USING (doc_id) WHERE source <> 'src9'""")
 def upstream_import(spark, sf_dir):
     """Upstream records (state and labelled questions as JSON) to canonical examples, one row for each question."""
     d = states(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").filter("source <> 'src9'")
