@@ -67,7 +67,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = rows.groupBy("digest", "text").agg(F.min("place").alias("first"))
     removed = rows.join(firsts, ["digest", "text"]).filter("place <> first").select(F.col("place.key").alias(key), F.col("place.none").alias(none), F.col("place.h").alias(h), F.col("place.at").alias("at"), "n_lines")
     by_doc = removed.distinct().groupBy(key, none, h).agg(F.collect_list("at").alias(gone), F.sum("n_lines").cast("bigint").alias(n_lines))
-    found = keyed.join(materialize(by_doc, "removed"), [key, none, h], "left").withColumn(gone, F.coalesce(F.col(gone), F.array().cast("array<int>")))
+    found = keyed.join(materialize(by_doc, "removed").hint("merge"), [key, none, h], "left").withColumn(gone, F.coalesce(F.col(gone), F.array().cast("array<int>")))
 
     def rest(c):
         kept = F.filter(c, lambda x, i: ~F.array_contains(F.col(gone), i))
