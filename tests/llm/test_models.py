@@ -125,6 +125,34 @@ def test_decontamination_recall(planted, items):
     assert kept.columns == docs.columns and kept.count() == sum(not v for v in out.values())
 
 
+def test_decontamination_recall_of_a_full_block(spark):
+    """A block of 256 items, half of them under 25 words, one paraphrase of each (every 8th word replaced) planted; brute force finds them all."""
+    rng = np.random.default_rng(12)
+    texts = [r["text"].split() for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").orderBy("doc_id").select("text").collect()]
+    texts = [t for t in texts if len(t) >= 60]
+    items, vocabulary = [], np.array(sorted({w for t in texts for w in t}))
+    for i in range(256):
+        t, n = texts[i * 3 % len(texts)], int(rng.integers(12, 25) if i % 2 else rng.integers(25, 61))
+        at = int(rng.integers(0, len(t) - n + 1))
+        items.append(t[at : at + n])
+    docs = [[str(w) for w in rng.permutation(texts[int(rng.integers(0, len(texts)))])[:200]] for _ in items]
+    for body, item in zip(docs, items):
+        at = int(rng.integers(0, len(body)))
+        body[at:at] = [str(rng.choice(vocabulary)) if j % 8 == 3 else w for j, w in enumerate(item)]
+
+    def holds(body, item):
+        own, words = decontam.normal_words(" ".join(item)), decontam.normal_words(" ".join(body))
+        return max(decontam.common_subsequence(own, words[a : a + 2 * len(own)]) for a in range(0, len(words), max(1, len(own) // 4))) >= decontam.ALONE * len(own)
+
+    want = {(i, i) for i, (body, item) in enumerate(zip(docs, items)) if holds(body, item)}
+    rows = spark.createDataFrame([(i, " ".join(b)) for i, b in enumerate(docs)] + [(1000 + i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    got = {(r["id"], r["item_id"]) for r in decontam.contaminated_pairs(rows, bench).collect()}
+    short = {(i, i) for i, w in enumerate(items) if len(w) < 25} & want
+    print('RECALL', len(want), len(short), len(want & got) / len(want), len(short & got) / len(short))
+    assert len(want) > 240 and len(want & got) / len(want) >= 0.94
+
+
 def test_decontamination_odd_rows(odd, spark):
     bench = spark.createDataFrame([(1, "same text here"), (2, None)], "item_id bigint, text string")
     out = decontam.decontaminate(odd, bench)
