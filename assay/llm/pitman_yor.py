@@ -4,9 +4,9 @@ Words sit in one restaurant; whenever a word opens a table, it is spelled by a h
 restaurants, in which the context of three bytes backs off to two, to one, to none, and at last to a
 uniform choice. Contexts with the same suffix share a parent. Older bytes of a context are kept as
 residues, which fixes the number of restaurants (``SLOTS``) whatever the corpus holds. The end of a
-text is the empty word. So every string of bytes has a probability, known or not; a text's score takes
-all words that training never saw as one outcome, like the base score, whose probability is what the
-model leaves to them together.
+text is the empty word. So every string of bytes has a probability, known or not: ``log10_prob`` is the
+text's, and the perplexity follows it. ``score`` takes all words that training never saw as one outcome,
+like the base score, whose probability is what the model leaves to them together.
 
 Seating is sampled by Gibbs sweeps: given the tables of everything else, all tables of each dish are
 drawn anew, customer by customer (in blocks of a sixteenth once 64 sit), and the tables of the words
@@ -293,7 +293,7 @@ def _sweep_words(table, mass: float, discount: float, sweep: int):
     return run
 
 
-def _values(table, drawn: float, mass: float, total: float, discount: float, sweeps: list[int], unknown: float):
+def _values(table, drawn: float, mass: float, total: float, discount: float, sweeps: list[int]):
     """For each task and block: numbers, counts and log10 probabilities of the words that the block keeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,8 +303,8 @@ def _values(table, drawn: float, mass: float, total: float, discount: float, swe
             for sweep in sweeps:
                 _, _, logp, tables = _tables(words, counts, _table(table.value), drawn, discount, sweep)
                 mean = mean + tables / len(sweeps)
-            own = np.log10(np.maximum(counts - discount * mean, 0) / (STRENGTH + total) + mass / (STRENGTH + total) * 10.0**logp + 1e-320)
-            value = np.where(counts > 0, own, unknown)
+            unseen = np.log10(mass / (STRENGTH + total)) + logp  # a sum of logarithms, which no length underflows
+            value = np.where(counts > 0, np.log10(np.maximum(counts - discount * mean, 0) / (STRENGTH + total) + 10.0**unseen + 1e-320), unseen)
             lists = part.column("places").combine_chunks()
             places = lists.flatten().to_numpy()
             owner = np.repeat(np.arange(len(words)), np.diff(lists.offsets.to_numpy()))
@@ -319,7 +319,7 @@ def _values(table, drawn: float, mass: float, total: float, discount: float, swe
     return run
 
 
-def _score(total: int, distinct: int, end_count: int, end_value: float, kind: pa.DataType):
+def _score(total: int, distinct: int, end_count: int, end_value: float, unknown: float, kind: pa.DataType):
     """Rows sorted by block, a block's words before its documents."""
     base_of = lambda c: np.log10((c + ADD) / (total + ADD * (distinct + 1)))
 
@@ -347,13 +347,13 @@ def _score(total: int, distinct: int, end_count: int, end_value: float, kind: pa
                     return out
 
                 known = by_doc(counts > 0, end_count > 0).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], kind), pa.array(row["held"]), pa.array(lengths + 1), pa.array(known), pa.array(np.full(len(lengths), total)), pa.array(by_doc(base_of(counts), base_of(end_count))), pa.array(by_doc(values, end_value))], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], kind), pa.array(row["held"]), pa.array(lengths + 1), pa.array(known), pa.array(np.full(len(lengths), total)), pa.array(by_doc(base_of(counts), base_of(end_count))), pa.array(by_doc(np.where(counts > 0, values, unknown), end_value if end_count else unknown)), pa.array(by_doc(values, end_value))], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "log10_prob"])
 
     return run
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int = SEED) -> DataFrame:
-    """One row for each row of ``docs``: ``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity``.
+    """One row for each row of ``docs``: ``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, log10_prob, perplexity``.
 
     Learned from the rows outside fold 0 of 10, all of them and whole. A null or empty text is its end
     token alone. Null ids fall into the fold of the empty text. Without training rows the model is
@@ -417,12 +417,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     shared = spark.sparkContext.broadcast(named)
     seats = [_tables([b""], at_end, _table(named), drawn, discount, sweep) for sweep in last]
     end_logp, end_seats = seats[0][2], float(np.mean([x[3][0] for x in seats]))
-    end_value = unknown if not ends else float(np.log10(max(ends - discount * end_seats, 0) / (STRENGTH + total) + mass / (STRENGTH + total) * 10.0 ** end_logp[0]))
+    end_value = float(np.log10(max(ends - discount * end_seats, 0) / (STRENGTH + total) + mass / (STRENGTH + total) * 10.0 ** end_logp[0]))
 
-    values = words.select("word", "c", "places").mapInArrow(_values(shared, drawn, mass, total, discount, last, unknown), "block bigint, idx binary, counts binary, vals binary")
+    values = words.select("word", "c", "places").mapInArrow(_values(shared, drawn, mass, total, discount, last), "block bigint, idx binary, counts binary, vals binary")
     none = lambda k: F.lit(None).cast(k)
     sides = values.select("block", F.lit(0).alias("kind"), "idx", "counts", "vals", F.lit(0).cast("bigint").alias("cnt"), none(f"array<{kind_name}>").alias("ids"), none("array<boolean>").alias("held"), none("array<bigint>").alias("lengths"), none("binary").alias("low"), none("binary").alias("high"))
     coded = blocks.filter("kind = 1").select((F.shiftright("pos", _IDX_BITS)).alias("block"), "kind", none("binary").alias("idx"), none("binary").alias("counts"), none("binary").alias("vals"), "cnt", "ids", "held", "lengths", "low", "high")
     dealt = sides.union(coded).repartition(n, "block").sortWithinPartitions("block", "kind")
-    found = dealt.mapInArrow(_score(total, distinct, ends, end_value, kind), f"id {kind_name}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-    return found.withColumnRenamed("id", id_col).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    found = dealt.mapInArrow(_score(total, distinct, ends, end_value, unknown, kind), f"id {kind_name}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, log10_prob double")
+    return found.withColumnRenamed("id", id_col).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n_tokens")))

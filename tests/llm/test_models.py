@@ -63,6 +63,20 @@ def test_pitman_yor_probabilities_sum_to_one(spark):
     assert sum(10 ** (out[p] - end) for p in [*probe[:8], probe[9]]) + 10**end == pytest.approx(1, abs=2e-3)
 
 
+def test_pitman_yor_spells_unseen_words(spark):
+    """Gibberish is less likely than clean text; a longer unseen word less than its start; all one-word texts together at most one."""
+    texts = ["the cat sat on the mat", "the dog ran to the cat", "a cat and a dog", "the mat is on the dog"]
+    train = [(i, t) for i, t in enumerate(texts * 20) if zlib.crc32(str(i).encode()) % 10]
+    probe = [i for i in range(10_000_000, 10_002_000) if zlib.crc32(str(i).encode()) % 10 == 0][:6]
+    rows = train + list(zip(probe, ["the cat on a mat", "zqxv jjkw qqpz vvxk zzzq", "zq", "zqxvjjkwqqpz", "z" * 2000, ""]))
+    out = {r["doc_id"]: r for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    clean, gibberish, short, long, huge, end = (out[p] for p in probe)
+    assert clean["log10_prob"] > gibberish["log10_prob"] and clean["perplexity"] < gibberish["perplexity"]
+    assert short["log10_prob"] > long["log10_prob"] > huge["log10_prob"] and math.isfinite(huge["log10_prob"])
+    assert clean["log10_prob"] == pytest.approx(clean["score"]) and gibberish["log10_prob"] < gibberish["score"]
+    assert short["perplexity"] == pytest.approx(10 ** (-short["log10_prob"] / 2))
+
+
 def test_pitman_yor_odd_rows(odd):
     out = pitman_yor.score(odd)
     assert out.count() == odd.count()
