@@ -209,17 +209,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the row whose id is the group's smallest.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_an_id: bool = True) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the smallest id, then the smallest text hash.
 
-    Rows that share that smallest id (repeated rows) are cut to one, the one with the smallest text
-    hash; a group whose ids are all null keeps one row in the same way. Columns stay as they are.
+    Null ids come last, and each group whose ids are all null keeps one row of its own. With ``one_an_id``,
+    rows of different groups that share an id are cut to one too, the one with the smallest text hash;
+    without, they all stay. Columns stay as they are.
     """
     key, none, rank, h = free_name(docs, "key", "none", "rank", "h")
-    heads = near_duplicates(docs, id_col, text_col).select(F.col("component_id").alias("head")).distinct()
-    heads = materialize(heads, "heads").select(F.coalesce("head", F.lit(0)).alias(key), F.isnull("head").alias(none))
-    keyed = docs.withColumns({key: F.coalesce(id_col, F.lit(0)), none: F.isnull(id_col), h: F.xxhash64(text_col)})
-    # the rows of one id meet in the join already, so that ranking them needs no further shuffle
-    ties = Window.partitionBy(key, none).orderBy(h)
-    kept = keyed.join(heads, [key, none], "left_semi").withColumn(rank, F.row_number().over(ties))
+    parts = [F.isnull(id_col), F.coalesce(id_col, F.lit(0)), F.xxhash64(text_col)]
+    place = F.struct(*[c.alias(n) for c, n in zip(parts, (none, key, h))])
+    # the smallest place of a group is its component's name
+    heads = near_duplicates(docs.select(place.alias("place"), F.col(text_col).alias("text")), "place", "text").select("component_id.*").distinct()
+    if one_an_id:
+        heads = heads.filter(none).union(heads.filter(~F.col(none)).groupBy(none, key).agg(F.min(h).alias(h)))
+    heads = materialize(heads, "heads")
+    keyed = docs.withColumns(dict(zip((none, key, h), parts)))
+    # repeated rows meet in the join already, so that ranking them needs no further shuffle
+    ties = Window.partitionBy(none, key, h).orderBy(h)
+    kept = keyed.join(heads, [none, key, h], "left_semi").withColumn(rank, F.row_number().over(ties))
     return kept.filter(F.col(rank) == 1).drop(key, none, rank, h)

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from assay.llm import chat, linededup, mixing, oracles, quality, queries, simhash, tokens, wavelet
 
 from .conftest import SF
@@ -138,6 +139,17 @@ def test_simhash_odd_rows(odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_keep_one_of_each_group(spark):
+    """Different texts without ids, and two texts under one id, are groups of their own; repeats and near copies go."""
+    rows = [(None, "first text without an id"), (None, "first text without an id"), (None, "quite another one, also without"), (1, "one text under this id"), (1, "one text under this id"), (1, "a different text under the same id"), (2, "one text under this id"), (None, "one text under this id")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted([rows[0], rows[2], rows[3], rows[5]], key=repr)
+    for stage in (lambda d: simhash.keep_one(d, one_an_id=False), lambda d: corpus_pipeline.near_duplicates(spark, d, SF)):
+        assert sorted((tuple(r) for r in stage(docs).collect()), key=repr) == want
+    cut = [tuple(r) for r in simhash.keep_one(docs).collect()]
+    assert len(cut) == 3 and {rows[0], rows[2]} <= set(cut)
+
+
 # ---- tokens ----
 
 
