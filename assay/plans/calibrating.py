@@ -51,19 +51,24 @@ def temperature_lookup(spark, sf_dir):
 
 @query()
 def calibration_experiment(spark, sf_dir):
-    """Raw, pooled and per-workload temperatures over resampled fit sets of 25 and 50 rows, judged on the rest; mean and interval by arm."""
-    rows = sample(spark, sf_dir).withColumn("workload", F.col("source"))
+    """Raw, serving, pooled and per-workload temperatures over 50 resampled fit sets of 25, 50 and 100 rows, judged on the rest; mean and interval by arm.
+
+    Serving temperatures are fitted by primitive on another run of the same scorer.
+    """
+    rows = predictions(spark, sf_dir).select("id", F.col("source").alias("workload"), "primitive", "label", "p")
+    serving = materialize(calibrate.fit_temperatures(materialize(predictions(spark, sf_dir, "43").select("primitive", "label", "p"), "other_run")).select("primitive", F.col("temperature").alias("serving")), "serving")
+    rows = rows.join(F.broadcast(serving), "primitive")  # one row for each primitive
     size = rows.groupBy("workload").agg(F.count("*").alias("size"))
     rows = materialize(rows.join(size, "workload"), "experiment")
     out = None
-    for k in (25, 50):
-        drawn = resample.sample_k(rows.filter(F.col("size") > k + 20), ["workload"], "id", k=k, repeats=10, seed=str(k))
+    for k in (25, 50, 100):
+        drawn = resample.sample_k(rows.filter(F.col("size") > k + 20), ["workload"], "id", k=k, repeats=50, seed=str(k))
         own = calibrate.fit_samples(drawn, ["workload", "r"]).withColumnRenamed("temperature", "own")
-        pooled = calibrate.fit_samples(drawn, ["r"]).withColumnRenamed("temperature", "pooled")  # ten samples of k rows of each workload
+        pooled = calibrate.fit_samples(drawn, ["r"]).withColumnRenamed("temperature", "pooled")  # fifty samples of k rows of each workload
         ids = drawn.select("workload", "r", "id")
         fits = own.join(pooled, "r")
         rest = rows.join(fits, "workload").join(ids, ["workload", "r", "id"], "left_anti")
-        arms = F.explode(F.array(F.struct(F.lit("raw").alias("arm"), F.lit(1.0).alias("t")), F.struct(F.lit("pooled").alias("arm"), F.col("pooled").alias("t")), F.struct(F.lit("own").alias("arm"), F.col("own").alias("t"))))
+        arms = F.explode(F.array(F.struct(F.lit("raw").alias("arm"), F.lit(1.0).alias("t")), F.struct(F.lit("serving").alias("arm"), F.col("serving").alias("t")), F.struct(F.lit("pooled").alias("arm"), F.col("pooled").alias("t")), F.struct(F.lit("own").alias("arm"), F.col("own").alias("t"))))
         each = rest.withColumn("x", arms).select("workload", "r", "label", F.col("x.arm").alias("arm"), prob.temperature_scale(F.col("p"), F.col("x.t")).alias("p"))
         nll = each.groupBy("workload", "r", "arm").agg(F.avg(prob.nll_clip(F.col("p"), F.col("label"))).alias("nll"))
         found = nll.groupBy("workload", "arm").agg(F.lit(k).alias("k"), F.round(F.avg("nll"), 4).alias("nll"), F.round(F.percentile("nll", 0.025), 4).alias("low"), F.round(F.percentile("nll", 0.975), 4).alias("high"))
