@@ -13,8 +13,8 @@ from .registry import query
 REQ = "r AS (SELECT event_id, ts, user_id, event_type, value, 1 + event_id % 14 AS n_questions, 2 + event_id % 9 AS n_options, event_id % 5 AS shape FROM events WHERE event_id < 2000)"
 
 
-def request_rows(spark, sf_dir):
-    return table(spark, sf_dir, "events").filter("event_id < 2000").selectExpr("event_id", "ts", "user_id", "event_type", "value", "1 + event_id % 14 as n_questions", "2 + event_id % 9 as n_options", "event_id % 5 as shape")
+def request_rows(spark, sf_dir, among="event_id < 2000"):
+    return table(spark, sf_dir, "events").filter(among).selectExpr("event_id", "ts", "user_id", "event_type", "value", "1 + event_id % 14 as n_questions", "2 + event_id % 9 as n_options", "event_id % 5 as shape")
 
 
 @query(f"WITH {REQ} SELECT event_id, n_questions*n_options AS n_views, CASE WHEN shape = 0 THEN 'no state' WHEN n_questions > 12 THEN 'too many questions' WHEN n_options > 9 THEN 'too many options' WHEN n_questions*n_options*3 > 250 THEN 'too many views' END AS reject_reason FROM r")
@@ -42,7 +42,7 @@ def status_counts(spark, sf_dir):
 @query()
 def respond(spark, sf_dir):
     """Requests to responses: explode questions, render, score distinct prompts once, combine, answer, regroup."""
-    return requests.respond(request_rows(spark, sf_dir).filter("event_id < 300"), calibrate.HashScorer())
+    return requests.respond(request_rows(spark, sf_dir, among="true"), calibrate.HashScorer())
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value),4) AS total FROM events GROUP BY 1,2")

@@ -1,5 +1,7 @@
 """Queries without SQL, and parts that the SQL doesn't see, over all rows of their tables."""
 
+from pyspark.sql import functions as F
+
 from assay.plans import fixtures, registry
 
 from .test_queries import SF
@@ -11,3 +13,12 @@ def test_calibration_experiment_runs_every_arm(spark):
     want = {(w, k, arm) for w, n in sizes.items() for k in (25, 50, 100) if n > k + 20 for arm in ("raw", "serving", "pooled", "own")}
     assert {(r["workload"], r["k"], r["arm"]) for r in out} == want and len(out) == len(want)
     assert {"orders"} <= {r["workload"] for r in out} and all(r["low"] <= r["nll"] <= r["high"] for r in out)
+
+
+def test_respond_answers_every_request(spark, monkeypatch):
+    from assay.plans import serving
+
+    events = fixtures.table(spark, SF, "events").filter("event_id < 20").withColumn("event_id", F.col("event_id") * 1000)
+    monkeypatch.setattr(serving, "table", lambda *_: events)
+    out = registry.QUERIES["respond"](spark, SF)
+    assert {r["event_id"] for r in out.select("event_id").collect()} == {i * 1000 for i in range(20)}
