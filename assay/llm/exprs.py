@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that parts words, and a word.
 SPACES = " \t\n\u000b\f\r"
 GAP = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -31,3 +32,9 @@ def n_words(text: Column) -> Column:
 def md5_number(text: Column, digits: int) -> Column:
     """The first hexadecimal digits of an MD5 as a number."""
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("bigint")
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, for whole texts: the default holds 64 MB on both sides of each Python worker."""
+    if spark.conf.get(_BATCH_BYTES) == "67108864b":  # the default; what a user has set stays
+        spark.conf.set(_BATCH_BYTES, "4m")

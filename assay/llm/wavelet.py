@@ -1,7 +1,7 @@
 """Token ids in wavelet-matrix shards: one compressed file for each shard, read without decoding it all.
 
 Documents are range-partitioned by id, so shards follow each other in ascending id order and no shard
-depends on another. A shard is one Parquet file of segments; a segment is a wavelet matrix over about
+depends on another; how many there are follows the texts' bytes. A shard is one Parquet file of segments; a segment is a wavelet matrix over about
 ``SEGMENT`` ids that ends with a document. Its bit-planes (most significant first) are compressed one
 by one, with counts of ones before every 512th bit, so that access, counting and occurrence lookup
 read planes and never the ids themselves.
@@ -18,15 +18,22 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from assay.storage import new_path, partitions
 
+from .exprs import bounded_batches
 from .tokens import BYTE_BPE, encoder
 
 SEGMENT = 1_000_000
+#: Text bytes of a shard at most, on average; and the least for which one is opened while there are idle tasks.
+SHARD_BYTES, LEAST_BYTES = 128 << 20, 1 << 20
 BLOCK = 512
 END_ID = 0
-SCHEMA = "shard int, segment int, start bigint, n bigint, doc_ids array<bigint>, lengths array<bigint>, zeros array<bigint>, ranks array<binary>, planes array<binary>"
+
+
+def _schema(kind: str) -> str:
+    return f"shard int, segment int, start bigint, n bigint, doc_ids array<{kind}>, lengths array<bigint>, zeros array<bigint>, ranks array<binary>, planes array<binary>"
 
 
 class WaveletMatrix:
@@ -134,9 +141,9 @@ class WaveletMatrix:
         return cls(n, zeros, [np.frombuffer(free(p), np.uint8) for p in planes], [np.frombuffer(free(r), "<u4") for r in ranks])
 
 
-def _write(vocabulary: str, segment: int):
+def _write(vocabulary: str, segment: int, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary).encode, np.array([END_ID], "<u4").tobytes()
+        encoder_, end = encoder(vocabulary), np.array([END_ID], "<u4").tobytes()
         shard, number, start = TaskContext.get().partitionId(), 0, 0
         doc_ids, parts, held = [], [], 0
 
@@ -144,21 +151,22 @@ def _write(vocabulary: str, segment: int):
             nonlocal number, start, doc_ids, parts, held
             ids = np.frombuffer(b"".join(parts), "<u4")
             row = {"shard": shard, "segment": number, "start": start, "doc_ids": doc_ids, "lengths": [len(p) // 4 for p in parts]} | WaveletMatrix.build(ids).pack()
-            names = [f.split()[0] for f in SCHEMA.split(", ")]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary())]
+            names = [f.split()[0] for f in _schema("x").split(", ")]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary())]
             number, start, doc_ids, parts, held = number + 1, start + len(ids), [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([row[n]], k) for n, k in zip(names, kinds)], names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = encode(text or "") + end
-                    doc_ids.append(doc_id)
-                    parts.append(ids)
-                    held += len(ids) // 4
+            own_ids, row = batch.column(0).to_pylist(), 0
+            for ids, lengths in encoder_.encode_rows(batch.column(1)):
+                data, ends = memoryview(ids.tobytes()), np.cumsum(lengths) * 4
+                for a, b in zip((ends - lengths * 4).tolist(), ends.tolist()):
+                    doc_ids.append(own_ids[row])
+                    parts.append(bytes(data[a:b]) + end)
+                    held, row = held + (b - a) // 4 + 1, row + 1
                     if held >= segment:
                         yield flush()
+        encoder_.forget()
         if parts:
             yield flush()
 
@@ -168,14 +176,20 @@ def _write(vocabulary: str, segment: int):
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = BYTE_BPE, shards: int | None = None, segment: int = SEGMENT) -> None:
     """Encode whole texts and write them as wavelet-matrix shards in ascending id order.
 
-    Each document ends with id 0. A null or empty text is that end id alone. Null ids come first;
-    rows that share an id stand next to each other, by text hash, and may fall into different shards.
-    An empty table gives a folder with no segment. Further columns are not read.
+    Each document ends with id 0. A null or empty text is that end id alone. Ids may be of any type that
+    orders; null ids come first; rows that share an id stand next to each other, by text hash, and may
+    fall into different shards. A very long text is encoded in parts and lies in one segment. An empty
+    table gives a folder with no segment. Further columns are not read.
     """
-    n = shards or partitions(docs.sparkSession)
-    kept = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    if shards is None:
+        held = kept.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0)).alias("n")).first()["n"]
+        shards = max(1, min(partitions(spark), held // LEAST_BYTES), -(-held // SHARD_BYTES))
     order = (F.col("id").asc_nulls_first(), F.xxhash64("text").asc())
-    kept.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_write(vocabulary, segment), SCHEMA).write.parquet(path)
+    kind = kept.schema["id"].dataType
+    kept.repartitionByRange(shards, *order).sortWithinPartitions(*order).mapInArrow(_write(vocabulary, segment, to_arrow_type(kind)), _schema(kind.simpleString())).write.parquet(path)
 
 
 def _with_base(segments: DataFrame) -> DataFrame:
@@ -190,42 +204,82 @@ def _with_base(segments: DataFrame) -> DataFrame:
     return segments.join(F.broadcast(base), "shard")
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, WaveletMatrix | None]]:
+    """Segments, each with its matrix."""
     for batch in batches:
         for i in range(batch.num_rows):
             row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+            yield row, WaveletMatrix.unpack(row["n"], row["zeros"], row["ranks"], row["planes"])
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {name: batch.column(name)[i].as_py() for name in batch.schema.names if name != "doc_ids"}
             ids = WaveletMatrix.unpack(row["n"], row["zeros"], row["ranks"], row["planes"]).decode()
             lengths = np.array(row["lengths"], np.int64)
             ends = np.cumsum(lengths)
             crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip((ends - lengths).tolist(), ends.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["base"] + row["start"] + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, pa.array(row["base"] + row["start"] + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """What the files hold of each document: ``id_col``, ``start``, ``n_tokens``, ``ids_crc32``."""
-    segments = _with_base(spark.read.schema(SCHEMA).parquet(path))
-    found = segments.select("doc_ids", "lengths", "start", "base", "n", "zeros", "ranks", "planes").mapInArrow(_digest, "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    segments = _with_base(spark.read.parquet(path))
+    kind = segments.schema["doc_ids"].dataType.elementType.simpleString()
+    found = segments.select("doc_ids", "lengths", "start", "base", "n", "zeros", "ranks", "planes").mapInArrow(_digest, f"id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
     return found.withColumnRenamed("id", id_col)
 
 
+_PLANES = ("n", "zeros", "ranks", "planes")
+
+
 def find_token(spark: SparkSession, path: str, symbol: int) -> DataFrame:
     """(doc_id, position): every occurrence of an id, counted from the document's start, from the planes alone."""
+    segments = spark.read.parquet(path).select("doc_ids", "lengths", *_PLANES)
+    element = segments.schema["doc_ids"].dataType.elementType
+    kind = to_arrow_type(element)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                at = np.array(WaveletMatrix.unpack(row["n"], row["zeros"], row["ranks"], row["planes"]).occurrences(symbol), np.int64)
-                ends = np.cumsum(np.array(row["lengths"], np.int64))
-                doc = np.searchsorted(ends, at, side="right")
-                yield pa.RecordBatch.from_arrays([pa.array([row["doc_ids"][d] for d in doc], pa.int64()), pa.array(at - np.concatenate(([0], ends))[doc])], ["doc_id", "position"])
+        for row, matrix in _rows(batches):
+            at = np.array(matrix.occurrences(symbol), np.int64)
+            ends = np.cumsum(np.array(row["lengths"], np.int64))
+            doc = np.searchsorted(ends, at, side="right")
+            yield pa.RecordBatch.from_arrays([pa.array([row["doc_ids"][d] for d in doc], kind), pa.array(at - np.concatenate(([0], ends))[doc])], ["doc_id", "position"])
+
+    return segments.mapInArrow(run, f"doc_id {element.simpleString()}, position bigint")
 
-    segments = spark.read.schema(SCHEMA).parquet(path).select("doc_ids", "lengths", "n", "zeros", "ranks", "planes")
-    return segments.mapInArrow(run, "doc_id bigint, position bigint")
+
+def count_token(spark: SparkSession, path: str, symbol: int) -> int:
+    """How often an id stands in all files, by rank on the planes; 0 if it doesn't, or if there is no segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([sum(matrix.count(symbol) for _, matrix in _rows(batches))], pa.int64())], ["n"])
+
+    return spark.read.parquet(path).select(*_PLANES).mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+
+def tokens_at(spark: SparkSession, path: str, positions: list[int]) -> DataFrame:
+    """(position, token): the ids at these places of all ids on end, by access on the planes; places beyond the end give no row."""
+    wanted = np.unique(np.array(positions, np.int64))
+    low, high = (int(wanted[0]), int(wanted[-1])) if len(wanted) else (1, 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, matrix in _rows(batches):
+            first = row["base"] + row["start"]
+            own = wanted[(wanted >= first) & (wanted < first + row["n"])]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([matrix.access(int(i) - first) for i in own], pa.int64())], ["position", "token"])
+
+    first = F.col("base") + F.col("start")
+    segments = _with_base(spark.read.parquet(path)).filter((first <= high) & (first + F.col("n") > low))
+    return segments.select("base", "start", *_PLANES).mapInArrow(run, "position bigint, token bigint")
 
 
 def token_shards(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = BYTE_BPE, shards: int | None = None) -> DataFrame:
-    """Write the shards, read them back, and return a row for each document from the files."""
+    """Write the shards, read them back, and return ``id_col, start, n_tokens, ids_crc32`` of each row from the files.
+
+    Null, empty, very long and repeated texts, null ids and empty tables are as ``write_shards`` states.
+    """
     path = path or new_path(docs.sparkSession, "shards")
     write_shards(docs, path, id_col, text_col, vocabulary, shards)
     return read_documents(docs.sparkSession, path, id_col)
