@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .exprs import bounded_batches
+
 BUCKETS = 1 << 16
 WIDTH = 16
 #: Bounds of the training sample: rows in all (expected, shared evenly by language), characters of a row, languages.
@@ -156,6 +158,7 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     learned. Other texts are rejected below the calibrated threshold. Repeated rows get equal answers,
     an empty table an empty result; further columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     model = model or fit(docs, id_col, text_col, lang_col)
     kept = docs.select(F.col(id_col).alias("id"), (fold(id_col, 5) == 0).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     kind = kept.schema["id"].dataType.simpleString()
@@ -165,6 +168,7 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
 
 def keep_identified(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the rows whose language is rejected, in one pass and without a shuffle."""
+    bounded_batches(docs.sparkSession)
     model = model or fit(docs, id_col, text_col, lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
