@@ -1,41 +1,57 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax.
 
-A text is lower-cased, everything but letters becomes one space, and each 2-, 3- and 4-byte subword of
-it (word edges included) names one of ``BUCKETS`` embedding rows. The mean of the rows goes through a
-linear softmax. Both layers are trained by stochastic gradient descent in numpy on a bounded sample;
-a temperature and a rejection threshold are then calibrated on a part of the sample held back from
-training. As both layers are linear, prediction reads one table of logits for each bucket.
+A text is lower-cased, everything but letters and their marks becomes one space, and each 2-, 3- and
+4-byte subword of it (word edges included) names one of ``BUCKETS`` embedding rows. The mean of the rows
+goes through a linear softmax. Both layers are trained by stochastic gradient descent in numpy on a
+bounded sample; a temperature and a rejection threshold are then calibrated on a part of the sample held
+back from training. Tasks get the embeddings, of fixed size, and a column of weights for each language.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.storage import materialize
+
 from .exprs import bounded_batches
 
 BUCKETS = 1 << 16
 WIDTH = 16
-#: Bounds of the training sample: rows in all (expected, shared evenly by language), characters of a row, languages.
-SAMPLE_ROWS, SAMPLE_CHARS, LANGUAGES = 6000, 20_000, 256
+#: Bounds of the training sample: rows in all (expected, shared evenly by language), the least for a language, characters of a row.
+SAMPLE_ROWS, LEAST_ROWS, SAMPLE_CHARS = 6000, 20, 4000
 EPOCHS, RATE, SEED = 6, 2.0, 7
 #: Share of correct calibration rows that the threshold may reject.
 REJECT = 0.002
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
 _FIXED = np.arange(256, dtype=np.uint8)
 _FIXED[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of a Unicode category of letters; number signs such as ``½`` or ``Ⅳ`` aren't."""
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text))
+
+
+@cache
+def _blank(char: str) -> bool:
+    return char > "\x7f" and unicodedata.category(char)[0] not in "LM"
+
+
 def subwords(text: str) -> np.ndarray:
     """Bucket numbers of all subwords of a text, repeats included."""
+    if not text.isascii() and (blanks := [c for c in set(text) if _blank(c)]):
+        text = text.translate({ord(c): " " for c in blanks})
     b = _FIXED[np.frombuffer(f" {text.lower()} ".encode(), np.uint8)]
     space = b == 32
     b = b[np.concatenate(([True], ~(space[1:] & space[:-1])))]
@@ -50,16 +66,26 @@ def subwords(text: str) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    logits: np.ndarray
-    """(BUCKETS, languages): each bucket's share of the logits, at the calibrated temperature."""
+    embeddings: np.ndarray
+    """(BUCKETS, WIDTH)"""
+    weights: np.ndarray
+    """(WIDTH, languages), at the calibrated temperature."""
     bias: np.ndarray
     threshold: float
 
+    def mean(self, found: np.ndarray) -> np.ndarray:
+        total, buffer = np.zeros(WIDTH), np.empty((4096, WIDTH), np.float32)
+        for at in range(0, len(found), 4096):
+            part = found[at : at + 4096]
+            np.take(self.embeddings, part, axis=0, out=buffer[: len(part)], mode="clip")
+            total += buffer[: len(part)].sum(axis=0, dtype=np.float64)
+        return total / len(found)
+
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, calibrated probability, rejected)."""
-        if not self.languages or not text or not _LETTER.search(text):
+        if not self.languages or not text or not has_letter(text):
             return UNKNOWN, 0.0, True
-        z = self.logits[subwords(text)].mean(axis=0, dtype=np.float64) + self.bias
+        z = self.mean(subwords(text)) @ self.weights + self.bias
         p = np.exp(z - z.max())
         best = int(p.argmax())
         score = float(p[best] / p.sum())
@@ -67,17 +93,20 @@ class Model:
 
 
 def train(rows: list[tuple[str, str]], seed: int = SEED) -> Model:
-    """Fit (language, text) rows; every fifth row calibrates temperature and threshold."""
-    rows = [(lang, text) for lang, text in rows if _LETTER.search(text)]
-    languages = sorted({lang for lang, _ in rows})
-    if not languages:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 0.0)
+    """Fit (language, text) rows, which are emptied on the way; every fifth row calibrates temperature and threshold."""
     rng = np.random.default_rng(seed)
+    found, labels, rows[:] = [], [], rows[::-1]
+    while rows:
+        lang, text = rows.pop()
+        if has_letter(text):
+            idx, n = np.unique(subwords(text), return_counts=True)
+            found.append((idx.astype(np.uint16), np.minimum(n, 65535).astype(np.uint16)))
+            labels.append(lang)
+    languages = sorted(set(labels))
+    if not languages:
+        return Model([], np.zeros((BUCKETS, WIDTH), np.float32), np.zeros((WIDTH, 0)), np.zeros(0), 0.0)
     number = {lang: i for i, lang in enumerate(languages)}
-    data = []
-    for lang, text in rows:
-        idx, n = np.unique(subwords(text), return_counts=True)
-        data.append((idx, (n / n.sum()).astype(np.float32), number[lang]))
+    data = [(idx, n, number[lang]) for (idx, n), lang in zip(found, labels)]
     fit, held = [d for i, d in enumerate(data) if i % 5] or data, data[::5]
     emb = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     out = rng.normal(0, 0.1, (WIDTH, len(languages))).astype(np.float32)
@@ -85,7 +114,8 @@ def train(rows: list[tuple[str, str]], seed: int = SEED) -> Model:
     steps, done = EPOCHS * len(fit), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(fit)):
-            idx, w, y = fit[i]
+            idx, n, y = fit[i]
+            idx, w = idx.astype(np.int64), n / np.float32(n.sum())
             rate = RATE * (1 - done / steps)
             done += 1
             hidden = w @ emb[idx]
@@ -97,8 +127,7 @@ def train(rows: list[tuple[str, str]], seed: int = SEED) -> Model:
             out -= rate * 0.1 * np.outer(hidden, p)
             bias -= rate * 0.01 * p
             emb[idx] -= (rate * w * len(idx))[:, None] * 0.1 * back
-    table = emb @ out
-    scores = np.array([w @ table[idx] + bias for idx, w, _ in held])
+    scores = np.array([(n / np.float32(n.sum())) @ emb[idx.astype(np.int64)] @ out + bias for idx, n, _ in held])
     labels = np.array([y for _, _, y in held])
 
     def loss(t: float) -> float:
@@ -111,7 +140,7 @@ def train(rows: list[tuple[str, str]], seed: int = SEED) -> Model:
     top = p.max(axis=1) / p.sum(axis=1)
     right = top[p.argmax(axis=1) == labels]
     threshold = min(0.5, float(np.quantile(right, REJECT))) if len(right) else 0.0
-    return Model(languages, (table / temperature).astype(np.float32), (bias / temperature).astype(np.float64), threshold)
+    return Model(languages, emb, (out / temperature).astype(np.float64), (bias / temperature).astype(np.float64), threshold)
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -123,19 +152,24 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Train on a bounded, seeded sample of labelled rows outside fold 0 of 5.
 
     The sample is drawn on the executors by a hash threshold for each language, which is its share of
-    ``sample_rows`` over its count; rows above ``SAMPLE_CHARS`` characters aren't drawn. Only the
-    sample reaches the driver, and of the languages the ``LANGUAGES`` most frequent.
+    ``sample_rows`` (``LEAST_ROWS`` at least) over its count; every language is learned. Of a text longer
+    than ``SAMPLE_CHARS`` characters, a slice of that length at a seeded place is drawn. Only the sample
+    reaches the driver. Null labels and texts aren't learned from; rows that repeat an id and text are
+    drawn together.
     """
     known = docs.select(fold(id_col, 5).alias("fold"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col, text_col).alias("h"))
-    known = known.filter("fold <> 0 and lang is not null and text is not null").filter(F.length("text") <= SAMPLE_CHARS)
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    known = known.filter("fold <> 0 and lang is not null and text is not null")
+    counts = materialize(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    n = counts.count()
+    if not n:
         return train([])
-    each = sample_rows / len(counts)
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, each / r["count"])))])
-    drawn = known.filter(F.pmod("h", F.lit(1_000_000)) < 1_000_000 * F.element_at(share, F.col("lang")))
-    rows = sorted((r["h"], r["lang"], r["text"]) for r in drawn.select("h", "lang", "text").collect())
-    return train([(lang, text) for _, lang, text in rows])
+    each = max(LEAST_ROWS, sample_rows / n)
+    share = F.least(F.lit(1.0), F.lit(float(each)) / F.col("n"))
+    drawn = known.join(counts, "lang").filter(F.pmod("h", F.lit(1_000_000)) < 1_000_000 * share)
+    beyond = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
+    part = F.substring("text", (F.pmod("h", beyond + 1) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    rows = drawn.select("h", "lang", part.alias("text")).toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
+    return train(list(zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist())))
 
 
 def _predict(model: Model):
