@@ -2,9 +2,11 @@
 
 A source's target is its weight's share of all words, but no more than ``max_epochs`` times what the
 source has; the excess goes to the others by weight until none is above. A document is taken as often
-as its source has whole epochs; for the rest, documents are taken once more in seeded hash order until
-the source's words are reached. The order is kept as a histogram of ``BUCKETS`` hash buckets for each
-source, so that nothing sorts a hot source.
+as its source has whole epochs; for the rest, documents are taken once more in seeded hash order while
+that brings the source's words nearer to its target. The hash is of id and text, so that rows without an
+id, or that share one, are spread as others are. Nothing sorts a hot source: a histogram of ``BUCKETS``
+hash buckets for each source finds the bucket in which its target falls, a second one the part of that
+bucket, and only the rows of that part, a millionth of the source, are put in order.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from assay.storage import free_name, materialize, partitions
 
-from .exprs import md5_number, n_words
+from .exprs import n_words
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -24,9 +26,14 @@ BUCKETS = 4096
 SEED = "mix"
 
 
-def _bucket(id_col: str, seed: str):
-    """Three hexadecimal digits of an MD5: 0 to ``BUCKETS`` - 1."""
-    return md5_number(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 3)
+def _key(id_col, text_col, seed: str):
+    """The place of a row in its source's order: an MD5 in hexadecimal."""
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id_col.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text_col.cast("string"), F.lit(""))))
+
+
+def _part(key, level: int):
+    """Three hexadecimal digits of the key: 0 to ``BUCKETS`` - 1."""
+    return F.conv(F.substring(key, 3 * level + 1, 3), 16, 10).cast("int")
 
 
 def _numbered(sources: DataFrame) -> DataFrame:
@@ -61,14 +68,24 @@ def fill_level(sources: DataFrame, total: int, max_epochs: float) -> float:
         clamped, level = row["n"], (total - row["capped"]) / row["free"]
 
 
+def _cut(held: DataFrame, goals: DataFrame, name: str) -> DataFrame:
+    """(own, goal, name): the first bucket that its source's goal doesn't hold whole, and what is left of the goal there."""
+    order = Window.partitionBy("source").orderBy("bucket")  # at most BUCKETS rows for each source
+    reached = F.coalesce(F.sum("held").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    beside = held.withColumn("before", reached).join(goals, F.col("source").eqNullSafe(F.col("own")))
+    over = beside.filter(F.col("before") + F.col("held") > F.col("goal"))
+    return over.groupBy("own").agg(F.min_by(F.struct(F.col("bucket").alias(name), (F.col("goal") - F.col("before")).alias("goal")), "bucket").alias("at")).select("own", "at.*")
+
+
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
-    """(sized, sources): (id, source, size, bucket) of every row; (source, source_size, weight, target, whole, cut) of every source.
+    """(sized, sources): (id, source, size, key) of every row; (source, source_size, weight, target, whole, one, two, goal) of every source.
 
-    A document of the source is taken ``whole`` times, and once more if its bucket is below ``cut``.
+    A document of the source is taken ``whole`` times, and once more if the first two parts of its key are
+    before (``one``, ``two``), or are these and ``goal`` words hold it. Nothing is before a null ``one``.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), _bucket(id_col, seed).alias("bucket"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), _key(F.col(id_col), F.col(text_col), seed).alias("key"))
     sized = materialize(sized, "sized")
-    buckets = materialize(sized.groupBy("source", "bucket").agg(F.sum("size").alias("held")), "buckets")
+    buckets = materialize(sized.groupBy("source", _part(F.col("key"), 0).alias("bucket")).agg(F.sum("size").alias("held")), "buckets")
     sources = _numbered(buckets.groupBy("source").agg(F.sum("held").alias("source_size")))
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod("number", F.lit(len(weights))) + 1).cast("int"))
     sources = materialize(sources.withColumn("weight", weight), "weights")
@@ -78,32 +95,51 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     size = F.greatest("source_size", F.lit(1))
     sources = sources.withColumn("target", target).withColumn("whole", F.least(F.floor(F.col("target") / size), F.lit(max_epochs)).cast("bigint"))
     goals = sources.select(F.col("source").alias("own"), (F.col("target") - F.col("whole") * F.col("source_size")).alias("goal"))
-    order = Window.partitionBy("source").orderBy("bucket")  # at most BUCKETS rows for each source
-    reached = F.coalesce(F.sum("held").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cuts = buckets.withColumn("before", reached).join(goals, F.col("source").eqNullSafe(F.col("own")))
-    cuts = cuts.filter(2 * F.col("before") + F.col("held") <= 2 * F.col("goal")).groupBy("own").agg((F.max("bucket") + 1).alias("cut"))
-    whole = sources.join(cuts, F.col("source").eqNullSafe(F.col("own")), "left").select("source", "source_size", "weight", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut"))
+    first = materialize(_cut(buckets, goals, "one"), "cuts")
+    inside = sized.join(first.select(F.col("own").alias("of"), "one"), F.col("source").eqNullSafe(F.col("of")) & (_part(F.col("key"), 0) == F.col("one")))
+    second = _cut(inside.groupBy("source", _part(F.col("key"), 1).alias("bucket")).agg(F.sum("size").alias("held")), first.select("own", "goal"), "two")
+    both = first.select(F.col("own").alias("of"), "one").join(second, F.col("of").eqNullSafe(F.col("own")), "left").drop("own")
+    whole = sources.join(both, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "weight", "target", "whole", "one", "two", "goal")
     return sized, materialize(whole, "mixplan")
 
 
+def _times(rows: DataFrame, source: str, size, key, names: dict[str, str], times: str) -> DataFrame:
+    """``rows`` joined with their source's plan (columns ``names``), with ``times``, how often each is taken."""
+    one, two, goal, whole = (F.col(names[n]) for n in ("one", "two", "goal", "whole"))
+    a, b = _part(key, 0), _part(key, 1)
+    # a source whose goal holds every row of its part has no part to put in order
+    here = F.coalesce((a == one) & (b == two), F.lit(False))
+    more = F.coalesce((a < one) | (a == one) & (b < F.coalesce(two, F.lit(BUCKETS))), F.lit(False))
+    clear = rows.filter(~here).withColumn(times, (whole + more.cast("bigint")).cast("bigint"))
+    order = Window.partitionBy(source).orderBy(key)
+    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = rows.filter(here).withColumn(times, (whole + (2 * before + size <= 2 * goal).cast("bigint")).cast("bigint"))
+    return clear.unionByName(cut)
+
+
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, ``size``, ``source_size``, ``target``, ``taken``.
 
     A null text has size 0; null sources form one source, the last; a source without words has target
-    0 and takes nothing. Rows that repeat an id are taken alike. Reruns with the same seed agree. An
-    empty table gives an empty result; further columns are not read.
+    0 and takes nothing. Rows that repeat id and text may be taken differently often: which of them is
+    left open, as they are alike. Reruns with the same seed agree. Very long texts count whole, so a
+    source's words miss its target by half a text at most. An empty table gives an empty result; further
+    columns are not read.
     """
     sized, sources = plan(docs, id_col, text_col, source_col, **how)
     found = sized.join(sources.withColumnRenamed("source", "own"), F.col("source").eqNullSafe(F.col("own")))
-    times = F.col("whole") + (F.col("bucket") < F.col("cut")).cast("bigint")
-    return found.select(F.col("id").alias(id_col), "size", "source_size", F.round("target", 6).alias("target"), (times * F.col("size")).alias("taken"))
+    names = {n: n for n in ("one", "two", "goal", "whole")}
+    found = _times(found, "source", F.col("size"), F.col("key"), names, "times")
+    return found.select(F.col("id").alias(id_col), "size", "source_size", F.round("target", 6).alias("target"), (F.col("times") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **how) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, columns unchanged. Texts are not shuffled unless sources are many."""
+    """``docs`` with each row as often as the mix takes it, columns unchanged. Texts are not shuffled, but for those at a source's cut."""
     _, sources = plan(docs, id_col, text_col, source_col, seed=seed, **how)
-    own, whole, cut, times = free_name(docs, "own", "whole", "cut", "times")
-    chosen = sources.select(F.col("source").alias(own), F.col("whole").alias(whole), F.col("cut").alias(cut))
-    found = docs.join(chosen, docs[source_col].eqNullSafe(F.col(own)))
-    repeats = (F.col(whole) + (_bucket(id_col, seed) < F.col(cut)).cast("bigint")).cast("int")
-    return found.withColumn(times, F.explode(F.array_repeat(F.lit(0), repeats))).drop(own, whole, cut, times)
+    own, key, times, size, *rest = free_name(docs, "own", "key", "times", "size", "one", "two", "goal", "whole")
+    names = dict(zip(("one", "two", "goal", "whole"), rest))
+    chosen = sources.select(F.col("source").alias(own), *[F.col(n).alias(c) for n, c in names.items()])
+    keyed = docs.withColumn(key, _key(F.col(id_col), F.col(text_col), seed))
+    found = keyed.join(chosen, keyed[source_col].eqNullSafe(F.col(own)))
+    found = _times(found.withColumn(size, n_words(F.col(text_col))), own, F.col(size), F.col(key), names, times)
+    return found.withColumn(times, F.explode(F.array_repeat(F.lit(0), F.col(times).cast("int")))).drop(own, key, times, size, *rest)

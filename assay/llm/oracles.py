@@ -10,17 +10,16 @@ r AS (SELECT *, n_lines >= 2 AND regexp_matches(chunk, '{WORD}') AND row_number(
 g AS (SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed_chunks, coalesce(sum(n_lines) FILTER (gone), 0)::BIGINT AS n_removed_lines, coalesce(string_agg(chunk, chr(10) ORDER BY j) FILTER (NOT gone), '') AS t FROM r GROUP BY 1)
 SELECT doc_id, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed_chunks, 0) AS n_removed_chunks, coalesce(n_removed_lines, 0) AS n_removed_lines, CASE WHEN text IS NOT NULL THEN strlen(t) END AS n_bytes, CASE WHEN text IS NOT NULL THEN md5(t) END AS text_md5 FROM documents LEFT JOIN g USING (doc_id)"""
 
-SOURCE_MIX = f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text,''), '{WORD}+')) AS size, ('0x'||substr(md5('mix:'||coalesce(doc_id::VARCHAR,'')),1,3))::BIGINT AS bucket FROM documents),
+SOURCE_MIX = f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text,''), '{WORD}+')) AS size, md5('mix:'||coalesce(doc_id::VARCHAR,'')||':'||coalesce(text,'')) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM d GROUP BY source),
 w AS (SELECT *, [5,2,1][number % 3 + 1] AS weight, 3*source_size AS cap, (SELECT sum(size) FROM d) AS total FROM s),
 o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap/weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped, sum(weight) OVER (ORDER BY cap/weight, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free, row_number() OVER (ORDER BY cap/weight, number) AS rn FROM w),
 l AS (SELECT coalesce(arg_min((total::DOUBLE - capped::DOUBLE)/free::DOUBLE, rn) FILTER ((total - capped)/free*weight <= cap), 0) AS level FROM o),
 t AS (SELECT source, source_size, least(cap::DOUBLE, level*weight) AS target FROM w, l),
 p AS (SELECT *, least(floor(target/greatest(source_size,1)), 3)::BIGINT AS whole FROM t),
-b AS (SELECT source, bucket, sum(size) AS held, coalesce(sum(sum(size)) OVER (PARTITION BY source ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d GROUP BY source, bucket),
-c AS (SELECT p.source, max(bucket) + 1 AS cut FROM b JOIN p ON b.source IS NOT DISTINCT FROM p.source WHERE 2*before + held <= 2*(target - whole*source_size) GROUP BY 1)
-SELECT doc_id, size::BIGINT AS size, source_size, round(target, 6) AS target, ((whole + (bucket < coalesce(cut, 0))::INT)*size)::BIGINT AS taken
-FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN c ON p.source IS NOT DISTINCT FROM c.source"""
+b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
+SELECT doc_id, size::BIGINT AS size, source_size, round(target, 6) AS target, ((whole + (2*before + size <= 2*(target - whole*source_size))::INT)*size)::BIGINT AS taken
+FROM b JOIN p ON b.source IS NOT DISTINCT FROM p.source"""
 
 PERSPECTIVES = """WITH t AS (SELECT conv_id, turn, coalesce(role,'unknown') AS name, coalesce(text,'') AS text FROM conversations),
 c AS (SELECT DISTINCT conv_id, name AS perspective FROM t WHERE name <> 'system'),

@@ -213,8 +213,29 @@ def test_token_shards(spark, docs, tmp_path):
     got = sorted(tuple(r) for r in wavelet.read_documents(spark, path).collect())
     assert got == sorted(shard_rows(sorted((r["doc_id"], r["text"]) for r in docs.collect())))
     tk = whole_tokenizer()
-    want = sorted((r["doc_id"], i) for r in docs.collect() for i, x in enumerate(tk.encode(r["text"], add_special_tokens=False).ids) if x == 262)
+    ids = {r["doc_id"]: tk.encode(r["text"], add_special_tokens=False).ids + [0] for r in docs.collect()}
+    want = sorted((d, i) for d, own in ids.items() for i, x in enumerate(own) if x == 262)
     assert sorted(tuple(r) for r in wavelet.find_token(spark, path, 262).collect()) == want
+    every = [x for d in sorted(ids) for x in ids[d]]
+    assert [wavelet.count_token(spark, path, x) for x in (262, 0, 50_000_000)] == [every.count(262), every.count(0), 0]
+    places = [0, 5, 20_000, len(every) - 1, len(every)]
+    assert sorted(tuple(r) for r in wavelet.tokens_at(spark, path, places).collect()) == [(i, every[i]) for i in places[:-1]]
+
+
+def test_shards_of_string_ids(spark, tmp_path):
+    rows = [("b", "two words"), ("a", "x"), (None, "no id"), ("c", None)]
+    path = f"file://{tmp_path}/shards"
+    got = wavelet.token_shards(spark.createDataFrame(rows, "doc_id string, text string"), path).orderBy("start").collect()
+    assert [tuple(r) for r in got] == shard_rows([rows[2], rows[1], rows[0], rows[3]])
+    assert wavelet.find_token(spark, path, 0).count() == 4
+
+
+def test_long_texts_are_encoded_whole(spark, monkeypatch):
+    """A text beyond one run is cut at spaces; one without spaces stays whole."""
+    monkeypatch.setattr(tokens, "RUN_BYTES", 1000)
+    tk, own = whole_tokenizer(), tokens.encoder(tokens.BYTE_BPE)
+    for text in ("some words, and more of them. " * 200, "x" * 5000, "日本語 " * 800, "don't  stop\n\n" * 300):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == tk.encode(text, add_special_tokens=False).ids
 
 
 def test_shards_odd_rows(odd):
@@ -309,6 +330,18 @@ def test_mix_clamps(spark):
     assert rows[1]["target"] == 6 and rows[1]["taken"] == 6 and rows[2]["target"] == 96
 
 
+def test_mix_reaches_targets_without_ids(spark):
+    """Rows without ids, rows that share one, and rows that are wholly alike."""
+    rows = [(None, f"text {i} of ten words or so in all here", "a") for i in range(50)] + [(None, "the same ten words in every row of this one", "b")] * 50 + [(7, f"w{i} " * 10, "c") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    report = mixing.mix_report(docs).collect()
+    mixed = Counter((r["doc_id"], r["text"]) for r in mixing.mix(docs).collect())
+    for size, target in {(r["source_size"], r["target"]) for r in report}:
+        own = [r for r in report if (r["source_size"], r["target"]) == (size, target)]
+        assert abs(sum(r["taken"] for r in own) - target) <= 5 and {r["taken"] // r["size"] for r in own} <= {0, 1, 2, 3}
+    assert sum(len(t.split()) * n for (_, t), n in mixed.items()) == sum(r["taken"] for r in report)
+
+
 def test_mix_odd_rows(odd):
     rows = mixing.mix_report(odd).collect()
     assert len(rows) == odd.count() and mixing.mix(odd).columns == odd.columns

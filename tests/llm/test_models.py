@@ -35,6 +35,21 @@ def test_language_odd_rows(odd):
     assert nothing.filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_letters_and_rare_languages(spark):
+    """Number signs are no letters; a language of long texts only and hundreds of small languages are learned."""
+    odd = spark.createDataFrame([(1, "½ ² Ⅳ ①"), (2, "½ a"), (3, "— … “”")], "doc_id bigint, text string")
+    rng = np.random.default_rng(5)
+    words = {i: ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, 6)) for _ in range(12)] for i in range(300)}
+    speak = lambda i, n: " ".join(str(w) for w in rng.choice(words[i], n))
+    rows = [(10 * i + k, speak(i, 30 if i else 6000), f"l{i:03d}") for i in range(300) for k in range(10)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(model.languages) == 300
+    assert model.predict(speak(0, 5000))[0] == "l000"
+    assert np.mean([model.predict(speak(i, 60))[0] == f"l{i:03d}" for i in range(300)]) >= 0.9
+    out = {r["doc_id"]: r for r in langid.identify(odd, model).collect()}
+    assert [out[i]["lang_pred"] == "und" for i in (1, 2, 3)] == [True, False, True] and out[1]["score"] == 0
+
+
 def test_pitman_yor_base_and_held_out(docs):
     rows = docs.collect()
     words = {r["doc_id"]: [w for w in r["text"].encode().lower().split()] + [None] for r in rows}
@@ -108,7 +123,7 @@ def test_common_subsequence():
 def planted(spark):
     """Texts of random words with benchmark items: whole, with a word in eight replaced, and with marks and case changed."""
     rng = np.random.default_rng(8)
-    vocabulary = [f"w{int(x)}" for x in rng.integers(0, 10**6, 4000)]
+    vocabulary = np.array([f"w{int(x)}" for x in rng.integers(0, 10**6, 4000)])
     common = ["the", "of", "and", "to", "in"]
     speak = lambda n: [str(rng.choice(common)) if rng.random() < 0.3 else str(rng.choice(vocabulary)) for _ in range(n)]
     items = [speak(int(rng.integers(20, 60))) for _ in range(40)]
@@ -167,6 +182,48 @@ def test_decontamination_recall_of_a_full_block(spark):
     assert len(want) > 240 and len(want & got) / len(want) >= 0.94
 
 
+def test_decontamination_of_many_items_in_one_scan(spark):
+    """2,000 items, one paraphrase of each (every 8th word replaced), one scan; brute force over every window finds what it finds."""
+    rng = np.random.default_rng(13)
+    vocabulary = [f"w{i}" for i in range(6000)]
+    weights = 1 / np.arange(1, 6001)
+    speak = lambda n: [vocabulary[i] for i in rng.choice(6000, n, p=weights / weights.sum())]
+    items = [speak(int(rng.integers(15, 60))) for _ in range(2000)]
+    docs = []
+    for item in items:
+        body = speak(80)
+        body[20:20] = [vocabulary[int(rng.integers(6000))] if j % 8 == 3 else w for j, w in enumerate(item)]
+        docs.append(body)
+    long = speak(1000) + [w for item in items[:5] for w in item + speak(50)]
+    rows = spark.createDataFrame([(i, " ".join(b)) for i, b in enumerate(docs)] + [(9000, " ".join(long))], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(f"item-{i}", " ".join(w)) for i, w in enumerate(items)], "item_id string, text string")
+    scans, search = [], decontam._search
+    try:
+        decontam._search = lambda queries: scans.append(1) or search(queries)
+        got = {(r["id"], r["item_id"]) for r in decontam.contaminated_pairs(rows, bench).collect()}
+    finally:
+        decontam._search = search
+    want = set()
+    for i, (body, item) in enumerate(zip(docs, items)):
+        own, words = [w.encode() for w in item], [w.encode() for w in body]
+        if max(decontam.common_subsequence(own, words[a : a + 2 * len(own)]) for a in range(0, len(words), 4)) >= decontam.ALONE * len(own):
+            want.add((i, f"item-{i}"))
+    assert len(scans) == 1 and len(want) > 1500
+    assert len(want & got) / len(want) >= 0.95 and {(9000, f"item-{i}") for i in range(5)} <= got
+
+
+def test_decontamination_of_long_texts_and_null_ids(spark, monkeypatch):
+    """Long texts are searched in parts; an item without an id counts, as null; ids are of any type."""
+    monkeypatch.setattr(decontam, "RUN_BYTES", 3000)
+    rng = np.random.default_rng(14)
+    item = [f"i{int(x)}" for x in rng.integers(0, 1000, 30)]
+    body = [f"w{int(x)}" for x in rng.integers(0, 5000, 4000)]
+    rows = [(f"d{k}", " ".join(body[:at] + item + body[at:])) for k, at in enumerate(range(0, 4000, 97))] + [("clean", " ".join(body)), ("one", "x" * 9000)]
+    bench = spark.createDataFrame([(None, " ".join(item)), ("z", "words that nothing holds at all")], "item_id string, text string")
+    out = {r["doc_id"]: r for r in decontam.decontaminate(spark.createDataFrame(rows, "doc_id string, text string"), bench).collect()}
+    assert all(out[d]["contaminated"] == d.startswith("d") for d in out) and out["d0"]["item_ids"] == [None] and out["clean"]["item_ids"] == []
+
+
 def test_decontamination_odd_rows(odd, spark):
     bench = spark.createDataFrame([(1, "same text here"), (2, None)], "item_id bigint, text string")
     out = decontam.decontaminate(odd, bench)
@@ -176,7 +233,7 @@ def test_decontamination_odd_rows(odd, spark):
     assert decontam.decontaminate(odd.limit(0), bench).count() == 0
 
 
-def test_pipeline_stages(spark, docs):
+def test_pipeline_stages(spark, docs, tmp_path):
     held, bench = docs, [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, held, SF)
@@ -190,8 +247,8 @@ def test_pipeline_stages(spark, docs):
                 assert not {r["doc_id"] for r in out.collect()} & set(leaked) and after == before - len(leaked)
             if name == "language":
                 assert after >= 0.97 * before
-            out.write.mode("overwrite").parquet(f"/tmp/assay-test-{name}")
-            held = spark.read.parquet(f"/tmp/assay-test-{name}")
+            out.write.parquet(f"file://{tmp_path}/{name}")
+            held = spark.read.parquet(f"file://{tmp_path}/{name}")
         else:
             assert out.count() == held.count()
     assert corpus_pipeline.run(spark, SF).count() == held.count()
