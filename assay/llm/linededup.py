@@ -4,6 +4,11 @@ A rolling hash over the hashes of each line and the one before it decides where
 boundaries move with the content: a passage that was shifted by inserted lines falls into the same
 chunks again. Chunks of several lines that occur more than once in the corpus are compared byte by
 byte, and all but the first occurrence (smallest document, then position) are removed.
+
+A short passage seldom holds a whole chunk. A second, finer cut therefore takes each two neighbouring
+lines with words as a chunk (what stands blank between them included), and each line of more than
+``RUN_WORDS`` words. Lines in repeated fine chunks that stand together form a run, and runs of more than
+``RUN_WORDS`` words are removed as well.
 """
 
 from __future__ import annotations
@@ -17,6 +22,9 @@ from .exprs import WORD, let, md5_number
 
 #: Chunks end at one line in ``DIVISOR`` on average; shorter chunks than ``LEAST`` lines are never removed.
 DIVISOR, LEAST, FACTOR = 4, 2, 31
+RUN_WORDS = 50
+#: Rows of one repeated chunk that a task of the comparison takes.
+PART_ROWS = 10_000
 
 
 def chunk_ends(lines, divisor: int = DIVISOR):
@@ -30,49 +38,81 @@ def chunk_ends(lines, divisor: int = DIVISOR):
     return let(hashes, ends)
 
 
-def chunks(lines, divisor: int = DIVISOR):
-    """(n_lines, text) of each chunk, in order."""
+def _chunk(lines, start, end, fine: bool):
+    """The lines after position ``start`` up to ``end``, both counted from 0."""
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(fine).alias("fine"), F.array_join(F.slice(lines, start + 1, end - start), "\n").alias("text"))
+
+
+def chunks(lines, divisor: int = DIVISOR, least: int = LEAST):
+    """(start, end, fine, text) of every chunk of either cut that may be removed."""
 
-    def cut(held):
+    def coarse(held):
         def slices(e):
-            def one(end, j):
-                start = F.coalesce(F.get(e, j - 1), F.lit(0))
-                return F.struct((end - start).alias("n_lines"), F.array_join(F.slice(held, start + 1, end - start), "\n").alias("text"))
+            return F.transform(e, lambda end, j: _chunk(held, F.coalesce(F.get(e, j - 1), F.lit(0)), end, False))
+
+        return F.filter(let(chunk_ends(held, divisor), slices), lambda c: (c["end"] - c["start"] >= least) & c["text"].rlike(WORD))
+
+    def fine(held):
+        worded = F.filter(F.sequence(F.lit(1), F.size(held)), lambda i: F.get(held, i - 1).rlike(WORD))
+
+        def pairs(w):
+            both = F.transform(F.filter(F.transform(w, lambda i, k: F.struct(i.alias("a"), F.get(w, k + 1).alias("b"))), lambda p: p["b"].isNotNull()), lambda p: _chunk(held, p["a"] - 1, p["b"], True))
+            long = F.transform(F.filter(w, lambda i: F.regexp_count(F.get(held, i - 1), F.lit(WORD)) > RUN_WORDS), lambda i: _chunk(held, i - 1, i, True))
+            return F.concat(both, long)
+
+        return let(worded, pairs)
+
+    return let(lines, lambda held: F.concat(coarse(held), fine(held)))
+
 
-            return F.transform(e, one)
+def _gone(lines, coarse, fine):
+    """Numbers (from 0) of the lines to remove: those of coarse chunks, and of runs of fine ones with more than ``RUN_WORDS`` words."""
+    spread = lambda spans: F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["end"] - 1)))))
 
-        return let(chunk_ends(held, divisor), slices)
+    def runs(covered):
+        heads = F.filter(covered, lambda i, k: (k == 0) | (i != F.get(covered, k - 1) + 1))
+        return F.transform(heads, lambda a, j: F.struct(a.alias("start"), F.coalesce(F.get(covered, F.array_position(covered, F.get(heads, j + 1)).cast("int") - 2), F.element_at(covered, -1)).alias("end")))
 
-    return let(lines, cut)
+    long = lambda held: lambda r: F.regexp_count(F.array_join(F.slice(held, r["start"] + 1, r["end"] - r["start"] + 1), "\n"), F.lit(WORD)) > RUN_WORDS
+    kept = let(lines, lambda held: F.filter(let(spread(fine), runs), long(held)))
+    whole = F.flatten(F.transform(kept, lambda r: F.sequence(r["start"], r["end"])))
+    return F.array_distinct(F.concat(spread(coarse), whole))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, least: int = LEAST) -> DataFrame:
     """``docs`` with the repeated chunks cut out of the text, and ``n_chunks``, ``n_removed_chunks``, ``n_removed_lines``.
 
-    A chunk is removable if it has ``least`` lines or more and at least one word. A null text stays
-    null with no chunks, an empty one is one chunk that stays. Rows that repeat both id and text are
-    one document: they get the same decision and both come back. Ties in the order fall to the text's
-    hash. Columns of ``docs`` stay as they are; where a new name is taken, it gets underscores.
+    The first two count content-defined chunks, the last one lines of either cut. A content-defined
+    chunk is removable if it has ``least`` lines or more and at least one word. A null text stays null
+    with no chunks, an empty one is one chunk that stays. Rows that repeat both id and text are one
+    document: they get the same decision and both come back. Ties in the order fall to the text's hash.
+    Very long texts are cut as others are; an empty table gives an empty result. Columns of ``docs`` stay
+    as they are; where a new name is taken, it gets underscores.
     """
-    key, none, h, out, gone, n_all, n_gone, n_lines = free_name(docs, "key", "none", "h", "chunks", "gone", "n_chunks", "n_removed_chunks", "n_removed_lines")
+    key, none, h, out, gone, n_all, n_gone, n_lines, held = free_name(docs, "key", "none", "h", "chunks", "gone", "n_chunks", "n_removed_chunks", "n_removed_lines", "held")
     keyed = docs.withColumns({key: F.coalesce(id_col, F.lit(0)), none: F.isnull(id_col), h: F.xxhash64(text_col)})
-    own = F.struct(F.col(key).alias("key"), F.col(none).alias("none"), F.col(h).alias("h"))
-    every = keyed.select(own.alias("doc"), F.posexplode(chunks(F.split(text_col, "\n"), divisor)).alias("at", "chunk"))
-    every = every.select(F.struct(F.col("doc.none").alias("none"), F.col("doc.key").alias("key"), F.col("doc.h").alias("h"), "at").alias("place"), F.xxhash64("chunk.text").alias("digest"), F.col("chunk.n_lines").alias("n_lines"), F.col("chunk.text").alias("text"))
-    several = every.filter(F.col("n_lines") >= least).filter(F.col("text").rlike(WORD))
+    own = F.struct(F.col(none).alias("none"), F.col(key).alias("key"), F.col(h).alias("h"))
+    every = keyed.select(own.alias("doc"), F.explode(chunks(F.split(text_col, "\n"), divisor, least)).alias("chunk"))
+    every = every.select(F.struct("doc.none", "doc.key", "doc.h", "chunk.start", "chunk.end", "chunk.fine").alias("place"), F.xxhash64("chunk.text", "chunk.fine").alias("digest"), F.col("chunk.text").alias("text"))
     # many documents share a digest: the first look counts places, with nothing but numbers in the shuffle
-    narrow = several.groupBy("digest").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    repeated = materialize(narrow.filter("first < last").select("digest"), "digests")
-    rows = materialize(several.join(repeated, "digest", "left_semi"), "repeated")
-    firsts = rows.groupBy("digest", "text").agg(F.min("place").alias("first"))
-    removed = rows.join(firsts, ["digest", "text"]).filter("place <> first").select(F.col("place.key").alias(key), F.col("place.none").alias(none), F.col("place.h").alias(h), F.col("place.at").alias("at"), "n_lines")
-    by_doc = removed.distinct().groupBy(key, none, h).agg(F.collect_list("at").alias(gone), F.sum("n_lines").cast("bigint").alias(n_lines))
-    found = keyed.join(materialize(by_doc, "removed").hint("merge"), [key, none, h], "left").withColumn(gone, F.coalesce(F.col(gone), F.array().cast("array<int>")))
-
-    def rest(c):
-        kept = F.filter(c, lambda x, i: ~F.array_contains(F.col(gone), i))
-        return F.struct(F.size(c).cast("bigint").alias("n"), F.array_join(F.transform(kept, lambda x: x["text"]), "\n").alias("text"))
-
-    found = found.withColumn(out, F.when(F.size(gone) > 0, let(chunks(F.split(text_col, "\n"), divisor), rest)).otherwise(F.struct(F.coalesce(F.size(chunk_ends(F.split(text_col, "\n"), divisor)), F.lit(0)).cast("bigint").alias("n"), F.col(text_col).alias("text"))))
-    columns = [F.col(f"{out}.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return found.select(*columns, F.when(F.isnull(text_col), 0).otherwise(F.col(f"{out}.n")).cast("bigint").alias(n_all), F.size(gone).cast("bigint").alias(n_gone), F.coalesce(n_lines, F.lit(0)).alias(n_lines))
+    narrow = every.groupBy("digest").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("n"))
+    parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
+    repeated = materialize(narrow.filter("first < last").select("digest", parts.alias("parts")), "digests")
+    rows = materialize(every.join(repeated, "digest"), "repeated")
+    firsts = rows.groupBy("digest", "text").agg(F.min("place").alias("first"), F.first("parts").alias("parts"))
+    # a chunk that very many documents share is compared in parts
+    firsts = firsts.select("digest", "text", "first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("place"), F.col("parts")).cast("int"))
+    removed = dealt.join(firsts, ["digest", "text", "part"]).filter("place <> first")
+    removed = removed.select(F.col("place.key").alias(key), F.col("place.none").alias(none), F.col("place.h").alias(h), F.struct("place.start", "place.end", "place.fine").alias("span"))
+    by_doc = removed.groupBy(key, none, h).agg(F.collect_set("span").alias(gone))
+    found = keyed.join(materialize(by_doc, "removed").hint("merge"), [key, none, h], "left")
+    spans = lambda fine: F.filter(gone, lambda s: s["fine"] == fine)
+    lines = F.split(text_col, "\n")
+    found = found.withColumn(held, F.when(F.isnull(gone), F.array().cast("array<int>")).otherwise(_gone(lines, spans(False), spans(True))))
+    rest = let(lines, lambda x: F.array_join(F.filter(x, lambda line, i: ~F.array_contains(F.col(held), i)), "\n"))
+    found = found.withColumn(out, F.when(F.size(held) > 0, rest).otherwise(F.col(text_col).cast("string")))
+    n_of = F.coalesce(F.size(chunk_ends(F.split(text_col, "\n"), divisor)), F.lit(0)).cast("bigint")
+    columns = [F.col(out).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    counted = F.when(F.isnull(gone), 0).otherwise(F.size(spans(False))).cast("bigint")
+    return found.select(*columns, F.when(F.isnull(text_col), 0).otherwise(n_of).cast("bigint").alias(n_all), counted.alias(n_gone), F.size(held).cast("bigint").alias(n_lines))

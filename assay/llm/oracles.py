@@ -5,10 +5,19 @@ WORD = "[^\\x20\\x09-\\x0D]"
 LINE_DEDUP = f"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 h AS (SELECT *, list_transform(lines, lambda l: ('0x'||substr(md5(l),1,7))::BIGINT) AS h FROM d),
 e AS (SELECT *, list_filter(range(1, len(lines)+1), lambda i: i = len(lines) OR (h[i] + 31*coalesce(CASE WHEN i > 1 THEN h[i-1] END, 0)) % 4 = 0) AS ends FROM h),
-c AS (SELECT doc_id, j, ends[j] - CASE WHEN j > 1 THEN ends[j-1] ELSE 0 END AS n_lines, array_to_string(lines[CASE WHEN j > 1 THEN ends[j-1] ELSE 0 END + 1 : ends[j]], chr(10)) AS chunk FROM (SELECT *, unnest(range(1, len(ends)+1)) AS j FROM e)),
-r AS (SELECT *, n_lines >= 2 AND regexp_matches(chunk, '{WORD}') AND row_number() OVER (PARTITION BY chunk, n_lines >= 2 ORDER BY doc_id, j) > 1 AS gone FROM c),
-g AS (SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed_chunks, coalesce(sum(n_lines) FILTER (gone), 0)::BIGINT AS n_removed_lines, coalesce(string_agg(chunk, chr(10) ORDER BY j) FILTER (NOT gone), '') AS t FROM r GROUP BY 1)
-SELECT doc_id, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed_chunks, 0) AS n_removed_chunks, coalesce(n_removed_lines, 0) AS n_removed_lines, CASE WHEN text IS NOT NULL THEN strlen(t) END AS n_bytes, CASE WHEN text IS NOT NULL THEN md5(t) END AS text_md5 FROM documents LEFT JOIN g USING (doc_id)"""
+c AS (SELECT doc_id, CASE WHEN j > 1 THEN ends[j-1] ELSE 0 END AS a, ends[j] AS b, array_to_string(lines[CASE WHEN j > 1 THEN ends[j-1] ELSE 0 END + 1 : ends[j]], chr(10)) AS chunk FROM (SELECT *, unnest(range(1, len(ends)+1)) AS j FROM e)),
+r AS (SELECT *, b - a >= 2 AND regexp_matches(chunk, '{WORD}') AND row_number() OVER (PARTITION BY chunk, b - a >= 2 ORDER BY doc_id, a) > 1 AS gone FROM c),
+l AS (SELECT doc_id, i, lines[i] AS line, len(regexp_extract_all(lines[i], '{WORD}+')) AS n FROM (SELECT *, unnest(range(1, len(lines)+1)) AS i FROM d)),
+w AS (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM l WHERE n > 0),
+f AS (SELECT w.doc_id, i AS a, nxt AS b, array_to_string(lines[i:nxt], chr(10)) AS chunk FROM w JOIN d ON w.doc_id = d.doc_id WHERE nxt IS NOT NULL UNION ALL SELECT doc_id, i, i, line FROM w WHERE n > 50),
+x AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, a) > 1 AS gone FROM f),
+v AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM x WHERE gone),
+u AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM v),
+k AS (SELECT u.doc_id, u.i, sum(l.n) OVER (PARTITION BY u.doc_id, u.run) AS held FROM u JOIN l ON u.doc_id = l.doc_id AND u.i = l.i),
+q AS (SELECT doc_id, i FROM k WHERE held > 50 UNION SELECT doc_id, unnest(range(a + 1, b + 1)) FROM r WHERE gone),
+g AS (SELECT l.doc_id, count(q.i) AS n_removed_lines, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (q.i IS NULL), '') AS t FROM l LEFT JOIN q ON l.doc_id = q.doc_id AND l.i = q.i GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed_chunks FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed_chunks, 0) AS n_removed_chunks, coalesce(n_removed_lines, 0) AS n_removed_lines, CASE WHEN text IS NOT NULL THEN strlen(t) END AS n_bytes, CASE WHEN text IS NOT NULL THEN md5(t) END AS text_md5 FROM documents LEFT JOIN g USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
 SOURCE_MIX = f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text,''), '{WORD}+')) AS size, md5('mix:'||coalesce(doc_id::VARCHAR,'')||':'||coalesce(text,'')) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM d GROUP BY source),

@@ -260,6 +260,32 @@ def test_chunks_resist_shifts(spark):
     assert out[2]["n_removed_lines"] >= 20 and out[2]["text"].startswith("an inserted line")
 
 
+def test_shared_passages_are_found(spark):
+    """Passages of over 50 words in 1 to 8 lines, each in two documents among lines of their own; short repeats of single lines stay."""
+    rng = np.random.default_rng(6)
+    line = lambda n: " ".join(f"w{int(x)}" for x in rng.integers(0, 10**6, n))
+    rows, planted = [], {}
+    for k in range(80):
+        n = k % 8 + 1
+        passage = [line(60 // n + 1) for _ in range(n)]
+        if k % 3 == 0 and n > 1:
+            passage[1:1] = ["", ""]
+        for copy in range(2):
+            doc = [line(int(rng.integers(3, 12))) for _ in range(8)] + ["a common line"]
+            at = int(rng.integers(0, 8))  # never beside the common line
+            doc[at:at] = passage
+            rows.append((2 * k + copy, "\n".join(doc)))
+        planted[2 * k + 1] = (passage, [x for x in doc if x not in passage or not x])
+    out = {r["doc_id"]: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, text in rows:
+        if i % 2 == 0:
+            assert out[i]["text"] == text and out[i]["n_removed_lines"] == 0
+        else:
+            passage, _ = planted[i]
+            assert out[i]["n_removed_lines"] >= len([x for x in passage if x]) and not set(filter(None, passage)) & set(out[i]["text"].split("\n"))
+            assert "a common line" in out[i]["text"]
+
+
 def test_line_dedup_odd_rows(odd):
     out = linededup.dedup_lines(odd)
     assert out.count() == odd.count() and out.columns[: len(odd.columns)] == odd.columns
