@@ -6,9 +6,10 @@ chunks again. Chunks of several lines that occur more than once in the corpus ar
 byte, and all but the first occurrence (smallest document, then position) are removed.
 
 A short passage seldom holds a whole chunk. A second, finer cut therefore takes each two neighbouring
-lines with words as a chunk (what stands blank between them included), and each line of more than
+lines with words as a chunk (blank lines between them don't count), and each line of more than
 ``RUN_WORDS`` words. Lines in repeated fine chunks that stand together form a run, and runs of more than
-``RUN_WORDS`` words are removed as well.
+``RUN_WORDS`` words are removed as well. Fine chunks are as many as lines, so they are told apart by 128
+bits of hashes, and their texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -38,31 +39,31 @@ def chunk_ends(lines, divisor: int = DIVISOR):
     return let(hashes, ends)
 
 
-def _chunk(lines, start, end, fine: bool):
-    """The lines after position ``start`` up to ``end``, both counted from 0."""
-    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(fine).alias("fine"), F.array_join(F.slice(lines, start + 1, end - start), "\n").alias("text"))
-
-
 def chunks(lines, divisor: int = DIVISOR, least: int = LEAST):
-    """(start, end, fine, text) of every chunk of either cut that may be removed."""
+    """(start, end, text) of the content-defined chunks that may be removed: lines from ``start``, counted from 0, before ``end``."""
 
-    def coarse(held):
-        def slices(e):
-            return F.transform(e, lambda end, j: _chunk(held, F.coalesce(F.get(e, j - 1), F.lit(0)), end, False))
+    def cut(held):
+        def one(e):
+            start = lambda j: F.coalesce(F.get(e, j - 1), F.lit(0))
+            spans = F.filter(F.transform(e, lambda end, j: F.struct(start(j).cast("int").alias("start"), end.cast("int").alias("end"))), lambda c: c["end"] - c["start"] >= least)
+            return F.transform(spans, lambda c: F.struct(c["start"], c["end"], F.array_join(F.slice(held, c["start"] + 1, c["end"] - c["start"]), "\n").alias("text")))
 
-        return F.filter(let(chunk_ends(held, divisor), slices), lambda c: (c["end"] - c["start"] >= least) & c["text"].rlike(WORD))
+        return F.filter(let(chunk_ends(held, divisor), one), lambda c: c["text"].rlike(WORD))
 
-    def fine(held):
-        worded = F.filter(F.sequence(F.lit(1), F.size(held)), lambda i: F.get(held, i - 1).rlike(WORD))
+    return let(lines, cut)
 
-        def pairs(w):
-            both = F.transform(F.filter(F.transform(w, lambda i, k: F.struct(i.alias("a"), F.get(w, k + 1).alias("b"))), lambda p: p["b"].isNotNull()), lambda p: _chunk(held, p["a"] - 1, p["b"], True))
-            long = F.transform(F.filter(w, lambda i: F.regexp_count(F.get(held, i - 1), F.lit(WORD)) > RUN_WORDS), lambda i: _chunk(held, i - 1, i, True))
-            return F.concat(both, long)
 
-        return let(worded, pairs)
+def fine_chunks(lines):
+    """(start, end, d1, d2) of the chunks of the finer cut, with their hashes."""
+    worded = F.filter(F.transform(lines, lambda line, i: F.struct(i.alias("i"), line.alias("line"))), lambda x: x["line"].rlike(WORD))
 
-    return let(lines, lambda held: F.concat(coarse(held), fine(held)))
+    def found(w):
+        both = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: F.struct(a["i"].alias("start"), (b["i"] + 1).alias("end"), F.xxhash64(a["line"], b["line"]).alias("d1"), F.xxhash64(b["line"], a["line"], F.lit(1)).alias("d2")))
+        long = F.filter(w, lambda x: (F.length(x["line"]) > 2 * RUN_WORDS) & (F.regexp_count(x["line"], F.lit(WORD)) > RUN_WORDS))
+        alone = F.transform(long, lambda x: F.struct(x["i"].alias("start"), (x["i"] + 1).alias("end"), F.xxhash64(x["line"]).alias("d1"), F.xxhash64(x["line"], F.lit(1)).alias("d2")))
+        return F.concat(both, alone)
+
+    return let(worded, found)
 
 
 def _gone(lines, coarse, fine):
@@ -92,8 +93,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key, none, h, out, gone, n_all, n_gone, n_lines, held = free_name(docs, "key", "none", "h", "chunks", "gone", "n_chunks", "n_removed_chunks", "n_removed_lines", "held")
     keyed = docs.withColumns({key: F.coalesce(id_col, F.lit(0)), none: F.isnull(id_col), h: F.xxhash64(text_col)})
     own = F.struct(F.col(none).alias("none"), F.col(key).alias("key"), F.col(h).alias("h"))
+    place = lambda c: F.struct("doc.none", "doc.key", "doc.h", f"{c}.start", f"{c}.end")
+    spans_of = lambda df, fine: df.select(F.col("place.key").alias(key), F.col("place.none").alias(none), F.col("place.h").alias(h), F.struct("place.start", "place.end", F.lit(fine).alias("fine")).alias("span"))
+
     every = keyed.select(own.alias("doc"), F.explode(chunks(F.split(text_col, "\n"), divisor, least)).alias("chunk"))
-    every = every.select(F.struct("doc.none", "doc.key", "doc.h", "chunk.start", "chunk.end", "chunk.fine").alias("place"), F.xxhash64("chunk.text", "chunk.fine").alias("digest"), F.col("chunk.text").alias("text"))
+    every = every.select(place("chunk").alias("place"), F.xxhash64("chunk.text").alias("digest"), F.col("chunk.text").alias("text"))
     # many documents share a digest: the first look counts places, with nothing but numbers in the shuffle
     narrow = every.groupBy("digest").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
@@ -101,11 +105,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = materialize(every.join(repeated, "digest"), "repeated")
     firsts = rows.groupBy("digest", "text").agg(F.min("place").alias("first"), F.first("parts").alias("parts"))
     # a chunk that very many documents share is compared in parts
-    firsts = firsts.select("digest", "text", "first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    in_parts = lambda df: df.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("place"), F.col("parts")).cast("int"))
-    removed = dealt.join(firsts, ["digest", "text", "part"]).filter("place <> first")
-    removed = removed.select(F.col("place.key").alias(key), F.col("place.none").alias(none), F.col("place.h").alias(h), F.struct("place.start", "place.end", "place.fine").alias("span"))
-    by_doc = removed.groupBy(key, none, h).agg(F.collect_set("span").alias(gone))
+    coarse = dealt.join(in_parts(firsts), ["digest", "text", "part"]).filter("place <> first")
+
+    small = keyed.select(own.alias("doc"), F.explode(fine_chunks(F.split(text_col, "\n"))).alias("c")).select(place("c").alias("place"), "c.d1", "c.d2")
+    small = materialize(small, "lines")
+    shared = small.groupBy("d1", "d2").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("n")).filter("first < last")
+    shared = materialize(shared.select("d1", "d2", "first", parts.alias("parts")), "shared")
+    most = shared.agg(F.coalesce(F.max("parts"), F.lit(1)).alias("n")).first()["n"]
+    dealt = small.withColumn("part", F.pmod(F.xxhash64("place"), F.lit(most)).cast("int"))
+    # every part of the rows meets the chunk: those that are in few places have a copy for each part as well
+    shared = shared.withColumn("parts", F.lit(most).cast("int"))
+    fine = dealt.join(in_parts(shared), ["d1", "d2", "part"]).filter("place <> first")
+
+    by_doc = spans_of(coarse, False).unionByName(spans_of(fine, True)).groupBy(key, none, h).agg(F.collect_set("span").alias(gone))
     found = keyed.join(materialize(by_doc, "removed").hint("merge"), [key, none, h], "left")
     spans = lambda fine: F.filter(gone, lambda s: s["fine"] == fine)
     lines = F.split(text_col, "\n")

@@ -9,7 +9,7 @@ c AS (SELECT doc_id, CASE WHEN j > 1 THEN ends[j-1] ELSE 0 END AS a, ends[j] AS
 r AS (SELECT *, b - a >= 2 AND regexp_matches(chunk, '{WORD}') AND row_number() OVER (PARTITION BY chunk, b - a >= 2 ORDER BY doc_id, a) > 1 AS gone FROM c),
 l AS (SELECT doc_id, i, lines[i] AS line, len(regexp_extract_all(lines[i], '{WORD}+')) AS n FROM (SELECT *, unnest(range(1, len(lines)+1)) AS i FROM d)),
 w AS (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM l WHERE n > 0),
-f AS (SELECT w.doc_id, i AS a, nxt AS b, array_to_string(lines[i:nxt], chr(10)) AS chunk FROM w JOIN d ON w.doc_id = d.doc_id WHERE nxt IS NOT NULL UNION ALL SELECT doc_id, i, i, line FROM w WHERE n > 50),
+f AS (SELECT w.doc_id, i AS a, nxt AS b, line||chr(10)||lines[nxt] AS chunk FROM w JOIN d ON w.doc_id = d.doc_id WHERE nxt IS NOT NULL UNION ALL SELECT doc_id, i, i, line FROM w WHERE n > 50),
 x AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, a) > 1 AS gone FROM f),
 v AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM x WHERE gone),
 u AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM v),
