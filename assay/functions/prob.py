@@ -61,7 +61,7 @@ def one_hot(index: Column, width: Column) -> Column:
 
 def confidence_choice(p: Column) -> Column:
     k = F.size(p)
-    return F.when(k <= 1, 1.0).otherwise(F.greatest(F.lit(0.0), (F.array_max(p) - 1.0 / k) / (1.0 - 1.0 / F.greatest(k, F.lit(2)))))
+    return F.when(k <= 1, 1.0).otherwise(F.greatest(F.lit(0.0), (F.array_max(normalise(p)) - 1.0 / k) / (1.0 - 1.0 / F.greatest(k, F.lit(2)))))
 
 
 def confidence_score(p: Column) -> Column:
@@ -71,13 +71,13 @@ def confidence_score(p: Column) -> Column:
         middle = (F.size(v) - 1) / 2
         own = let(F.array_position(v, F.array_max(v)) - 1, lambda m: total(F.transform(v, lambda e, i: e * F.abs(i - m))))
         even = total(F.transform(v, lambda _, i: F.abs(i - middle).cast("double"))) / F.size(v)
-        return F.when(total(v) <= 0, 0.0).when(F.size(v) <= 1, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - own / even))
+        return F.when(F.size(v) <= 1, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - own / even))
 
-    return let(p, spread)
+    return let(normalise(p), spread)
 
 
 def confidence_entropy(p: Column) -> Column:
-    h = total(F.transform(p, lambda v: F.when(v > 0, v * F.ln(v)).otherwise(0.0)))
+    h = total(F.transform(normalise(p), lambda v: F.when(v > 0, v * F.ln(v)).otherwise(0.0)))
     return F.when(F.size(p) <= 1, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 + h / F.ln(F.greatest(F.size(p), F.lit(2)).cast("double"))))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assay.functions import prob
+
 
 def checked(condition, message: str, value):
     """``value``, or a failed job with the message where the condition doesn't hold."""
@@ -12,11 +14,12 @@ def checked(condition, message: str, value):
 
 
 def pair_runs(first: DataFrame, second: DataFrame, key: str = "id") -> DataFrame:
-    """Two runs by id. Ids must be the same on both sides, and so must label, primitive and group."""
+    """Two runs by id. Ids must be the same on both sides, and so must label, primitive, group, target and the number of answers; vectors must be valid."""
     a = first.withColumn("_a", F.lit(True))
     b = second.select(F.col(key), F.col("p").alias("q"), F.col("t").alias("t_q"), F.col("label").alias("label_q"), F.col("predicted").alias("predicted_q"), F.col("correct").alias("correct_q"), F.col("primitive").alias("primitive_q"), F.col("group_id").alias("group_q"), F.lit(True).alias("_b"))
     both = a.join(b, key, "full")
     same = F.col("_a") & F.col("_b") & (F.col("label") == F.col("label_q")) & (F.col("primitive") == F.col("primitive_q")) & (F.col("group_id") == F.col("group_q"))
+    same &= (F.col("t") == F.col("t_q")) & (F.size("p") == F.size("q")) & prob.valid_vector(F.col("p")) & prob.valid_vector(F.col("q"))
     return both.withColumn("label", checked(F.coalesce(same, F.lit(False)), "runs do not hold the same examples", F.col("label"))).drop("_a", "_b", "label_q", "primitive_q", "group_q")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions import prob
+from assay.storage import materialize, partitions
 
 
 def seeded(seed: str, *parts: Column | str) -> Column:
@@ -23,6 +24,35 @@ def quota(rows: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
 
 
+def disjoint_quota(rows: DataFrame, by: list[str], id_col: str, keys: str, n: int, seed: str = "42") -> DataFrame:
+    """The first ``n`` rows of each group in seeded order that share none of their ``keys`` (an array) with a row picked before.
+
+    Groups follow each other in order. Whether a row is picked depends on all before it, so the choice is
+    made on the driver, over a multiple of ``n`` rows of each group, which doubles while a group that has
+    more rows is short: the groups are few and named, and rows come as ids and keys only.
+    """
+    order = [seeded(seed, id_col), F.col(id_col)]
+    many = 4 * n
+    while True:
+        first = quota(rows.select(*by, id_col, keys), by, order, many).withColumn("_h", seeded(seed, id_col)).collect()
+        groups: dict[tuple, list] = {}
+        for r in first:
+            groups.setdefault(tuple(r[c] for c in by), []).append((r["_h"], r[id_col], r[keys] or []))
+        seen, picked, short = set(), [], False
+        for group in sorted(groups, key=repr):
+            found = 0
+            for _, name, own in sorted(groups[group], key=lambda x: (x[0], str(x[1]))):
+                if found < n and seen.isdisjoint(own):
+                    picked.append((name,))
+                    seen.update(own)
+                    found += 1
+            short |= found < n and len(groups[group]) == many
+        if not short:
+            chosen = rows.sparkSession.createDataFrame(picked, rows.select(id_col).schema)
+            return rows.join(F.broadcast(chosen), id_col, "left_semi")  # n rows for each group
+        many *= 2
+
+
 def sample_k(rows: DataFrame, by: list[str], id_col: str, k: int, repeats: int, seed: str = "42") -> DataFrame:
     """``repeats`` samples of ``k`` rows for each group, as rows with the sample's number ``r``."""
     each = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
@@ -40,14 +70,27 @@ def paired_deltas(pair: DataFrame) -> DataFrame:
     )
 
 
+def consecutive(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """``rows`` numbered from 0 in the order of ``by``: range partitions, each numbered from where the one before ends."""
+    spark = rows.sparkSession
+    dealt = materialize(rows.repartitionByRange(partitions(spark), by).withColumn("_part", F.spark_partition_id()), "numbered")
+    before, offsets = 0, []
+    for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():  # a row for each partition
+        offsets.append((r["_part"], before))
+        before += r["n"]
+    base = spark.createDataFrame(offsets, "_part int, _base bigint")
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(by)) - 1
+    return dealt.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + at).drop("_part", "_base")
+
+
 def bootstrap(deltas: DataFrame, samples: int = 2000, seed: str = "42") -> DataFrame:
     """(metric, low, high, excludes_zero): 95% intervals over resampled groups.
 
     Draws are hash values modulo the number of groups, so each resample is an equi-join of draw numbers
     with numbered groups followed by sums; only group sums, never rows, are resampled.
     """
-    numbered = deltas.withColumn("g", F.row_number().over(Window.orderBy("group_id")).cast("bigint") - 1)
-    m = deltas.count()
+    numbered = consecutive(deltas, "group_id", "g")
+    m = numbered.count()
     draws = deltas.sparkSession.range(samples).withColumnRenamed("id", "r").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(max(m - 1, 0)))))
     number = F.conv(F.substring(seeded(seed, "r", "i"), 1, 12), 16, 10).cast("bigint")
     drawn = draws.select("r", F.pmod(number, F.lit(max(m, 1))).alias("g")).join(numbered, "g")

@@ -18,12 +18,12 @@ l{n} AS (SELECT g{n}.primitive, lt, avg(least(-(lp[label+1]/exp(lt) - list_max(l
 b{n} AS (SELECT primitive, arg_min(lt, loss) AS best, min(loss) AS loss FROM l{n} GROUP BY 1)"""
 
 
-FIT = f"""{sql()}, lg AS (SELECT primitive, label, list_transform(p, lambda v: ln(greatest(v, 1e-12))) AS lp FROM pred WHERE source IN ('embeddings','en','de','fr','es')), b0 AS (SELECT DISTINCT primitive, 0::DOUBLE AS best FROM lg),
+FIT = f"""{sql()}, lg AS (SELECT primitive, label, list_transform(p, lambda v: ln(greatest(v, 1e-12))) AS lp FROM pred), b0 AS (SELECT DISTINCT primitive, 0::DOUBLE AS best FROM lg),
 {_round(1, '0', 0.1497866)}, {_round(2, 'best', 0.0149)}, {_round(3, 'best', 0.0015)}, {_round(4, 'best', 0.00015)}, {_round(5, 'best', 0.000015)}"""
 
 
 def sample(spark, sf_dir):
-    return materialize(predictions(spark, sf_dir).filter("source <> 'orders'").select("id", "source", "primitive", "label", "p", "top1", "correct"), "predictions")
+    return materialize(predictions(spark, sf_dir).select("id", "source", "primitive", "label", "p", "top1", "correct"), "predictions")
 
 
 @query(f"WITH {FIT} SELECT primitive, round(exp(best), 3) AS temperature, (SELECT count(*) FROM lg WHERE lg.primitive=b5.primitive) AS n, round(loss, 6) AS nll_after, false AS at_bound FROM b5")

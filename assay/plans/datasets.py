@@ -101,9 +101,9 @@ def pseudo_groups(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter("source = 'src3'").select("doc_id", F.floor(at / 3).alias("pseudo_group"))
 
 
-@query(f"WITH {sql()} SELECT id FROM pred WHERE source = 'embeddings' ORDER BY sha256('42:'||id), id LIMIT 100")
+@query(f"WITH {sql()} SELECT id FROM pred ORDER BY sha256('42:'||id), id LIMIT 100")
 def hash_sample(spark, sf_dir):
-    return resample.sample_n(predictions(spark, sf_dir).filter("source = 'embeddings'").select("id"), "id", 100)
+    return resample.sample_n(predictions(spark, sf_dir).select("id"), "id", 100)
 
 
 @query("SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5")
@@ -112,11 +112,12 @@ def source_quota(spark, sf_dir):
     return resample.quota(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], ["doc_id"], 5)
 
 
-@query(f"WITH {sql()} SELECT id, source, primitive FROM pred QUALIFY row_number() OVER (PARTITION BY source, primitive ORDER BY sha256('42:'||id), id) <= 8")
+@query(f"""WITH {sql()}, f AS (SELECT id, source, primitive FROM pred QUALIFY row_number() OVER (PARTITION BY source, primitive, group_id ORDER BY sha256('42:'||id), id) = 1)
+SELECT id, source, primitive FROM f QUALIFY row_number() OVER (PARTITION BY source, primitive ORDER BY sha256('42:'||id), id) <= 8""")
 def stratified_quota(spark, sf_dir):
-    """Eight examples of each source and primitive in seeded order; distinct content first, so none overlaps."""
-    rows = predictions(spark, sf_dir).select("id", "source", "primitive")
-    return resample.quota(rows, ["source", "primitive"], [resample.seeded("42", "id"), F.col("id")], 8)
+    """Eight examples of each source and primitive in seeded order, none of which shares its group with one before it."""
+    rows = predictions(spark, sf_dir).select("id", "source", "primitive", F.array(F.concat_ws("/", "source", "primitive", "group_id")).alias("keys"))
+    return resample.disjoint_quota(rows, ["source", "primitive"], "id", "keys", 8).select("id", "source", "primitive")
 
 
 @query("SELECT doc_id, ['Rate it.', 'How good is it?', 'Judge the text.'][((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 3) + 1] AS instructions FROM documents")
@@ -127,12 +128,22 @@ def phrasing_rotation(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.element_at(phrases, F.pmod(at, F.lit(3)) + 1).alias("instructions"))
 
 
-@query("WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id < 5), e AS (SELECT user_id, n, value AS ema FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.n, 0.95*e.ema + 0.05*o.value FROM e JOIN o ON o.user_id = e.user_id AND o.n = e.n + 1) SELECT user_id, count(*) AS steps, round(arg_max(ema, n), 6) AS ema FROM e GROUP BY 1")
+@query("WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), e AS (SELECT user_id, n, value AS ema FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.n, 0.95*e.ema + 0.05*o.value FROM e JOIN o ON o.user_id = e.user_id AND o.n = e.n + 1) SELECT user_id, count(*) AS steps, round(arg_max(ema, n), 6) AS ema FROM e GROUP BY 1")
 def running_ema(spark, sf_dir):
-    """Exponential moving average (.95 / .05) in time order for each user."""
-    ordered = table(spark, sf_dir, "events").filter("user_id < 5").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v"))
-    ema = F.aggregate(F.slice("v", 2, F.size("v")), F.get("v", F.lit(0))["value"], lambda a, x: a * 0.95 + x["value"] * 0.05)
-    return ordered.select("user_id", F.size("v").cast("bigint").alias("steps"), F.round(ema, 6).alias("ema"))
+    """Exponential moving average (.95 / .05) in time order for each user.
+
+    A day's events of a user are weighted within the day, and days then decay by the events after them,
+    so that no row or sort holds a user's whole history.
+    """
+    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    day = Window.partitionBy("user_id", "day")
+    after = F.row_number().over(day.orderBy(F.desc("ts"), F.desc("event_id"))) - 1
+    order = F.struct("ts", "event_id")
+    days = events.withColumn("w", F.pow(F.lit(0.95), after)).groupBy("user_id", "day").agg(F.sum(0.05 * F.col("value") * F.col("w")).alias("s"), F.count("*").alias("n"), F.min_by("value", order).alias("first"))
+    later = F.sum("n").over(Window.partitionBy("user_id").orderBy(F.desc("day"))) - F.col("n")
+    summed = days.withColumn("later", later).groupBy("user_id").agg(F.sum("n").alias("steps"), F.sum(F.col("s") * F.pow(F.lit(0.95), F.col("later"))).alias("s"), F.min_by("first", "day").alias("first"))
+    # the first value starts the average with its whole weight
+    return summed.select("user_id", "steps", F.round(F.col("s") + F.col("first") * F.pow(F.lit(0.95), F.col("steps")), 6).alias("ema"))
 
 
 @query("SELECT content, n AS copies FROM (SELECT md5(text) AS content, count(*) AS n FROM documents GROUP BY 1) WHERE n > 1")
@@ -307,10 +318,10 @@ def readout_admission(spark, sf_dir):
     return resample.quota(rows, ["primitive"], [resample.seeded("arch", "id"), F.col("id")], 40)
 
 
-@query(f"""WITH {sql()} SELECT p.id, f.t AS temperature FROM pred p JOIN (SELECT 'choice' AS primitive, 0.8::DOUBLE AS t UNION ALL SELECT 'noul', 1.5 UNION ALL SELECT 'score', 1.1) f USING (primitive) WHERE p.source <> 'orders'""")
+@query(f"""WITH {sql()} SELECT p.id, f.t AS temperature FROM pred p JOIN (SELECT 'choice' AS primitive, 0.8::DOUBLE AS t UNION ALL SELECT 'noul', 1.5 UNION ALL SELECT 'score', 1.1) f USING (primitive)""")
 def one_to_one_join(spark, sf_dir):
     """Predictions joined with their examples exactly once, then with a small dimension of fits."""
-    rows = predictions(spark, sf_dir).filter("source <> 'orders'").select("id", "primitive")
+    rows = predictions(spark, sf_dir).select("id", "primitive")
     both = pairing.one_to_one(rows, rows.select("id", F.lit(True).alias("seen")), "id")
     fits = spark.createDataFrame([("choice", 0.8), ("noul", 1.5), ("score", 1.1)], "primitive string, temperature double")
     return pairing.with_temperature(both, fits).select("id", "temperature")

@@ -13,11 +13,11 @@ from .registry import query
 
 def canonical(spark, sf_dir):
     keys = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.concat(F.lit("o"), i.cast("string")))
-    rows = predictions(spark, sf_dir).filter("source <> 'orders'")
+    rows = predictions(spark, sf_dir)
     return rows.select("id", "group_id", "source", F.lit('"text"').alias("state"), F.col("primitive").alias("type"), keys.alias("answer_keys"), F.col("t").alias("target"), F.lit("gold").alias("target_origin"), F.lit("{}").alias("provenance"), F.lit(1).alias("format_version"))
 
 
-@query(f"WITH {sql()} SELECT id, group_id, source, k::INT AS n_options, label::INT AS label FROM pred WHERE source <> 'orders'")
+@query(f"WITH {sql()} SELECT id, group_id, source, k::INT AS n_options, label::INT AS label FROM pred")
 def canonical_round_trip(spark, sf_dir):
     """Examples through the never-overwrite sink and the strict reader."""
     path = new_path(spark, "examples")

@@ -23,9 +23,9 @@ def option_sql(vector: str, keep: str = "", source: str = "pred", more: str = ""
 SCALE = "list_transform(p, lambda v: exp(ln(greatest(v, 1e-12))/2))"
 
 
-@query(option_sql("p", source="pred WHERE source='embeddings'"))
+@query(option_sql("p", source="pred"))
 def restricted_softmax(spark, sf_dir):
-    return by_option(predictions(spark, sf_dir).filter("source = 'embeddings'"), prob.softmax(F.col("z")))
+    return by_option(predictions(spark, sf_dir), prob.softmax(F.col("z")))
 
 
 @query(option_sql(f"list_transform({SCALE}, lambda v: v/list_sum({SCALE}))"))

@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from . import calibrating, datasets, files, probability, rendering, serving, summaries  # noqa: E402, F401
+from . import calibrating, datasets, files, probability, rendering, serving, summaries, training  # noqa: E402, F401

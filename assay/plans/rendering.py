@@ -21,11 +21,11 @@ def q(s: str) -> str:
 
 
 def states(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("n_chars < 2000").select("doc_id", "text", "lang", "source")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return d.withColumn("state", text.json_string(F.col("text")))
 
 
-STATES = "s AS (SELECT doc_id, text, lang, source, to_json(text)::VARCHAR AS state FROM documents WHERE n_chars < 2000)"
+STATES = "s AS (SELECT doc_id, text, lang, source, to_json(text)::VARCHAR AS state FROM documents)"
 
 
 @query(f"""WITH {STATES} SELECT doc_id, md5({q(render.STRUCTURED + 'State JSON:' + chr(10))}||state||{q(chr(10) + chr(10) + 'Question type: noul' + chr(10) + 'Instructions JSON:' + chr(10) + '"' + ASK + '"' + chr(10) + chr(10) + 'Answers JSON:' + chr(10) + 'A. {"name":"no","description":null}' + chr(10) + 'B. {"name":"yes","description":"well written"}' + chr(10) + chr(10) + 'The best answer is')}) AS prompt_md5 FROM s""")
@@ -90,17 +90,17 @@ def conversation_keys(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.content_key(wrapped).alias("content"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'duplicate key ''a''' WHEN event_id % 4 = 1 THEN 'NaN is not a number' WHEN event_id % 4 = 2 THEN 'not JSON: JSONDecodeError' END AS problem FROM events WHERE event_id < 400")
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'duplicate key ''a''' WHEN event_id % 4 = 1 THEN 'NaN is not a number' WHEN event_id % 4 = 2 THEN 'not JSON: JSONDecodeError' END AS problem FROM events")
 def strict_json(spark, sf_dir):
     """Reasons to reject JSON: repeated keys, NaN, pages that aren't JSON; the events' own properties are fine."""
     raw = F.when(F.col("event_id") % 4 == 0, '{"a":1,"a":2}').when(F.col("event_id") % 4 == 1, '{"a":NaN}').when(F.col("event_id") % 4 == 2, "404: Not Found").otherwise(F.col("props"))
-    return table(spark, sf_dir, "events").filter("event_id < 400").select("event_id", text.json_problem(raw).alias("problem"))
+    return table(spark, sf_dir, "events").select("event_id", text.json_problem(raw).alias("problem"))
 
 
-@query("SELECT event_id, props AS canonical FROM (SELECT event_id, regexp_replace(props, '\\s*([:,])\\s*', '\\1', 'g') AS props FROM events WHERE event_id < 400)")
+@query("SELECT event_id, props AS canonical FROM (SELECT event_id, regexp_replace(props, '\\s*([:,])\\s*', '\\1', 'g') AS props FROM events)")
 def canonical_json(spark, sf_dir):
     """The events' properties in compact form, keys in their order."""
-    return table(spark, sf_dir, "events").filter("event_id < 400").select("event_id", text.canonical_json(F.col("props")).alias("canonical"))
+    return table(spark, sf_dir, "events").select("event_id", text.canonical_json(F.col("props")).alias("canonical"))
 
 
 @query(f"""WITH {STATES} SELECT doc_id, 'upstream:'||sha256('['||to_json('repo')||','||to_json(doc_id::VARCHAR)||','||to_json(lang)||',"good"]') AS id, 'upstream:repo:'||(doc_id//3) AS group_id, 'upstream:'||source AS source, quality AS label, quality::DOUBLE AS target_yes FROM s JOIN labels USING (doc_id) WHERE source <> 'src9'""")
@@ -115,20 +115,18 @@ def upstream_import(spark, sf_dir):
     return out.filter("reject_reason is null").select("doc_id", "id", "group_id", "source", F.col("target_index").alias("label"), F.get("target", F.lit(1)).alias("target_yes"))
 
 
-@query("SELECT page_id, contains(html, '{') AS has_brace FROM pages WHERE page_id < 50")
+@query("""SELECT page_id, CASE WHEN NOT contains(html, '{') THEN '{"a":{"b":"}"}}' END AS found FROM pages""")
 def embedded_object(spark, sf_dir):
-    """The first JSON object in free text; pages hold none unless they have a brace."""
+    """The object that the first brace of a free text opens; a page with a brace of its own has none."""
     raw = F.concat("html", F.lit(' answer: {"a": {"b": "}"}} end'))
-    p = table(spark, sf_dir, "pages").filter("page_id < 50")
-    found = text.balanced_object(raw)
-    return p.select("page_id", F.contains("html", F.lit("{")).alias("has_brace"), found.alias("_f")).filter("_f is not null").drop("_f")
+    return table(spark, sf_dir, "pages").select("page_id", text.balanced_object(raw).alias("found"))
 
 
-@query("""SELECT event_id, md5('kind: '||event_type||chr(10)||'user: '||user_id) AS flat_md5 FROM events WHERE event_id < 400""")
+@query("""SELECT event_id, md5('kind: '||event_type||chr(10)||'user: '||user_id||chr(10)||'new: '||CASE WHEN user_id % 2 = 0 THEN 'True' ELSE 'False' END||chr(10)||'none: None'||chr(10)||'tags: ['''||event_type||''', 1, None]') AS flat_md5 FROM events""")
 def flattened_states(spark, sf_dir):
     """Legacy text of object states: a ``key: value`` line for each member."""
-    state = F.concat(F.lit('{"kind":'), text.json_string(F.col("event_type")), F.lit(',"user":'), F.col("user_id").cast("string"), F.lit("}"))
-    return table(spark, sf_dir, "events").filter("event_id < 400").select("event_id", F.md5(text.flatten_state(state)).alias("flat_md5"))
+    state = F.concat(F.lit('{"kind":'), text.json_string(F.col("event_type")), F.lit(',"user":'), F.col("user_id").cast("string"), F.lit(',"new":'), (F.col("user_id") % 2 == 0).cast("string"), F.lit(',"none":null,"tags":['), text.json_string(F.col("event_type")), F.lit(",1,null]}"))
+    return table(spark, sf_dir, "events").select("event_id", F.md5(text.flatten_state(state)).alias("flat_md5"))
 
 
 @query(f"""WITH {STATES} SELECT doc_id, sha256('["structured-v1","letters-v1",'||to_json(source)||']') AS prior_key FROM s""")

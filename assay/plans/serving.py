@@ -10,18 +10,18 @@ from assay.streaming import requests, windows
 from .fixtures import table
 from .registry import query
 
-REQ = "r AS (SELECT event_id, ts, user_id, event_type, value, 1 + event_id % 14 AS n_questions, 2 + event_id % 9 AS n_options, event_id % 5 AS shape FROM events WHERE event_id < 2000)"
+REQ = "r AS (SELECT event_id, ts, user_id, event_type, value, 1 + event_id % 14 AS n_questions, 2 + event_id % 9 AS n_options, event_id % 5 AS shape, event_id % 3 AS n_cold FROM events)"
 
 
-def request_rows(spark, sf_dir, among="event_id < 2000"):
-    return table(spark, sf_dir, "events").filter(among).selectExpr("event_id", "ts", "user_id", "event_type", "value", "1 + event_id % 14 as n_questions", "2 + event_id % 9 as n_options", "event_id % 5 as shape")
+def request_rows(spark, sf_dir):
+    return table(spark, sf_dir, "events").selectExpr("event_id", "ts", "user_id", "event_type", "value", "1 + event_id % 14 as n_questions", "2 + event_id % 9 as n_options", "event_id % 5 as shape", "event_id % 3 as n_cold")
 
 
-@query(f"WITH {REQ} SELECT event_id, n_questions*n_options AS n_views, CASE WHEN shape = 0 THEN 'no state' WHEN n_questions > 12 THEN 'too many questions' WHEN n_options > 9 THEN 'too many options' WHEN n_questions*n_options*3 > 250 THEN 'too many views' END AS reject_reason FROM r")
+@query(f"WITH {REQ} SELECT event_id, n_questions*n_options AS n_views, CASE WHEN shape = 0 THEN 'no state' WHEN n_questions > 12 THEN 'too many questions' WHEN n_options > 9 THEN 'too many options' WHEN n_options*(n_questions + 3*least(n_cold, n_questions)) > 100 THEN 'too many views' END AS reject_reason FROM r")
 def admission(spark, sf_dir):
-    """Budgets are checked before anything is scored, cold priors included (three states for each view)."""
+    """Budgets are checked before anything is scored; a cold prior adds three states for each view of its question."""
     rows = request_rows(spark, sf_dir).withColumn("has_state", F.col("shape") != 0)
-    limits = requests.Limits(questions=12, options=9, views=250)
+    limits = requests.Limits(questions=12, options=9, views=100)
     out = requests.admit(rows, limits, cold=3)
     return out.select("event_id", "n_views", "reject_reason")
 
@@ -42,7 +42,7 @@ def status_counts(spark, sf_dir):
 @query()
 def respond(spark, sf_dir):
     """Requests to responses: explode questions, render, score distinct prompts once, combine, answer, regroup."""
-    return requests.respond(request_rows(spark, sf_dir, among="true"), calibrate.HashScorer())
+    return requests.respond(request_rows(spark, sf_dir), calibrate.HashScorer())
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value),4) AS total FROM events GROUP BY 1,2")
@@ -64,7 +64,7 @@ def session_windows(spark, sf_dir):
     return windows.sessions(table(spark, sf_dir, "events"), "6 hours")
 
 
-@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events WHERE event_id < 5000 GROUP BY 1,2")
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1,2")
 def streamed_windows(spark, sf_dir):
     """The hourly windows from a stream with a watermark, run to its end: the same rows as the batch."""
-    return windows.run_to_end(spark, f"{sf_dir}/events.parquet", "event_id < 5000")
+    return windows.run_to_end(spark, f"{sf_dir}/events.parquet")

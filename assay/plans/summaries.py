@@ -92,12 +92,12 @@ def outcome_metrics(spark, sf_dir):
 
 
 DELTA = f"""{pairs_sql()}, delta AS (SELECT group_id, count(*) AS n, sum(correct_q::INT - correct::INT) AS d_acc, sum(-ln(greatest(q[label+1],1e-12)) + ln(greatest(p[label+1],1e-12))) AS d_nll,
- sum(list_sum(list_transform(list_zip(q,t), lambda z: (z[1]-z[2])*(z[1]-z[2]))) - {BRIER}) AS d_brier FROM pair WHERE source='embeddings' GROUP BY 1)"""
+ sum(list_sum(list_transform(list_zip(q,t), lambda z: (z[1]-z[2])*(z[1]-z[2]))) - {BRIER}) AS d_brier FROM pair GROUP BY 1)"""
 
 
 @query(f"WITH {DELTA} SELECT group_id, n, d_acc::BIGINT AS d_acc, round(d_nll,6) AS d_nll, round(d_brier,6) AS d_brier FROM delta")
 def paired_deltas(spark, sf_dir):
-    out = resample.paired_deltas(pairs(spark, sf_dir).filter("source = 'embeddings'"))
+    out = resample.paired_deltas(pairs(spark, sf_dir))
     return out.select("group_id", "n", "d_acc", F.round("d_nll", 6).alias("d_nll"), F.round("d_brier", 6).alias("d_brier"))
 
 
@@ -108,7 +108,7 @@ long AS (SELECT 'acc' AS metric, acc::DOUBLE AS v FROM res UNION ALL SELECT 'nll
 SELECT metric, round(quantile_cont(v, 0.025),6) AS low, round(quantile_cont(v, 0.975),6) AS high, quantile_cont(v, 0.025) > 0 OR quantile_cont(v, 0.975) < 0 AS excludes_zero FROM long GROUP BY 1""")
 def paired_bootstrap(spark, sf_dir):
     """95% interval of each paired difference over resampled groups, and whether it leaves out zero."""
-    out = resample.bootstrap(resample.paired_deltas(pairs(spark, sf_dir).filter("source = 'embeddings'")), samples=200)
+    out = resample.bootstrap(resample.paired_deltas(pairs(spark, sf_dir)), samples=200)
     return out.select("metric", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "excludes_zero")
 
 
@@ -186,11 +186,11 @@ def weighted_loss(spark, sf_dir):
     return rows.groupBy("primitive").agg(F.round(F.sum(F.col("w") * F.col("loss")) / F.sum("w"), 6).alias("weighted_loss"))
 
 
-@query(f"""WITH {sql()}, s AS (SELECT source, id, k, r, row_number() OVER (PARTITION BY source, r ORDER BY sha256('7:'||source||':'||r||':'||id), id) AS n, correct FROM pred, range(20) AS u(r) WHERE source='embeddings'),
+@query(f"""WITH {sql()}, s AS (SELECT source, id, k, r, row_number() OVER (PARTITION BY source, r ORDER BY sha256('7:'||source||':'||r||':'||id), id) AS n, correct FROM pred, range(20) AS u(r)),
 r AS (SELECT source, r, avg(correct::INT) AS acc FROM s WHERE n <= 50 GROUP BY 1,2) SELECT source, round(avg(acc),6) AS mean, round(quantile_cont(acc,0.025),6) AS low, round(quantile_cont(acc,0.975),6) AS high FROM r GROUP BY 1""")
 def resample_intervals(spark, sf_dir):
     """Mean and interval of accuracy over 20 seeded samples of 50 rows each."""
-    rows = predictions(spark, sf_dir).filter("source = 'embeddings'").select("source", "id", "correct")
+    rows = predictions(spark, sf_dir).select("source", "id", "correct")
     drawn = resample.sample_k(rows, ["source"], "id", k=50, repeats=20, seed="7")
     acc = drawn.groupBy("source", "r").agg(F.avg(F.col("correct").cast("double")).alias("acc"))
     return acc.groupBy("source").agg(F.round(F.avg("acc"), 6).alias("mean"), F.round(F.percentile("acc", 0.025), 6).alias("low"), F.round(F.percentile("acc", 0.975), 6).alias("high"))

@@ -1,7 +1,8 @@
 """Working tables in the folder that every executor shares.
 
-The folder is ``spark.checkpoint.dir`` of the session; only where that is unset (tests, a laptop) a
-temporary folder of this process is used. A working table is a written Parquet table: it cuts the
+The folder is ``spark.checkpoint.dir`` of the session; only where that is unset and the master is local
+(tests, a laptop) a temporary folder of this process is used. On a cluster an unset folder is an error:
+executors would write to disks of their own. A working table is a written Parquet table: it cuts the
 lineage, survives the loss of executors, and gives the next plan true sizes.
 """
 
@@ -25,6 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not configured:
         existing = spark.sparkContext._jsc.sc().getCheckpointDir()
         configured = existing.get() if existing.isDefined() else None
+    if not configured and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (configured or _own_folder()).rstrip("/")
 
 

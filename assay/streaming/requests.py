@@ -28,14 +28,17 @@ class Limits:
 def admit(rows: DataFrame, limits: Limits, cold: int = 0) -> DataFrame:
     """Requests (n_questions, n_options, has_state) with ``n_views`` and the first reason to reject them, or null.
 
-    ``cold`` counts the views that priors not yet known would add for each view.
+    A question whose prior isn't known yet is scored on ``cold`` states beside its own: it adds ``cold``
+    times its views. ``n_cold`` counts such questions where the rows have it; otherwise all are.
     """
     views = F.col("n_questions") * F.col("n_options")
+    unknown = F.least("n_cold", "n_questions") if "n_cold" in rows.columns else F.col("n_questions")
+    cost = views + F.lit(cold) * unknown * F.col("n_options")
     reason = (
         F.when(~F.coalesce("has_state", F.lit(False)), "no state")
         .when(F.col("n_questions") > limits.questions, "too many questions")
         .when(F.col("n_options") > limits.options, "too many options")
-        .when(views * F.greatest(F.lit(cold), F.lit(1)) > limits.views, "too many views")
+        .when(cost > limits.views, "too many views")
     )
     return rows.withColumn("n_views", views).withColumn("reject_reason", reason)
 

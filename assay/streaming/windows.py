@@ -20,26 +20,28 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
     return out.select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
-def run_to_end(spark: SparkSession, path: str, condition: str) -> DataFrame:
-    """Stream a table through hourly windows under a watermark until all is read, into a Parquet sink.
+def run_to_end(spark: SparkSession, path: str, late: str = "1 hour", files: int | None = None) -> DataFrame:
+    """Stream a table through hourly windows under a watermark until all is read: (start, event_type, n).
 
-    The final batch carries windows that the watermark hasn't closed, so each micro-batch's counts are
-    written as partial rows and summed on reading: complete, and independent of how files arrive.
+    The stream itself aggregates: its state holds the windows that the watermark hasn't closed, and rows
+    of a window that the batch before had already closed (its end more than ``late`` before the newest
+    event seen until then) are dropped. Each batch writes the windows that it changed; the last state of each is returned. ``files``
+    bounds the files of a batch.
     """
     schema = spark.read.parquet(path).schema
     out, state = new_path(spark, "windows"), new_path(spark, "windows-state")
     # a stream watches a folder: the table's own, or the one that holds its only file
     folder, name = (path, "*.parquet") if _is_folder(spark, path) else path.rsplit("/", 1)
-    source = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-    held = source.filter(condition).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+    source = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    source = (source.option("maxFilesPerTrigger", files) if files else source).parquet(folder)
+    held = source.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
     def add(batch: DataFrame, number: int) -> None:
-        tumbling(batch, "1 hour").select("start", "event_type", "n").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.select("start", "event_type", "n").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    q = held.writeStream.foreachBatch(add).option("checkpointLocation", state).queryName(f"windows_{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    q = tumbling(held, "1 hour").writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", state).queryName(f"windows_{uuid.uuid4().hex}").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out).groupBy("start", "event_type").agg(F.sum("n").alias("n"))
-
+    return spark.read.parquet(out).groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
