@@ -1,4 +1,9 @@
-"""Queries of the corpus operators, and SQL for those that SQL can express."""
+"""Queries of the corpus operators, and SQL for those that SQL can express.
+
+Each query hands its whole tables to its operator, whose docstring says what null ids and texts, empty
+and very long texts, ties, repeated rows, empty tables and further columns give; a query adds nothing to
+that but the digest columns of ``op1_line_dedup`` (both null for a null text).
+"""
 
 from __future__ import annotations
 
