@@ -3,6 +3,13 @@
 Every stage's result is written as Parquet in the shared working folder and read again as the next
 one's documents. The first four return the columns of ``documents``; the last returns what the written
 token shards hold of each document.
+
+Every stage takes null, empty and very long texts, null and repeated ids, repeated rows, empty tables and
+further columns, whatever their names; columns come back as they are. What a stage makes of them:
+a null text, or one without a letter, is rejected with its language; so no later stage of ``run`` sees
+one, though each takes it: as a near-duplicate of other empty texts, as clean, as a row of size 0 that
+the mix takes as often as its place says, and as the end id alone. Ties fall to the smallest id, then to
+the text's hash.
 """
 
 from __future__ import annotations
