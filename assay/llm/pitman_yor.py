@@ -1,17 +1,19 @@
 """Language-model scores of a hierarchical Pitman-Yor model, learned from the whole corpus.
 
-Words sit in one restaurant; whenever a word opens a table, it is spelled by a hierarchy of byte
-restaurants, in which the context of three bytes backs off to two, to one, to none, and at last to a
+Every word has a restaurant of the words that follow it (``order`` 2, see ``word_pairs``); all of them share
+the words' own restaurant as parent. Whenever a word opens a table there, it is spelled by a hierarchy
+of byte restaurants, in which the context of three bytes backs off to two, to one, to none, and at last to a
 uniform choice. Contexts with the same suffix share a parent. Older bytes of a context are kept as
-residues, which fixes the number of restaurants (``SLOTS``) whatever the corpus holds. The end of a
-text is the empty word. So every string of bytes has a probability, known or not: ``log10_prob`` is the
-text's, and the perplexity follows it. ``score`` takes all words that training never saw as one outcome,
-like the base score, whose probability is what the model leaves to them together.
+residues, which fixes the number of byte restaurants (``SLOTS``) whatever the corpus holds; those of words
+grow with it. The end of a text is the empty word. So every string of bytes has a probability, known or
+not: ``log10_prob`` is the text's, and the perplexity follows it. ``score`` takes all words that training
+never saw as one outcome, like the base score, whose probability is what the model leaves to them together.
 
 Seating is sampled by Gibbs sweeps: given the tables of everything else, all tables of each dish are
 drawn anew, customer by customer (in blocks of a sixteenth once 64 sit), and the tables of the words
 become the customers of the spelling restaurants. Predictive probabilities are averaged over the
-sweeps after burn-in.
+sweeps after burn-in. Contexts are seated between two such rounds: the first, on plain counts, gives the
+probabilities they start from; the second has their tables as customers.
 
 Counts never meet the driver. The corpus is read once, into blocks: a block's own vocabulary with its
 counts, and its documents as numbers of that vocabulary. Words are merged over one shuffle, and each
@@ -21,27 +23,30 @@ word, so a word that fills a third of the corpus is one row for each block.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.storage import new_path, partitions
+from assay.storage import drop_path, new_path, partitions
 
+from . import word_pairs
 from .langid import fold
+from .seating import STRENGTH, discount_of, pack, pack_planes, seat, unpack, unpack_planes
 
 #: Bytes of text in a block; the restaurants of one, two and three bytes of context.
 BLOCK_BYTES = 12 << 20
 TWO, THREE = 32, 4
 SLOTS = 256 * TWO * THREE
-SWEEPS, BURN_IN, STRENGTH, SEED = 4, 2, 1.0, 11
+SWEEPS, BURN_IN, SEED = 4, 2, 11
 #: Fixed values of the base score.
 ADD, FOLDS = 0.1, 10
 _SPACE = 32
@@ -60,37 +65,6 @@ def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ((one * TWO + two % TWO) * THREE + three % THREE) * 256 + data, starts
 
 
-def _uniform(seed: np.ndarray, step: int) -> np.ndarray:
-    """Uniform draws that depend on the seed and step only (splitmix64)."""
-    with np.errstate(over="ignore"):
-        x = seed + np.uint64((0x9E3779B97F4A7C15 * (step + 1)) % 2**64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-    return (x >> np.uint64(11)).astype(np.float64) / 2**53
-
-
-def seat(customers: np.ndarray, base: np.ndarray, discount: float, seed: np.ndarray) -> np.ndarray:
-    """Tables of dishes with so many customers; ``base`` is (strength + discount * tables) * parent probability."""
-    tables = (customers > 0).astype(np.float64)
-    active = np.flatnonzero(customers > 1)
-    seated = 1
-    while len(active):
-        n = 1 if seated < 64 else seated // 16
-        now = np.minimum(n, customers[active] - seated)
-        b = base[active]
-        share = now * b / (b + seated - discount * tables[active] + 1e-300)
-        whole = np.floor(share)
-        tables[active] += whole + (_uniform(seed[active], seated) < share - whole)
-        seated += n
-        active = active[customers[active] > seated]
-    return np.minimum(tables, customers)
-
-
-def discount_of(ones: int, twos: int) -> float:
-    return float(np.clip(ones / (ones + 2 * twos), 0.05, 0.95)) if ones else 0.5
-
-
 class Spelling:
     """The byte restaurants. Levels from none to three bytes of context; arrays are (restaurants, 256).
 
@@ -163,14 +137,6 @@ def _table(named_states: tuple[str, list]) -> np.ndarray:
     return _REBUILT[name]
 
 
-def _pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
-
-
-def _unpack(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
-
-
 def _blocks(kind: pa.DataType, block_bytes: int):
     names = ["kind", "word", "pos", "cnt", "ids", "held", "lengths", "low", "high"]
 
@@ -182,7 +148,7 @@ def _blocks(kind: pa.DataType, block_bytes: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal number, size
-            block = (part << 12) + number
+            block = (part << 17) + number
             known = np.concatenate([c for c, h in zip(codes, held) if not h] or [np.empty(0, np.uint32)])
             counts = np.bincount(known, minlength=len(vocab)).astype(np.int64)
             n = len(vocab)
@@ -193,7 +159,7 @@ def _blocks(kind: pa.DataType, block_bytes: int):
                 words = pa.array(list(vocab)[at : at + m] if n > 50_000 else list(vocab), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), words, pa.array((block << _IDX_BITS) + np.arange(at, at + m)), pa.array(counts[at : at + m]), *[empty(k, m) for k in lists], empty(pa.binary(), m), empty(pa.binary(), m)], names)
             every = np.concatenate(codes) if codes else np.empty(0, np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), empty(pa.binary(), 1), pa.array([block << _IDX_BITS]), pa.array([n]), pa.array([ids], lists[0]), pa.array([held], lists[1]), pa.array([[len(c) for c in codes]], lists[2]), pa.array([_pack((every & 0xFFFF).astype("<u2"))], pa.binary()), pa.array([_pack((every >> 16).astype("<u2"))], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), empty(pa.binary(), 1), pa.array([block << _IDX_BITS]), pa.array([n]), pa.array([ids], lists[0]), pa.array([held], lists[1]), pa.array([[len(c) for c in codes]], lists[2]), pa.array([pack((every & 0xFFFF).astype("<u2"))], pa.binary()), pa.array([pack((every >> 16).astype("<u2"))], pa.binary())], names)
             number, size = number + 1, 0
             vocab.clear()
             for x in (ids, held, codes):
@@ -219,16 +185,17 @@ def _blocks(kind: pa.DataType, block_bytes: int):
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by word to a row for each word: its count, and where the blocks keep it (in rows of up to ``_CHUNK``)."""
 
-    def out(words, counts, firsts, lists) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([words, pa.array(counts, pa.int64()), pa.array(firsts, pa.bool_()), lists], ["word", "c", "first", "places"])
+    def out(words, numbers, counts, firsts, lists) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([words, pa.array(numbers, pa.int64()), pa.array(counts, pa.int64()), pa.array(firsts, pa.bool_()), lists], ["word", "g", "c", "first", "places"])
 
     open_word, open_count, open_places = None, 0, []
+    number = (TaskContext.get().partitionId() << 32) + 1
 
     def closed() -> Iterator[pa.RecordBatch]:
         if open_word is not None:
             places = np.concatenate(open_places)
             for at in range(0, len(places), _CHUNK):
-                yield out(pa.array([open_word], pa.binary()), [open_count], [at == 0], pa.array([places[at : at + _CHUNK]], pa.list_(pa.int64())))
+                yield out(pa.array([open_word], pa.binary()), [number], [open_count], [at == 0], pa.array([places[at : at + _CHUNK]], pa.list_(pa.int64())))
 
     for batch in batches:
         if not batch.num_rows:
@@ -245,11 +212,14 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         else:
             done = 0
         if last >= done:  # the open word has ended; the batch's last one stays open
-            yield from closed()
+            if open_word is not None:
+                yield from closed()
+                number += 1
             if last > done:
                 offsets = np.concatenate((starts[done:last], [ends[last - 1]])).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), pa.array(places[offsets[0] : offsets[-1]]))
-                yield out(runs.values.slice(done, last - done), counts[done:last], np.ones(last - done, bool), lists)
+                yield out(runs.values.slice(done, last - done), np.arange(number, number + last - done), counts[done:last], np.ones(last - done, bool), lists)
+                number += last - done
             open_word, open_count, open_places = runs.values[last].as_py(), int(counts[last]), [places[starts[last] :]]
     yield from closed()
 
@@ -293,8 +263,8 @@ def _sweep_words(table, mass: float, discount: float, sweep: int):
     return run
 
 
-def _values(table, drawn: float, mass: float, total: float, discount: float, sweeps: list[int]):
-    """For each task and block: numbers, counts and log10 probabilities of the words that the block keeps."""
+def _values(table, drawn: float, mass: float, total: float, discount: float, sweeps: list[int], first: bool = True):
+    """For each task and block: places and log10 probabilities of the words that the block keeps; the ``first`` time their counts and numbers too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _regrouped(batches, 200_000):
@@ -313,71 +283,146 @@ def _values(table, drawn: float, mass: float, total: float, discount: float, swe
             block = places >> _IDX_BITS
             cut = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]))
             spans = [(a, b) for a, b in zip(cut[:-1], cut[1:]) if b > a]
-            idx = (places & ((1 << _IDX_BITS) - 1)).astype("<u4")
-            yield pa.RecordBatch.from_arrays([pa.array([int(block[a]) for a, _ in spans], pa.int64()), pa.array([_pack(idx[a:b]) for a, b in spans], pa.binary()), pa.array([_pack(counts[owner[a:b]]) for a, b in spans], pa.binary()), pa.array([_pack(value[owner[a:b]].astype("<f4")) for a, b in spans], pa.binary())], ["block", "idx", "counts", "vals"])
+            idx, numbers, value = (places & ((1 << _IDX_BITS) - 1)).astype("<u4"), part.column("g").to_numpy(), value.astype("<f4")
+            columns = lambda a, b: [pack(idx[a:b]), pack(value[owner[a:b]])] + [pack_planes(x[owner[a:b]]) for x in (counts, numbers)][: 2 * first]
+            yield pa.RecordBatch.from_arrays([pa.array([int(block[a]) for a, _ in spans], pa.int64()), pa.array([columns(a, b) for a, b in spans], pa.list_(pa.binary()))], ["block", "data"])
 
     return run
 
 
+def _by_block(batches: Iterator[pa.RecordBatch], documents: int) -> Iterator[tuple[dict, list[list[bytes]], list[list[bytes]]]]:
+    """(the row of kind ``documents``, its rows of kind 0, those of kind 1) for each block of rows sorted by block and kind."""
+    words, replies = [], []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+            if row["kind"] == documents:
+                yield row, words, replies
+                words, replies = [], []
+            else:
+                (words if row["kind"] == 0 else replies).append(row["data"])
+
+
+def _codes(low: bytes, high: bytes) -> np.ndarray:
+    return unpack(low, "<u2").astype(np.int64) | unpack(high, "<u2").astype(np.int64) << 16
+
+
+def _of_words(n: int, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log10 probabilities, counts and numbers of a block's words."""
+    values, counts, numbers = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for data in words:
+        at = unpack(data[0], "<u4")
+        values[at] = unpack(data[1], "<f4")
+        if len(data) > 2:
+            counts[at], numbers[at] = unpack_planes(data[2]), unpack_planes(data[3])
+    return values, counts, numbers
+
+
+def _by_doc(codes: np.ndarray, lengths: np.ndarray, of_word: np.ndarray, end: float) -> np.ndarray:
+    """Sums over each text's words, and its end."""
+    out, full, starts = np.full(len(lengths), end, np.float64), np.flatnonzero(lengths), np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    if len(full):
+        out[full] += np.add.reduceat(of_word[codes].astype(np.float64), starts[full])
+    return out
+
+
+def _base_of(counts, total: int, distinct: int):
+    return np.log10((counts + ADD) / (total + ADD * (distinct + 1)))
+
+
+_OUT = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "log10_prob"]
+
+
 def _score(total: int, distinct: int, end_count: int, end_value: float, unknown: float, kind: pa.DataType):
-    """Rows sorted by block, a block's words before its documents."""
-    base_of = lambda c: np.log10((c + ADD) / (total + ADD * (distinct + 1)))
+    """Scores of a block's texts where words have no contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple] = []
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                if row["kind"] == 0:
-                    parts.append((_unpack(row["idx"], "<u4"), _unpack(row["counts"], "<i8"), _unpack(row["vals"], "<f4")))
-                    continue
-                n = row["cnt"]
-                counts, values = np.zeros(n, np.int64), np.zeros(n)
-                for at, c, v in parts:
-                    counts[at], values[at] = c, v
-                parts = []
-                codes = _unpack(row["low"], "<u2").astype(np.int64) | _unpack(row["high"], "<u2").astype(np.int64) << 16
-                lengths = np.array(row["lengths"], np.int64)
-                full, starts = np.flatnonzero(lengths), np.concatenate(([0], np.cumsum(lengths)[:-1]))
-
-                def by_doc(of_word, end):
-                    out = np.full(len(lengths), end, np.float64)
-                    if len(full):
-                        out[full] += np.add.reduceat(of_word[codes].astype(np.float64), starts[full])
-                    return out
-
-                known = by_doc(counts > 0, end_count > 0).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], kind), pa.array(row["held"]), pa.array(lengths + 1), pa.array(known), pa.array(np.full(len(lengths), total)), pa.array(by_doc(base_of(counts), base_of(end_count))), pa.array(by_doc(np.where(counts > 0, values, unknown), end_value if end_count else unknown)), pa.array(by_doc(values, end_value))], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "log10_prob"])
+        for row, words, _ in _by_block(batches, 2):
+            values, counts, _ = _of_words(row["cnt"], words)
+            codes, lengths = _codes(row["low"], row["high"]), np.array(row["lengths"], np.int64)
+            known = _by_doc(codes, lengths, counts > 0, end_count > 0).astype(np.int64)
+            base = _by_doc(codes, lengths, _base_of(counts, total, distinct), _base_of(end_count, total, distinct))
+            closed = _by_doc(codes, lengths, np.where(counts > 0, values, unknown), end_value if end_count else unknown)
+            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], kind), pa.array(row["held"]), pa.array(lengths + 1), pa.array(known), pa.array(np.full(len(lengths), total)), pa.array(base), pa.array(closed), pa.array(_by_doc(codes, lengths, values, end_value))], _OUT)
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int = SEED) -> DataFrame:
-    """One row for each row of ``docs``: ``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, log10_prob, perplexity``.
+def _pair_up(total: int, distinct: int, end_count: int, end_value: float, parts: int, hot: int, kind: pa.DataType):
+    """A block's pairs, a row for each part (kind 1), and its texts with what is known of them (kind 2)."""
 
-    Learned from the rows outside fold 0 of 10, all of them and whole. A null or empty text is its end
-    token alone. Null ids fall into the fold of the empty text. Without training rows the model is
-    the uniform spelling. Repeated rows get equal scores; an empty table gives an empty result;
-    further columns are not read.
-    """
-    spark = docs.sparkSession
-    n, kind_name = partitions(spark), docs.select(id_col).schema[0].dataType.simpleString()
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), (fold(id_col, FOLDS) == 0).alias("out"))
-    from pyspark.sql.pandas.types import to_arrow_type
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, words, _ in _by_block(batches, 2):
+            values, counts, numbers = _of_words(row["cnt"], words)
+            codes, lengths, block = _codes(row["low"], row["high"]), np.array(row["lengths"], np.int64), row["block"]
+            known = _by_doc(codes, lengths, counts > 0, end_count > 0)
+            base = _by_doc(codes, lengths, _base_of(counts, total, distinct), _base_of(end_count, total, distinct))
+            values, counts, numbers = np.append(values, end_value), np.append(counts, end_count), np.append(numbers, 0)
+            pairs = word_pairs.BlockPairs(codes, lengths, numbers, counts, parts, hot)
+            learned = np.repeat(~np.array(row["held"]), lengths + 1)
+
+            def sent(of_kind: int, part: int, ids, held, data: list[bytes]) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([of_kind], pa.int32()), pa.array([block], pa.int64()), pa.array([part], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([held], pa.list_(pa.bool_())), pa.array([data], pa.list_(pa.binary()))], ["kind", "block", "part", "ids", "held", "data"])
+
+            for part, data in pairs.sent(learned, numbers, counts, values):
+                yield sent(1, part, None, None, data)
+            yield sent(2, 0, row["ids"], row["held"], [row["low"], row["high"], pack_planes(lengths), pack_planes(known), pack(base), pack_planes(counts), pack_planes(numbers)])
 
-    kind = to_arrow_type(read.schema["id"].dataType)
+    return run
 
-    def written(df: DataFrame, label: str) -> DataFrame:
-        path = new_path(spark, label)
-        df.write.option("compression", "zstd").parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
 
-    blocks = written(read.mapInArrow(_blocks(kind, block_bytes), f"kind int, word binary, pos bigint, cnt bigint, ids array<{kind_name}>, held array<boolean>, lengths array<bigint>, low binary, high binary"), "blocks")
-    own = blocks.filter("kind = 0").select("word", "pos", "cnt").repartition(n, "word").sortWithinPartitions("word")
-    words = written(own.mapInArrow(_merge, "word binary, c bigint, first boolean, places array<bigint>"), "words")
-    known = words.filter("first and c > 0").select("word", "c")
+def _score_pairs(total: int, end_value: float, unknown: float, parts: int, hot: int, shared, kind: pa.DataType):
+    """Scores of a block's texts from its words' values (kind 0), its pairs' (kind 1) and its texts (kind 2)."""
 
-    ends = blocks.filter("kind = 1").agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0)).alias("n")).first()["n"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, words, replies in _by_block(batches, 2):
+            low, high, *rest = row["data"]
+            lengths, known, counts, numbers = (unpack_planes(rest[i]) for i in (0, 1, 3, 4))
+            base, codes, n = unpack(rest[2], "<f8"), _codes(low, high), len(numbers)
+            values = np.append(_of_words(n - 1, words)[0], end_value)
+            pairs = word_pairs.BlockPairs(codes, lengths, numbers, counts, parts, hot)
+            left = np.concatenate([unpack(x[0], "<f4") for x in replies]).astype(np.float64)
+            given = np.zeros(n)
+            given[pairs.u[pairs.run]] = np.concatenate([unpack(x[1], "<f8") for x in replies])
+            keys, sums = shared.value
+            split = np.flatnonzero(pairs.split > 1)
+            given[split] = sums[np.searchsorted(keys, numbers[split])] if len(split) else 0
+            held = STRENGTH + counts[pairs.u]
+            back = np.log10((STRENGTH + given[pairs.u]) / held)
+            own = left / held
+
+            def by_doc(of_word: np.ndarray) -> np.ndarray:
+                below = back + of_word[pairs.w]
+                each = np.where(own > 0, np.log10(own + 10.0**below + 1e-320), below)
+                return np.add.reduceat(each[pairs.step], pairs.starts)
+
+            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], kind), pa.array(row["held"]), pa.array(lengths + 1), pa.array(known), pa.array(np.full(len(lengths), total)), pa.array(base), pa.array(by_doc(np.where(counts > 0, values, unknown))), pa.array(by_doc(values))], _OUT)
+
+    return run
+
+
+@dataclass
+class Learned:
+    """What tasks need to find the words' probabilities: spelling states (broadcast), and the words' restaurant as last drawn."""
+
+    shared: Broadcast
+    drawn: float
+    mass: float
+    total: int
+    distinct: int
+    discount: float
+    last: list[int]
+    unknown: float
+    end_value: float
+
+    def values(self, words: DataFrame, first: bool = True) -> DataFrame:
+        of = _values(self.shared, self.drawn, self.mass, self.total, self.discount, self.last, first)
+        return words.select("word", "g", "c", "places").mapInArrow(of, "block bigint, data array<binary>")
+
+
+def _learn(known: DataFrame, ends: int, sweeps: int, burn_in: int, seed: int) -> Learned:
+    """Seat the customers ``c`` of the words, and ``ends`` of the end, with the spelling below them."""
+    spark = known.sparkSession
     facts = known.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("ones"), F.count_if(F.col("c") == 2).alias("twos")).first()
     total, distinct = facts["n"] + ends, facts["v"] + (ends > 0)
     discount = discount_of(facts["ones"], facts["twos"])
@@ -419,10 +464,67 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     end_logp, end_seats = seats[0][2], float(np.mean([x[3][0] for x in seats]))
     end_value = float(np.log10(max(ends - discount * end_seats, 0) / (STRENGTH + total) + mass / (STRENGTH + total) * 10.0 ** end_logp[0]))
 
-    values = words.select("word", "c", "places").mapInArrow(_values(shared, drawn, mass, total, discount, last), "block bigint, idx binary, counts binary, vals binary")
-    none = lambda k: F.lit(None).cast(k)
-    sides = values.select("block", F.lit(0).alias("kind"), "idx", "counts", "vals", F.lit(0).cast("bigint").alias("cnt"), none(f"array<{kind_name}>").alias("ids"), none("array<boolean>").alias("held"), none("array<bigint>").alias("lengths"), none("binary").alias("low"), none("binary").alias("high"))
-    coded = blocks.filter("kind = 1").select((F.shiftright("pos", _IDX_BITS)).alias("block"), "kind", none("binary").alias("idx"), none("binary").alias("counts"), none("binary").alias("vals"), "cnt", "ids", "held", "lengths", "low", "high")
+    return Learned(shared, drawn, mass, total, distinct, discount, last, unknown, end_value)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int = SEED, order: int = 1, part: int = word_pairs.PART, hot: int = word_pairs.HOT) -> DataFrame:
+    """One row for each row of ``docs``: ``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, log10_prob, perplexity``.
+
+    With ``order`` 2 a word's probability depends on the word before it; with 1, the default, on nothing.
+    Learned from the rows outside fold 0 of 10, all of them and whole. A null or empty text is its end
+    token alone. Null ids fall into the fold of the empty text. Without training rows the model is
+    the uniform spelling. Repeated rows get equal scores; an empty table gives an empty result;
+    further columns are not read. Very long texts are blocks of their own.
+    """
+    if order not in (1, 2):
+        raise ValueError("order is 1 or 2")
+    spark = docs.sparkSession
+    n, kind_name = partitions(spark), docs.select(id_col).schema[0].dataType.simpleString()
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), (fold(id_col, FOLDS) == 0).alias("out"))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(read.schema["id"].dataType)
+
+    def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+        path = new_path(spark, label)
+        df.write.option("compression", "zstd").parquet(path)
+        gc.collect()  # the plan that was written goes, and with it its shuffle files
+        return spark.read.schema(df.schema).parquet(path), path
+
+    blocks, blocks_path = written(read.mapInArrow(_blocks(kind, block_bytes), f"kind int, word binary, pos bigint, cnt bigint, ids array<{kind_name}>, held array<boolean>, lengths array<bigint>, low binary, high binary"), "blocks")
+    words, words_path = written(blocks.filter("kind = 0").select("word", "pos", "cnt").repartition(n, "word").sortWithinPartitions("word").mapInArrow(_merge, "word binary, g bigint, c bigint, first boolean, places array<bigint>"), "words")
+    ends = blocks.filter("kind = 1").agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0)).alias("n")).first()["n"]
+    learned = _learn(words.filter("first and c > 0").select("word", "c"), ends, sweeps, burn_in, seed)
+    total = learned.total
+
+    none = lambda k, name: F.lit(None).cast(k).alias(name)
+    lists = [f"array<{kind_name}>", "array<boolean>"]
+    sides = learned.values(words).select("block", F.lit(0).alias("kind"), "data", F.lit(0).cast("bigint").alias("cnt"), none(lists[0], "ids"), none(lists[1], "held"), none("array<bigint>", "lengths"), none("binary", "low"), none("binary", "high"))
+    coded = blocks.filter("kind = 1").select(F.shiftright("pos", _IDX_BITS).alias("block"), F.lit(2).alias("kind"), none("array<binary>", "data"), "cnt", "ids", "held", "lengths", "low", "high")
     dealt = sides.union(coded).repartition(n, "block").sortWithinPartitions("block", "kind")
-    found = dealt.mapInArrow(_score(total, distinct, ends, end_value, unknown, kind), f"id {kind_name}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, log10_prob double")
+    out = f"id {kind_name}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, log10_prob double"
+    if order == 1:
+        found = dealt.mapInArrow(_score(total, learned.distinct, ends, learned.end_value, learned.unknown, kind), out)
+    else:
+        parts, hot = max(1, total // part), max(hot, total >> word_pairs.HOT_BITS)
+        sent, _ = written(dealt.mapInArrow(_pair_up(total, learned.distinct, ends, learned.end_value, parts, hot, kind), word_pairs.SENT.format(kind_name)), "pairs")
+        del sides, coded, dealt, blocks
+        learned.shared.destroy()
+        drop_path(spark, blocks_path)
+        seated, _ = written(sent.filter("kind = 1").select("part", "block", "data").repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(word_pairs.seat_pairs, word_pairs.SEATED), "seated")
+        served = seated.filter("kind = 2").groupBy("k").agg(F.sum("n").cast("bigint").alias("n"))
+        # the customers of the words' restaurant are the tables of the contexts; a word that occurs once has one
+        several = words.filter("c > 1").join(served, F.col("g") == F.col("k")).select("word", "g", F.col("n").alias("c"), "first", "places")
+        words, _ = written(words.filter("c <= 1").union(several), "served")
+        drop_path(spark, words_path)
+        at_end = seated.filter("kind = 2 and k = 0").agg(F.coalesce(F.sum("n"), F.lit(0.0)).cast("bigint").alias("n")).first()["n"]
+        learned = _learn(words.filter("first and c > 0").select("word", "c"), min(ends, 1) if ends < 2 else at_end, sweeps, burn_in, seed + 100)
+        # at most 2**20 contexts have more than 2**-20 of all customers
+        split = seated.filter("kind = 3").groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()
+        shared = spark.sparkContext.broadcast((np.array([r["k"] for r in split], np.int64), np.array([r["n"] for r in split], np.float64)))
+        sides = learned.values(words, first=False).select("block", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("part"), none(lists[0], "ids"), none(lists[1], "held"), "data")
+        replies = seated.filter("kind = 1").select(F.col("k").alias("block"), "kind", "part", none(lists[0], "ids"), none(lists[1], "held"), "data")
+        texts = sent.filter("kind = 2").select("block", "kind", "part", "ids", "held", "data")
+        dealt = sides.union(replies).union(texts).repartition(n, "block").sortWithinPartitions("block", "kind", "part")
+        found = dealt.mapInArrow(_score_pairs(total, learned.end_value, learned.unknown, parts, hot, shared, kind), out)
     return found.withColumnRenamed("id", id_col).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n_tokens")))

@@ -46,7 +46,8 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pitman_yor.score(table(spark, sf_dir, "documents"))
+    found = pitman_yor.score(table(spark, sf_dir, "documents"), order=2)
+    return found.withColumnsRenamed({"score": "closed_score", "log10_prob": "score"})
 
 
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators that learn: base values by brute force, held-out quality, recall against exact search; the pipeline."""
 
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -9,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from assay.llm import decontam, langid, pitman_yor, simhash
+from assay.llm import decontam, langid, pitman_yor, simhash, word_pairs
+from assay.llm.seating import unpack
 
 from .conftest import SF
 
@@ -99,6 +101,99 @@ def test_pitman_yor_odd_rows(odd):
     assert pitman_yor.score(odd.limit(0)).count() == 0
 
 
+def _held_out_ids(n):
+    found = (i for i in range(10_000_000, 20_000_000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    return [next(found) for _ in range(n)]
+
+
+@pytest.mark.parametrize("part,hot", [(1 << 21, 1 << 22), (40, 1 << 22), (25, 6)])
+def test_word_contexts_sum_to_one(spark, part, hot):
+    """Over all texts of up to seven words, unknown words being one outcome; contexts in one part, in several, and split."""
+    texts = ["a", "a b", "b", "c", "", "b a", "a b", "c a"]
+    train = [(i, t) for i, t in enumerate(texts * 8) if zlib.crc32(str(i).encode()) % 10]
+    every = [" ".join(w) for n in range(8) for w in itertools.product(["a", "b", "c", "unseen"], repeat=n)]
+    rows = train + list(zip(_held_out_ids(len(every)), every))
+    out = pitman_yor.score(spark.createDataFrame(rows, "doc_id bigint, text string"), order=2, part=part, hot=hot)
+    assert out.filter("held_out").select(F.sum(F.pow(F.lit(10.0), "score"))).first()[0] == pytest.approx(1, abs=6e-3)
+    assert out.filter("held_out").select(F.sum(F.pow(F.lit(10.0), "log10_prob"))).first()[0] < 1
+
+
+def test_word_contexts_know_the_order(docs, spark):
+    """The order of words counts, and other columns are those without contexts; known texts beat the base score."""
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens"]
+    plain, paired = ({r["doc_id"]: r for r in pitman_yor.score(docs, block_bytes=50_000, order=o).collect()} for o in (1, 2))
+    assert plain.keys() == paired.keys()
+    assert all([plain[i][c] for c in columns] == [paired[i][c] for c in columns] for i in plain)
+    assert all(plain[i]["base_score"] == pytest.approx(paired[i]["base_score"]) for i in plain)
+    held = [r for r in paired.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    learned = [r for r in paired.values() if not r["held_out"] and r["n_tokens"] > 1]
+    assert sum(r["log10_prob"] for r in learned) > sum(plain[r["doc_id"]]["log10_prob"] for r in learned)
+    rows = [(i, "the cat sat on the mat") for i in range(40)] + list(zip(_held_out_ids(2), ["the cat sat on the mat", "mat the on sat cat the"]))
+    out = {r["doc_id"]: r["log10_prob"] for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id bigint, text string"), order=2).collect()}
+    straight, turned = (out[i] for i in _held_out_ids(2))
+    assert straight > turned + 2
+
+
+def test_word_contexts_odd_rows(odd, spark):
+    out = pitman_yor.score(odd, order=2)
+    assert out.count() == odd.count()
+    assert out.filter("n_tokens = 1").count() == 4 and out.filter("isnan(score) or score is null or isnan(log10_prob)").count() == 0
+    assert pitman_yor.score(odd.limit(0), order=2).count() == 0
+    untrained = spark.createDataFrame([(i, "a b") for i in _held_out_ids(3)], "doc_id bigint, text string")
+    assert pitman_yor.score(untrained, order=2).filter("log10_prob < 0 and train_tokens = 0").count() == 3
+
+
+def test_word_pairs_against_plain_counts():
+    """Parts merge the blocks' pairs: what a context gives away and what its words keep make up its customers."""
+    rng = np.random.default_rng(3)
+    words, parts, hot = 30, 7, 40
+    blocks = [[rng.zipf(1.5, int(n)) % words for n in rng.integers(0, 60, 20)] for _ in range(5)]
+    numbers = np.append(np.arange(1, words + 1) << 33, 0)
+    counts = np.append(np.bincount(np.concatenate([t for b in blocks for t in b]), minlength=words), 100)
+    plain = Counter((u, w) for b in blocks for t in b for u, w in zip([words, *t], [*t, words]))
+    by_part, made = {}, []
+    for k, texts in enumerate(blocks):
+        pairs = word_pairs.BlockPairs(np.concatenate(texts), np.array([len(t) for t in texts]), numbers, counts, parts, hot)
+        made.append(pairs)
+        for part, data in pairs.sent(np.ones(len(pairs.step)), numbers, counts, np.full(words + 1, -1.5)):
+            by_part.setdefault(part, []).append((k, data))
+    kept, given, contexts, shared = {}, {}, Counter(), Counter()
+    for part, sent in by_part.items():
+        replies, _, tables, names, sums = word_pairs._part(sent)
+        assert (tables >= 1).all()
+        shared.update(dict(zip(names.tolist(), sums.tolist())))
+        for k, (left, gave) in replies:
+            at, run = made[k].part == part, made[k].run[made[k].part[made[k].run] == part]
+            for u, w, x in zip(made[k].u[at], made[k].w[at], unpack(left, "<f4")):
+                assert kept.setdefault((u, w), x) == x
+            for u, x in zip(made[k].u[run], unpack(gave, "<f8")):
+                assert given.setdefault((u, part), x) == x
+    assert kept.keys() == plain.keys() and all(0 <= x < plain[p] for p, x in kept.items())
+    for (u, _), x in given.items():
+        contexts[u] += x
+    for u in contexts:
+        customers = sum(n for (a, _), n in plain.items() if a == u)
+        assert contexts[u] + sum(x for (a, _), x in kept.items() if a == u) == pytest.approx(customers, rel=1e-5)
+        assert (int(numbers[u]) in shared) == (counts[u] >= hot)
+        if counts[u] >= hot:
+            assert shared[int(numbers[u])] == pytest.approx(contexts[u])
+
+
+def test_seating_against_a_plain_restaurant():
+    """Mean tables of one dish, customers drawn one by one."""
+    rng = np.random.default_rng(4)
+    customers, base, discount = 40, 0.6, 0.4
+    drawn = pitman_yor.seat(np.full(4000, customers), np.full(4000, base), discount, rng.integers(0, 2**63, 4000).astype(np.uint64))
+    plain = []
+    for _ in range(4000):
+        tables = 1
+        for seated in range(1, customers):
+            tables += rng.random() < base / (base + seated - discount * tables)
+        plain.append(tables)
+    assert drawn.mean() == pytest.approx(np.mean(plain), rel=0.04)
+
+
 def test_seating_is_bounded_and_grows():
     counts = np.array([0, 1, 2, 10, 1000, 100_000])
     t = pitman_yor.seat(counts, np.full(6, 0.5), 0.5, np.arange(6).astype(np.uint64))
