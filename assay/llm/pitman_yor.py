@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,6 +49,8 @@ SWEEPS, BURN_IN, SEED = 4, 2, 11
 #: Fixed values of the base score.
 ADD, FOLDS = 0.1, 10
 _SPACE = 32
+#: Bytes as words have them: A-Z in lower case, white space as a space.
+_FOLDED = bytes(_SPACE if 9 <= b <= 13 else b for b in bytes(range(256)).lower())
 _CHUNK = 8192
 _IDX_BITS = 24
 
@@ -137,45 +138,57 @@ def _table(named_states: tuple[str, list]) -> np.ndarray:
     return _REBUILT[name]
 
 
+def _words_of(texts: pa.LargeBinaryArray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all texts, lower-cased and numbered by first occurrence, and how many each text has."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2].slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes() if offsets[-1] > offsets[0] else b""
+    offsets = offsets - offsets[0]
+    data = np.frombuffer(data.translate(_FOLDED), np.uint8)
+    inside = data != _SPACE
+    fresh = inside.copy()
+    fresh[1:] &= ~inside[:-1]
+    begins = offsets[:-1][offsets[:-1] < len(data)]
+    fresh[begins] = inside[begins]
+    ends = np.append(np.flatnonzero(fresh[inside]), np.count_nonzero(inside))
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[inside])])
+    return words.dictionary_encode(), np.diff(np.searchsorted(np.flatnonzero(fresh), offsets))
+
+
 def _blocks(kind: pa.DataType, block_bytes: int):
     names = ["kind", "word", "pos", "cnt", "ids", "held", "lengths", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        vocab: defaultdict = defaultdict()
-        vocab.default_factory = vocab.__len__
-        ids, held, codes, size = [], [], [], 0
+        ids, held, texts, size = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal number, size
             block = (part << 17) + number
-            known = np.concatenate([c for c, h in zip(codes, held) if not h] or [np.empty(0, np.uint32)])
-            counts = np.bincount(known, minlength=len(vocab)).astype(np.int64)
-            n = len(vocab)
+            words, lengths = _words_of(pa.concat_arrays(texts))
+            every, n = words.indices.to_numpy(), len(words.dictionary)
+            counts = np.bincount(every[np.repeat(~np.array(held, bool), lengths)], minlength=n).astype(np.int64)
             empty = lambda k, m: pa.nulls(m, k)
             lists = [pa.list_(kind), pa.list_(pa.bool_()), pa.list_(pa.int64())]
             for at in range(0, n, 50_000):
                 m = min(50_000, n - at)
-                words = pa.array(list(vocab)[at : at + m] if n > 50_000 else list(vocab), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), words, pa.array((block << _IDX_BITS) + np.arange(at, at + m)), pa.array(counts[at : at + m]), *[empty(k, m) for k in lists], empty(pa.binary(), m), empty(pa.binary(), m)], names)
-            every = np.concatenate(codes) if codes else np.empty(0, np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), empty(pa.binary(), 1), pa.array([block << _IDX_BITS]), pa.array([n]), pa.array([ids], lists[0]), pa.array([held], lists[1]), pa.array([[len(c) for c in codes]], lists[2]), pa.array([pack((every & 0xFFFF).astype("<u2"))], pa.binary()), pa.array([pack((every >> 16).astype("<u2"))], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), words.dictionary.slice(at, m).cast(pa.binary()), pa.array((block << _IDX_BITS) + np.arange(at, at + m)), pa.array(counts[at : at + m]), *[empty(k, m) for k in lists], empty(pa.binary(), m), empty(pa.binary(), m)], names)
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), empty(pa.binary(), 1), pa.array([block << _IDX_BITS]), pa.array([n]), pa.array([ids], lists[0]), pa.array([held], lists[1]), pa.array([lengths], lists[2]), pa.array([pack((every & 0xFFFF).astype("<u2"))], pa.binary()), pa.array([pack((every >> 16).astype("<u2"))], pa.binary())], names)
             number, size = number + 1, 0
-            vocab.clear()
-            for x in (ids, held, codes):
+            for x in (ids, held, texts):
                 x.clear()
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                for i, text, out in zip(*[c.to_pylist() for c in rows.columns]):
-                    words = (text or b"").lower().split()
-                    ids.append(i)
-                    held.append(out)
-                    codes.append(np.fromiter(map(vocab.__getitem__, words), np.uint32, len(words)))
-                    size += len(text or b"")
-                    if size >= block_bytes:
-                        yield from flush()
+            column = pc.fill_null(batch.column(1).cast(pa.large_binary()), b"")
+            ends, at = np.concatenate(([0], np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64))), 0
+            while at < batch.num_rows:
+                # up to the row that fills the block
+                to = min(int(np.searchsorted(ends[1:], ends[at] + block_bytes - size)) + 1, batch.num_rows)
+                ids += batch.column(0).slice(at, to - at).to_pylist()
+                held += batch.column(2).slice(at, to - at).to_pylist()
+                texts.append(column.slice(at, to - at))
+                size, at = size + int(ends[to] - ends[at]), to
+                if size >= block_bytes:
+                    yield from flush()
         if ids:
             yield from flush()
 
@@ -239,26 +252,45 @@ def _word_seed(logp: np.ndarray, counts: np.ndarray, sweep: int) -> np.ndarray:
     return logp.view(np.uint64) ^ (counts.astype(np.uint64) << np.uint64(8)) ^ np.uint64(sweep << 3 | 1)
 
 
-def _tables(words: list[bytes], counts: np.ndarray, table: np.ndarray, mass: float, discount: float, sweep: int):
+def _spelled_as(words: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and starts of the words' steps, and the words' log10 probabilities."""
     keys, starts = spelled(words)
-    logp = np.add.reduceat(table[keys].astype(np.float64), starts)
-    return keys, starts, logp, seat(counts, mass * 10.0**logp, discount, _word_seed(logp, counts, sweep))
+    return keys, starts, np.add.reduceat(table[keys].astype(np.float64), starts)
+
+
+def _tables(logp: np.ndarray, counts: np.ndarray, mass: float, discount: float, sweep: int) -> np.ndarray:
+    return seat(counts, mass * 10.0**logp, discount, _word_seed(logp, counts, sweep))
 
 
 def _sweep_words(table, mass: float, discount: float, sweep: int):
-    """Tables of each word; the steps of their spellings, summed in the task. Keys -1 and -2 have the tables and the spelling probability in all."""
+    """Tables of each word; the steps of their spellings, summed in the task. Key -1 has the tables in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, opened, held = None, 0.0, 0.0
+        total, opened = None, 0.0
         for part in _regrouped(batches):
             words, counts = part.column("word").to_pylist(), part.column("c").to_numpy()
-            keys, starts, logp, tables = _tables(words, counts, _table(table.value), mass, discount, sweep)
-            steps = np.bincount(keys, np.repeat(tables, np.diff(np.append(starts, len(keys)))), minlength=SLOTS * 256)
-            total = steps if total is None else total + steps
-            opened, held = opened + tables.sum(), held + (10.0**logp).sum()
+            keys, starts, logp = _spelled_as(words, _table(table.value))
+            tables = _tables(logp, counts, mass, discount, sweep)
+            total = np.zeros(SLOTS * 256) if total is None else total
+            np.add.at(total, keys, np.repeat(tables, np.diff(np.append(starts, len(keys)))))
+            opened += tables.sum()
         if total is not None:
             keys = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, [-1, -2])), pa.array(np.append(total[keys], [opened, held]))], ["k", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, -1)), pa.array(np.append(total[keys], opened))], ["k", "n"])
+
+    return run
+
+
+def _sum_words(table, mass: float, discount: float, sweeps: list[int]):
+    """Tables of all words in each of the sweeps (its place is the key), and their spelling probability (key -1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(sweeps) + 1)
+        for part in _regrouped(batches):
+            counts = part.column("c").to_numpy()
+            logp = _spelled_as(part.column("word").to_pylist(), _table(table.value))[2]
+            sums += [*[_tables(logp, counts, mass, discount, sweep).sum() for sweep in sweeps], (10.0**logp).sum()]
+        yield pa.RecordBatch.from_arrays([pa.array([*range(len(sweeps)), -1], pa.int64()), pa.array(sums)], ["k", "n"])
 
     return run
 
@@ -269,10 +301,8 @@ def _values(table, drawn: float, mass: float, total: float, discount: float, swe
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _regrouped(batches, 200_000):
             words, counts = part.column("word").to_pylist(), part.column("c").to_numpy()
-            logp, mean = None, 0.0
-            for sweep in sweeps:
-                _, _, logp, tables = _tables(words, counts, _table(table.value), drawn, discount, sweep)
-                mean = mean + tables / len(sweeps)
+            logp = _spelled_as(words, _table(table.value))[2]
+            mean = sum(_tables(logp, counts, drawn, discount, sweep) / len(sweeps) for sweep in sweeps)
             unseen = np.log10(mass / (STRENGTH + total)) + logp  # a sum of logarithms, which no length underflows
             value = np.where(counts > 0, np.log10(np.maximum(counts - discount * mean, 0) / (STRENGTH + total) + 10.0**unseen + 1e-320), unseen)
             lists = part.column("places").combine_chunks()
@@ -436,32 +466,32 @@ def _learn(known: DataFrame, ends: int, sweeps: int, burn_in: int, seed: int) ->
         rows = known.mapInArrow(_sweep_words(shared, mass, discount, sweep), "k bigint, n double").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
         shared.destroy()
         step, count = rows["k"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)
-        _, _, logp, seats = _tables([b""], np.array([ends]), _table(named), mass, discount, sweep)
-        at_end = float(seats[0])
-        tables, held = float(count[step == -1].sum()) + at_end, float(count[step == -2].sum()) + float(10.0 ** logp[0]) * (ends > 0)
+        logp = _spelled_as([b""], _table(named))[2]
+        at_end = float(_tables(logp, np.array([ends]), mass, discount, sweep)[0])
+        tables = float(count[step == -1].sum()) + at_end
         count, step = count[step >= 0], step[step >= 0]
         total_steps = np.bincount(np.append(step, end_key), np.append(count, at_end))
         keys = np.flatnonzero(total_steps)
-        return keys, np.rint(total_steps[keys]).astype(np.int64), tables, held
+        return keys, np.rint(total_steps[keys]).astype(np.int64), tables
 
     for sweep in range(sweeps if total else 0):
-        keys, counts, opened, _ = one_sweep(seed + sweep, [spelling.state], STRENGTH + discount * opened)
+        keys, counts, opened = one_sweep(seed + sweep, [spelling.state], STRENGTH + discount * opened)
         spelling.sweep(keys, counts, seed + sweep, False)
         spelling.sweep(keys, counts, seed + sweep + 1000, sweep >= burn_in)
-    states = spelling.kept or [spelling.state]
-    # the seats of these last sweeps are drawn again below, so that their sums make the probabilities add up to one
+    named = (uuid.uuid4().hex, spelling.kept or [spelling.state])
+    shared = spark.sparkContext.broadcast(named)
+    # the seats of these last sweeps are drawn again for the values, so that their sums make the probabilities add up to one
     last, drawn = [seed + sweeps, seed + sweeps + 1], STRENGTH + discount * opened
+    end_logp = _spelled_as([b""], _table(named))[2]
+    end_seats = float(np.mean([_tables(end_logp, np.array([ends]), drawn, discount, sweep)[0] for sweep in last]))
     held = 0.0
     if total:
-        _, _, tables, spells = zip(*[one_sweep(sweep, states, drawn) for sweep in last])
-        opened, held = float(np.mean(tables)), float(spells[0])
+        sums = {r["k"]: r["n"] for r in known.mapInArrow(_sum_words(shared, drawn, discount, last), "k bigint, n double").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+        opened = sum(sums.get(i, 0.0) for i in range(len(last))) / len(last) + end_seats
+        held = sums.get(-1, 0.0) + float(10.0 ** end_logp[0]) * (ends > 0)
     mass = STRENGTH + discount * opened if total else STRENGTH
     # what all words outside training have together; one, without training
     unknown = float(np.log10(mass / (STRENGTH + total) * max(1.0 - held, 1e-12)))
-    named, at_end = (uuid.uuid4().hex, states), np.array([ends])
-    shared = spark.sparkContext.broadcast(named)
-    seats = [_tables([b""], at_end, _table(named), drawn, discount, sweep) for sweep in last]
-    end_logp, end_seats = seats[0][2], float(np.mean([x[3][0] for x in seats]))
     end_value = float(np.log10(max(ends - discount * end_seats, 0) / (STRENGTH + total) + mass / (STRENGTH + total) * 10.0 ** end_logp[0]))
 
     return Learned(shared, drawn, mass, total, distinct, discount, last, unknown, end_value)
