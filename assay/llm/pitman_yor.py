@@ -150,8 +150,11 @@ def _words_of(texts: pa.LargeBinaryArray) -> tuple[pa.DictionaryArray, np.ndarra
     begins = offsets[:-1][offsets[:-1] < len(data)]
     fresh[begins] = inside[begins]
     ends = np.append(np.flatnonzero(fresh[inside]), np.count_nonzero(inside))
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[inside])])
-    return words.dictionary_encode(), np.diff(np.searchsorted(np.flatnonzero(fresh), offsets))
+    lengths = np.diff(np.searchsorted(np.flatnonzero(fresh), offsets))
+    data = data[inside]
+    del inside, fresh
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64, copy=False)), pa.py_buffer(data)])
+    return words.dictionary_encode(), lengths
 
 
 def _blocks(kind: pa.DataType, block_bytes: int):
@@ -164,7 +167,10 @@ def _blocks(kind: pa.DataType, block_bytes: int):
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal number, size
             block = (part << 17) + number
-            words, lengths = _words_of(pa.concat_arrays(texts))
+            joined = pa.concat_arrays(texts)
+            texts.clear()
+            words, lengths = _words_of(joined)
+            del joined
             every, n = words.indices.to_numpy(), len(words.dictionary)
             counts = np.bincount(every[np.repeat(~np.array(held, bool), lengths)], minlength=n).astype(np.int64)
             empty = lambda k, m: pa.nulls(m, k)
@@ -174,8 +180,9 @@ def _blocks(kind: pa.DataType, block_bytes: int):
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), words.dictionary.slice(at, m).cast(pa.binary()), pa.array((block << _IDX_BITS) + np.arange(at, at + m)), pa.array(counts[at : at + m]), *[empty(k, m) for k in lists], empty(pa.binary(), m), empty(pa.binary(), m)], names)
             yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), empty(pa.binary(), 1), pa.array([block << _IDX_BITS]), pa.array([n]), pa.array([ids], lists[0]), pa.array([held], lists[1]), pa.array([lengths], lists[2]), pa.array([pack((every & 0xFFFF).astype("<u2"))], pa.binary()), pa.array([pack((every >> 16).astype("<u2"))], pa.binary())], names)
             number, size = number + 1, 0
-            for x in (ids, held, texts):
-                x.clear()
+            ids.clear()
+            held.clear()
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             column = pc.fill_null(batch.column(1).cast(pa.large_binary()), b"")
@@ -515,9 +522,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
 
     kind = to_arrow_type(read.schema["id"].dataType)
 
-    def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    def written(df: DataFrame, label: str, *apart: str) -> tuple[DataFrame, str]:
         path = new_path(spark, label)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*apart).parquet(path)
         gc.collect()  # the plan that was written goes, and with it its shuffle files
         return spark.read.schema(df.schema).parquet(path), path
 
@@ -537,11 +544,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
         found = dealt.mapInArrow(_score(total, learned.distinct, ends, learned.end_value, learned.unknown, kind), out)
     else:
         parts, hot = max(1, total // part), max(hot, total >> word_pairs.HOT_BITS)
-        sent, _ = written(dealt.mapInArrow(_pair_up(total, learned.distinct, ends, learned.end_value, parts, hot, kind), word_pairs.SENT.format(kind_name)), "pairs")
+        sent, sent_path = written(dealt.mapInArrow(_pair_up(total, learned.distinct, ends, learned.end_value, parts, hot, kind), word_pairs.SENT.format(kind_name)), "pairs", "kind")
         del sides, coded, dealt, blocks
         learned.shared.destroy()
         drop_path(spark, blocks_path)
         seated, _ = written(sent.filter("kind = 1").select("part", "block", "data").repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(word_pairs.seat_pairs, word_pairs.SEATED), "seated")
+        drop_path(spark, f"{sent_path}/kind=1")
         served = seated.filter("kind = 2").groupBy("k").agg(F.sum("n").cast("bigint").alias("n"))
         # the customers of the words' restaurant are the tables of the contexts; a word that occurs once has one
         several = words.filter("c > 1").join(served, F.col("g") == F.col("k")).select("word", "g", F.col("n").alias("c"), "first", "places")

@@ -107,12 +107,17 @@ def _part(blobs: list[tuple[int, list[bytes]]]) -> tuple[list, np.ndarray, np.nd
         sizes.append(len(second))
     contexts, index, at = np.unique(np.concatenate(firsts), return_index=True, return_inverse=True)
     split = np.concatenate(splits)[index]
-    words, w_index, w_at = np.unique(np.concatenate(seconds), return_index=True, return_inverse=True)
-    rough_of = np.concatenate(roughs)[w_index]
-    u_at = np.repeat(at, np.concatenate([x[1] for x in runs]))
-    pairs, where = np.unique(u_at * len(words) + w_at, return_inverse=True)
+    words, index, keys = np.unique(np.concatenate(seconds), return_index=True, return_inverse=True)
+    rough_of = np.concatenate(roughs)[index]
+    del firsts, splits, seconds, roughs, index
+    keys += np.repeat(at, np.concatenate([x[1] for x in runs])) * len(words)
+    pairs, where = np.unique(keys, return_inverse=True)
+    where = where.astype(np.int32)
+    del keys
     count = np.bincount(where, np.concatenate(counts), minlength=len(pairs)).astype(np.int64)
+    del counts
     u, w = pairs // len(words), pairs % len(words)
+    del pairs
     left, tables = seat_part(u, contexts, split, words[w], count, rough_of[w].astype(np.float64))
     given = np.bincount(u, count - left, minlength=len(contexts))
     replies, pair_from, run_from = [], 0, 0
