@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +39,14 @@ def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, for whole texts: the default holds 64 MB on both sides of each Python worker."""
     if spark.conf.get(_BATCH_BYTES) == "67108864b":  # the default; what a user has set stays
         spark.conf.set(_BATCH_BYTES, "4m")
+
+
+@contextmanager
+def held_batches(spark: SparkSession) -> Iterator[None]:
+    """``bounded_batches`` for what runs inside; the session's own setting comes back."""
+    before = spark.conf.get(_BATCH_BYTES)
+    bounded_batches(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_BYTES, before)

@@ -37,3 +37,26 @@ h AS (SELECT *, CASE WHEN role='user' THEN '<|user name='||name||'|>'||chr(10) E
 s AS (SELECT *, header||text||'<|end|>'||chr(10) AS segment FROM h),
 o AS (SELECT *, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, name, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM s)
 SELECT conv_id, turn, perspective, role, name, segment, start, start+length(header) AS mask_start, CASE WHEN role='assistant' THEN start+length(segment) ELSE start+length(header) END AS mask_end, role='assistant' AS trained FROM o"""
+
+HARD_NEGATIVES = """WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM r a, r b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+FILTER_AUDIT = f"""WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}+') AS words FROM documents),
+d AS (SELECT doc_id, part, coalesce(q.good, false) AS good, coalesce(q.toxic, false) AS toxic, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+  100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM w LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1) q USING (doc_id)),
+f AS (SELECT unnest(range(1, 6)) AS f),
+o AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS places FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT places, list_aggregate(list_transform(places, lambda x: substr('ABCDE', x, 1)), 'string_agg', '') AS filter_order, unnest(range(1, 6)) AS step FROM o),
+g AS (SELECT part, good, toxic, fails, count(*) AS n FROM d GROUP BY ALL),
+r AS (SELECT part, filter_order, step, places[step] AS f, n, good, toxic, fails, list_bool_or(list_transform(places[1:step - 1], lambda x: fails[x])) AS gone FROM g, s),
+c AS (SELECT part, filter_order, step, f, sum(n) FILTER (NOT coalesce(gone, false) AND NOT fails[f]) AS kept, sum(n) FILTER (NOT coalesce(gone, false) AND fails[f]) AS removed,
+  sum(n) FILTER (gone AND fails[f]) AS redundant, sum(n) FILTER (fails[f] AND len(list_filter(fails, lambda x: x)) = 1) AS unique_fails,
+  sum(n) FILTER (NOT coalesce(gone, false) AND fails[f] AND good) AS good_lost, sum(n) FILTER (NOT coalesce(gone, false) AND fails[f] AND toxic) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley FROM c"""

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, linededup, mixing, oracles, pitman_yor, quality, simhash, tokens, wavelet
+from . import audit, chat, decontam, langid, linededup, mixing, negatives, oracles, packing, pitman_yor, quality, simhash, tokens, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,19 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -72,5 +85,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op1_line_dedup": oracles.LINE_DEDUP, "op6_source_mix": oracles.SOURCE_MIX, "op10_perspectives": oracles.PERSPECTIVES, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op1_line_dedup": oracles.LINE_DEDUP, "op6_source_mix": oracles.SOURCE_MIX, "op10_perspectives": oracles.PERSPECTIVES, "op11_hard_negatives": oracles.HARD_NEGATIVES, "op12_filter_audit": oracles.FILTER_AUDIT, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in found.items() if sql}
