@@ -1,8 +1,8 @@
 """Temperature fits over any number of rows, and fits of bounded samples.
 
-The likelihood has one minimum in log T, so instead of one job for each of many golden-section steps a
-round evaluates a grid of temperatures in one aggregate and narrows the bracket sixteenfold; five
-rounds reach 1e-6 of the bracket. Rows are never gathered: each task sends one sum for each grid point.
+A fit is a safeguarded Newton search for the minimum in log T. One aggregate a round gives the value, the
+slope and the curvature of every group at its own temperature, so rows are never gathered and each task
+sends a few sums for each group; a handful of rounds reach 1e-6.
 """
 
 from __future__ import annotations
@@ -19,45 +19,85 @@ from assay.functions import prob
 
 from . import metrics
 
-LOWER, UPPER, POINTS, ROUNDS = 0.05, 20.0, 33, 6
+LOWER, UPPER = 0.05, 20.0
+#: A step of this size in log T ends a search: what Newton's next step would add is of the order of its square.
+NEAR, ROUNDS = 1e-4, 60
 #: Fixed thresholds of the verdicts: a material temperature, a structural error, a vanishing likelihood.
 MATERIAL, STRUCTURAL, VANISHING = math.log(1.25), 0.10, 1e-6
 
 
-def _losses(rows: DataFrame, by: str, points: dict[str, list[float]]) -> dict[str, list[float]]:
-    """Mean clipped NLL of each group at its own temperatures; the groups are few and named."""
-    if not points:
-        return {}
-    grid = F.create_map(*[x for g, ts in points.items() for x in (F.lit(g), F.array(*[F.lit(float(t)) for t in ts]))])
-    logs = F.transform("p", lambda v: F.ln(F.greatest(v, F.lit(prob.CLIP))))
-    held = rows.select(by, "label", logs.alias("lp"), F.posexplode(F.element_at(grid, F.col(by))).alias("i", "temp"))
-    shifted = prob.let(F.transform("lp", lambda v: v / F.col("temp")), lambda z: prob.at(z, F.col("label")) - F.array_max(z) - F.ln(prob.let(F.array_max(z), lambda m: prob.total(F.transform(z, lambda v: F.exp(v - m))))))
-    loss = F.least(-shifted, F.lit(-math.log(prob.CLIP)))
-    out = held.groupBy(by, "i").agg(F.avg(loss).alias("loss")).collect()  # groups times grid points
-    found: dict[str, list[float]] = {g: [math.inf] * len(ts) for g, ts in points.items()}
-    for r in out:
-        found[r[by]][r["i"]] = r["loss"]
-    return found
+class _Search:
+    """The search of one group: where to evaluate next, and the best of what was seen. It starts at T = 1, or the bound nearest to it."""
+
+    def __init__(self, lower: float, upper: float):
+        if not 0 < lower < upper:
+            raise ValueError("positive temperature bounds required")
+        self.ends = self.a, self.b = math.log(lower), math.log(upper)
+        self.at = min(max(0.0, self.a), self.b)
+        self.done, self.best, self.seen = False, (math.inf, 0.0), set()
+
+    def feed(self, loss: float, slope: float, spread: float) -> None:
+        """Take the mean loss at ``at``, its slope in log T, and the mean variance of the logits under the fit."""
+        u = self.at
+        self.seen.add(u)
+        self.best = min(self.best, (loss, u))
+        if slope > 0:
+            self.b = u
+        else:
+            self.a = u
+        curvature = spread - slope
+        if curvature > 0:
+            step = -slope / curvature
+        else:  # Newton in 1 / T, in which the loss is convex
+            step = -math.log1p(slope / spread) if spread > 0 and slope > -spread else math.copysign(math.inf, -slope)
+        if slope == 0 or self.b <= self.a:
+            self.done = True
+        elif abs(step) < NEAR and self.a <= u + step <= self.b:
+            self.best = min(self.best, (loss + step * (slope + curvature * step / 2), u + step))
+            self.done = True
+        elif self.a < u + step < self.b:
+            self.at = u + step
+        else:  # beyond the bracket: the bound itself first, then halves
+            end = self.ends[0] if step < 0 else self.ends[1]
+            self.at = end if end in (self.a, self.b) and end not in self.seen else (self.a + self.b) / 2
+            self.done = self.b - self.a < NEAR**2
+
+
+def _evaluate(rows: DataFrame, by: str, points: dict[str, float]) -> dict[str, tuple[float, float, float]]:
+    """(loss, slope, spread) of each group at its own log temperature; the groups are few and named. Clipped rows have no slope."""
+    scale = F.element_at(F.create_map(*[x for g, u in points.items() for x in (F.lit(g), F.lit(math.exp(-u)))]), F.col(by))
+    logs = F.transform("p", lambda v: F.ln(F.greatest(v, F.lit(prob.CLIP))) * scale)
+    less = prob.let(logs, lambda z: prob.let(F.array_max(z), lambda m: F.transform(z, lambda v: v - m)))
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("d"), F.lit(0.0).alias("dd"))
+    add = lambda a, x: F.struct((a["s"] + x["e"]).alias("s"), (a["d"] + x["e"] * x["d"]).alias("d"), (a["dd"] + x["e"] * x["d"] * x["d"]).alias("dd"))
+    sums = lambda z: F.aggregate(F.transform(z, lambda d: F.struct(F.exp(d).alias("e"), d.alias("d"))), zero, add)
+    of_row = lambda own, x: F.struct((F.ln(x["s"]) - own).alias("loss"), (own - x["d"] / x["s"]).alias("slope"), (x["dd"] / x["s"] - F.pow(x["d"] / x["s"], 2)).alias("spread"))
+    each = rows.filter(F.col(by).isin(*points)).select(by, prob.let(less, lambda z: prob.let(sums(z), lambda x: of_row(prob.at(z, F.col("label")), x))).alias("x"))
+    most = -math.log(prob.CLIP)
+    mean = lambda c: F.avg(F.when(F.col("x.loss") < most, F.col(f"x.{c}")).otherwise(most if c == "loss" else 0.0)).alias(c)
+    return {r[by]: (r["loss"], r["slope"], r["spread"]) for r in each.groupBy(by).agg(mean("loss"), mean("slope"), mean("spread")).collect()}
 
 
 def fit_temperatures(rows: DataFrame, by: str = "primitive", lower: float = LOWER, upper: float = UPPER) -> DataFrame:
-    """(by, temperature, n, nll_before, nll_after, at_bound) for each group of one-hot predictions (p, label)."""
-    counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).collect()}
-    brackets = {g: (math.log(lower), math.log(upper)) for g in counts}
+    """(by, temperature, n, nll_before, nll_after, at_bound) for each group of one-hot predictions (p, label).
+
+    The rows are read once a round: hand over a written table. A group whose loss is the same at every
+    temperature keeps T = 1.
+    """
+    counts = {r[by]: r["n"] for r in rows.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n")).collect()}
+    searches = {g: _Search(lower, upper) for g in counts}
+    before = {g: x[0] for g, x in _evaluate(rows, by, dict.fromkeys(counts, 0.0)).items()} if counts and not lower <= 1 <= upper else {}
     for _ in range(ROUNDS):
-        grids = {g: np.linspace(a, b, POINTS) for g, (a, b) in brackets.items()}
-        losses = _losses(rows, by, {g: np.exp(x).tolist() for g, x in grids.items()})
-        for g, x in grids.items():
-            k = int(np.argmin(losses[g]))
-            brackets[g] = (float(x[max(0, k - 1)]), float(x[min(POINTS - 1, k + 1)]))
-    # the ends, the middle, and T = 1 where the bounds admit it
-    ends = {g: [math.exp(a), math.exp(b), math.exp((a + b) / 2), 1.0] for g, (a, b) in brackets.items()}
-    last = _losses(rows, by, ends)
+        if not (points := {g: s.at for g, s in searches.items() if not s.done}):
+            break
+        for g, found in _evaluate(rows, by, points).items():
+            before.setdefault(g, found[0])  # the first is at T = 1
+            searches[g].feed(*found)
     out = []
-    for g, ts in ends.items():
-        usable = range(4 if lower <= 1 <= upper else 3)
-        k = min(usable, key=lambda i: last[g][i])
-        out.append((g, ts[k], counts[g], last[g][3], last[g][k], min(abs(ts[k] - lower), abs(ts[k] - upper)) < 1e-4))
+    for g, s in searches.items():
+        loss, at = s.best
+        t = math.exp(at)
+        out.append((g, t, counts[g], before[g], loss, min(abs(t - lower), abs(t - upper)) < 1e-4))
     return rows.sparkSession.createDataFrame(out, f"{by} string, temperature double, n bigint, nll_before double, nll_after double, at_bound boolean")
 
 
@@ -81,22 +121,22 @@ def with_verdicts(rows: DataFrame, fits: DataFrame, least: int, by: str = "primi
 
 
 def fit_one(p: np.ndarray, label: np.ndarray, lower: float = LOWER, upper: float = UPPER) -> float:
-    """Temperature of one bounded sample, by the same narrowing grid in numpy; rows of ``p`` may end in zeros."""
+    """Temperature of one bounded sample, by the same search in numpy; rows of ``p`` may end in zeros."""
     logs = np.where(p > 0, np.log(np.maximum(p, prob.CLIP)), -np.inf)
-
-    def losses(temps: np.ndarray) -> np.ndarray:
-        z = logs[None] / temps[:, None, None]
-        z = z - z.max(axis=2, keepdims=True)
-        own = np.take_along_axis(z, label[None, :, None], axis=2)[:, :, 0] - np.log(np.exp(z).sum(axis=2))
-        return np.minimum(-own, -math.log(prob.CLIP)).mean(axis=1)
-
-    a, b = math.log(lower), math.log(upper)
+    logs = logs - logs.max(axis=1, keepdims=True)
+    rows, most, search = np.arange(len(p)), -math.log(prob.CLIP), _Search(lower, upper)
+    finite = np.where(np.isfinite(logs), logs, 0.0)
     for _ in range(ROUNDS):
-        x = np.linspace(a, b, POINTS)
-        k = int(np.argmin(losses(np.exp(x))))
-        a, b = x[max(0, k - 1)], x[min(POINTS - 1, k + 1)]
-    last = np.exp(np.array([a, b, (a + b) / 2, 0.0]))
-    return float(last[int(np.argmin(losses(last)))])
+        if search.done:
+            break
+        scale = math.exp(-search.at)
+        e, z = np.exp(logs * scale), finite * scale
+        s = e.sum(axis=1)
+        mean, square = (e * z).sum(axis=1) / s, (e * z * z).sum(axis=1) / s
+        loss = np.log(s) - logs[rows, label] * scale
+        inside = loss < most
+        search.feed(float(np.minimum(loss, most).mean()), float(np.where(inside, z[rows, label] - mean, 0).mean()), float(np.where(inside, square - mean**2, 0).mean()))
+    return math.exp(search.best[1])
 
 
 def fit_samples(drawn: DataFrame, by: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.graph import components
+from assay.graph import components, with_least
 from assay.storage import materialize
 
 from .pairing import crossing_keys
@@ -16,10 +16,10 @@ def groups(edges: DataFrame) -> DataFrame:
     """(id, component): examples that share a key, directly or over others, with the smallest id as the label.
 
     ``edges`` is (id, key). Each key becomes a star around its smallest id, so that a key of many
-    examples adds as many links as it has rows and no pairs.
+    examples adds as many links as it has rows and no pairs; a key of very many is met by broadcast.
     """
-    heads = edges.groupBy("key").agg(F.min("id").alias("head"))
-    links = edges.join(heads, "key").select("head", "id").filter("head <> id")
+    edges = materialize(edges.select("id", "key"), "keys")
+    links = with_least(edges, "key", "id", "head").select("head", "id").filter("head <> id")
     found = components(links)
     ids = edges.select("id").distinct()
     return ids.join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions import prob
-from assay.storage import materialize, partitions
+from assay.storage import free_name, materialize, partitions
 
 
 def seeded(seed: str, *parts: Column | str) -> Column:
@@ -54,9 +61,29 @@ def disjoint_quota(rows: DataFrame, by: list[str], id_col: str, keys: str, n: in
 
 
 def sample_k(rows: DataFrame, by: list[str], id_col: str, k: int, repeats: int, seed: str = "42") -> DataFrame:
-    """``repeats`` samples of ``k`` rows for each group, as rows with the sample's number ``r``."""
-    each = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    return quota(each, [*by, "r"], [seeded(seed, *by, "r", id_col), F.col(id_col)], k)
+    """``repeats`` samples of ``k`` rows for each group, as rows with the sample's number ``r``: the first in seeded order.
+
+    Hashes are even, so a sample's rows have hashes below about k / n of their range. A row is copied only
+    into samples in which it stands below that and some slack; what is sorted is little more than the
+    samples themselves. Should a sample be short of rows, which slack makes next to impossible, all
+    are drawn again with four times the slack.
+    """
+    cut, least, drawn = free_name(rows, "_cut", "_least", "_drawn")
+    names = free_name(rows, *[f"_by{i}" for i in range(len(by))])
+    sizes = materialize(rows.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names)]).agg(F.count("*").alias(least)), "sizes")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names)])
+    n_groups, slack = sizes.count(), 8.0
+    while True:
+        share = F.lit(k + slack * math.sqrt(k) + slack) / F.col(least)
+        below = F.when(share >= 1, "g").otherwise(F.lower(F.lpad(F.hex((share * 2**48).cast("bigint")), 12, "0")))  # 'g': beyond all digits
+        held = rows.join(sizes.select(*names, F.least(F.col(least), F.lit(k)).alias(least), below.alias(cut)), same).drop(*names)
+        hashes = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda r: F.struct(r.alias("r"), seeded(seed, *by, r, id_col).alias("h")))
+        near = F.filter(hashes, lambda d: F.substring(d["h"], 1, 12) < F.col(cut))
+        found = materialize(held.withColumn(drawn, F.explode(near)).withColumn("r", F.col(drawn)["r"]).withColumn(drawn, F.col(drawn)["h"]).drop(cut), "drawn")
+        whole = found.groupBy(*by, "r").agg(F.count("*").alias("n"), F.first(least).alias("least")).filter("n >= least")
+        if whole.count() == n_groups * repeats:
+            return quota(found, [*by, "r"], [F.col(drawn), F.col(id_col)], k).drop(drawn, least)
+        slack *= 4
 
 
 def paired_deltas(pair: DataFrame) -> DataFrame:
@@ -83,20 +110,51 @@ def consecutive(rows: DataFrame, by: str, name: str) -> DataFrame:
     return dealt.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + at).drop("_part", "_base")
 
 
+def poisson_cuts() -> list[int]:
+    """How many of the 65,536 values of a draw give less than 1, 2, ...: the distribution of Poisson(1), rounded."""
+    cuts, term, below = [], math.exp(-1), 0.0
+    while not cuts or cuts[-1] < 1 << 16:
+        below += term
+        cuts.append(round(below * (1 << 16)))
+        term /= len(cuts)
+    return cuts[:-1]
+
+
+#: Draws that one SHA-256 gives, of 16 bits each, and groups whose weights are held at once.
+DRAWS, HELD = 16, 512
+
+
+def _weighted_sums(samples: int, seed: str):
+    weight = np.searchsorted(np.array(poisson_cuts()), np.arange(1 << 16), side="right").astype(np.float64)
+    blocks = -(-samples // DRAWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((samples, 4))
+        for batch in batches:
+            names, values = batch.column(0).to_pylist(), np.column_stack([batch.column(i).to_numpy() for i in range(1, 5)]).astype(np.float64)
+            for at in range(0, len(names), HELD):
+                raw = b"".join(hashlib.sha256(f"{seed}:{name}:{b}".encode()).digest() for name in names[at : at + HELD] for b in range(blocks))
+                drawn = np.frombuffer(raw, ">u2").reshape(-1, blocks * DRAWS)[:, :samples]
+                sums += weight[drawn].T @ values[at : at + HELD]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(samples)), *[pa.array(c) for c in np.ascontiguousarray(sums.T)]], ["r", "n", "acc", "nll", "brier"])
+
+    return run
+
+
 def bootstrap(deltas: DataFrame, samples: int = 2000, seed: str = "42") -> DataFrame:
     """(metric, low, high, excludes_zero): 95% intervals over resampled groups.
 
-    Draws are hash values modulo the number of groups, so each resample is an equi-join of draw numbers
-    with numbered groups followed by sums; only group sums, never rows, are resampled.
+    Each group counts in each resample as often as a Poisson(1) draw says, which is what drawing as many
+    groups as there are with replacement comes to when they are many. The draw is 16 bits of the SHA-256 of
+    seed, group and resample, so it depends on no other group: groups are neither numbered nor joined,
+    a task adds up its own groups into sums of all resamples, and only those are shuffled. Resamples
+    without a group are left out.
     """
-    numbered = consecutive(deltas, "group_id", "g")
-    m = numbered.count()
-    draws = deltas.sparkSession.range(samples).withColumnRenamed("id", "r").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(max(m - 1, 0)))))
-    number = F.conv(F.substring(seeded(seed, "r", "i"), 1, 12), 16, 10).cast("bigint")
-    drawn = draws.select("r", F.pmod(number, F.lit(max(m, 1))).alias("g")).join(numbered, "g")
-    mean = lambda c: F.sum(c) / F.sum("n")
-    each = drawn.groupBy("r").agg(mean("d_acc").alias("acc"), mean("d_nll").alias("nll"), mean("d_brier").alias("brier"))
-    long = each.selectExpr("stack(3, 'acc', double(acc), 'nll', nll, 'brier', brier) as (metric, v)")
+    sums = ["n", "acc", "nll", "brier"]
+    rows = deltas.select(F.coalesce(F.col("group_id").cast("string"), F.lit("")).alias("name"), "n", "d_acc", "d_nll", "d_brier")
+    parts = rows.mapInArrow(_weighted_sums(samples, seed), "r bigint, n double, acc double, nll double, brier double")
+    each = parts.groupBy("r").agg(*[F.sum(c).alias(c) for c in sums]).filter("n > 0")
+    long = each.selectExpr("stack(3, 'acc', acc / n, 'nll', nll / n, 'brier', brier / n) as (metric, v)")
     out = long.groupBy("metric").agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))
     return out.withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
 

@@ -57,15 +57,7 @@ def prefix_overlap(spark, sf_dir):
     return edges.join(test, "key", "left_semi").select(F.col("id").alias("doc_id")).distinct()
 
 
-COMPONENTS = """e AS (SELECT o_orderkey AS a, 'c'||o_custkey AS key FROM orders WHERE o_orderkey % 7 = 0 UNION SELECT o_orderkey, 'p'||(o_orderkey // 21) FROM orders WHERE o_orderkey % 7 = 0)"""
-
-
-def order_edges(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").selectExpr("o_orderkey", "concat('c', o_custkey) as c", "concat('p', o_orderkey div 21) as p")
-    return pairing.leakage_edges(o, "o_orderkey", "c", "p")
-
-
-COMPONENT_SQL = f"""WITH RECURSIVE {DOCS}, e AS (SELECT doc_id AS id, content AS key FROM d UNION SELECT doc_id, 'pair:'||(doc_id//2) FROM d WHERE source IN ('src0','src1')),
+COMPONENT_SQL = f"""WITH RECURSIVE {DOCS}, e AS (SELECT doc_id AS id, content AS key FROM d UNION SELECT doc_id, 'pair:'||(doc_id//2) FROM d),
 n AS (SELECT DISTINCT x.id AS a, y.id AS b FROM e x JOIN e y USING (key)),
 r AS (SELECT a AS id, a AS reach FROM n UNION SELECT r.id, n.b FROM r JOIN n ON r.reach = n.a),
 comp AS (SELECT id, min(reach) AS component FROM r GROUP BY 1)"""
@@ -73,7 +65,7 @@ comp AS (SELECT id, min(reach) AS component FROM r GROUP BY 1)"""
 
 def doc_edges(spark, sf_dir):
     d = docs(spark, sf_dir)
-    pair = F.when(F.col("source").isin("src0", "src1"), F.concat(F.lit("pair:"), F.floor(F.col("doc_id") / 2)))
+    pair = F.concat(F.lit("pair:"), F.floor(F.col("doc_id") / 2))
     return pairing.leakage_edges(d.withColumn("pair", pair), "doc_id", "content", "pair")
 
 

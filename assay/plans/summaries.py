@@ -101,14 +101,17 @@ def paired_deltas(spark, sf_dir):
     return out.select("group_id", "n", "d_acc", F.round("d_nll", 6).alias("d_nll"), F.round("d_brier", 6).alias("d_brier"))
 
 
-@query(f"""WITH {DELTA}, num AS (SELECT *, row_number() OVER (ORDER BY group_id) - 1 AS g FROM delta), size AS (SELECT count(*) AS m FROM num),
-draw AS (SELECT r, ('0x'||substr(sha256('42:'||r||':'||i),1,12))::BIGINT % m AS g FROM size, range(200) AS a(r), unnest(range(m)) AS b(i)),
-res AS (SELECT r, sum(d_acc)/sum(n) AS acc, sum(d_nll)/sum(n) AS nll, sum(d_brier)/sum(n) AS brier FROM draw JOIN num USING (g) GROUP BY r),
+WEIGHT = " ".join(f"WHEN s < '{cut:04x}' THEN {w}" for w, cut in enumerate(resample.poisson_cuts()))
+
+
+@query(f"""WITH {DELTA}, draw AS (SELECT group_id, b, sha256('42:'||group_id||':'||b) AS h FROM delta, range(125) AS u(b)),
+w AS (SELECT group_id, 16*b + j AS r, CASE {WEIGHT} ELSE {len(resample.poisson_cuts())} END AS w FROM (SELECT group_id, b, j, substr(h, 4*j::INT + 1, 4) AS s FROM draw, range(16) AS v(j))),
+res AS (SELECT r, sum(w*d_acc)/sum(w*n) AS acc, sum(w*d_nll)/sum(w*n) AS nll, sum(w*d_brier)/sum(w*n) AS brier FROM w JOIN delta USING (group_id) WHERE w > 0 GROUP BY r),
 long AS (SELECT 'acc' AS metric, acc::DOUBLE AS v FROM res UNION ALL SELECT 'nll', nll FROM res UNION ALL SELECT 'brier', brier FROM res)
 SELECT metric, round(quantile_cont(v, 0.025),6) AS low, round(quantile_cont(v, 0.975),6) AS high, quantile_cont(v, 0.025) > 0 OR quantile_cont(v, 0.975) < 0 AS excludes_zero FROM long GROUP BY 1""")
 def paired_bootstrap(spark, sf_dir):
-    """95% interval of each paired difference over resampled groups, and whether it leaves out zero."""
-    out = resample.bootstrap(resample.paired_deltas(pairs(spark, sf_dir)), samples=200)
+    """95% interval of each paired difference over 2,000 resamples of all groups, and whether it leaves out zero."""
+    out = resample.bootstrap(resample.paired_deltas(pairs(spark, sf_dir)), samples=2000)
     return out.select("metric", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "excludes_zero")
 
 
