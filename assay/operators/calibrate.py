@@ -7,6 +7,7 @@ sends a few sums for each group; a handful of rounds reach 1e-6.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -158,18 +159,36 @@ class Scorer:
         raise NotImplementedError
 
 
-class HashScorer(Scorer):
-    """Contract double: logits from a hash of prompt and label only."""
+class PrefixScorer(Scorer):
+    """A scorer that can stop after a prefix and go on from there as often as asked."""
 
-    def score(self, prompts, n_labels):
-        import hashlib
+    def begin(self, prefix: str):
+        """What the scorer knows after the prefix; ``finish`` must leave it as it is."""
+        raise NotImplementedError
+
+    def finish(self, state, suffix: str, n_labels: int) -> list[float]:
+        raise NotImplementedError
+
+    def score(self, prompts: list[str], n_labels: list[int]) -> list[list[float]]:
+        return [self.finish(self.begin(""), prompt, n) for prompt, n in zip(prompts, n_labels)]
+
+
+class HashScorer(PrefixScorer):
+    """Contract double: logits from a hash of prompt and label only. A hash of a prefix goes on over the suffix."""
+
+    def begin(self, prefix):
+        return hashlib.sha256(prefix.encode())
 
-        out = []
-        for prompt, n in zip(prompts, n_labels):
-            z = [4 * int(hashlib.sha256(f"{prompt}\n{i}".encode()).hexdigest()[:8], 16) / 2**32 for i in range(n)]
-            e = [math.exp(v - max(z)) for v in z]
-            out.append([v / sum(e) for v in e])
-        return out
+    def finish(self, state, suffix, n_labels):
+        whole = state.copy()
+        whole.update(f"{suffix}\n".encode())
+        z = []
+        for i in range(n_labels):
+            own = whole.copy()
+            own.update(str(i).encode())
+            z.append(4 * int(own.hexdigest()[:8], 16) / 2**32)
+        e = [math.exp(v - max(z)) for v in z]
+        return [v / sum(e) for v in e]
 
 
 def score_views(views: DataFrame, scorer: Scorer, prompt_col: str = "prompt", labels_col: str = "n_labels") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions import prob
+from assay.graph import with_least
 from assay.storage import free_name, materialize, partitions
 
 
@@ -110,6 +111,14 @@ def consecutive(rows: DataFrame, by: str, name: str) -> DataFrame:
     return dealt.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + at).drop("_part", "_base")
 
 
+def numbered(rows: DataFrame, by: str, order: list[str], name: str) -> DataFrame:
+    """``rows`` numbered from 0 within each value of ``by``, in ``order``: numbers of the whole table less the group's first, so that no group is in one task. Rows without ``by`` go."""
+    (key,) = free_name(rows, "_key")
+    at = consecutive(rows.filter(F.col(by).isNotNull()).withColumn(key, F.struct(by, *order)), key, name).drop(key)
+    (first,) = free_name(at, "_first")
+    return with_least(materialize(at, "placed"), by, name, first).withColumn(name, F.col(name) - F.col(first)).drop(first)
+
+
 def poisson_cuts() -> list[int]:
     """How many of the 65,536 values of a draw give less than 1, 2, ...: the distribution of Poisson(1), rounded."""
     cuts, term, below = [], math.exp(-1), 0.0

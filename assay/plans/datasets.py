@@ -86,11 +86,11 @@ def group_split(spark, sf_dir):
     return out
 
 
-@query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)//3 AS pseudo_group FROM documents WHERE source = 'src3'")
+@query("SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)//3 AS pseudo_group FROM documents")
 def pseudo_groups(spark, sf_dir):
-    """Contiguous groups of three by position within one source."""
-    at = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, sf_dir, "documents").filter("source = 'src3'").select("doc_id", F.floor(at / 3).alias("pseudo_group"))
+    """Contiguous groups of three by position within each source."""
+    rows = resample.numbered(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", ["doc_id"], "at")
+    return rows.select("doc_id", F.floor(F.col("at") / 3).alias("pseudo_group"))
 
 
 @query(f"WITH {sql()} SELECT id FROM pred ORDER BY sha256('42:'||id), id LIMIT 100")
@@ -115,9 +115,9 @@ def stratified_quota(spark, sf_dir):
 @query("SELECT doc_id, ['Rate it.', 'How good is it?', 'Judge the text.'][((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 3) + 1] AS instructions FROM documents")
 def phrasing_rotation(spark, sf_dir):
     """Phrasings cycled by position within the source."""
-    at = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
     phrases = F.array(*[F.lit(p) for p in ("Rate it.", "How good is it?", "Judge the text.")])
-    return table(spark, sf_dir, "documents").select("doc_id", F.element_at(phrases, F.pmod(at, F.lit(3)) + 1).alias("instructions"))
+    rows = resample.numbered(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", ["doc_id"], "at")
+    return rows.select("doc_id", F.element_at(phrases, (F.pmod("at", F.lit(3)) + 1).cast("int")).alias("instructions"))
 
 
 @query("WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), e AS (SELECT user_id, n, value AS ema FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.n, 0.95*e.ema + 0.05*o.value FROM e JOIN o ON o.user_id = e.user_id AND o.n = e.n + 1) SELECT user_id, count(*) AS steps, round(arg_max(ema, n), 6) AS ema FROM e GROUP BY 1")
@@ -147,10 +147,11 @@ def duplicate_ids(spark, sf_dir):
 @query("""WITH f AS (SELECT user_id, event_id, ts, value < 20 AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, value < 20 ORDER BY ts, event_id) AS island FROM events)
 SELECT user_id, max(n) AS longest_streak FROM (SELECT user_id, island, count(*) AS n FROM f WHERE bad GROUP BY ALL) GROUP BY 1""")
 def failure_streaks(spark, sf_dir):
-    """Longest run of failing calls (events below 20) for each caller: gaps and islands."""
+    """Longest run of failing calls (events below 20) for each caller: gaps and islands, by two numberings of the whole table."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.col("value") < 20).alias("bad"))
-    order = [F.col("ts"), F.col("event_id")]
-    island = F.row_number().over(Window.partitionBy("user_id").orderBy(*order)) - F.row_number().over(Window.partitionBy("user_id", "bad").orderBy(*order))
+    rows = resample.consecutive(rows.withColumn("o", F.struct("user_id", "ts", "event_id")), "o", "among_all").drop("o")
+    rows = resample.consecutive(rows.withColumn("o", F.struct("user_id", "bad", "ts", "event_id")), "o", "among_alike").drop("o")
+    island = F.col("among_all") - F.col("among_alike")  # the same for failing calls of a caller with no other between them
     runs = rows.withColumn("island", island).filter("bad").groupBy("user_id", "island").agg(F.count("*").alias("n"))
     return runs.groupBy("user_id").agg(F.max("n").alias("longest_streak"))
 

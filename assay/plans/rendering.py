@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assay.functions import render, text
-from assay.operators import importing
+from assay.operators import importing, prefixes, recovery
 from assay.operators.resample import seeded
 
 from .fixtures import table
@@ -66,13 +66,57 @@ def recovered_prompts(spark, sf_dir):
     """State and question recovered from a prompt; rows that don't render back to the same prompt would be left out."""
     s = states(spark, sf_dir).filter(~F.contains("text", F.lit("Question: ")))
     prompts = s.select("doc_id", F.concat(F.lit("State:\n"), "text", F.lit(f"\n\nQuestion: {ASK}")).alias("prompt"))
-    state = F.substring_index(F.substring("prompt", 8, 2_000_000), "\n\nQuestion: ", 1)
+    state = F.substring_index(F.substring("prompt", F.lit(8), F.length("prompt")), "\n\nQuestion: ", 1)
     ask = F.substring_index("prompt", "\n\nQuestion: ", -1)
     back = prompts.withColumns({"state": state, "instructions": ask})
     back = back.filter(F.concat(F.lit("State:\n"), "state", F.lit("\n\nQuestion: "), "instructions") == F.col("prompt"))
     return back.select("doc_id", F.md5("state").alias("state_md5"), "instructions")
 
 
+#: Fifty phrasings of one question; the last two read alike.
+PHRASINGS = [f"Is this a good document, by measure {i}?" for i in range(49)] + ["Is this a good document, by measure 48?"]
+HEAD = q(render.LEGACY_CHOICE + "State:" + chr(10))
+TAIL = f"{q(chr(10) * 2 + 'Question: ')}||ask||{q(chr(10) * 2 + 'Options:' + chr(10) + 'A. no' + chr(10) + 'B. yes' + chr(10) * 2 + 'The best option is')}"
+
+
+@query(f"""WITH f AS (SELECT 'p'||i AS phrasing, CASE WHEN i = 49 THEN 'Is this a good document, by measure 48?' ELSE 'Is this a good document, by measure '||i||'?' END AS ask FROM range(50) AS u(i)),
+a AS (SELECT doc_id, text, CASE WHEN doc_id % 11 = 0 THEN 'What is it?' ELSE 'Is this a good document, by measure '||(doc_id % 49)||'?' END AS ask, doc_id % 13 = 0 AS bare FROM documents),
+p AS (SELECT doc_id, CASE WHEN bare THEN ask ELSE {HEAD}||coalesce(text, '')||{TAIL} END AS prompt FROM a),
+s AS (SELECT doc_id, prompt, substr(prompt, instr(prompt, 'State:'||chr(10)) + 7) AS rest, prompt LIKE '%State:'||chr(10)||'%' AND prompt LIKE '%'||chr(10)||chr(10)||'Question:%' AS framed FROM p),
+m AS (SELECT doc_id, prompt, framed, CASE WHEN framed THEN left(rest, length(rest) - length(string_split(rest, chr(10)||chr(10)||'Question:')[-1]) - 11) END AS state FROM s),
+n AS (SELECT m.doc_id, count(f.phrasing) AS n, min(f.phrasing) AS phrasing FROM m LEFT JOIN f ON framed AND prompt = {HEAD}||state||{TAIL} GROUP BY 1)
+SELECT doc_id, CASE WHEN n = 1 THEN md5(state) END AS state_md5, CASE WHEN n = 1 THEN phrasing END AS phrasing, CASE WHEN NOT framed THEN 'no frame' WHEN n = 0 THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' END AS reason FROM m JOIN n USING (doc_id)""")
+def recovered_phrasings(spark, sf_dir):
+    """State and phrasing of historical prompts, by the only one of fifty phrasings that renders to them; else why not."""
+    d = states(spark, sf_dir)
+    lits = lambda *v: F.array(*[F.lit(x) for x in v])
+    blank = F.array(*[F.lit(None).cast("string")] * 2)
+    ask = F.when(F.col("doc_id") % 11 == 0, "What is it?").otherwise(F.concat(F.lit("Is this a good document, by measure "), (F.col("doc_id") % 49).cast("string"), F.lit("?")))
+    prompt = F.when(F.col("doc_id") % 13 == 0, ask).otherwise(render.legacy_choice(F.coalesce("text", F.lit("")), ask, lits("no", "yes"), blank))
+    table_ = spark.createDataFrame([(f"p{i}", "choice", ask) for i, ask in enumerate(PHRASINGS)], "phrasing string, type string, instructions string").withColumns({"names": lits("no", "yes"), "descriptions": blank})
+    found = recovery.recover(d.select("doc_id", prompt.alias("prompt"), render.labels(F.lit(2)).alias("labels")), table_)
+    return found.select("doc_id", F.md5("state").alias("state_md5"), "phrasing", "reason")
+
+
+RUBRICS = ["Is this a good document?", "Is this document rude?", "Would a child follow it?"]
+RUBRIC_PROMPT = f"{q(render.STRUCTURED + 'State JSON:' + chr(10))}||state||{q(chr(10) * 2 + 'Question type: noul' + chr(10) + 'Instructions JSON:' + chr(10))}||to_json(ask)::VARCHAR||{q(chr(10) * 2 + 'Answers JSON:' + chr(10) + 'A. ' + '{' + chr(34) + 'name' + chr(34) + ':' + chr(34) + 'no' + chr(34) + ',' + chr(34) + 'description' + chr(34) + ':null}' + chr(10) + 'B. ' + '{' + chr(34) + 'name' + chr(34) + ':' + chr(34) + 'yes' + chr(34) + ',' + chr(34) + 'description' + chr(34) + ':null}' + chr(10) * 2 + 'The best answer is')}"
+
+
+@query(f"""WITH {STATES}, p AS (SELECT DISTINCT {RUBRIC_PROMPT} AS prompt FROM s, unnest({RUBRICS!r}) AS u(ask) WHERE state IS NOT NULL),
+l AS (SELECT prompt, lag(prompt) OVER (ORDER BY prompt) AS prev, row_number() OVER (ORDER BY prompt) - 1 AS pl FROM p),
+c AS (SELECT prompt, pl, CASE WHEN prev IS NULL THEN 0 ELSE list_position(list_transform(list_zip(string_split(prompt, ''), string_split(prev, '')), lambda z: z[1] IS DISTINCT FROM z[2]), true) - 1 END AS shared FROM l),
+r AS (SELECT *, max(CASE WHEN shared < 200 THEN pl END) OVER (ORDER BY pl) AS start FROM c),
+g AS (SELECT *, start + ((pl - start)//8)*8 AS grp FROM r),
+a AS (SELECT grp, count(*) AS members, CASE WHEN count(*) > 1 THEN least(min(CASE WHEN pl <> grp THEN shared END), min(length(prompt)) - 1) ELSE 0 END AS prefix FROM g GROUP BY 1)
+SELECT md5(prompt) AS prompt_md5, shared::BIGINT AS shared, members, prefix::BIGINT AS prefix, CASE WHEN pl <> grp THEN prefix ELSE 0 END::BIGINT AS saved FROM g JOIN a USING (grp)""")
+def shared_prefixes(spark, sf_dir):
+    """Prompts of every document under three rubrics, grouped by the prefix they share, with the characters that a scorer needn't read again."""
+    asked = states(spark, sf_dir).select("state", F.explode(F.array(*[F.lit(r) for r in RUBRICS])).alias("ask"))
+    prompts = asked.select(render.structured(F.col("state"), F.lit("noul"), text.json_string(F.col("ask")), render.noul_options()).alias("prompt"))
+    rows = prefixes.shared_groups(prompts)
+    return rows.select(F.md5("prompt").alias("prompt_md5"), "shared", "members", "prefix", F.when(F.col("at") != F.col("grp"), F.col("prefix")).otherwise(0).alias("saved"))
+
+
 @query("""WITH o AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY sha256('5:'||doc_id||':'||x), x) - 1 AS place FROM documents, unnest(['a','b','c','d']) AS u(x))
 SELECT doc_id, string_agg(x, '' ORDER BY place) AS options, max(CASE WHEN x='b' THEN place END)::INT AS target_index, ('0x'||substr(sha256('drop:'||doc_id),1,4))::BIGINT < 13107 AS dropped FROM o GROUP BY doc_id""")
 def shuffled_options(spark, sf_dir):

@@ -55,7 +55,7 @@ def respond(rows: DataFrame, scorer: Scorer) -> DataFrame:
     Question ids never enter a prompt, and equal prompts are scored once.
     """
     kind = F.when(F.pmod("i", F.lit(3)) == 0, "noul").when(F.pmod("i", F.lit(3)) == 1, "choice").otherwise("score")
-    asked = rows.select("event_id", "event_type", F.explode(F.sequence(F.lit(0), F.least("n_questions", F.lit(3)).cast("int") - 1)).alias("i"), F.col("n_options").cast("int").alias("k")).withColumn("type", kind)
+    asked = rows.select("event_id", "event_type", F.explode(F.sequence(F.lit(0), F.col("n_questions").cast("int") - 1)).alias("i"), F.col("n_options").cast("int").alias("k")).withColumn("type", kind)
     asked = asked.withColumn("k", F.when(F.col("type") == "noul", 2).otherwise(F.col("k")))
     keys = F.when(F.col("type") == "noul", F.array(F.lit("no"), F.lit("yes"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.concat(F.lit("o"), j.cast("string"))))
     asked = asked.withColumn("keys", keys)

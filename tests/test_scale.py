@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from assay import graph
-from assay.operators import calibrate, groups, resample
+from assay.functions import render
+from assay.operators import calibrate, groups, prefixes, recovery, resample
 
 from .test_queries import SF
 
@@ -129,3 +130,57 @@ def test_fits_of_groups_take_few_passes(spark, monkeypatch):
     flat, bounded = calibrate.fit_temperatures(even).first(), calibrate.fit_temperatures(rows, lower=30.0, upper=40.0).collect()
     assert flat["temperature"] == 1 and all(abs(r["temperature"] - 30) < 1e-6 and r["at_bound"] and r["nll_before"] < r["nll_after"] for r in bounded)
     assert calibrate.fit_temperatures(even.limit(0)).collect() == []
+
+
+def test_shared_prefixes_do_not_depend_on_partitions(spark):
+    stem = ["é" * 150 + "日本" * 40, "é" * 150 + "日本" * 40 + "x", "z" * 300]
+    prompts = sorted({stem[i % 3] + f"{i // 3:03}" for i in range(200)} | {"", "é", "z" * 300})
+    df = spark.createDataFrame([(p, 3) for p in prompts] * 2 + [(None, 3)], "prompt string, n_labels int")
+    want, at, run = {}, 0, 0
+    for i, p in enumerate(prompts):
+        shared = next((k for k, (a, b) in enumerate(zip(p, prompts[i - 1])) if a != b), min(len(p), len(prompts[i - 1]))) if i else 0
+        run = i if shared < 200 else run
+        want[p] = (i, shared, run + (i - run) // 5 * 5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "3", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = prefixes.shared_groups(df, limit=5).collect()
+            assert {r["prompt"]: (r["at"], r["shared"], r["grp"]) for r in got} == want and len(got) == len(prompts)
+            for r in got:
+                own = [p for p in prompts if want[p][2] == r["grp"]]
+                assert r["members"] == len(own) and all(p[: r["prefix"]] == own[0][: r["prefix"]] for p in own) and r["prefix"] < max(1, min(map(len, own)))
+            scored = {r["prompt"]: r["p"] for r in prefixes.score_shared(df, calibrate.HashScorer(), limit=5).collect()}
+            alone = {r["prompt"]: r["p"] for r in calibrate.score_views(df.filter("prompt is not null").distinct(), calibrate.HashScorer()).collect()}
+            assert scored == alone and len(scored) == len(prompts)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert prefixes.shared_groups(df.limit(0)).collect() == []
+
+
+def test_recovered_phrasings_are_the_only_ones(spark):
+    lits = lambda *v: F.array(*[F.lit(x) for x in v])
+    table = spark.createDataFrame([("a", "choice", "Q one?"), ("b", "choice", "Q two?"), ("c", "choice", "Q two?"), ("d", "score", "Q one?"), ("e", "choice", "odd\n\nQuestion: in it")], "phrasing string, type string, instructions string")
+    table = table.withColumns({"names": lits("no", "yes"), "descriptions": lits("", "fine")})
+    states = ["plain", "", "State:\n and\n\nQuestion: in it", "x" * 3_000_000]
+    asked = spark.createDataFrame([(s, a, k) for s in states for a, k in (("Q one?", "choice"), ("Q one?", "score"), ("Q two?", "choice"), ("Q three?", "choice"), ("odd\n\nQuestion: in it", "choice"))], "s string, ask string, kind string")
+    prompt = F.when(F.col("kind") == "score", render.legacy_score(F.col("s"), F.col("ask"), lits("no", "yes"))).otherwise(render.legacy_choice(F.col("s"), F.col("ask"), lits("no", "yes"), lits("", "fine")))
+    rows = asked.withColumns({"prompt": prompt, "labels": render.labels(F.lit(2))})
+    got = recovery.recover(rows, table).collect()
+    assert len(got) == 20
+    for r in got:
+        want = {("Q one?", "choice"): ("a", None), ("Q one?", "score"): ("d", None), ("Q two?", "choice"): (None, "ambiguous")}.get((r["ask"], r["kind"]), (None, "unmatched"))
+        assert (r["phrasing"], r["reason"]) == want and r["state"] == (r["s"] if want[0] else None)
+    odd = spark.createDataFrame([(None, [" A", " B"]), ("no frame at all", [" A", " B"]), ("State:\nx", None)], "prompt string, labels array<string>")
+    assert [r["reason"] for r in recovery.recover(odd, table).collect()] == ["no frame"] * 3
+    other = recovery.recover(rows.withColumn("labels", render.labels(F.lit(3))), table)
+    assert other.filter("reason is null").count() == 0
+
+
+def test_numbers_within_groups(spark):
+    rows = [(i, ["hot", "hot", "b", None][i % 4]) for i in range(300)]
+    got = {r["id"]: r["n"] for r in resample.numbered(spark.createDataFrame(rows, "id int, g string").repartition(5), "g", ["id"], "n").collect()}
+    want = {}
+    for g in ("hot", "b"):
+        want |= {i: n for n, i in enumerate(i for i, x in rows if x == g)}
+    assert got == want
