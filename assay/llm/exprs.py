@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space that parts words, and a word.
 SPACES = " \t\n\u000b\f\r"
@@ -30,6 +31,20 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def id_or_default(docs: DataFrame, id_col: str) -> Column:
+    """The id, or a fixed value of its type where it is null; a null is told from that value by a flag beside it."""
+    kind = docs.schema[id_col].dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        least = F.lit("").cast(kind)
+    elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        least = F.lit("1970-01-01").cast(kind)
+    elif isinstance(kind, (T.NumericType, T.BooleanType)):
+        least = F.lit(0).cast(kind)
+    else:
+        raise TypeError(f"ids are numbers, texts, binary or times, not {kind.simpleString()}")
+    return F.coalesce(F.col(id_col), least)
+
+
 def md5_number(text: Column, digits: int) -> Column:
     """The first hexadecimal digits of an MD5 as a number."""
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("bigint")

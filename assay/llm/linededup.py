@@ -8,8 +8,8 @@ byte, and all but the first occurrence (smallest document, then position) are re
 A short passage seldom holds a whole chunk. A second, finer cut therefore takes each two neighbouring
 lines with words as a chunk (blank lines between them don't count), and each line of more than
 ``RUN_WORDS`` words. Lines in repeated fine chunks that stand together form a run, and runs of more than
-``RUN_WORDS`` words are removed as well. Fine chunks are as many as lines, so they are told apart by 128
-bits of hashes, and their texts are not shuffled.
+``RUN_WORDS`` words are removed as well. Fine chunks are as many as lines, so they are told apart by two
+hashes (of a long line, 64 bits and 60 of its MD5) without comparing bytes, and their texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from assay.storage import free_name, materialize
 
-from .exprs import WORD, let, md5_number
+from .exprs import WORD, id_or_default, let, md5_number
 
 #: Chunks end at one line in ``DIVISOR`` on average; shorter chunks than ``LEAST`` lines are never removed.
 DIVISOR, LEAST, FACTOR = 4, 2, 31
@@ -60,7 +60,7 @@ def fine_chunks(lines):
     def found(w):
         both = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: F.struct(a["i"].alias("start"), (b["i"] + 1).alias("end"), F.xxhash64(a["line"], b["line"]).alias("d1"), F.xxhash64(b["line"], a["line"], F.lit(1)).alias("d2")))
         long = F.filter(w, lambda x: (F.length(x["line"]) > 2 * RUN_WORDS) & (F.regexp_count(x["line"], F.lit(WORD)) > RUN_WORDS))
-        alone = F.transform(long, lambda x: F.struct(x["i"].alias("start"), (x["i"] + 1).alias("end"), F.xxhash64(x["line"]).alias("d1"), F.xxhash64(x["line"], F.lit(1)).alias("d2")))
+        alone = F.transform(long, lambda x: F.struct(x["i"].alias("start"), (x["i"] + 1).alias("end"), F.xxhash64(x["line"]).alias("d1"), md5_number(x["line"], 15).alias("d2")))
         return F.concat(both, alone)
 
     return let(worded, found)
@@ -91,7 +91,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     as they are; where a new name is taken, it gets underscores.
     """
     key, none, h, out, gone, n_all, n_gone, n_lines, held = free_name(docs, "key", "none", "h", "chunks", "gone", "n_chunks", "n_removed_chunks", "n_removed_lines", "held")
-    keyed = docs.withColumns({key: F.coalesce(id_col, F.lit(0)), none: F.isnull(id_col), h: F.xxhash64(text_col)})
+    keyed = docs.withColumns({key: id_or_default(docs, id_col), none: F.isnull(id_col), h: F.xxhash64(text_col)})
     own = F.struct(F.col(none).alias("none"), F.col(key).alias("key"), F.col(h).alias("h"))
     place = lambda c: F.struct("doc.none", "doc.key", "doc.h", f"{c}.start", f"{c}.end")
     spans_of = lambda df, fine: df.select(F.col("place.key").alias(key), F.col("place.none").alias(none), F.col("place.h").alias(h), F.struct("place.start", "place.end", F.lit(fine).alias("fine")).alias("span"))

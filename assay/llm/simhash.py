@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from assay.graph import components
 from assay.storage import free_name, materialize, partitions
 
+from .exprs import id_or_default
+
 RADIUS = 3
 DIMENSION = RADIUS + 1
 RUN = 4096
@@ -217,7 +219,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", on
     without, they all stay. Columns stay as they are.
     """
     key, none, rank, h = free_name(docs, "key", "none", "rank", "h")
-    parts = [F.isnull(id_col), F.coalesce(id_col, F.lit(0)), F.xxhash64(text_col)]
+    parts = [F.isnull(id_col), id_or_default(docs, id_col), F.xxhash64(text_col)]
     place = F.struct(*[c.alias(n) for c, n in zip(parts, (none, key, h))])
     # the smallest place of a group is its component's name
     heads = near_duplicates(docs.select(place.alias("place"), F.col(text_col).alias("text")), "place", "text").select("component_id.*").distinct()

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assay.llm import audit, negatives, oracles, packing, queries, tokens
+from assay.llm import audit, langid, linededup, mixing, negatives, packing, quality, queries, simhash, tokens
 
 from .conftest import LONG, SF
 
@@ -248,3 +248,34 @@ def test_packing_of_odd_rows(spark, odd, monkeypatch):
     assert every.agg(F.sum("length")).first()[0] == sum(len(tokens.encoder(tokens.BYTE_BPE).encode(r["text"] or "")) // 4 + 1 for r in odd.collect())
     assert packing.pack(odd.withColumn("doc_id", F.concat(F.lit("a-"), "doc_id"))).filter("doc_id = 'a-4' AND start = 0").count() == 3
     assert packing.pack(odd.limit(0)).collect() == []
+
+
+# ---- ids of other types, and the bound of a sample ----
+
+
+def test_string_ids_give_what_numbers_give(odd, spark):
+    """Ids ``a-1`` and so on stand in the order of their numbers."""
+    named = odd.withColumn("doc_id", F.concat(F.lit("a-"), F.col("doc_id").cast("string")))
+    plain = lambda v: None if v is None else int(str(v).removeprefix("a-"))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 10)], "doc_id bigint, quality int, toxic int")
+    operators = {
+        "dedup": (linededup.dedup_lines, ["text", "n_chunks_", "n_removed_chunks", "n_removed_lines"]),
+        "near": (simhash.near_duplicates, ["fingerprint", "component_id"]),
+        "kept": (simhash.keep_one, ["text"]),
+        "counts": (tokens.token_counts, ["n_bytes", "n_tokens"]),
+        "mix": (mixing.mix_report, ["source_size", "target"]),
+    }
+    for name, (operator, columns) in operators.items():
+        a, b = (sorted(((plain(r["doc_id"]), *(plain(r[c]) if c == "component_id" else r[c] for c in columns)) for r in operator(df).collect()), key=repr) for df in (odd, named))
+        assert a == b and a, name
+    assessed = quality.assess(named, labels.withColumn("doc_id", F.concat(F.lit("a-"), "doc_id"))).collect()
+    assert len(assessed) == odd.count() == langid.identify(named).count()
+
+
+def test_repeated_rows_are_drawn_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda rows: seen.append(rows) or "model")
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    rows = spark.range(3000).selectExpr("if(id % 2 = 0, 1, id) as doc_id", "if(id % 2 = 0, 'the same text', concat('text ', id)) as text", "if(id % 2 = 0, 'l0', concat('l', pmod(id * 7, 40))) as lang")
+    assert langid.fit(rows, sample_rows=5000) == "model"
+    assert len({r[0] for r in seen[0]}) <= 3 and sum(r[1] == "the same text" for r in seen[0]) <= 1 and 0 < len(seen[0]) < 400
