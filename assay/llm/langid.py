@@ -26,8 +26,8 @@ from .exprs import bounded_batches
 
 BUCKETS = 1 << 16
 WIDTH = 16
-#: Bounds of the training sample: rows in all (expected, shared evenly by language), the least for a language, characters of a row.
-SAMPLE_ROWS, LEAST_ROWS, SAMPLE_CHARS = 6000, 20, 4000
+#: Bounds of the training sample: rows in all (expected, shared evenly by language), the least for a language, characters of a row, and languages.
+SAMPLE_ROWS, LEAST_ROWS, SAMPLE_CHARS, LANGUAGES = 6000, 20, 4000, 1000
 EPOCHS, RATE, SEED = 6, 2.0, 7
 #: Share of correct calibration rows that the threshold may reject.
 REJECT = 0.002
@@ -152,14 +152,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Train on a bounded, seeded sample of labelled rows outside fold 0 of 5.
 
     The sample is drawn on the executors by a hash threshold for each language, which is its share of
-    ``sample_rows`` (``LEAST_ROWS`` at least) over its count; every language is learned. Of a text longer
+    ``sample_rows`` (``LEAST_ROWS`` at least) over its count; every language (up to ``LANGUAGES``) is learned. Of a text longer
     than ``SAMPLE_CHARS`` characters, a slice of that length at a seeded place is drawn. Only the sample
-    reaches the driver. Null labels and texts aren't learned from; rows that repeat an id and text are
-    drawn together.
+    reaches the driver. Null labels and texts aren't learned from. Rows that repeat an id, text and
+    language are drawn once, however many they are, and at most ``LANGUAGES`` languages are learned, those
+    with the most rows: the sample is bounded.
     """
     known = docs.select(fold(id_col, 5).alias("fold"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col, text_col).alias("h"))
     known = known.filter("fold <> 0 and lang is not null and text is not null")
-    counts = materialize(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = materialize(counts, "languages")
     n = counts.count()
     if not n:
         return train([])
@@ -168,7 +170,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     drawn = known.join(counts, "lang").filter(F.pmod("h", F.lit(1_000_000)) < 1_000_000 * share)
     beyond = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
     part = F.substring("text", (F.pmod("h", beyond + 1) + 1).cast("int"), F.lit(SAMPLE_CHARS))
-    rows = drawn.select("h", "lang", part.alias("text")).toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
+    rows = drawn.select("h", "lang", part.alias("text")).dropDuplicates(["h", "lang"]).toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
     return train(list(zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist())))
 
 
