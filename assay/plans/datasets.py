@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assay.functions import prob, text
-from assay.operators import filters, groups, pairing, resample
+from assay.operators import cells, filters, groups, pairing, registry, resample
 
 from .fixtures import pairs, pairs_sql, predictions, sql, table
 from .registry import query
@@ -318,3 +318,41 @@ def one_to_one_join(spark, sf_dir):
     both = pairing.one_to_one(rows, rows.select("id", F.lit(True).alias("seen")), "id")
     fits = spark.createDataFrame([("choice", 0.8), ("noul", 1.5), ("score", 1.1)], "primitive string, temperature double")
     return pairing.with_temperature(both, fits).select("id", "temperature")
+
+
+#: A plan of cells: values and weights of each axis.
+AXES = {
+    "domain": {f"d{i:02}": 1 + i % 5 for i in range(22)},
+    "length": {"short": 3, "medium": 5, "long": 2},
+    "state_format": {"text": 4, "object": 3, "list": 2, "messages": 1},
+    "primitive": {"noul": 1, "choice": 1, "score": 1},
+    "ambiguity": {"clear": 6, "mixed": 3, "unknown": 1},
+}
+
+
+def _cell_sql() -> str:
+    out, read = [], cells.digits([r for values in AXES.values() for r in (len(values), sum(values.values()))])
+    digit = lambda d: f"(('0x'||substr(sha256('42:{d[0]}:'||event_id),1,15))::BIGINT // {d[1]} % {d[2]})"
+    for i, (name, values) in enumerate(AXES.items()):
+        own, alias = cells.alias_table(list(values.values()))
+        at, coin = digit(read[2 * i]), digit(read[2 * i + 1])
+        out.append(f"{list(values)!r}[CASE WHEN {coin} < {own}[{at} + 1] THEN {at} ELSE {alias}[{at} + 1] END + 1] AS {name}")
+    return ", ".join(out)
+
+
+@query(f"SELECT event_id, {_cell_sql()} FROM events")
+def scenario_cells(spark, sf_dir):
+    """A cell of the plan for every event's id, in the declared weights."""
+    return cells.draw(table(spark, sf_dir, "events").select("event_id"), "event_id", AXES)
+
+
+@query("""WITH e AS (SELECT event_id, ts, 'w'||(user_id % 40) AS workload, event_id % 29 = 0 AS registers FROM events),
+f AS (SELECT workload FROM e WHERE registers GROUP BY 1 ORDER BY min(ts), workload LIMIT 32),
+v AS (SELECT workload, ts, max(event_id) AS version FROM e WHERE registers AND workload IN (FROM f) GROUP BY ALL)
+SELECT e.event_id, v.version, CASE WHEN v.version IS NULL THEN 'refused' ELSE 'served' END AS outcome FROM (FROM e WHERE NOT registers) e ASOF LEFT JOIN v ON e.workload = v.workload AND e.ts >= v.ts""")
+def versions_in_force(spark, sf_dir):
+    """Requests beside the calibration of their workload that is in force when they arrive; without one they are refused. One event in 29 registers a version, in a registry of 32 workloads."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", F.concat(F.lit("w"), (F.col("user_id") % 40).cast("string")).alias("workload"))
+    told = events.filter("event_id % 29 = 0").select("workload", "ts", F.col("event_id").alias("version"))
+    out = registry.in_force(events.filter("event_id % 29 <> 0"), registry.admitted(told, 32))
+    return out.select("event_id", "version", F.when(F.col("version").isNull(), "refused").otherwise("served").alias("outcome"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assay.functions import prob
-from assay.operators import metrics, resample
+from assay.operators import metrics, permutations, quantiles, resample
 
 from .fixtures import pairs, pairs_sql, predictions, sql, table
 from .registry import query
@@ -122,6 +122,22 @@ def permutation_robustness(spark, sf_dir):
     return pairs(spark, sf_dir).groupBy("primitive").agg(F.count("*").alias("n"), F.count_if(flip).alias("flips"), F.round(F.count_if(flip) / F.count("*"), 6).alias("flip_rate"), F.round(F.avg(prob.total_variation(F.col("p"), F.col("q"))), 6).alias("mean_tv"), F.count_if(prob.drift(F.col("p"), F.col("q")) > 0.5).alias("large_changes"))
 
 
+@query(f"""WITH RECURSIVE {sql()}, o AS (SELECT id, z, r, 1 + ('0x'||substr(sha256('perm:'||id||':'||r),1,12))::BIGINT % (factorial(k::INT)::BIGINT - 1) AS n, range(k) AS rest, []::BIGINT[] AS ord FROM pred, range(4) AS u(r) WHERE primitive = 'choice'
+ UNION ALL SELECT id, z, r, n // len(rest), list_filter(rest, lambda x, i: i <> n % len(rest) + 1), list_append(ord, rest[n % len(rest) + 1]) FROM o WHERE len(rest) > 0),
+s AS (SELECT r, ord, list_transform(ord, lambda x, i: exp(z[x + 1] - 0.15::DOUBLE*(i - 1))) AS shown, list_transform(z, lambda x, i: exp(x - 0.15::DOUBLE*(i - 1))) AS plain FROM o WHERE len(rest) = 0),
+b AS (SELECT r, list_transform(plain, lambda x: x/list_sum(plain)) AS p, list_transform(range(len(ord)), lambda x: shown[list_position(ord, x)]/list_sum(shown)) AS q FROM s),
+d AS (SELECT r, list_position(p, list_max(p)) <> list_position(q, list_max(q)) AS flip, list_zip(p, q) AS pq FROM b)
+SELECT r::INT AS r, count(*) AS n, count(*) FILTER (flip) AS flips, round(avg(flip::INT),6) AS flip_rate, round(avg({TV}),6) AS mean_tv, count(*) FILTER (list_max(list_transform(pq, lambda z: abs(z[1]-z[2]))) > 0.5) AS large_changes FROM d GROUP BY 1""")
+def option_permutations(spark, sf_dir):
+    """Every choice asked in four seeded orders of its options, none the order as it stands; a scorer that favours early options answers, and answers are compared in the question's own order."""
+    rows = predictions(spark, sf_dir).filter("primitive = 'choice'").select("id", "k", "z", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("r"))
+    rows = rows.withColumn("order", permutations.order_of(permutations.other_code("perm", F.col("k"), "id", "r"), F.col("k")))
+    answer = lambda logits: prob.softmax(F.transform(logits, lambda v, place: v - 0.15 * place))
+    rows = rows.withColumn("p", answer(F.col("z"))).withColumn("q", permutations.realigned(answer(permutations.presented(F.col("z"), F.col("order"))), F.col("order")))
+    out = permutations.sensitivity(rows, "r")
+    return out.select("r", "n", "flips", F.round("flip_rate", 6).alias("flip_rate"), F.round("mean_tv", 6).alias("mean_tv"), "large_changes")
+
+
 @query(f"""WITH {sql()}, g AS (SELECT *, '*' AS by_source, '*' AS by_primitive FROM pred UNION ALL SELECT *, source, '*' FROM pred UNION ALL SELECT *, '*', primitive FROM pred)
 SELECT by_source, by_primitive, count(*) AS examples, count(DISTINCT group_id) AS groups, count(DISTINCT source) AS sources FROM g GROUP BY ALL""")
 def partition_summary(spark, sf_dir):
@@ -177,10 +193,14 @@ def example_ladder(spark, sf_dir):
 @query("""SELECT event_type AS route, count(*) AS requests, round(quantile_cont(value, 0.5),6) AS p50, round(quantile_cont(value, 0.95),6) AS p95, round(min(value),6) AS fastest, round(max(value),6) AS slowest, round(sum(value),6) AS total, count(*) FILTER (value > 50) AS over_budget,
  round(count(*)/(date_diff('microsecond', min(ts), max(ts))/1000000.0),6) AS per_second FROM events GROUP BY 1""")
 def latency_report(spark, sf_dir):
-    """Latency percentiles (interpolated), totals and throughput over a request log; events stand for requests."""
+    """Latency percentiles (interpolated, exact by selection), totals and throughput over a request log; events stand for requests."""
     r = lambda c, n: F.round(c, 6).alias(n)
     span = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("route")).agg(F.count("*").alias("requests"), r(F.percentile("value", 0.5), "p50"), r(F.percentile("value", 0.95), "p95"), r(F.min("value"), "fastest"), r(F.max("value"), "slowest"), r(F.sum("value"), "total"), F.count_if(F.col("value") > 50).alias("over_budget"), r(F.count("*") / span, "per_second"))
+    events = table(spark, sf_dir, "events").withColumn("route", F.col("event_type"))
+    each = events.groupBy("route").agg(F.count("*").alias("requests"), r(F.min("value"), "fastest"), r(F.max("value"), "slowest"), r(F.sum("value"), "total"), F.count_if(F.col("value") > 50).alias("over_budget"), r(F.count("*") / span, "per_second"))
+    found = quantiles.exact_percentiles(events, "route", "value", [0.5, 0.95])
+    at = lambda share, n: r(F.max(F.when(F.col("share") == share, F.col("value"))), n)
+    return each.join(found.groupBy("route").agg(at(0.5, "p50"), at(0.95, "p95")), "route", "left")
 
 
 @query(f"""WITH {sql()}, l AS (SELECT primitive, 1.0/k AS w, -ln(p[label+1]) AS loss FROM pred) SELECT primitive, round(sum(w*loss)/sum(w),6) AS weighted_loss FROM l GROUP BY 1""")

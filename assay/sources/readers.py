@@ -5,7 +5,10 @@ Bad input fails with its place, or is set aside with a reason; it is never skipp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assay.functions import prob, text
@@ -13,20 +16,37 @@ from assay.functions import prob, text
 CANONICAL = "id string, group_id string, source string, state string, type string, answer_keys array<string>, target array<double>, original_target array<double>, target_origin string, provenance string, format_version int"
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their place in their split: a task reads a split's lines in order, one split after another."""
+    split, n = None, 0
+    for batch in batches:
+        places = []
+        for now in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            split, n = (split, n + 1) if now == split else (now, 1)
+            places.append(n)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], [*batch.schema.names, "place"])
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_number, value) of every line, numbered from 1, of files of any size.
+
+    A file is read in splits. Lines are counted for each split first; a line's number is its place in its
+    split and the lines of the splits before. Lines end as they do in text files anywhere: LF, CR LF or CR.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    splits = raw.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    lines = raw.mapInArrow(_placed, "file string, block bigint, value string, place bigint")
+    return lines.join(splits, ["file", "block"]).select("file", (F.col("before") + F.col("place")).alias("line_number"), "value")
+
+
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_number, value, problem): every line that isn't blank. Files are read whole by line order."""
-    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.posexplode(F.split(F.decode("content", "utf-8"), "\r?\n")).alias("at", "value"))
-    rows = raw.filter(F.trim("value") != "").select("file", (F.col("at") + 1).alias("line_number"), "value")
+    """(file, line_number, value, problem): every line that isn't blank."""
+    rows = numbered_lines(spark, path).filter(F.trim("value") != "")
     why = text.json_problem(F.col("value"))
     return rows.withColumn("problem", F.coalesce(why, F.when(~F.ltrim("value").startswith("{"), "not an object")))
 
 
-def split_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, value, problem) of files too large for one task: splittable, without line numbers."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").filter(F.trim("value") != "")
-    return rows.withColumn("problem", F.coalesce(text.json_problem(F.col("value")), F.when(~F.ltrim("value").startswith("{"), "not an object")))
-
-
 def read_strict(spark: SparkSession, path: str) -> DataFrame:
     """Lines as JSON strings; the job fails at the first bad line, and an empty data set is an error."""
     rows = json_lines(spark, path)

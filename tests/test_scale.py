@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from assay import graph
 from assay.functions import render
-from assay.operators import calibrate, groups, prefixes, recovery, resample
+from assay.operators import calibrate, cells, groups, permutations, prefixes, quantiles, recovery, registry, resample
+from assay.sources import readers
 
 from .test_queries import SF
 
@@ -184,3 +185,83 @@ def test_numbers_within_groups(spark):
     for g in ("hot", "b"):
         want |= {i: n for n, i in enumerate(i for i, x in rows if x == g)}
     assert got == want
+
+
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(2)
+    values = {"even": rng.random(501).tolist(), "ties": [1.0] * 400 + [2.0] * 3, "wide": (rng.normal(size=300) * 10.0 ** rng.integers(-300, 300, 300)).tolist(), "signs": [-0.0, 0.0, -1.5, 1.5, float("-inf"), float("inf")], "one": [7.25]}
+    rows = [(g, v) for g, vs in values.items() for v in vs] + [("even", None), (None, 3.0), ("none", None)]
+    shares = [0.0, 0.025, 0.5, 0.95, 1.0]
+    got = {(r["g"], r["share"]): r["value"] for r in quantiles.exact_percentiles(spark.createDataFrame(rows, "g string, v double").repartition(5), "g", "v", shares).collect()}
+    assert set(got) == {(g, s) for g in values for s in shares}
+    for (g, s), v in got.items():
+        own, at = sorted(values[g]), s * (len(values[g]) - 1)
+        low, high = own[math.floor(at)], own[math.ceil(at)]
+        want = low if at == math.floor(at) else low + (high - low) * (at - math.floor(at))
+        assert v == pytest.approx(want, rel=1e-12) or (math.isnan(v) and math.isnan(want))
+    assert quantiles.exact_percentiles(spark.createDataFrame([], "g string, v double"), "g", "v", shares).collect() == []
+
+
+def test_orders_are_numbered_and_undone(spark):
+    out = spark.range(24).select(F.col("id"), permutations.order_of(F.col("id"), F.lit(4)).alias("order")).collect()
+    assert out[0]["order"] == [0, 1, 2, 3] and len({tuple(r["order"]) for r in out}) == 24 and all(sorted(r["order"]) == [0, 1, 2, 3] for r in out)
+    rows = spark.range(3000).select(F.col("id"), (F.col("id") % 16 + 1).cast("int").alias("k")).withColumn("code", permutations.other_code("s", F.col("k"), "id"))
+    rows = rows.filter("k <= 15").withColumn("order", permutations.order_of(F.col("code"), F.col("k"))).withColumn("v", F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: i * 1.5))
+    for r in rows.withColumn("back", permutations.realigned(permutations.presented(F.col("v"), F.col("order")), F.col("order"))).collect():
+        assert r["back"] == r["v"] and (r["order"] == list(range(r["k"]))) == (r["k"] == 1) and sorted(r["order"]) == list(range(r["k"]))
+    assert spark.range(1).select(permutations.other_code("s", F.lit(16), "id").alias("c")).first()["c"] is None
+
+
+def test_cells_follow_the_weights(spark):
+    axes = {"a": {f"v{i}": w for i, w in enumerate((1, 5, 0, 2, 9, 3))}, "b": {"x": 7, "y": 1}, "c": {"only": 4}, "d": {f"{i}": 1 + i for i in range(300)}, "e": {f"{i}": 1_000_003 for i in range(7)}}
+    n = 100_000
+    out = cells.draw(spark.range(n), "id", axes, "s").cache()
+    for name, values in axes.items():
+        got = {r[name]: r["count"] for r in out.groupBy(name).count().collect()}
+        want = {v: n * w / sum(values.values()) for v, w in values.items() if w}
+        assert set(got) == set(want)
+        chi = sum((got[v] - w) ** 2 / w for v, w in want.items())
+        assert chi < len(want) + 5 * math.sqrt(2 * len(want)) + 5
+    pairs = {(r["a"], r["b"]): r["count"] for r in out.groupBy("a", "b").count().collect()}
+    assert all(abs(k - n * axes["a"][a] * axes["b"][b] / 160) < 6 * math.sqrt(n * axes["a"][a] * axes["b"][b] / 160) + 5 for (a, b), k in pairs.items())
+    with pytest.raises(ValueError):
+        cells.alias_table([0, 0])
+
+
+def test_versions_in_force_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(8)
+    events = [(i, ["hot", "b", "c", None][min(3, int(rng.integers(0, 9)) // 3 * (i % 7 == 0))], int(t) if i % 50 else None) for i, t in enumerate(rng.integers(0, 400, 1500))] + [(1, "b", 5), (1, "b", 5)]
+    versions = [(k, int(t), f"{k}{t}{x}") for k in ("hot", "b", "late") for t in rng.integers(100, 500, 6) for x in "ab"] + [(None, 3, "n"), ("c", None, "n")]
+    e, v = spark.createDataFrame(events, "side int, workload string, ts int"), spark.createDataFrame(versions, "workload string, ts int, version string")
+    want = sorted((i, k or "", t or -1, max(((vt, x) for vk, vt, x in versions if k and t is not None and vk == k and vt is not None and vt <= t), default=(0, ""))[1]) for i, k, t in events)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "5", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = sorted((r["side"], r["workload"] or "", r["ts"] or -1, r["version"] or "") for r in registry.in_force(e, v).collect())
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r["workload"] for r in registry.admitted(v.filter("workload is not null and ts is not null"), 2).collect()} <= {"hot", "b", "late"}
+    assert registry.in_force(e.limit(0), v).collect() == []
+
+
+def test_line_numbers_over_many_splits(spark, tmp_path):
+    lines = [f'{{"n": {i}, "pad": "{"é" * (i % 50)}"}}' if i % 9 else "" for i in range(1, 801)]
+    lines[616] = '{"a": NaN}'
+    (tmp_path / "a.jsonl").write_bytes("\n".join(lines).encode())
+    (tmp_path / "b.jsonl").write_bytes("\r\n".join(lines[:300]).encode() + b"\r\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "10")
+        rows = readers.json_lines(spark, f"{tmp_path}/*.jsonl").collect()
+        splits = spark.read.text(f"{tmp_path}/a.jsonl").select("_metadata.file_block_start").distinct().count()
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    assert splits > 5
+    for name, n in (("a", 800), ("b", 300)):
+        got = {r["line_number"]: r["value"] for r in rows if r["file"].endswith(f"{name}.jsonl")}
+        assert got == {i: x for i, x in enumerate(lines[:n], 1) if x}
+    assert [(r["line_number"], r["problem"]) for r in rows if r["problem"]] == [(617, "NaN is not a number")]
