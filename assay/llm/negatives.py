@@ -20,8 +20,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from assay.storage import materialize, partitions
 
-#: Rows and anchors that meet in a task at most, on average; and anchors whose scores are held at once.
-BLOCK_ROWS, BLOCK_ANCHORS, HELD = 65_536, 8_192, 64
+#: Rows that meet anchors in a task at most, on average, and the least for which a block is opened for idle tasks; anchors that meet them; and anchors whose scores are held at once.
+BLOCK_ROWS, LEAST_ROWS, BLOCK_ANCHORS, HELD = 65_536, 1_024, 8_192, 64
 
 
 def _matrix(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -119,7 +119,7 @@ def mine(vectors: DataFrame, anchor: Column, id_col: str = "vec_id", vector_col:
     rows = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.coalesce(anchor, F.lit(False)).alias("anchor"), whole.alias("v")).distinct()
     rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "vectors")
     n, m = rows.agg(F.count("*"), F.count_if("anchor")).first()
-    by_rows, by_anchors = max(2 * partitions(spark), -(-n // BLOCK_ROWS)), max(1, -(-m // BLOCK_ANCHORS))
+    by_rows, by_anchors = max(1, min(2 * partitions(spark), n // LEAST_ROWS), -(-n // BLOCK_ROWS)), max(1, -(-m // BLOCK_ANCHORS))
 
     kind = rows.schema["id"].dataType
     schema = f"anchor bigint, place int, id {kind.simpleString()}, score bigint"
