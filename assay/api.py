@@ -7,32 +7,11 @@ from pyspark.sql import functions as F
 
 from .functions import prob, render, text
 from .operators import calibrate, groups, importing, metrics, pairing, resample
+from .operators.deciding import decide  # noqa: F401
 from .sources import artifacts, readers, sinks
 from .storage import materialize
 
 
-def decide(rows: DataFrame, questions: DataFrame, scorer: calibrate.Scorer, id_col: str = "id", state_col: str = "state", fits: DataFrame | None = None, prior: DataFrame | None = None) -> DataFrame:
-    """(id, qid, type, answer, p): each question asked of each state.
-
-    ``questions`` is (qid, type, instructions, names, descriptions), a small table of rubrics; states
-    are JSON strings. Question ids never reach a prompt, and equal prompts are scored once. ``prior``
-    (qid, prior) is divided out, then the primitive's temperature of ``fits`` applies.
-    """
-    q = questions.withColumn("keys", F.when(F.col("type") == "noul", F.array(F.lit("no"), F.lit("yes"))).otherwise(F.col("names")))
-    told = F.when(F.col("type") == "noul", F.array(F.lit(None).cast("string"), F.lit(None).cast("string"))).otherwise(F.col("descriptions"))
-    q = q.withColumn("options", F.zip_with("keys", told, render.option_json))
-    asked = rows.select(F.col(id_col).alias("id"), F.col(state_col).alias("state")).join(q, how="cross")  # the rubrics are the stated query set
-    asked = asked.withColumn("prompt", render.structured(F.col("state"), F.col("type"), text.json_string(F.col("instructions")), F.col("options")))
-    views = asked.select("prompt", F.size("keys").alias("n_labels")).distinct()
-    out = asked.join(calibrate.score_views(views, scorer).select("prompt", "p"), "prompt")
-    if prior is not None:
-        out = out.join(prior, "qid", "left").withColumn("p", F.when(F.isnotnull("prior"), prob.contextual(F.col("p"), F.col("prior"))).otherwise(F.col("p")))
-    out = out.withColumn("primitive", F.col("type"))
-    if fits is not None:
-        out = pairing.with_temperature(out, fits).withColumn("p", prob.temperature_scale(F.col("p"), F.col("temperature")))
-    return out.select("id", "qid", "type", prob.typed_answer(F.col("type"), F.col("keys"), F.col("p")).alias("answer"), "p")
-
-
 def evaluate(predictions: DataFrame) -> DataFrame:
     """The whole report by grouping set."""
     return metrics.evaluation(predictions)

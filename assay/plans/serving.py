@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assay.operators import calibrate
+from assay.functions import render, text
+from assay.operators import calibrate, deciding
 from assay.streaming import requests, windows
 
 from .fixtures import table
@@ -68,3 +69,38 @@ def session_windows(spark, sf_dir):
 def streamed_windows(spark, sf_dir):
     """The hourly windows from a stream with a watermark, run to its end: the same rows as the batch."""
     return windows.run_to_end(spark, f"{sf_dir}/events.parquet")
+
+
+QUESTIONS = [("q1", "noul", "Good?", None, None), ("q2", "choice", "What is it?", ["news", "fiction", "other"], [None, "made up", None]), ("q3", "score", "How good?", ["0", "1", "2", "3"], ["poor", "fair", "good", "great"])]
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "'||chr(10)||'") + "'"
+
+
+def _view_sql() -> str:
+    """A row for each view of the candidate readout, with its prompt."""
+    head = lambda start, kind, ask: f"{_quoted(start + 'State JSON:' + chr(10))}||state||{_quoted(chr(10) * 2 + 'Question type: ' + kind + chr(10) + 'Instructions JSON:' + chr(10) + chr(34) + ask + chr(34) + chr(10))}"
+    out = [f"SELECT id, 'q1' AS qid, 0 AS view, {head(render.STRUCTURED, 'noul', 'Good?')}||{_quoted(chr(10) + 'Answers JSON:' + chr(10) + 'A. ' + '{' + '\"name\":\"no\",\"description\":null}' + chr(10) + 'B. ' + '{' + '\"name\":\"yes\",\"description\":null}' + chr(10) * 2 + 'The best answer is')} AS prompt FROM s"]
+    for i, option in enumerate(['{"name":"news","description":null}', '{"name":"fiction","description":"made up"}', '{"name":"other","description":null}']):
+        rest = 'All alternatives JSON:\n{"news":null,"fiction":"made up","other":null}\nCandidate JSON:\n' + option + "\n\n" + render.ASK_CHOICE + "\n" + render.NO_YES
+        out.append(f"SELECT id, 'q2', {i}, {head(render.CANDIDATE, 'choice', 'What is it?')}||{_quoted(rest)} FROM s")
+    for i, level in enumerate(QUESTIONS[2][4]):
+        rest = f'Candidate JSON:\n"{level}"\n\n' + render.ASK_SCORE + "\n" + render.NO_YES
+        out.append(f"SELECT id, 'q3', {i}, {head(render.CANDIDATE, 'score', 'How good?')}||{_quoted(rest)} FROM s")
+    return " UNION ALL ".join(out)
+
+
+@query(f"""WITH s AS (SELECT doc_id AS id, to_json(text)::VARCHAR AS state FROM documents UNION ALL SELECT -1 - i, ['"N/A"', '""', '"none"'][i + 1] FROM range(3) AS u(i)), v AS ({_view_sql()}),
+y AS (SELECT id, qid, view, 1/(1 + exp(4*(('0x'||substr(sha256(prompt||chr(10)||'0'),1,8))::BIGINT - ('0x'||substr(sha256(prompt||chr(10)||'1'),1,8))::BIGINT)::DOUBLE/4294967296::DOUBLE)) AS yes FROM v WHERE prompt IS NOT NULL),
+c AS (SELECT id, qid, CASE WHEN qid = 'q1' THEN [1 - list(yes)[1], list(yes)[1]] ELSE list(yes ORDER BY view) END AS x FROM y GROUP BY 1, 2),
+r AS (SELECT id, qid, unnest(range(len(x))) AS idx, unnest(list_transform(x, lambda e: e/list_sum(x))) AS p FROM c),
+prior AS (SELECT qid, idx, avg(p) AS m FROM r WHERE id < 0 GROUP BY 1, 2),
+a AS (SELECT id, qid, idx, p/greatest(m, 1e-9) AS a FROM r JOIN prior USING (qid, idx) WHERE id >= 0)
+SELECT id AS doc_id, qid, idx::INT AS idx, round(a/sum(a) OVER (PARTITION BY id, qid), 6) AS value FROM a""")
+def candidate_decisions(spark, sf_dir):
+    """Three typed questions of every document under the candidate readout, each question's content-free prior divided out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.json_string(F.col("text")).alias("state"))
+    asked = spark.createDataFrame(QUESTIONS, "qid string, type string, instructions string, names array<string>, descriptions array<string>")
+    out = deciding.decide(docs, asked, calibrate.HashScorer(), "doc_id", readout=deciding.CANDIDATE, contextual=True)
+    return out.select(F.col("id").alias("doc_id"), "qid", F.posexplode("p").alias("idx", "value")).select("doc_id", "qid", "idx", F.round("value", 6).alias("value"))
