@@ -17,14 +17,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.storage import free_name, materialize
+from assay.storage import free_name, materialize, partitions
 
 from .exprs import WORD, id_or_default, let, md5_number
 
 #: Chunks end at one line in ``DIVISOR`` on average; shorter chunks than ``LEAST`` lines are never removed.
 DIVISOR, LEAST, FACTOR = 4, 2, 31
 RUN_WORDS = 50
-#: Rows of one repeated chunk that a task of the comparison takes.
+#: Rows of a repeated chunk that are never dealt into parts.
 PART_ROWS = 10_000
 
 
@@ -71,8 +71,10 @@ def _gone(lines, coarse, fine):
     spread = lambda spans: F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["end"] - 1)))))
 
     def runs(covered):
-        heads = F.filter(covered, lambda i, k: (k == 0) | (i != F.get(covered, k - 1) + 1))
-        return F.transform(heads, lambda a, j: F.struct(a.alias("start"), F.coalesce(F.get(covered, F.array_position(covered, F.get(heads, j + 1)).cast("int") - 2), F.element_at(covered, -1)).alias("end")))
+        placed = F.transform(covered, lambda i, k: F.struct(i.alias("i"), k.alias("k")))
+        heads = F.filter(placed, lambda x: (x["k"] == 0) | (x["i"] != F.get(covered, x["k"] - 1) + 1))
+        ends = lambda h: F.transform(h, lambda a, j: F.struct(a["i"].alias("start"), F.coalesce(F.get(covered, F.get(h, j + 1)["k"] - 1), F.element_at(covered, -1)).alias("end")))
+        return let(heads, ends)
 
     long = lambda held: lambda r: F.regexp_count(F.array_join(F.slice(held, r["start"] + 1, r["end"] - r["start"] + 1), "\n"), F.lit(WORD)) > RUN_WORDS
     kept = let(lines, lambda held: F.filter(let(spread(fine), runs), long(held)))
@@ -80,6 +82,21 @@ def _gone(lines, coarse, fine):
     return F.array_distinct(F.concat(spread(coarse), whole))
 
 
+def _meet(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with the values of their groups (one row for each ``on``, with their number ``n``); rows without a group go.
+
+    A group of more than a quarter of an even partition's rows is dealt into parts, with a copy of its
+    values for each. Such groups are fewer than four for each partition, and only they are broadcast; all
+    others meet their rows once.
+    """
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    most = max(PART_ROWS, total // (4 * partitions(rows.sparkSession)))
+    sized = groups.withColumn("parts", F.ceil(F.col("n") / most).cast("int")).drop("n")
+    hot = F.broadcast(sized.filter("parts > 1").select(*on, "parts"))
+    dealt = rows.join(hot, on, "left").withColumn("part", F.pmod(F.xxhash64("place"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    return dealt.join(sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), [*on, "part"])
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, least: int = LEAST) -> DataFrame:
     """``docs`` with the repeated chunks cut out of the text, and ``n_chunks``, ``n_removed_chunks``, ``n_removed_lines``.
 
@@ -100,31 +117,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = every.select(place("chunk").alias("place"), F.xxhash64("chunk.text").alias("digest"), F.col("chunk.text").alias("text"))
     # many documents share a digest: the first look counts places, with nothing but numbers in the shuffle
     narrow = every.groupBy("digest").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
-    repeated = materialize(narrow.filter("first < last").select("digest", parts.alias("parts")), "digests")
-    rows = materialize(every.join(repeated, "digest"), "repeated")
+    repeated = materialize(narrow.filter("first < last").select("digest", "n"), "digests")
+    rows = materialize(_meet(every, repeated, ["digest"]), "repeated")
     firsts = rows.groupBy("digest", "text").agg(F.min("place").alias("first"), F.first("parts").alias("parts"))
     # a chunk that very many documents share is compared in parts
-    in_parts = lambda df: df.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("place"), F.col("parts")).cast("int"))
-    coarse = dealt.join(in_parts(firsts), ["digest", "text", "part"]).filter("place <> first")
+    firsts = firsts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    coarse = rows.join(firsts, ["digest", "text", "part"]).filter("place <> first")
 
     small = keyed.select(own.alias("doc"), F.explode(fine_chunks(F.split(text_col, "\n"))).alias("c")).select(place("c").alias("place"), "c.d1", "c.d2")
     small = materialize(small, "lines")
     shared = small.groupBy("d1", "d2").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("n")).filter("first < last")
-    shared = materialize(shared.select("d1", "d2", "first", parts.alias("parts")), "shared")
-    most = shared.agg(F.coalesce(F.max("parts"), F.lit(1)).alias("n")).first()["n"]
-    dealt = small.withColumn("part", F.pmod(F.xxhash64("place"), F.lit(most)).cast("int"))
-    # every part of the rows meets the chunk: those that are in few places have a copy for each part as well
-    shared = shared.withColumn("parts", F.lit(most).cast("int"))
-    fine = dealt.join(in_parts(shared), ["d1", "d2", "part"]).filter("place <> first")
+    shared = materialize(shared.select("d1", "d2", "first", "n"), "shared")
+    fine = _meet(small, shared, ["d1", "d2"]).filter("place <> first")
 
     by_doc = spans_of(coarse, False).unionByName(spans_of(fine, True)).groupBy(key, none, h).agg(F.collect_set("span").alias(gone))
     found = keyed.join(materialize(by_doc, "removed").hint("merge"), [key, none, h], "left")
     spans = lambda fine: F.filter(gone, lambda s: s["fine"] == fine)
     lines = F.split(text_col, "\n")
     found = found.withColumn(held, F.when(F.isnull(gone), F.array().cast("array<int>")).otherwise(_gone(lines, spans(False), spans(True))))
-    rest = let(lines, lambda x: F.array_join(F.filter(x, lambda line, i: ~F.array_contains(F.col(held), i)), "\n"))
+    stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(held))
+    rest = let(lines, lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x, i)), "\n"))
     found = found.withColumn(out, F.when(F.size(held) > 0, rest).otherwise(F.col(text_col).cast("string")))
     n_of = F.coalesce(F.size(chunk_ends(F.split(text_col, "\n"), divisor)), F.lit(0)).cast("bigint")
     columns = [F.col(out).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
