@@ -26,8 +26,8 @@ from .exprs import bounded_batches
 
 BUCKETS = 1 << 16
 WIDTH = 16
-#: Bounds of the training sample: rows in all (expected, shared evenly by language), the least for a language, characters of a row, and languages.
-SAMPLE_ROWS, LEAST_ROWS, SAMPLE_CHARS, LANGUAGES = 6000, 20, 4000, 1000
+#: Bounds of the training sample: rows in all (expected, shared evenly by language), the least for a language, and languages. A row is a whole text, as counts of ``BUCKETS`` buckets at most.
+SAMPLE_ROWS, LEAST_ROWS, LANGUAGES = 6000, 20, 1000
 EPOCHS, RATE, SEED = 6, 2.0, 7
 #: Share of correct calibration rows that the threshold may reject.
 REJECT = 0.002
@@ -92,16 +92,17 @@ class Model:
         return self.languages[best], score, score < self.threshold
 
 
-def train(rows: list[tuple[str, str]], seed: int = SEED) -> Model:
-    """Fit (language, text) rows, which are emptied on the way; every fifth row calibrates temperature and threshold."""
+def counts(text: str) -> tuple[bytes, bytes]:
+    """The buckets of a whole text's subwords (16 bits each) and how often each is met (32 bits)."""
+    idx, n = np.unique(subwords(text), return_counts=True)
+    return idx.astype("<u2").tobytes(), n.astype("<u4").tobytes()
+
+
+def train(rows: list[tuple[str, tuple[bytes, bytes]]], seed: int = SEED) -> Model:
+    """Fit (language, counts) rows; every fifth row calibrates temperature and threshold."""
     rng = np.random.default_rng(seed)
-    found, labels, rows[:] = [], [], rows[::-1]
-    while rows:
-        lang, text = rows.pop()
-        if has_letter(text):
-            idx, n = np.unique(subwords(text), return_counts=True)
-            found.append((idx.astype(np.uint16), np.minimum(n, 65535).astype(np.uint16)))
-            labels.append(lang)
+    found = [(np.frombuffer(idx, "<u2"), np.frombuffer(n, "<u4")) for _, (idx, n) in rows]
+    labels = [lang for lang, _ in rows]
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((BUCKETS, WIDTH), np.float32), np.zeros((WIDTH, 0)), np.zeros(0), 0.0)
@@ -115,7 +116,7 @@ def train(rows: list[tuple[str, str]], seed: int = SEED) -> Model:
     for _ in range(EPOCHS):
         for i in rng.permutation(len(fit)):
             idx, n, y = fit[i]
-            idx, w = idx.astype(np.int64), n / np.float32(n.sum())
+            idx, w = idx.astype(np.int64), (n / n.sum()).astype(np.float32)
             rate = RATE * (1 - done / steps)
             done += 1
             hidden = w @ emb[idx]
@@ -127,7 +128,7 @@ def train(rows: list[tuple[str, str]], seed: int = SEED) -> Model:
             out -= rate * 0.1 * np.outer(hidden, p)
             bias -= rate * 0.01 * p
             emb[idx] -= (rate * w * len(idx))[:, None] * 0.1 * back
-    scores = np.array([(n / np.float32(n.sum())) @ emb[idx.astype(np.int64)] @ out + bias for idx, n, _ in held])
+    scores = np.array([(n / n.sum()).astype(np.float32) @ emb[idx.astype(np.int64)] @ out + bias for idx, n, _ in held])
     labels = np.array([y for _, _, y in held])
 
     def loss(t: float) -> float:
@@ -152,26 +153,34 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Train on a bounded, seeded sample of labelled rows outside fold 0 of 5.
 
     The sample is drawn on the executors by a hash threshold for each language, which is its share of
-    ``sample_rows`` (``LEAST_ROWS`` at least) over its count; every language (up to ``LANGUAGES``) is learned. Of a text longer
-    than ``SAMPLE_CHARS`` characters, a slice of that length at a seeded place is drawn. Only the sample
-    reaches the driver. Null labels and texts aren't learned from. Rows that repeat an id, text and
-    language are drawn once, however many they are, and at most ``LANGUAGES`` languages are learned, those
-    with the most rows: the sample is bounded.
+    ``sample_rows`` (``LEAST_ROWS`` at least) over its count; every language (up to ``LANGUAGES``) is learned. Whole
+    texts of any length are learned from: tasks count their subwords, and only counts of the sample reach
+    the driver, of ``BUCKETS`` buckets a row at most. Null labels, null texts and texts without a letter
+    aren't learned from. Rows that repeat an id, text and language are drawn once, however many they are,
+    and at most ``LANGUAGES`` languages are learned, those with the most rows: the sample is bounded.
     """
     known = docs.select(fold(id_col, 5).alias("fold"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col, text_col).alias("h"))
     known = known.filter("fold <> 0 and lang is not null and text is not null")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    counts = materialize(counts, "languages")
-    n = counts.count()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sizes = materialize(sizes, "languages")
+    n = sizes.count()
     if not n:
         return train([])
     each = max(LEAST_ROWS, sample_rows / n)
     share = F.least(F.lit(1.0), F.lit(float(each)) / F.col("n"))
-    drawn = known.join(counts, "lang").filter(F.pmod("h", F.lit(1_000_000)) < 1_000_000 * share)
-    beyond = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
-    part = F.substring("text", (F.pmod("h", beyond + 1) + 1).cast("int"), F.lit(SAMPLE_CHARS))
-    rows = drawn.select("h", "lang", part.alias("text")).dropDuplicates(["h", "lang"]).toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
-    return train(list(zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist())))
+    drawn = known.join(sizes, "lang").filter(F.pmod("h", F.lit(1_000_000)) < 1_000_000 * share)
+    rows = drawn.select("h", "lang", "text").dropDuplicates(["h", "lang"]).mapInArrow(_counted, "h bigint, lang string, idx binary, n binary")
+    found = rows.toArrow()
+    idx, n = ([v.as_buffer() for v in found.column(c)] for c in ("idx", "n"))
+    drawn = sorted(zip(found.column("h").to_pylist(), found.column("lang").to_pylist(), zip(idx, n)), key=lambda r: r[:2])
+    return train([r[1:] for r in drawn])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            rows = [(h, lang, *counts(t)) for h, lang, t in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)) if has_letter(t)]
+            yield pa.RecordBatch.from_pylist([dict(zip(("h", "lang", "idx", "n"), r)) for r in rows], pa.schema([("h", pa.int64()), ("lang", pa.string()), ("idx", pa.binary()), ("n", pa.binary())]))
 
 
 def _predict(model: Model):

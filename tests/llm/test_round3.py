@@ -279,3 +279,35 @@ def test_repeated_rows_are_drawn_once(spark, monkeypatch):
     rows = spark.range(3000).selectExpr("if(id % 2 = 0, 1, id) as doc_id", "if(id % 2 = 0, 'the same text', concat('text ', id)) as text", "if(id % 2 = 0, 'l0', concat('l', pmod(id * 7, 40))) as lang")
     assert langid.fit(rows, sample_rows=5000) == "model"
     assert len({r[0] for r in seen[0]}) <= 3 and sum(r[1] == "the same text" for r in seen[0]) <= 1 and 0 < len(seen[0]) < 400
+
+
+def test_language_samples_hold_whole_texts(spark, monkeypatch):
+    """What reaches training are the counts of the whole text, long ones too, and of repeated rows once."""
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda rows: seen.extend(rows) or "model")
+    long = "anfang " + "mitte und weiter " * 20000 + "ende"
+    rows = [(i, long if i == 1 else None if i == 2 else "123 ½" if i == 3 else "immer gleich", "de") for i in range(5)] + [(7, "immer gleich", "de")] * 30
+    langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    found = sorted((lang, bytes(idx), bytes(n)) for lang, (idx, n) in seen)
+    learned = [(i, t) for i, t in {(i, t) for i, t, _ in rows} if zlib.crc32(str(i).encode()) % 5 and t is not None and langid.has_letter(t)]
+    assert found == sorted(("de", *langid.counts(t)) for _, t in learned) and any(t == long for _, t in learned)
+
+
+def test_hot_lines_copy_no_other_chunk(spark, monkeypatch):
+    """A pair of lines in every document is dealt into parts; other repeated chunks stay whole, and the result is that without parts."""
+    rows = [(i, f"of {i} alone\nhot one\nhot two\nof {i} too\n" + f"pair {i // 2} " * 30 + "\n" + f"next {i // 2} " * 30) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole = sorted(linededup.dedup_lines(docs).collect())
+    copies, explode = [], linededup._meet
+    monkeypatch.setattr(linededup, "PART_ROWS", 5)
+    monkeypatch.setattr(linededup, "partitions", lambda spark: 1000)
+
+    def watched(rows, groups, on):
+        out = explode(rows, groups, on)
+        copies.append((groups.filter("n > 5").count(), out.select(*on, "part", "parts").distinct().groupBy(*on).count().filter("count > 1").count()))
+        return out
+
+    monkeypatch.setattr(linededup, "_meet", watched)
+    assert sorted(linededup.dedup_lines(docs).collect()) == whole
+    assert all(dealt <= hot for hot, dealt in copies) and copies[1] == (1, 1)
+    assert sum(r["n_removed_lines"] for r in whole) > 200
