@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,6 +153,85 @@ def fit_samples(drawn: DataFrame, by: list[str]) -> DataFrame:
     return drawn.select(*by, "p", "label").groupBy(*by).applyInPandas(fit, f"{kinds}, temperature double")
 
 
+#: Temperatures that one call of ``losses_at`` takes, over all groups: what a task is sent, and what it sends back.
+POINTS = 1_000_000
+
+
+def _losses(points: dict[str, tuple[list[str], np.ndarray]]):
+    most = -math.log(prob.CLIP)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {g: np.zeros(len(t)) for g, (_, t) in points.items()}
+        seen = dict.fromkeys(points, 0)
+        for batch in batches:
+            groups = np.array(batch.column(0).to_pylist(), object)
+            vectors, label = batch.column(1), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            size = vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            held = np.arange(size.max(initial=1)) < size[:, None]
+            logs = np.full(held.shape, -np.inf)
+            logs[held] = np.log(np.maximum(vectors.flatten().to_numpy(zero_copy_only=False), prob.CLIP))
+            for g in set(groups):
+                own = np.flatnonzero(groups == g)
+                less = logs[own] - logs[own].max(axis=1, keepdims=True)
+                at = less[np.arange(len(own)), label[own]]
+                seen[g] += len(own)
+                for i, t in enumerate(points[g][1]):
+                    sums[g][i] += np.minimum(np.log(np.exp(less / t).sum(axis=1)) - at / t, most).sum()
+        for g, (names, _) in points.items():
+            if seen[g]:
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(sums[g]), pa.array([seen[g]] * len(names), pa.int64())], ["by", "point", "loss", "n"])
+
+    return run
+
+
+def _scorable():
+    """Whether a row has a vector without gaps and a label among its entries."""
+    return F.col("label").between(0, F.size("p") - 1) & F.forall("p", lambda v: v.isNotNull())
+
+
+def losses_at(rows: DataFrame, by: str, points: DataFrame) -> DataFrame:
+    """(by, point, loss, n): summed clipped likelihood loss of each group's rows (p, label) at each of its points (by, point, temperature).
+
+    Rows are read once and copied for no temperature; a task adds up its own rows and sends one sum for
+    each point. Rows without a group, a vector or a label among its entries are left out. More than
+    ``POINTS`` temperatures are refused.
+    """
+    found = points.select(by, "point", "temperature").limit(POINTS + 1).collect()
+    if len(found) > POINTS:
+        raise ValueError(f"more than {POINTS} temperatures")
+    each: dict[str, list] = {}
+    for r in found:
+        each.setdefault(r[by], []).append((r["point"], r["temperature"]))
+    given = {g: ([n for n, _ in at], np.array([t for _, t in at])) for g, at in each.items()}
+    kept = rows.filter(F.col(by).isin(*given) & _scorable()).select(by, "p", F.col("label").cast("bigint"))
+    parts = kept.mapInArrow(_losses(given), "by string, point string, loss double, n bigint")
+    return parts.groupBy(F.col("by").alias(by), "point").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"))
+
+
+def held_out_losses(rows: DataFrame, drawn: DataFrame, fits: DataFrame) -> DataFrame:
+    """(workload, k, r, arm, nll): mean loss of the rows that a sample did not draw, by arm.
+
+    ``rows`` and ``drawn`` hold (workload, p, label, serving), ``drawn`` and ``fits`` their sample (k, r),
+    ``fits`` its temperatures (own, pooled). The loss of what was not drawn is that of all rows less that
+    of the sample, so no row is copied for the samples that leave it out. Rows without a workload, a vector
+    or a label among its entries take no part.
+    """
+    rows, drawn = rows.filter(_scorable()), drawn.filter(_scorable())
+    key = ["workload", "k", "r"]
+    own = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(a).alias("temperature")) for a in ("pooled", "own")])).alias("x")
+    points = fits.select(*key, own).select(*key, "x.*").withColumn("point", F.concat_ws(":", "k", "r", "arm"))
+    moved = losses_at(rows, "workload", points).join(points, ["workload", "point"]).select(*key, "arm", "loss", "n")
+    loss = lambda t: prob.nll_clip(prob.temperature_scale(F.col("p"), t), F.col("label"))
+    fixed = {"raw": F.lit(1.0), "serving": F.col("serving")}
+    sums = rows.groupBy("workload").agg(*[F.sum(loss(t)).alias(a) for a, t in fixed.items()], F.count(loss(F.lit(1.0))).alias("n"))
+    still = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(a).alias("loss")) for a in fixed])).alias("x")
+    every = fits.select(key).join(sums, "workload").select(*key, still, "n").select(*key, "x.*", "n").unionByName(moved)
+    arms = {**fixed, "pooled": F.col("pooled"), "own": F.col("own")}
+    taken = drawn.join(fits, key).groupBy(*key).agg(*[F.sum(loss(t)).alias(a) for a, t in arms.items()], F.count(loss(F.lit(1.0))).alias("out"))
+    less = F.element_at(F.create_map(*[x for a in arms for x in (F.lit(a), F.col(a))]), F.col("arm"))
+    return every.join(taken, key).select(*key, "arm", ((F.col("loss") - less) / (F.col("n") - F.col("out"))).alias("nll"))
+
+
 class Scorer:
     """What turns views into vectors: ``score(prompts, n_labels)``, each row's result independent of its batch."""
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions import prob
@@ -60,17 +63,10 @@ def calibration_experiment(spark, sf_dir):
     rows = rows.join(F.broadcast(serving), "primitive")  # one row for each primitive
     size = rows.groupBy("workload").agg(F.count("*").alias("size"))
     rows = materialize(rows.join(size, "workload"), "experiment")
-    out = None
-    for k in (25, 50, 100):
-        drawn = resample.sample_k(rows.filter(F.col("size") > k + 20), ["workload"], "id", k=k, repeats=50, seed=str(k))
-        own = calibrate.fit_samples(drawn, ["workload", "r"]).withColumnRenamed("temperature", "own")
-        pooled = calibrate.fit_samples(drawn, ["r"]).withColumnRenamed("temperature", "pooled")  # fifty samples of k rows of each workload
-        ids = drawn.select("workload", "r", "id")
-        fits = own.join(pooled, "r")
-        rest = rows.join(fits, "workload").join(ids, ["workload", "r", "id"], "left_anti")
-        arms = F.explode(F.array(F.struct(F.lit("raw").alias("arm"), F.lit(1.0).alias("t")), F.struct(F.lit("serving").alias("arm"), F.col("serving").alias("t")), F.struct(F.lit("pooled").alias("arm"), F.col("pooled").alias("t")), F.struct(F.lit("own").alias("arm"), F.col("own").alias("t"))))
-        each = rest.withColumn("x", arms).select("workload", "r", "label", F.col("x.arm").alias("arm"), prob.temperature_scale(F.col("p"), F.col("x.t")).alias("p"))
-        nll = each.groupBy("workload", "r", "arm").agg(F.avg(prob.nll_clip(F.col("p"), F.col("label"))).alias("nll"))
-        found = nll.groupBy("workload", "arm").agg(F.lit(k).alias("k"), F.round(F.avg("nll"), 4).alias("nll"), F.round(F.percentile("nll", 0.025), 4).alias("low"), F.round(F.percentile("nll", 0.975), 4).alias("high"))
-        out = found if out is None else out.union(found)
-    return out
+    samples = [resample.sample_k(rows.filter(F.col("size") > k + 20), ["workload"], "id", k=k, repeats=50, seed=str(k)).withColumn("k", F.lit(k)) for k in (25, 50, 100)]
+    drawn = materialize(reduce(DataFrame.unionByName, samples), "samples")
+    own = calibrate.fit_samples(drawn, ["workload", "k", "r"]).withColumnRenamed("temperature", "own")
+    pooled = calibrate.fit_samples(drawn, ["k", "r"]).withColumnRenamed("temperature", "pooled")  # a sample of k rows of each workload
+    fits = materialize(own.join(pooled, ["k", "r"]), "fits")
+    nll = calibrate.held_out_losses(rows, drawn, fits)
+    return nll.groupBy("workload", "arm", "k").agg(F.round(F.avg("nll"), 4).alias("nll"), F.round(F.percentile("nll", 0.025), 4).alias("low"), F.round(F.percentile("nll", 0.975), 4).alias("high"))
