@@ -58,6 +58,33 @@ def question_problem(kind: Column, names: Column, descriptions_null: Column) ->
     )
 
 
+#: The most characters of a state's compact JSON by length tier, and the options of a generated choice.
+TIERS = {"short": 500, "medium": 2500, "long": 6500}
+OPTIONS = (3, 26)
+
+
+def scenario_problem(kind: Column, wanted: Column, options: Column, expected: Column, state: Column, tier: Column) -> Column:
+    """Why a generated scenario isn't valid, or null: the first problem of its question, its expected answer, its state.
+
+    ``wanted`` and ``tier`` are its cell's; ``options`` the names or levels, ``expected`` the text of a JSON
+    scalar, ``state`` compact JSON. A null state, an unknown tier and a null type are problems too.
+    """
+    n = F.coalesce(F.size(options), F.lit(0))
+    unfit = label_index(kind, expected, options).isNull()
+    most = F.element_at(F.create_map(*[F.lit(x) for pair in TIERS.items() for x in pair]), tier)
+    return (
+        F.when(~kind.eqNullSafe(wanted) | kind.isNull(), "primitive mismatch")
+        .when(question_problem(kind, F.when(kind != "noul", options), F.lit(False)).isNotNull(), "invalid question")
+        .when((kind == "choice") & unfit, "expected not among options")
+        .when((kind == "choice") & ~n.between(*OPTIONS), "choice option count out of range")
+        .when((kind == "score") & unfit, "expected level out of range")
+        .when((kind == "noul") & unfit, "expected must be a boolean")
+        .when(state.isNull() | ~F.substring(state, 1, 1).isin('"', "{", "["), "state must be a string, object, or array")
+        .when(most.isNull(), "unknown tier")
+        .when(F.length(state) > most, "state too long for its tier")
+    )
+
+
 def containment(docs: DataFrame, items: DataFrame, id_col: str, item_col: str, text_col: str = "text", least: int = 4) -> DataFrame:
     """(id, item): texts that contain an item's text verbatim, by an equi-join on an anchor of each item.
 

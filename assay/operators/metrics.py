@@ -110,3 +110,32 @@ def fidelity(pair: DataFrame) -> list[Column]:
         F.max(prob.drift(p, q)).alias("max_drift"),
         F.avg(F.when(F.col("primitive") == "noul", F.abs(prob.at(p, F.lit(1)) - prob.at(q, F.lit(1))))).alias("noul_mae"),
     ]
+
+
+#: Arms that are compared at once.
+ARMS = 100
+
+
+def arm_marks(expected: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(example, qid, arm, correct) of each expected answer (example, qid, expected array<string>) in each arm of ``outputs``.
+
+    Yes is a probability of one half or more; otherwise the first of the likeliest options, or levels, is
+    right if it is among those expected. An answer that an arm lacks, or of a type that isn't known, has a
+    null mark: it is not dropped.
+    """
+    arms = [r["arm"] for r in outputs.select("arm").distinct().limit(ARMS + 1).collect()]
+    if len(arms) > ARMS:
+        raise ValueError(f"more than {ARMS} arms")
+    every = expected.withColumn("arm", F.explode(F.array(*[F.lit(a) for a in arms]).cast("array<string>")))
+    p = F.map_values("probabilities")
+    top = F.get(F.map_keys("probabilities"), F.array_position(p, F.array_max(p)).cast("int") - 1)
+    said = F.when(F.col("type") == "noul", F.when(F.col("noul") >= 0.5, "true").when(F.col("noul") < 0.5, "false")).when(F.col("type").isin("choice", "score"), top)
+    return every.join(outputs, ["arm", "example", "qid"], "left").select("example", "qid", "arm", F.array_contains("expected", said).alias("correct"))
+
+
+def arm_table(marks: DataFrame) -> DataFrame:
+    """(example, arm, n, n_correct, n_missing) for each example and, as ``Total``, each arm."""
+    sets = marks.groupingSets([["example", "arm"], ["arm"]], "example", "arm")
+    total = F.when(F.grouping("example") == 1, "Total").otherwise(F.col("example"))
+    counted = sets.agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"), F.count_if(F.isnull("correct")).alias("n_missing"), total.alias("name"))
+    return counted.select(F.col("name").alias("example"), "arm", "n", "n_correct", "n_missing")

@@ -356,3 +356,27 @@ def versions_in_force(spark, sf_dir):
     told = events.filter("event_id % 29 = 0").select("workload", "ts", F.col("event_id").alias("version"))
     out = registry.in_force(events.filter("event_id % 29 <> 0"), registry.admitted(told, 32))
     return out.select("event_id", "version", F.when(F.col("version").isNull(), "refused").otherwise("served").alias("outcome"))
+
+
+SCENARIOS = """WITH c AS (SELECT doc_id, text, ['choice','score','noul'][doc_id % 3 + 1] AS wanted, ['short','medium','long'][doc_id % 4 % 3 + 1] AS tier FROM documents),
+s AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'noul' ELSE wanted END AS kind, CASE wanted WHEN 'choice' THEN 1 + doc_id % 30 WHEN 'score' THEN 1 + doc_id % 11 ELSE 0 END AS k, CASE WHEN doc_id % 13 = 0 THEN '7' ELSE to_json(text)::VARCHAR END AS state,
+  CASE wanted WHEN 'choice' THEN doc_id % 32 WHEN 'score' THEN doc_id % 12 ELSE -1 END AS e FROM c)
+SELECT doc_id, CASE WHEN kind <> wanted THEN 'primitive mismatch' WHEN kind = 'score' AND k NOT BETWEEN 2 AND 10 THEN 'invalid question' WHEN kind = 'choice' AND e >= k THEN 'expected not among options' WHEN kind = 'choice' AND k NOT BETWEEN 3 AND 26 THEN 'choice option count out of range'
+  WHEN kind = 'score' AND e >= k THEN 'expected level out of range' WHEN kind = 'noul' AND doc_id % 5 = 0 THEN 'expected must be a boolean' WHEN state = '7' OR state IS NULL THEN 'state must be a string, object, or array'
+  WHEN length(state) > CASE tier WHEN 'short' THEN 500 WHEN 'medium' THEN 2500 ELSE 6500 END THEN 'state too long for its tier' END AS problem FROM s"""
+
+
+@query(SCENARIOS)
+def scenario_problems(spark, sf_dir):
+    """Each document as a generated scenario of its cell, and the first thing that is wrong with it."""
+    of = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (n + 1).cast("int"))
+    i = F.col("doc_id")
+    wanted = of(("choice", "score", "noul"), i % 3)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", wanted.alias("wanted"), of(("short", "medium", "long"), i % 4 % 3).alias("tier"))
+    number = lambda choice, score: F.when(F.col("wanted") == "choice", choice).when(F.col("wanted") == "score", score).otherwise(0)
+    names = F.transform(F.sequence(F.lit(0), F.greatest(number(1 + i % 30, 1 + i % 11), F.lit(1)) - 1), lambda j: F.concat(F.lit("o"), j.cast("string")))
+    expected = F.when(F.col("wanted") == "choice", F.concat(F.lit("o"), (i % 32).cast("string"))).when(F.col("wanted") == "score", (i % 12).cast("string")).when(i % 5 == 0, "1").otherwise("true")
+    state = F.when(i % 13 == 0, "7").otherwise(F.regexp_extract(F.to_json(F.struct("text")), '(?s)^.{8}(.*).$', 1))
+    state = F.when(F.isnotnull("text") | (i % 13 == 0), state)
+    kind = F.when(i % 11 == 0, "noul").otherwise(F.col("wanted"))
+    return rows.select("doc_id", filters.scenario_problem(kind, F.col("wanted"), names, expected, state, F.col("tier")).alias("problem"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assay.functions.prob import indices
+from assay.operators import metrics
 from assay.sources import readers, sinks
 from assay.storage import new_path
 
@@ -64,3 +66,22 @@ def recast_documents(spark, sf_dir):
     """A labelled table recast as a choice; texts cut at 1,500 characters."""
     out = readers.recast(table(spark, sf_dir, "documents"), "text", "lang", ["de", "en", "es", "fr"])
     return out.select("doc_id", "target_index", F.md5("state").alias("state_md5"))
+
+
+MARKS = f"""WITH {sql()}, {sql('43', 1.5, 'other')}, a AS (SELECT 'first run' AS arm, * FROM pred UNION ALL SELECT 'second+run', * FROM other),
+m AS (SELECT arm, group_id AS example, CASE primitive WHEN 'noul' THEN (p[2] >= 0.5) = (label = 1) WHEN 'score' THEN predicted IN (label, label + 1) ELSE predicted = label END AS correct FROM a)
+SELECT coalesce(example, 'Total') AS example, arm, count(*) AS n, count(*) FILTER (correct) AS n_correct, 0 AS n_missing FROM m GROUP BY GROUPING SETS ((example, arm), (arm))"""
+
+
+@query(MARKS)
+def example_outputs(spark, sf_dir):
+    """Two runs' answers written as JSON by arm, read back and marked against what is expected: a level or the next, an option, yes or no."""
+    path = new_path(spark, "outputs")
+    kind, label = F.col("primitive"), F.col("label")
+    held = F.map_from_arrays(F.transform(indices(F.col("p")), lambda i: i.cast("string")), F.col("p"))
+    answer = F.struct(kind.alias("type"), F.when(kind == "noul", F.get("p", F.lit(1))).alias("noul"), F.when(kind != "noul", held).alias("probabilities"))
+    for arm, rows in (("first run", predictions(spark, sf_dir)), ("second+run", predictions(spark, sf_dir, "43", 1.5))):
+        rows.groupBy(F.col("group_id").alias("example")).agg(F.map_from_entries(F.collect_list(F.struct("id", answer))).alias("answers")).write.json(f"{path}/{arm}")
+    right = F.when(kind == "noul", F.array((label == 1).cast("string"))).when(kind == "score", F.array(label.cast("string"), (label + 1).cast("string"))).otherwise(F.array(label.cast("string")))
+    expected = predictions(spark, sf_dir).select(F.col("group_id").alias("example"), F.col("id").alias("qid"), right.alias("expected"))
+    return metrics.arm_table(metrics.arm_marks(expected, readers.arm_outputs(spark, f"{path}/*/part-*", whole_files=False)))

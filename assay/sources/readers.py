@@ -105,3 +105,20 @@ def rubric_fixture(spark: SparkSession, path: str) -> DataFrame:
     families = doc.select(F.posexplode("families").alias("f", "family"))
     cases = families.select("f", "family.name", "family.question.type", F.posexplode("family.cases").alias("i", "case"))
     return cases.select("name", "type", "i", F.get("case", F.lit(0)).alias("state"), F.get("case", F.lit(1)).cast("int").alias("label"), F.concat("name", F.lit(":"), F.floor(F.col("i") / 3).cast("string")).alias("group_id"))
+
+
+OUTPUTS = "example string, answers map<string, struct<type string, noul double, probabilities map<string, double>>>"
+
+
+def arm_outputs(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """(arm, example, qid, type, noul, probabilities): answers of several arms, one folder an arm (``name`` or ``arm=name``).
+
+    A file is one JSON document (``whole_files``) or has one on each line. The example is the document's
+    own field, else the file's name. Malformed files fail the job.
+    """
+    found = spark.read.schema(OUTPUTS).json(path, multiLine=whole_files, mode="FAILFAST")
+    parts = F.split(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "/")
+    arm = F.regexp_replace(F.element_at(parts, -2), "^arm=", "")
+    stem = F.regexp_replace(F.element_at(parts, -1), "[.]json$", "")
+    rows = found.select(arm.alias("arm"), F.coalesce("example", stem).alias("example"), F.explode("answers").alias("qid", "answer"))
+    return rows.select("arm", "example", "qid", "answer.*")
