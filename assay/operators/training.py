@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions import prob
+from assay.functions import prob, render
 
 from .pairing import checked
 from .resample import consecutive, seeded
@@ -99,3 +99,36 @@ def scanned(rows: DataFrame, source: str, text: Column, label: Column, extra: li
     held = rows.select(F.col(id_col).cast("string").alias("id"), text.alias("state"), label.cast("int").alias("label"), F.to_json(F.struct(*extra)).alias("extra"))
     placed = consecutive(held.withColumn("_h", F.struct(seeded(seed, "id").alias("h"), "id")), "_h", "place").drop("_h")
     return placed.filter(F.length("state") >= least).select(F.lit(source).alias("source"), "id", F.substring("state", 1, most).alias("state"), "label", "place", "extra")
+
+
+def legacy_converted(rows: DataFrame, task: str = "legacy") -> DataFrame:
+    """``rows`` with ``prompt``, ``labels``, ``target_index``, ``target``, ``task`` and ``problem``: questions as historical training rows.
+
+    ``rows`` hold a question each (state, type, instructions, names, descriptions, label, src). ``label`` is
+    JSON: of a choice the name of an option or its number, of a score a number, in quotes or not; true, 1,
+    "yes" and "true" mean yes and all else no. Fractions are cut. A choice of more than 26 options and a
+    label that names nothing have a problem and no row of their own values: they stay, to be counted.
+    Yes and no are shown as a choice of no and yes, with the descriptions given in that order.
+    """
+    kind, label, names = F.col("type"), F.col("label"), F.col("names")
+    quoted = label.startswith('"')
+    plain = F.when(quoted, F.from_json(F.concat(F.lit('{"v":'), label, F.lit("}")), "v string")["v"]).otherwise(label)
+    whole = F.when(label == "true", 1).when(label == "false", 0).when(plain.rlike("^-?[0-9]{1,9}$") | (~quoted & plain.rlike("^-?[0-9]{1,9}[.][0-9]+$")), plain.cast("double").cast("int"))
+    named = F.when(F.array_contains(names, plain), (F.array_position(names, plain) - 1).cast("int"))
+    index = F.when(kind == "choice", F.when(quoted, named).otherwise(whole)).when(kind == "score", whole)
+    yes = F.coalesce(label.isin("true", "1", "1.0", '"yes"', '"true"'), F.lit(False)).cast("int")
+    shown = F.when(kind == "noul", F.array(F.lit("no"), F.lit("yes"))).otherwise(names)
+    n = F.coalesce(F.size(shown), F.lit(0))
+    at = F.when(kind == "noul", yes).otherwise(F.when(index.between(0, n - 1), index))
+    described = F.transform(shown, lambda _, i: F.get("descriptions", i))
+    asked = F.when(kind == "score", render.legacy_score(F.col("state"), F.col("instructions"), shown)).otherwise(render.legacy_choice(F.col("state"), F.col("instructions"), shown, described))
+    problem = F.when(~F.coalesce(kind.isin("choice", "score", "noul"), F.lit(False)), "unknown type").when(n > 26, "more options than letters").when(at.isNull(), "label names no option").when(asked.isNull(), "no state or instructions")
+    fine = lambda c: F.when(F.col("problem").isNull(), c)
+    out = rows.withColumn("problem", problem)
+    return out.withColumns({
+        "prompt": fine(asked),
+        "labels": fine(F.transform(shown, lambda _, i: F.concat(F.lit(" "), render.letter(i)))),
+        "target_index": fine(at),
+        "target": fine(prob.one_hot(at, n)),
+        "task": fine(F.concat_ws(":", F.lit(task), F.coalesce("src", F.lit("?")))),
+    })

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assay.functions import answers
+from assay.functions import answers, render
 from assay.operators import training
 
 from .fixtures import predictions, sql, table
@@ -103,3 +103,29 @@ def name_parts(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier")
     side = F.concat(F.col("s_suppkey").cast("string"), F.element_at(F.array(F.lit("-a"), F.lit("-b"), F.lit("-c")), (F.col("s_suppkey") % 3 + 1).cast("int")))
     return rows.select("s_suppkey", answers.without_prefix(F.col("s_name"), "Supplier#").alias("name"), answers.is_paired(side).alias("paired"))
+
+
+def _legacy_sql() -> str:
+    text = lambda s: "'" + s.replace("'", "''").replace("\n", "'||chr(10)||'") + "'"
+    choice, score = text(f"{render.LEGACY_CHOICE}State:\n"), text(f"{render.LEGACY_SCORE}State:\n")
+    shown = "array_to_string(list_transform(range(k), lambda i: chr((65 + i)::INT)||'. o'||i), chr(10))"
+    return f"""WITH r AS (SELECT doc_id, text, ['choice','score','noul'][doc_id % 3 + 1] AS type, (2 + doc_id % 29)::INT AS k, lang, CASE WHEN doc_id % 3 = 2 THEN ['true','1','"yes"','"no"','0','"true"'][doc_id % 6 + 1] WHEN doc_id % 4 = 0 THEN '"o'||(doc_id % 31)||'"' WHEN doc_id % 4 = 1 THEN '"'||(doc_id % 31)||'"' ELSE (doc_id % 31)::VARCHAR END AS label FROM documents),
+i AS (SELECT *, CASE WHEN type = 'noul' THEN (label IN ('true','1','"yes"','"true"'))::INT WHEN type = 'choice' AND doc_id % 4 = 1 OR type = 'score' AND doc_id % 4 = 0 THEN NULL WHEN doc_id % 31 < k THEN doc_id % 31 END AS pos, CASE WHEN type <> 'noul' AND k > 26 THEN 'more options than letters' END AS wide FROM r),
+p AS (SELECT *, coalesce(wide, CASE WHEN pos IS NULL THEN 'label names no option' WHEN text IS NULL THEN 'no state or instructions' END) AS problem FROM i)
+SELECT doc_id, problem, CASE WHEN problem IS NULL THEN pos::INT END AS target_index, CASE WHEN problem IS NULL THEN CASE WHEN type = 'noul' THEN 2 ELSE k END END::INT AS n_labels, CASE WHEN problem IS NULL THEN 'legacy:'||coalesce(lang, '?') END AS task,
+ CASE WHEN problem IS NULL THEN md5(CASE type WHEN 'noul' THEN {choice}||text||{text(chr(10) * 2 + "Question: Fit?" + chr(10) * 2 + "Options:" + chr(10) + "A. no" + chr(10) + "B. yes: it fits" + chr(10) * 2 + "The best option is")}
+ WHEN 'choice' THEN {choice}||text||{text(chr(10) * 2 + "Question: Fit?" + chr(10) * 2 + "Options:" + chr(10))}||{shown.replace("'. o'||i", "'. o'||i||CASE i WHEN 1 THEN ': it fits' ELSE '' END")}||{text(chr(10) * 2 + "The best option is")}
+ ELSE {score}||text||{text(chr(10) * 2 + "Question: Fit?" + chr(10) * 2 + "Levels:" + chr(10))}||{shown}||{text(chr(10) * 2 + "The best-fitting level is")} END) END AS prompt_md5 FROM p"""
+
+
+@query(_legacy_sql())
+def legacy_conversion(spark, sf_dir):
+    """Questions over documents as historical training rows; labels as names, numbers, numbers in quotes and words."""
+    i, kind = F.col("doc_id"), F.element_at(F.array(F.lit("choice"), F.lit("score"), F.lit("noul")), (F.col("doc_id") % 3 + 1).cast("int"))
+    words = F.element_at(F.array(*[F.lit(x) for x in ("true", "1", '"yes"', '"no"', "0", '"true"')]), (i % 6 + 1).cast("int"))
+    number = (i % 31).cast("string")
+    label = F.when(i % 3 == 2, words).when(i % 4 == 0, F.concat(F.lit('"o'), number, F.lit('"'))).when(i % 4 == 1, F.concat(F.lit('"'), number, F.lit('"'))).otherwise(number)
+    names = F.transform(F.sequence(F.lit(0), (1 + i % 29).cast("int")), lambda j: F.concat(F.lit("o"), j.cast("string")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("state"), kind.alias("type"), F.lit("Fit?").alias("instructions"), names.alias("names"), F.array(F.lit(None).cast("string"), F.lit("it fits")).alias("descriptions"), label.alias("label"), F.col("lang").alias("src"))
+    out = training.legacy_converted(rows)
+    return out.select("doc_id", "problem", "target_index", F.when(F.isnotnull("labels"), F.size("labels")).alias("n_labels"), "task", F.md5("prompt").alias("prompt_md5"))

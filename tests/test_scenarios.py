@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from assay.operators import filters, metrics
+from assay.operators import filters, metrics, training
 from assay.sources import readers
 
 
@@ -64,3 +64,23 @@ def test_scenario_problems_by_hand(spark):
     rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, kind string, wanted string, options array<string>, expected string, state string, tier string, want string")
     found = rows.withColumn("problem", filters.scenario_problem(*[F.col(c) for c in names])).orderBy("i").collect()
     assert [r["problem"] for r in found] == [c[-1] for c in cases]
+
+
+def test_legacy_conversion_by_hand(spark):
+    """Labels of every loose form; what can't be converted stays, with a problem and no values."""
+    three = ["a", "b", "c"]
+    cases = [
+        ("choice", three, '"b"', 1, None), ("choice", three, "2", 2, None), ("choice", three, '"2"', None, "label names no option"), ("choice", three, "3", None, "label names no option"),
+        ("choice", three, "true", 1, None), ("choice", three, None, None, "label names no option"), ("choice", [str(i) for i in range(27)], "1", None, "more options than letters"),
+        ("score", three, "1", 1, None), ("score", three, '"1"', 1, None), ("score", three, "1.7", 1, None), ("score", three, '"1.7"', None, "label names no option"), ("score", three, "-1", None, "label names no option"),
+        ("noul", None, "true", 1, None), ("noul", None, '"yes"', 1, None), ("noul", None, "1", 1, None), ("noul", None, '"true"', 1, None), ("noul", None, '"Yes"', 0, None), ("noul", None, None, 0, None),
+        (None, three, "1", None, "unknown type"),
+    ]
+    rows = spark.createDataFrame([(i, "s", "Fit?", None, "src", *c[:3]) for i, c in enumerate(cases)], "i int, state string, instructions string, descriptions array<string>, src string, type string, names array<string>, label string")
+    found = training.legacy_converted(rows, "old").orderBy("i").collect()
+    assert [(r["target_index"], r["problem"]) for r in found] == [c[3:] for c in cases]
+    for r in found:
+        if r["problem"]:
+            assert r["prompt"] is None and r["labels"] is None and r["target"] is None and r["task"] is None
+        else:
+            assert r["labels"] == [" A", " B", " C"][: len(r["target"])] and r["target"].index(1.0) == r["target_index"] and sum(r["target"]) == 1 and r["task"] == "old:src" and "State:\ns\n" in r["prompt"]
