@@ -8,8 +8,10 @@ byte, and all but the first occurrence (smallest document, then position) are re
 A short passage seldom holds a whole chunk. A second, finer cut therefore takes each two neighbouring
 lines with words as a chunk (blank lines between them don't count), and each line of more than
 ``RUN_WORDS`` words. Lines in repeated fine chunks that stand together form a run, and runs of more than
-``RUN_WORDS`` words are removed as well. Fine chunks are as many as lines, so they are told apart by two
-hashes (of a long line, 64 bits and 60 of its MD5) without comparing bytes, and their texts are not shuffled.
+``RUN_WORDS`` words are removed as well. Fine chunks are as many as lines, so they meet by the numbers
+(64-bit hashes) of their lines. Then the bytes of every line of a repeated fine chunk are compared, once
+for each task that holds it; a chunk with a line whose number stands for several texts is met again by
+its text. So no line goes for a hash alone.
 """
 
 from __future__ import annotations
@@ -53,14 +55,19 @@ def chunks(lines, divisor: int = DIVISOR, least: int = LEAST):
     return let(lines, cut)
 
 
+def line_number(line):
+    """What lines meet by until their bytes are compared."""
+    return F.xxhash64(line)
+
+
 def fine_chunks(lines):
-    """(start, end, d1, d2) of the chunks of the finer cut, with their hashes."""
-    worded = F.filter(F.transform(lines, lambda line, i: F.struct(i.alias("i"), line.alias("line"))), lambda x: x["line"].rlike(WORD))
+    """(start, end, d1, d2, alone) of the chunks of the finer cut: the numbers of the first and the last line, and whether they are one."""
+    worded = F.filter(F.transform(lines, lambda line, i: F.struct(i.alias("i"), line.alias("line"), line_number(line).alias("d"))), lambda x: x["line"].rlike(WORD))
 
     def found(w):
-        both = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: F.struct(a["i"].alias("start"), (b["i"] + 1).alias("end"), F.xxhash64(a["line"], b["line"]).alias("d1"), F.xxhash64(b["line"], a["line"], F.lit(1)).alias("d2")))
+        both = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: F.struct(a["i"].alias("start"), (b["i"] + 1).alias("end"), a["d"].alias("d1"), b["d"].alias("d2"), F.lit(False).alias("alone")))
         long = F.filter(w, lambda x: (F.length(x["line"]) > 2 * RUN_WORDS) & (F.regexp_count(x["line"], F.lit(WORD)) > RUN_WORDS))
-        alone = F.transform(long, lambda x: F.struct(x["i"].alias("start"), (x["i"] + 1).alias("end"), F.xxhash64(x["line"]).alias("d1"), md5_number(x["line"], 15).alias("d2")))
+        alone = F.transform(long, lambda x: F.struct(x["i"].alias("start"), (x["i"] + 1).alias("end"), x["d"].alias("d1"), x["d"].alias("d2"), F.lit(True).alias("alone")))
         return F.concat(both, alone)
 
     return let(worded, found)
@@ -97,6 +104,13 @@ def _meet(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
     return dealt.join(sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), [*on, "part"])
 
 
+def _several_texts(spans: DataFrame, text_col: str, gone: str) -> DataFrame:
+    """Line numbers (``d``) that stand for more than one text among the lines of fine spans."""
+    at = F.array_distinct(F.flatten(F.transform(F.filter(gone, lambda s: s["fine"]), lambda s: F.array(s["start"], s["end"] - 1))))
+    lines = spans.select(F.explode(let(F.split(text_col, "\n"), lambda held: F.transform(at, lambda i: F.get(held, i)))).alias("line"))
+    return lines.select(line_number(F.col("line")).alias("d"), "line").distinct().groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").select("d")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, least: int = LEAST) -> DataFrame:
     """``docs`` with the repeated chunks cut out of the text, and ``n_chunks``, ``n_removed_chunks``, ``n_removed_lines``.
 
@@ -107,11 +121,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Very long texts are cut as others are; an empty table gives an empty result. Columns of ``docs`` stay
     as they are; where a new name is taken, it gets underscores.
     """
-    key, none, h, out, gone, n_all, n_gone, n_lines, held = free_name(docs, "key", "none", "h", "chunks", "gone", "n_chunks", "n_removed_chunks", "n_removed_lines", "held")
+    key, none, h, out, gone, n_all, n_gone, n_lines, held, back = free_name(docs, "key", "none", "h", "chunks", "gone", "n_chunks", "n_removed_chunks", "n_removed_lines", "held", "back")
     keyed = docs.withColumns({key: id_or_default(docs, id_col), none: F.isnull(id_col), h: F.xxhash64(text_col)})
     own = F.struct(F.col(none).alias("none"), F.col(key).alias("key"), F.col(h).alias("h"))
     place = lambda c: F.struct("doc.none", "doc.key", "doc.h", f"{c}.start", f"{c}.end")
-    spans_of = lambda df, fine: df.select(F.col("place.key").alias(key), F.col("place.none").alias(none), F.col("place.h").alias(h), F.struct("place.start", "place.end", F.lit(fine).alias("fine")).alias("span"))
+    spans_of = lambda df, fine: df.select(F.col("place.key").alias(key), F.col("place.none").alias(none), F.col("place.h").alias(h), F.struct("place.start", "place.end", F.lit(fine).alias("fine"), "first").alias("span"))
 
     every = keyed.select(own.alias("doc"), F.explode(chunks(F.split(text_col, "\n"), divisor, least)).alias("chunk"))
     every = every.select(place("chunk").alias("place"), F.xxhash64("chunk.text").alias("digest"), F.col("chunk.text").alias("text"))
@@ -122,17 +136,30 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = rows.groupBy("digest", "text").agg(F.min("place").alias("first"), F.first("parts").alias("parts"))
     # a chunk that very many documents share is compared in parts
     firsts = firsts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    coarse = rows.join(firsts, ["digest", "text", "part"]).filter("place <> first")
+    coarse = rows.join(firsts, ["digest", "text", "part"]).filter("place <> first").withColumn("first", F.lit(False))
 
-    small = keyed.select(own.alias("doc"), F.explode(fine_chunks(F.split(text_col, "\n"))).alias("c")).select(place("c").alias("place"), "c.d1", "c.d2")
+    numbers = ["d1", "d2", "alone"]
+    small = keyed.select(own.alias("doc"), F.explode(fine_chunks(F.split(text_col, "\n"))).alias("c")).select(place("c").alias("place"), *[f"c.{c}" for c in numbers])
     small = materialize(small, "lines")
-    shared = small.groupBy("d1", "d2").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("n")).filter("first < last")
-    shared = materialize(shared.select("d1", "d2", "first", "n"), "shared")
-    fine = _meet(small, shared, ["d1", "d2"]).filter("place <> first")
+    shared = small.groupBy(*numbers).agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("n")).filter("first < last")
+    shared = materialize(shared.select(*numbers, "first", "n"), "shared")
+    fine = _meet(small, shared, numbers).withColumn("first", F.expr("place = first"))
 
     by_doc = spans_of(coarse, False).unionByName(spans_of(fine, True)).groupBy(key, none, h).agg(F.collect_set("span").alias(gone))
-    found = keyed.join(materialize(by_doc, "removed").hint("merge"), [key, none, h], "left")
-    spans = lambda fine: F.filter(gone, lambda s: s["fine"] == fine)
+    by_doc = materialize(by_doc, "removed").hint("merge")
+    several = materialize(_several_texts(keyed.select(key, none, h, text_col).join(by_doc, [key, none, h]), text_col, gone), "several")
+    # chunks that met by such a number: the first of each text stays
+    unsure = small.join(several.withColumnRenamed("d", "d1"), "d1", "left_semi").unionByName(small.join(several.withColumnRenamed("d", "d2"), "d2", "left_semi")).select("place", "alone").distinct()
+    unsure = unsure.groupBy(F.col("place.key").alias(key), F.col("place.none").alias(none), F.col("place.h").alias(h)).agg(F.collect_list(F.struct("place", "alone")).alias(gone))
+    unsure = materialize(unsure, "unsure")
+    ends = lambda x: F.transform(gone, lambda c: F.struct(c["place"].alias("place"), c["alone"].alias("alone"), F.get(x, c["place"]["start"]).alias("a"), F.get(x, c["place"]["end"] - 1).alias("b")))
+    told = keyed.select(key, none, h, text_col).join(unsure, [key, none, h]).select(F.explode(let(F.split(text_col, "\n"), ends)).alias("c"))
+    told = told.groupBy("c.alone", "c.a", "c.b").agg(F.min("c.place").alias("place")).select(F.col("place.key").alias(key), F.col("place.none").alias(none), F.col("place.h").alias(h), F.struct("place.start", "place.end").alias("span"))
+    kept = materialize(told.groupBy(key, none, h).agg(F.collect_set("span").alias(back)), "kept")
+
+    found = keyed.join(by_doc, [key, none, h], "left").join(kept, [key, none, h], "left")
+    stays = lambda s: F.coalesce(F.array_contains(back, F.struct(s["start"], s["end"])), F.lit(False))
+    spans = lambda fine: F.filter(gone, lambda s: (s["fine"] & ~s["first"] & ~stays(s)) if fine else ~s["fine"])
     lines = F.split(text_col, "\n")
     found = found.withColumn(held, F.when(F.isnull(gone), F.array().cast("array<int>")).otherwise(_gone(lines, spans(False), spans(True))))
     stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(held))

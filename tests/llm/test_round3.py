@@ -311,3 +311,17 @@ def test_hot_lines_copy_no_other_chunk(spark, monkeypatch):
     assert sorted(linededup.dedup_lines(docs).collect()) == whole
     assert all(dealt <= hot for hot, dealt in copies) and copies[1] == (1, 1)
     assert sum(r["n_removed_lines"] for r in whole) > 200
+
+
+@pytest.mark.parametrize("number", [lambda line: F.length(line).cast("bigint") % 5, lambda line: F.lit(0).cast("bigint") + 0 * F.length(line)])
+def test_lines_of_one_number_are_told_apart(spark, docs, odd, monkeypatch, number):
+    """Lines whose numbers are forced to be equal are compared as bytes: the result is that of true hashes."""
+    a, b, c = "first " * 60, "other " * 60, "short one"
+    rows = [(1, f"{a}\n{c}\n{b}"), (2, f"{b}\n{c}"), (3, f"{a}\n\n{c}\n{b}"), (4, f"{c}\n{c}\n{c}"), (5, "unlike " * 60), (6, f"{a}\n{b}\n{a}")]
+    small = spark.createDataFrame(rows, "doc_id bigint, text string")
+    frames = [small, odd, docs.select("doc_id", "text")]
+    true = [sorted(linededup.dedup_lines(f).collect(), key=repr) for f in frames]
+    by_id = {r["doc_id"]: r for r in true[0]}
+    assert by_id[1]["text"] == rows[0][1] and by_id[5]["text"] == rows[4][1] and by_id[3]["n_removed_lines"] >= 3
+    monkeypatch.setattr(linededup, "line_number", number)
+    assert [sorted(linededup.dedup_lines(f).collect(), key=repr) for f in frames] == true
