@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions import render, text
-from assay.operators import calibrate, deciding
+from assay.operators import calibrate, deciding, loading, training
 from assay.streaming import requests, windows
 
 from .fixtures import table
@@ -104,3 +107,32 @@ def candidate_decisions(spark, sf_dir):
     asked = spark.createDataFrame(QUESTIONS, "qid string, type string, instructions string, names array<string>, descriptions array<string>")
     out = deciding.decide(docs, asked, calibrate.HashScorer(), "doc_id", readout=deciding.CANDIDATE, contextual=True)
     return out.select(F.col("id").alias("doc_id"), "qid", F.posexplode("p").alias("idx", "value")).select("doc_id", "qid", "idx", F.round("value", 6).alias("value"))
+
+
+def _letters_sql() -> str:
+    """A row for each question under the letter readout, with its prompt."""
+    out = []
+    for qid, kind, ask, names, told in QUESTIONS:
+        names, told = names or ["no", "yes"], told or [None, None]
+        quoted = ["null" if d is None else f'"{d}"' for d in told]
+        lines = [f'{chr(65 + i)}. {{"name":"{n}","description":{d}}}' for i, (n, d) in enumerate(zip(names, quoted))]
+        rest = f'\n\nQuestion type: {kind}\nInstructions JSON:\n"{ask}"\n\nAnswers JSON:\n' + "\n".join(lines) + "\n\nThe best answer is"
+        out.append(f"SELECT id, '{qid}' AS qid, 0 AS view, {_quoted(render.STRUCTURED + 'State JSON:' + chr(10))}||state||{_quoted(rest)} AS prompt FROM s")
+    return " UNION ALL ".join(out)
+
+
+@query(f"""WITH s AS (SELECT doc_id AS id, source, lang, text, coalesce(to_json(text)::VARCHAR, 'null') AS state FROM documents), v AS (SELECT *, 'letters-v1' AS readout FROM ({_letters_sql()}) UNION ALL SELECT *, 'candidate-v1' FROM ({_view_sql()})),
+k AS (SELECT *, CASE qid WHEN 'q1' THEN 2 WHEN 'q2' THEN 3 ELSE 4 END AS n, readout = 'letters-v1' OR qid = 'q1' AS single FROM v)
+SELECT k.id||':'||qid||'/view/'||view AS id, readout, s.source AS task, md5(prompt) AS prompt_md5, CASE WHEN single THEN n ELSE 2 END::INT AS n_labels,
+ CASE WHEN single THEN (k.id % n = n - 1)::INT::DOUBLE ELSE (k.id % n = view)::INT::DOUBLE END AS last_target, round(1/(CASE WHEN single THEN 1 ELSE n END), 6) AS weight, qid = 'q3' AND readout = 'letters-v1' AS ordinal,
+ 'content:'||sha256(coalesce(to_json(replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss'))::VARCHAR, 'null')) AS content, 'group:'||lang AS in_group FROM k JOIN s ON k.id = s.id""")
+def loaded_rows(spark, sf_dir):
+    """Three typed questions of every document loaded as training rows under both readouts: prompts, labels, targets, weights, leakage keys."""
+    asked = spark.createDataFrame(QUESTIONS, "qid string, type string, instructions string, names array<string>, descriptions array<string>")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.coalesce(text.json_string(F.col("text")), F.lit("null")).alias("state"), F.explode(deciding.as_column(asked)).alias("q"))
+    n = F.size("q.keys")
+    target = F.transform("q.keys", lambda _, i: F.when(i == F.col("doc_id") % n, 1.0).otherwise(0.0))
+    examples = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "q.qid").alias("id"), F.col("lang").alias("group_id"), "source", "state", "q", target.alias("target"))
+    rows = reduce(DataFrame.unionByName, [loading.canonical_rows(examples, readout=r) for r in (training.LETTERS, training.CANDIDATE)])
+    key = lambda start: F.filter("leakage_keys", lambda k: k.startswith(start))[0]
+    return rows.select("id", F.col("readout_version").alias("readout"), "task", F.md5("prompt").alias("prompt_md5"), F.size("labels").alias("n_labels"), F.element_at("target", -1).alias("last_target"), F.round("weight", 6).alias("weight"), "ordinal", key("content:").alias("content"), key("group:").alias("in_group"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assay.functions import prob, text
+from assay.operators import loading, training
 
 CANONICAL = "id string, group_id string, source string, state string, type string, answer_keys array<string>, target array<double>, original_target array<double>, target_origin string, provenance string, format_version int"
 
@@ -66,6 +67,29 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
     return parsed.withColumn("original_target", F.coalesce("original_target", "target")).withColumn("target", checked)
 
 
+def training_rows(spark: SparkSession, path: str, renderer: str | None = None, readout: str = training.LETTERS) -> DataFrame:
+    """JSON-lines files as training rows: canonical examples with their questions, or historical prompts; never both in one data set."""
+    flat = "id string, group_id string, source string, target array<double>, format_version int, prompt string, labels array<string>, task string"
+    lines = read_strict(spark, path).withColumn("e", F.from_json("value", flat, {"mode": "FAILFAST"}))
+    # a record is canonical if it has a version at all, and only the first version is known
+    lines = lines.withColumn("versioned", text.json_field(F.col("value"), "format_version"))
+    if not training.one_format(lines, "versioned").filter("versioned is not null").limit(1).count():
+        return loading.legacy_rows(lines.select("file", "line_number", "e.prompt", "e.labels", "e.target", "e.task"), renderer, readout)
+    question = text.json_field(F.col("value"), "question")
+    asked = F.from_json("question", "type string, instructions string, criteria string", {"mode": "FAILFAST"})
+    held = lines.select("e.*", "versioned", text.json_field(F.col("value"), "state").alias("state"), question.alias("question")).withColumn("asked", asked)
+    if bad := held.groupBy("id").count().filter("count > 1").limit(1).collect():
+        raise ValueError(f"duplicate id {bad[0]['id']}")
+    named, levels = F.from_json("asked.criteria", "map<string,string>"), F.from_json("asked.criteria", "array<string>")
+    kind, either = F.col("asked.type"), F.array(F.lit("no"), F.lit("yes"))
+    told = F.when(kind == "noul", F.array(F.element_at(named, F.lit("false")), F.element_at(named, F.lit("true")))).when(kind == "score", levels).otherwise(F.map_values(named))
+    numbers = F.transform(levels, lambda _, i: i.cast("string"))
+    keys = F.when(kind == "noul", either).when(kind == "score", numbers).otherwise(F.map_keys(named))
+    fine = F.when(F.col("versioned") == "1", F.col("id")).otherwise(F.raise_error(F.lit("unknown format")))
+    q = F.struct(kind.alias("type"), F.col("asked.instructions").alias("instructions"), keys.alias("keys"), told.alias("told"))
+    return loading.canonical_rows(held.select(fine.alias("id"), "group_id", "source", "state", q.alias("q"), "target"), renderer or loading.STRUCTURED, readout)
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """(file, sha256, bytes) of every file."""
     files = spark.read.format("binaryFile").load(path)
