@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assay.functions import answers, render
-from assay.operators import training
+from assay.functions import answers, render, text
+from assay.operators import reserved, training
 
 from .fixtures import predictions, sql, table
 from .registry import query
@@ -129,3 +129,59 @@ def legacy_conversion(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("state"), kind.alias("type"), F.lit("Fit?").alias("instructions"), names.alias("names"), F.array(F.lit(None).cast("string"), F.lit("it fits")).alias("descriptions"), label.alias("label"), F.col("lang").alias("src"))
     out = training.legacy_converted(rows)
     return out.select("doc_id", "problem", "target_index", F.when(F.isnotnull("labels"), F.size("labels")).alias("n_labels"), "task", F.md5("prompt").alias("prompt_md5"))
+
+
+ROLES, SEGMENTS = ["assistant", "system", "user"], ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+#: Each source's shortest state and how many examples it gives.
+RESERVED = {"quality": (40, 40), "roles": (20, 30), "parts": (8, 12), "segments": (12, 50)}
+
+
+def _reserved_sql() -> str:
+    content = "'content:'||sha256(to_json(replace(lower(trim(regexp_replace({}, '\\s+', ' ', 'g'))), 'ß', 'ss'))::VARCHAR)"
+    strip = "trim(coalesce(text,''), ' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13))"
+    scans = {
+        "quality": f"SELECT doc_id::VARCHAR AS id, {strip} AS state, quality::INT AS label FROM documents JOIN labels USING (doc_id)",
+        "roles": f"SELECT conv_id||':'||turn AS id, {strip} AS state, list_position({ROLES}, role) - 1 AS label FROM conversations",
+        "parts": "SELECT p_partkey::VARCHAR AS id, trim(trim(p_name)||chr(10)||trim(p_type)) AS state, (p_size - 1)::INT AS label FROM part",
+        "segments": f"SELECT c_custkey::VARCHAR AS id, c_name||chr(10)||c_mktsegment AS state, list_position({SEGMENTS}, c_mktsegment) - 1 AS label FROM customer",
+    }
+    parts, before = [f"ref AS (SELECT {content.format('text')} AS content FROM documents WHERE doc_id % 5 = 0 AND text IS NOT NULL)"], "SELECT NULL::VARCHAR"
+    for name, (least, n) in RESERVED.items():
+        parts += [
+            f"s_{name} AS (SELECT id, state[:1500] AS state, label, place FROM (SELECT *, row_number() OVER (ORDER BY sha256('42:'||id), id) - 1 AS place FROM ({scans[name]})) WHERE length(state) >= {least})",
+            f"c_{name} AS (SELECT *, {content.format('state')} AS content FROM s_{name})",
+            f"m_{name} AS (SELECT *, content IN (SELECT content FROM ref) AS leaked, content IN (SELECT content FROM ({before}) AS b(content) WHERE content IS NOT NULL) AS seen FROM c_{name})",
+            f"d_{name} AS (SELECT *, NOT leaked AND (seen OR row_number() OVER (PARTITION BY content ORDER BY place) > 1) AS duplicate FROM m_{name})",
+            f"k_{name} AS (SELECT * FROM d_{name} WHERE NOT leaked AND NOT duplicate ORDER BY place LIMIT {n})",
+        ]
+        before += f" UNION ALL SELECT content FROM k_{name}"
+    out = []
+    for name in RESERVED:
+        out += [f"SELECT 'reserved:{name}:'||place AS id, id AS row_id, md5(state) AS state_md5, label::INT AS label, 1 AS n FROM k_{name}"]
+        out += [f"SELECT '{name} {why}', NULL, NULL, NULL, count(*) FILTER ({why}) FROM d_{name} WHERE place <= (SELECT max(place) FROM k_{name})" for why in ("leaked", "duplicate")]
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(out)
+
+
+@query(_reserved_sql())
+def reserved_test(spark, sf_dir):
+    """Four sources as one reserved test: label orders asserted, quotas in seeded order, leaked and repeated texts passed over and counted."""
+    place_of = lambda names, c: (F.array_position(F.array(*[F.lit(x) for x in names]), F.col(c)) - 1).cast("int")
+    tables = {
+        "quality": (table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id"), "doc_id", F.lit(""), F.col("text"), F.col("quality"), 2),
+        "roles": (table(spark, sf_dir, "conversations").withColumn("at", F.concat("conv_id", F.lit(":"), "turn")), "at", F.lit(""), F.col("text"), place_of(ROLES, "role"), len(ROLES)),
+        "parts": (table(spark, sf_dir, "part"), "p_partkey", F.col("p_name"), F.col("p_type"), F.col("p_size") - 1, 50),
+        "segments": (table(spark, sf_dir, "customer"), "c_custkey", F.col("c_name"), F.col("c_mktsegment"), place_of(SEGMENTS, "c_mktsegment"), len(SEGMENTS)),
+    }
+    for (rows, *_), name, names in ((tables["roles"], "role", ROLES), (tables["segments"], "c_mktsegment", SEGMENTS)):
+        order = rows.select(name).distinct().withColumn("i", F.expr(f"count(*) over (order by {name} rows between unbounded preceding and 1 preceding)"))  # a row for each label
+        reserved.check_labels(order, "i", name, names)
+    sources = []
+    for name, (rows, id_col, title, body, label, width) in tables.items():
+        least, n = RESERVED[name]
+        sources.append(reserved.Source(name, training.scanned(rows, name, answers.titled(title, body), label, [id_col], id_col, least, 1500), width, n))
+    reference = table(spark, sf_dir, "documents").filter("doc_id % 5 = 0 and text is not null").select(text.content_key(text.json_string(F.col("text"))).alias("key"))
+    examples, dropped = reserved.reserve(sources, reference)
+    none = lambda kind: F.lit(None).cast(kind)
+    counts = dropped.select("source", F.expr("stack(2, 'leaked', leaked, 'duplicate', duplicate) as (why, n)"))
+    counts = counts.select(F.concat_ws(" ", "source", "why").alias("id"), none("string").alias("row_id"), none("string").alias("state_md5"), none("int").alias("label"), "n")
+    return examples.select("id", "row_id", F.md5("state").alias("state_md5"), "label", F.lit(1).cast("long").alias("n")).unionByName(counts)
