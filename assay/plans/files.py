@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from assay.functions.prob import indices
@@ -61,6 +63,28 @@ def resumable_append(spark, sf_dir):
     return spark.read.parquet(path).agg(F.count("*").alias("held")).select("held", F.lit(first).cast("bigint").alias("appended_first"), F.lit(second).cast("bigint").alias("appended_second"))
 
 
+@query(f"WITH {sql()} SELECT 'case-'||id AS \"case\", id, CASE primitive WHEN 'choice' THEN 10 WHEN 'score' THEN 5 ELSE 2 END::INT AS n_options, label::VARCHAR AS gold_label, predicted::INT AS predicted FROM pred")
+def frozen_files(spark, sf_dir):
+    """A run frozen as files with its manifest, and read back with every pin checked."""
+    path, rows = new_path(spark, "frozen"), predictions(spark, sf_dir)
+    kind = F.col("primitive")
+    options = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.concat(F.lit("o"), i.cast("string")))
+    quoted = F.transform(options, lambda o: F.concat(F.lit('"'), o, F.lit('"')))
+    criteria = F.when(kind == "choice", F.concat(F.lit("{"), F.array_join(F.transform(quoted, lambda o: F.concat(o, F.lit(":null"))), ","), F.lit("}"))).when(kind == "score", F.concat(F.lit("["), F.array_join(quoted, ","), F.lit("]"))).otherwise("null")
+    question = F.concat(F.lit('{"type":"'), kind, F.lit('","instructions":"Which?","criteria":'), criteria, F.lit("}"))
+    state = F.concat(F.lit('{"source":"'), "source", F.lit('","group":"'), "group_id", F.lit('"}'))
+    turned = F.concat(F.lit('{"group":"'), "group_id", F.lit('","source":"'), "source", F.lit('"}'))  # the same state, its keys in another order
+    case = F.concat(F.lit('{"case":"case-'), "id", F.lit('","example":{"id":"'), "id", F.lit('","state":'), state, F.lit(',"question":'), question, F.lit(',"provenance":{"gold_label":'), F.col("label").cast("string"), F.lit('}},"request":{"state":'), turned, F.lit(',"questions":{"q":'), question, F.lit("}}}"))
+    rows.select(case.alias("value")).write.text(f"{path}/cases.jsonl")
+    keys = F.when(kind == "choice", options).when(kind == "score", F.transform(options, lambda _, i: i.cast("string"))).otherwise(F.array(F.lit("no"), F.lit("yes")))
+    said = F.struct(F.lit("model-1").alias("model"), F.col("predicted").alias("predicted"))
+    rows.select(F.concat(F.lit("case-"), "id").alias("case"), "id", keys.alias("answer_keys"), F.col("label").alias("gold_label"), said.alias("response")).write.json(f"{path}/predictions.jsonl")
+    pins = {r["file"]: r["sha256"] for r in readers.file_hashes(spark, f"{path}/cases.jsonl").collect()}
+    sinks.write_text(spark, f"{path}/manifest.json", json.dumps({"cases_sha256": pins, "server": {"id": "model-1"}}))
+    out = readers.frozen_run(spark, path, 10_000_000)
+    return out.select("case", "id", F.size("answer_keys").alias("n_options"), "gold_label", F.get_json_object("response", "$.predicted").cast("int").alias("predicted"))
+
+
 @query("SELECT doc_id, (list_position(['de','en','es','fr'], lang) - 1)::INT AS target_index, md5(trim(text[:1500])) AS state_md5 FROM documents WHERE len(trim(text[:1500])) >= 10")
 def recast_documents(spark, sf_dir):
     """A labelled table recast as a choice; texts cut at 1,500 characters."""

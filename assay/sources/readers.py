@@ -5,7 +5,9 @@ Bad input fails with its place, or is set aside with a reason; it is never skipp
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from assay.functions import prob, text
 from assay.operators import loading, training
+from assay.storage import materialize
 
 CANONICAL = "id string, group_id string, source string, state string, type string, answer_keys array<string>, target array<double>, original_target array<double>, target_origin string, provenance string, format_version int"
 
@@ -67,6 +70,18 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
     return parsed.withColumn("original_target", F.coalesce("original_target", "target")).withColumn("target", checked)
 
 
+def question_parts(question: Column) -> Column:
+    """A question's JSON (type, instructions, criteria) as a struct (type, instructions, keys, told), options in their order."""
+    q = F.from_json(question, "type string, instructions string, criteria string", {"mode": "FAILFAST"})
+    named, levels = F.from_json(q["criteria"], "map<string,string>"), F.from_json(q["criteria"], "array<string>")
+    kind, lacking = q["type"], F.lit(None).cast("string")
+    either = F.array(F.coalesce(F.element_at(named, F.lit("false")), lacking), F.coalesce(F.element_at(named, F.lit("true")), lacking))
+    told = F.when(kind == "noul", either).when(kind == "score", levels).otherwise(F.map_values(named))
+    numbers = F.transform(levels, lambda _, i: i.cast("string"))
+    keys = F.when(kind == "noul", F.array(F.lit("no"), F.lit("yes"))).when(kind == "score", numbers).otherwise(F.map_keys(named))
+    return F.struct(kind.alias("type"), q["instructions"].alias("instructions"), keys.alias("keys"), told.alias("told"))
+
+
 def training_rows(spark: SparkSession, path: str, renderer: str | None = None, readout: str = training.LETTERS) -> DataFrame:
     """JSON-lines files as training rows: canonical examples with their questions, or historical prompts; never both in one data set."""
     flat = "id string, group_id string, source string, target array<double>, format_version int, prompt string, labels array<string>, task string"
@@ -75,19 +90,55 @@ def training_rows(spark: SparkSession, path: str, renderer: str | None = None, r
     lines = lines.withColumn("versioned", text.json_field(F.col("value"), "format_version"))
     if not training.one_format(lines, "versioned").filter("versioned is not null").limit(1).count():
         return loading.legacy_rows(lines.select("file", "line_number", "e.prompt", "e.labels", "e.target", "e.task"), renderer, readout)
-    question = text.json_field(F.col("value"), "question")
-    asked = F.from_json("question", "type string, instructions string, criteria string", {"mode": "FAILFAST"})
-    held = lines.select("e.*", "versioned", text.json_field(F.col("value"), "state").alias("state"), question.alias("question")).withColumn("asked", asked)
+    held = lines.select("e.*", "versioned", text.json_field(F.col("value"), "state").alias("state"), text.json_field(F.col("value"), "question").alias("question"))
     if bad := held.groupBy("id").count().filter("count > 1").limit(1).collect():
         raise ValueError(f"duplicate id {bad[0]['id']}")
-    named, levels = F.from_json("asked.criteria", "map<string,string>"), F.from_json("asked.criteria", "array<string>")
-    kind, either = F.col("asked.type"), F.array(F.lit("no"), F.lit("yes"))
-    told = F.when(kind == "noul", F.array(F.element_at(named, F.lit("false")), F.element_at(named, F.lit("true")))).when(kind == "score", levels).otherwise(F.map_values(named))
-    numbers = F.transform(levels, lambda _, i: i.cast("string"))
-    keys = F.when(kind == "noul", either).when(kind == "score", numbers).otherwise(F.map_keys(named))
     fine = F.when(F.col("versioned") == "1", F.col("id")).otherwise(F.raise_error(F.lit("unknown format")))
-    q = F.struct(kind.alias("type"), F.col("asked.instructions").alias("instructions"), keys.alias("keys"), told.alias("told"))
-    return loading.canonical_rows(held.select(fine.alias("id"), "group_id", "source", "state", q.alias("q"), "target"), renderer or loading.STRUCTURED, readout)
+    return loading.canonical_rows(held.select(fine.alias("id"), "group_id", "source", "state", question_parts(F.col("question")).alias("q"), "target"), renderer or loading.STRUCTURED, readout)
+
+
+def frozen_run(spark: SparkSession, path: str, most: int) -> DataFrame:
+    """(case, id, answer_keys, gold_label, response) of a frozen run under ``path``, or an error where it isn't what its manifest says.
+
+    ``manifest.json`` names the model (``server.id``) and pins the files of ``cases.jsonl`` (``cases_sha256``: one hash, or
+    one for each file); they are hashed before and after reading. There are 1 to ``most`` cases, each once, with a
+    prediction each in ``predictions.jsonl``. A prediction has its case's example, options and gold label, and comes
+    from the model; the request holds the example's state and question. Values are compared without the order of
+    their keys. Both sides meet by case, not by line.
+    """
+    if most < 1:
+        raise ValueError("the number of requests must be positive")
+    manifest = json.loads(spark.read.text(f"{path}/manifest.json", wholetext=True).first()[0])
+
+    def pinned() -> None:
+        found, want = {r["file"]: r["sha256"] for r in file_hashes(spark, f"{path}/cases.jsonl").collect()}, manifest["cases_sha256"]
+        if (found != want) if isinstance(want, dict) else (list(found.values()) != [want]):
+            raise ValueError("the cases differ from the frozen manifest")
+
+    pinned()
+    of = lambda c, *names: reduce(text.json_field, names, F.col(c))
+    whole = lambda c, *names: text.sorted_json(F.coalesce(of(c, *names), F.lit("null")))
+    plain = lambda c: F.from_json(F.concat(F.lit('{"v":'), c, F.lit("}")), "v string")["v"]
+    cases = read_strict(spark, f"{path}/cases.jsonl").select("value").withColumn("question", of("value", "example", "question"))
+    same = (whole("value", "request", "state") == whole("value", "example", "state")) & (whole("value", "request", "questions") == F.concat(F.lit('{"q":'), text.sorted_json("question"), F.lit("}")))
+    cases = cases.select(plain(of("value", "case")).alias("case"), plain(of("value", "example", "id")).alias("id"), question_parts(F.col("question"))["keys"].alias("answer_keys"), of("value", "example", "provenance", "gold_label").alias("gold_label"), same.alias("same"))
+    said = read_strict(spark, f"{path}/predictions.jsonl").select("value")
+    keys = F.from_json(of("value", "answer_keys"), "array<string>")
+    said = said.select(plain(of("value", "case")).alias("case"), plain(of("value", "id")).alias("own_id"), keys.alias("own_keys"), of("value", "gold_label").alias("own_label"), plain(of("value", "response", "model")).alias("model"), of("value", "response").alias("response"))
+    cases, said = materialize(cases, "cases"), materialize(said, "predictions")
+    pinned()
+    n, m, named = cases.limit(most + 1).count(), said.limit(most + 1).count(), cases.select("case").distinct().limit(most + 1).count()
+    if not 1 <= n <= most or n != m or n != named:
+        raise ValueError(f"{n} cases with {named} names and {m} predictions, of 1 to {most}")
+    both = cases.join(said, "case", "full")
+    problem = (
+        F.when(F.isnull("id") | ~F.coalesce((F.col("id") == F.col("own_id")) & (F.col("answer_keys") == F.col("own_keys")), F.lit(False)), "cases and predictions do not match")
+        .when(~F.coalesce(F.col("same"), F.lit(False)), "the request is not the example's")
+        .when(~F.col("gold_label").eqNullSafe(F.col("own_label")), "the gold label has changed")
+        .when(~F.coalesce(F.col("model") == F.lit(manifest["server"]["id"]), F.lit(False)), "another model answered")
+    )
+    name = F.when(problem.isNull(), F.col("case")).otherwise(F.raise_error(F.concat(F.coalesce("case", F.lit("?")), F.lit(": "), problem)))
+    return both.select(name.alias("case"), "id", "answer_keys", "gold_label", "response")
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:

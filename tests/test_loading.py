@@ -1,5 +1,6 @@
 """Training rows loaded from files: canonical examples under both readouts and renderers, historical prompts, and what fails."""
 
+import hashlib
 import json
 
 import pytest
@@ -73,3 +74,43 @@ def test_no_examples_make_no_rows(spark):
     kind = "id string, group_id string, source string, state string, q struct<type:string,instructions:string,keys:array<string>,told:array<string>>, target array<double>, prompt int"
     assert loading.canonical_rows(spark.createDataFrame([], kind)).columns == loading.COLUMNS
     assert not loading.canonical_rows(spark.createDataFrame([], kind)).collect()
+
+
+def freeze(folder, spoil=lambda cases, said, manifest: None, after=None):
+    folder.mkdir()
+    cases = [{"case": f"k{e['id']}", "example": {**e, "provenance": {"gold_label": e["target"].index(max(e["target"]))}}, "request": {"state": e["state"], "questions": {"q": e["question"]}}} for e in EXAMPLES]
+    keys = [["zebra", "apple"], ["0", "1", "2"], ["no", "yes"]]
+    said = [{"case": c["case"], "id": c["example"]["id"], "answer_keys": k, "gold_label": c["example"]["provenance"]["gold_label"], "response": {"model": "m"}} for c, k in zip(cases, keys)]
+    manifest = {"server": {"id": "m"}}
+    spoil(cases, said, manifest)
+    write(folder / "cases.jsonl", cases)
+    write(folder / "predictions.jsonl", said)
+    manifest["cases_sha256"] = hashlib.sha256((folder / "cases.jsonl").read_bytes()).hexdigest()
+    (folder / "manifest.json").write_text(json.dumps(manifest))
+    if after:
+        after(folder)
+    return str(folder)
+
+
+def test_frozen_runs_are_read_with_their_pins(spark, tmp_path):
+    rows = {r["case"]: r for r in readers.frozen_run(spark, freeze(tmp_path / "run"), 3).collect()}
+    assert {k: (r["id"], list(r["answer_keys"]), r["gold_label"]) for k, r in rows.items()} == {"ka": ("a", ["zebra", "apple"], "1"), "kb": ("b", ["0", "1", "2"], "1"), "kc": ("c", ["no", "yes"], "0")}
+    with pytest.raises(ValueError, match="of 1 to 2"):
+        readers.frozen_run(spark, str(tmp_path / "run"), 2)
+
+
+@pytest.mark.parametrize(
+    ("spoil", "after", "said"),
+    [
+        (lambda c, p, m: None, lambda f: write(f / "cases.jsonl", []), "differ from the frozen manifest"),
+        (lambda c, p, m: p.pop(), None, "3 cases with 3 names and 2 predictions"),
+        (lambda c, p, m: c[1].update(case="ka"), None, "3 cases with 2 names"),
+        (lambda c, p, m: p[0].update(answer_keys=["apple", "zebra"]), None, "ka: cases and predictions do not match"),
+        (lambda c, p, m: c[2]["request"].update(state="Plain"), None, "kc: the request is not"),
+        (lambda c, p, m: p[1].update(gold_label=2), None, "kb: the gold label"),
+        (lambda c, p, m: m.update(server={"id": "other"}), None, "another model"),
+    ],
+)
+def test_frozen_runs_that_were_touched_fail(spark, tmp_path, spoil, after, said):
+    with pytest.raises(Exception, match=said):
+        readers.frozen_run(spark, freeze(tmp_path / "run", spoil, after), 9).collect()
