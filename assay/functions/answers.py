@@ -34,7 +34,7 @@ def problem(kind: Column, answered: Column, keys: Column, noul: Column, held: Co
 
 def without_prefix(name: Column, prefix: str) -> Column:
     """A source's name without a leading ``prefix``."""
-    return F.when(name.startswith(prefix), F.substring(name, len(prefix) + 1, 1_000_000)).otherwise(name)
+    return F.when(name.startswith(prefix), F.substring(name, F.lit(len(prefix) + 1), F.length(name))).otherwise(name)
 
 
 def is_paired(name: Column) -> Column:

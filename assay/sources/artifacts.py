@@ -24,8 +24,11 @@ def identity(config: dict) -> str:
 
 
 def build(fits: DataFrame, config: dict, workload: str | None = None) -> dict:
-    """The artifact of fits that may be used (one row for each primitive)."""
-    rows = {r["primitive"]: {"temperature": r["temperature"], "n": r["n"], "nll_before": r["nll_before"], "nll_after": r["nll_after"], "at_bound": r["at_bound"]} for r in fits.limit(64).collect()}
+    """The artifact of fits that may be used: one row for each primitive, of which there are few; more than 64 rows are refused."""
+    held = fits.limit(65).collect()
+    if len(held) > 64 or len({r["primitive"] for r in held}) < len(held):
+        raise ValueError("not one fit for each primitive")
+    rows = {r["primitive"]: {"temperature": r["temperature"], "n": r["n"], "nll_before": r["nll_before"], "nll_after": r["nll_after"], "at_bound": r["at_bound"]} for r in held}
     if not rows:
         raise ValueError("no usable fit")
     out = {"format_version": FORMAT, "method": WORKLOAD_METHOD if workload else METHOD, "prediction_config": config, "fits": rows}

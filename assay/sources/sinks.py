@@ -71,8 +71,11 @@ def write_by_regime(rows: DataFrame, path: str) -> None:
 
 
 def markdown_pivot(rows: DataFrame, index: str) -> str:
-    """A small table as Markdown; for reports of a few rows."""
+    """A small table as Markdown; for reports of a few rows, so that more than 1,000 are refused."""
+    held = rows.orderBy(index).limit(1001).collect()
+    if len(held) > 1000:
+        raise ValueError("a report holds at most 1,000 rows")
     columns = [index, *[c for c in rows.columns if c != index]]
     lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    lines += ["| " + " | ".join("" if r[c] is None else str(r[c]) for c in columns) + " |" for r in rows.orderBy(index).limit(1000).collect()]
+    lines += ["| " + " | ".join("" if r[c] is None else str(r[c]) for c in columns) + " |" for r in held]
     return "\n".join(lines)

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from assay.functions import text
+from assay.functions import answers, text
 from assay.operators import reserved
+from assay.sources import artifacts, sinks
 
 KIND = "source string, id string, state string, label int, place long, extra string"
 
@@ -50,3 +51,19 @@ def test_label_orders(spark):
             reserved.check_labels(rows, "i", "name", wrong)
     with pytest.raises(ValueError, match="order of labels"):
         reserved.check_labels(rows.unionByName(spark.createDataFrame([(None, None)], "i int, name string")), "i", "name", ["ham", "spam"])
+
+
+def test_nothing_is_cut_in_silence(spark):
+    """Reports and artifacts of too many rows are refused; a name of any length keeps its end."""
+    wide = spark.range(1001).selectExpr("id", "id as n")
+    with pytest.raises(ValueError, match="1,000"):
+        sinks.markdown_pivot(wide, "id")
+    assert sinks.markdown_pivot(wide.limit(2), "id").count("\n") == 3
+    fits = spark.range(65).selectExpr("concat('p', id) as primitive", "1.0d as temperature", "id as n", "1.0d as nll_before", "1.0d as nll_after", "false as at_bound")
+    for wrong in (fits, fits.limit(1).unionByName(fits.limit(1))):
+        with pytest.raises(ValueError, match="one fit"):
+            artifacts.build(wrong, {})
+    assert len(artifacts.build(fits.limit(3), {})["fits"]) == 3
+    long = spark.createDataFrame([("src:" + "x" * 1_200_000 + "end",), ("other",), (None,)], "name string")
+    found = [r[0] for r in long.select(answers.without_prefix(F.col("name"), "src:")).collect()]
+    assert found == ["x" * 1_200_000 + "end", "other", None]
