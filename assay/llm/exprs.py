@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assay.storage import _BATCH_BYTES, bounded_batches
+
 #: The white space that parts words, and a word.
 SPACES = " \t\n\u000b\f\r"
 GAP = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
-_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -50,12 +51,6 @@ def md5_number(text: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("bigint")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, for whole texts: the default holds 64 MB on both sides of each Python worker."""
-    if spark.conf.get(_BATCH_BYTES) == "67108864b":  # the default; what a user has set stays
-        spark.conf.set(_BATCH_BYTES, "4m")
-
-
 @contextmanager
 def held_batches(spark: SparkSession) -> Iterator[None]:
     """``bounded_batches`` for what runs inside; the session's own setting comes back."""

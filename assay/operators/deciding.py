@@ -2,18 +2,24 @@
 
 Under the letter readout a question is one prompt whose labels are its options. Under the candidate readout each
 option of a choice and each level of a score is a yes/no prompt of its own, and the shares of yes make up the
-distribution; a yes/no question is one prompt either way. Equal prompts are scored once, and a scorer that can go
-on from a prefix reads what prompts share once for each group of them.
+distribution; a yes/no question is one prompt either way. Prompts are scored where they are rendered and never
+shuffled or written: states are made distinct instead. A state's equal prompts are scored once, and a scorer
+that can go on from a prefix reads a state once for all its prompts that begin alike.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assay.functions import prob, render, text
+from assay.storage import bounded_batches
 
-from . import calibrate, pairing, prefixes
+from . import calibrate, pairing
 
 LETTERS, CANDIDATE = "letters", "candidate"
 #: Fixed states without content, whose mean answer is a question's prior; as JSON.
@@ -55,19 +61,58 @@ def prompts(readout: str, state: Column, q: Column) -> Column:
     return F.when(q["type"] == "noul", whole).otherwise(F.transform(candidates, lambda c: render.candidate(state, q["type"], asked, alternatives, c)))
 
 
+def _from_prefixes(scorer: calibrate.PrefixScorer):
+    """Vectors of a row's prompts. A state's last prefix under each head is kept, with what was scored after it."""
+    held: dict[str, tuple[str, object, dict]] = {}
+
+    def one(prompt: str, n: int, length: int) -> list[float]:
+        head = prompt[: prompt.index(render.STATE) + len(render.STATE)]
+        prefix, suffix = prompt[: len(head) + length], prompt[len(head) + length :]
+        if head not in held or held[head][0] != prefix:
+            held[head] = (prefix, scorer.begin(prefix), {})
+        _, state, done = held[head]
+        if (suffix, n) not in done:
+            done[suffix, n] = scorer.finish(state, suffix, n)
+        return done[suffix, n]
+
+    return lambda rows: [[one(prompt, n, length) for prompt in prompts] for prompts, n, length in rows]
+
+
+def _at_once(scorer: calibrate.Scorer):
+    """Vectors of a batch's prompts, equal ones scored once."""
+
+    def run(rows: list[tuple[list[str], int, int]]) -> list[list[list[float]]]:
+        asked = list(dict.fromkeys((prompt, n) for prompts, n, _ in rows for prompt in prompts))
+        found = dict(zip(asked, scorer.score([prompt for prompt, _ in asked], [n for _, n in asked]) if asked else []))
+        return [[found[prompt, n] for prompt in prompts] for prompts, n, _ in rows]
+
+    return run
+
+
+def _scored(scorer: calibrate.Scorer):
+    """Batches (prompts, labels of each, length of the state, further columns) with ``v``, a vector for each prompt, in place of the first three."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = (_from_prefixes if isinstance(scorer, calibrate.PrefixScorer) else _at_once)(scorer)
+        for batch in batches:
+            rows = [([p for p in prompts if p is not None], n, length or 0) for prompts, n, length in zip(*[batch.column(i).to_pylist() for i in range(3)])]
+            v = pa.array([x or None for x in score(rows)], pa.list_(pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], v], [*batch.schema.names[3:], "v"])
+
+    return run
+
+
 def distributions(rows: DataFrame, questions: Column, scorer: calibrate.Scorer, readout: str = LETTERS) -> DataFrame:
-    """(row, state, q, p) of ``rows`` (row, state): each question's distribution over its keys; null for a null state."""
+    """(row, q, p) of ``rows`` (row, state): each question's distribution over its keys; null for a null state."""
+    bounded_batches(rows.sparkSession)
     asked = rows.select("row", "state", F.explode(questions).alias("q"))
-    views = asked.select("row", "q", F.posexplode(prompts(readout, F.col("state"), F.col("q"))).alias("view", "prompt"))
     single = F.lit(readout == LETTERS) | (F.col("q.type") == "noul")
-    views = views.withColumn("n_labels", F.when(single, F.size("q.keys")).otherwise(2))
-    distinct = views.filter("prompt is not null").select("prompt", "n_labels").distinct()
-    score = prefixes.score_shared if isinstance(scorer, calibrate.PrefixScorer) else calibrate.score_views
-    scored = views.join(score(distinct, scorer).select("prompt", "n_labels", "p"), ["prompt", "n_labels"])
-    held = scored.groupBy(F.col("row").alias("of_row"), F.col("q.qid").alias("of_qid")).agg(F.array_sort(F.collect_list(F.struct("view", "p"))).alias("v"))  # a struct for each option
-    both = asked.join(held, F.col("row").eqNullSafe(F.col("of_row")) & (F.col("q.qid") == F.col("of_qid")), "left")
-    combined = prob.normalise(F.transform("v", lambda x: F.get(x["p"], F.lit(1))))
-    return both.select("row", "state", "q", F.when(single, F.get("v", F.lit(0))["p"]).otherwise(combined).alias("p"))
+    n_labels = F.when(single, F.size("q.keys")).otherwise(2)
+    views = asked.select(prompts(readout, F.col("state"), F.col("q")).alias("prompts"), n_labels.alias("n"), F.length("state").alias("length"), "row", "q")
+    schema = T.StructType([*views.schema.fields[3:], T.StructField("v", T.ArrayType(T.ArrayType(T.DoubleType())))])
+    scored = views.mapInArrow(_scored(scorer), schema)
+    combined = prob.normalise(F.transform("v", lambda x: F.get(x, F.lit(1))))
+    return scored.select("row", "q", F.when(single, F.get("v", F.lit(0))).otherwise(combined).alias("p"))
 
 
 def content_free_priors(spark: SparkSession, questions: Column, scorer: calibrate.Scorer, readout: str = LETTERS) -> DataFrame:
@@ -91,7 +136,7 @@ def decide(rows: DataFrame, questions: DataFrame, scorer: calibrate.Scorer, id_c
     out = distributions(held.select("state").distinct().withColumn("row", F.sha2("state", 256)), column, scorer, readout)
     if contextual:
         prior = content_free_priors(rows.sparkSession, column, scorer, readout)
-    out = out.select("row", "state", "q.qid", F.col("q.type").alias("type"), "q.keys", "p")
+    out = out.select("row", "q.qid", F.col("q.type").alias("type"), "q.keys", "p")
     if prior is not None:
         out = out.join(prior, "qid", "left").withColumn("p", F.when(F.isnotnull("prior"), prob.contextual(F.col("p"), F.col("prior"))).otherwise(F.col("p")))
     out = out.withColumn("primitive", F.col("type"))
