@@ -1,13 +1,14 @@
 """Benchmark passages in documents, paraphrases included, by latent semantic retrieval.
 
 Words are hashed to ``TERMS`` terms and weighted by the inverse document frequency of the whole corpus.
-A randomised SVD (subspace iteration, one task's share of A'(AQ) summed over tasks) of the benchmark's
-passages and a bounded sample of the corpus's gives the latent directions. Every window of every
-document is projected on them and compared with the benchmark's passages. A window is a candidate where
-its cosine with a passage, times the window's own length, reaches ``COVER`` of the passage's length: so
-the words around a short passage don't thin it out. Candidates that can't hold half of the item's words
-are dropped by counting words; the rest are checked word by word: the longest common subsequence, and
-whether the item's answer, its last words, stands there.
+A randomised SVD (subspace iteration, one task's share of A'(AQ) summed over tasks) of all passages of
+the benchmark gives the latent directions. Only their span matters to a window's product with a passage, so
+nothing is learned from a sample of the corpus. Every window of every document is projected on them and
+compared with the benchmark's passages. A window is a candidate where its cosine with a passage, times the
+window's own length, reaches ``COVER`` of the passage's length: so the words around a short passage don't
+thin it out. Candidates that can't hold half of the item's words are dropped by counting words; the rest are
+checked word by word: the longest common subsequence, and whether the item's answer, its last words, stands
+there.
 
 The benchmark is the query set. One scan of the corpus takes ``ITEMS`` items, more than benchmarks have;
 beyond it, further scans follow, each with its own broadcast, which is destroyed before the next.
@@ -33,8 +34,8 @@ TERMS = 1 << 16
 RANKS, EXTRA = (128, 256), 16
 STRIDE, SPAN = 16, 3
 WINDOW = STRIDE * SPAN
-#: Documents (expected) that give one passage each to the SVD; items of one scan.
-SAMPLE, ITEMS = 4096, 8192
+#: Items of one scan.
+ITEMS = 8192
 #: Passages that one task of a multiplication takes; its share of A'(AQ) has a fixed size.
 TASK_ROWS = 4096
 COVER = 0.4
@@ -112,27 +113,17 @@ def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - v.bit_count()
 
 
-def _frequencies(threshold: int):
-    """Document frequencies of a task's rows (kind 0), and a passage of each sampled row (kind 1)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, sampled, place = np.zeros(TERMS, np.int64), [], np.empty(TERMS, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for text, h in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns]):
-                    found = terms(normal_bytes(text))
-                    number = np.arange(len(found))
-                    place[found] = number  # the last word of each term stands for it
-                    df[found[place[found] == number]] += 1
-                    if h % 1_000_000 < threshold and len(found):
-                        spans = passages(len(found))
-                        a, b = spans[h // 1_000_000 % len(spans)]
-                        sampled.append(found[a:b].astype("<u4").tobytes())
-        seen = np.flatnonzero(df)
-        n = len(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.zeros(n), np.ones(len(sampled))).astype(np.int32)), pa.array(np.append(seen, np.zeros(len(sampled), np.int64))), pa.array(np.append(df[seen], np.zeros(len(sampled), np.int64))), pa.array([None] * n + sampled, pa.binary())], ["kind", "term", "n", "terms"])
-
-    return run
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Document frequencies of a task's rows: one row for each term that they have."""
+    df, place = np.zeros(TERMS, np.int64), np.empty(TERMS, np.int64)
+    for batch in batches:
+        for text in batch.column(0):
+            found = terms(normal_bytes(text.as_py()))
+            number = np.arange(len(found))
+            place[found] = number  # the last word of each term stands for it
+            df[found[place[found] == number]] += 1
+    seen = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(df[seen])], ["term", "n"])
 
 
 def _random(seed: int, width: int) -> np.ndarray:
@@ -161,12 +152,12 @@ def _product(basis, idf):
         q, weight = (_random(*basis) if isinstance(basis, tuple) else basis.value).astype(np.float32), idf.value
         share = np.zeros_like(q)
         for batch in batches:
-            for data, scale in zip(*[c.to_pylist() for c in batch.columns]):
+            for data in batch.column(0).to_pylist():
                 t, tf = np.unique(np.frombuffer(data, "<u4"), return_counts=True)
                 row = tf * weight[t]
                 norm = np.linalg.norm(row)
                 if norm:
-                    row = (row / norm * scale).astype(np.float32)
+                    row = (row / norm).astype(np.float32)
                     share[t] += np.outer(row, row @ q[t])
         for i, part in enumerate(np.split(share, _CHUNKS)):
             yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.astype(np.float16).tobytes()], pa.binary())], ["chunk", "part"])
@@ -182,7 +173,7 @@ def _added(pdf):
 
 
 def latent_directions(rows: DataFrame, idf: np.ndarray, rank: int, seed: int = SEED) -> np.ndarray:
-    """(TERMS, rank): leading right singular vectors of the passages (terms, scale) by randomised subspace iteration."""
+    """(TERMS, rank): leading right singular vectors of the passages (terms) by randomised subspace iteration."""
     spark, width = rows.sparkSession, rank + EXTRA
     weight = spark.sparkContext.broadcast(idf.astype(np.float32))
     start = (seed, width)  # every task draws the same start, which isn't sent
@@ -410,23 +401,15 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     kind, item_kind = (df.select(c).schema[0].dataType.simpleString() for df, c in ((docs, id_col), (benchmark, item_col)))
     held = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
     total = docs.count()
-    threshold = int(1_000_000 * min(1.0, SAMPLE / max(1, total)))
-    hashed = docs.select(F.col(text_col).cast("string").alias("text"), F.abs(F.xxhash64(id_col, text_col) % (2**62)).alias("h"))
-    seen = materialize(hashed.mapInArrow(_frequencies(threshold), "kind int, term bigint, n bigint, terms binary"), "terms")
     df = np.zeros(TERMS)
-    counted = seen.filter("kind = 0").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # at most TERMS rows
+    counted = held.select("text").mapInArrow(_frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # at most TERMS rows
     df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
     idf = np.log((1 + total) / (1 + df))
-    sampled = seen.filter("kind = 1").select("terms")
-    n_sampled = sampled.count()
 
     def scan(part: list) -> DataFrame:
         own = [terms(b" ".join(words))[a:b] for _, words in part for a, b in passages(len(words))]
-        # the sample weighs as much as the benchmark, so that the directions serve the queries
-        scale = float(np.sqrt(len(own) / n_sampled)) if n_sampled else 1.0
-        rows = spark.createDataFrame([(bytearray(t.astype("<u4").tobytes()), 1.0) for t in own], "terms binary, scale double")
-        tasks = -(-(len(own) + n_sampled) // TASK_ROWS)
-        rows = materialize(rows.union(sampled.select("terms", F.lit(scale).alias("scale"))).repartition(max(2, tasks)), "passages")
+        rows = spark.createDataFrame([(bytearray(t.astype("<u4").tobytes()),) for t in own], "terms binary")
+        rows = materialize(rows.repartition(max(2, -(-len(own) // TASK_ROWS))), "passages")
         rank = min(max(RANKS[0], len(own) // 2), RANKS[1])
         shared = spark.sparkContext.broadcast(Queries.build(part, idf, latent_directions(rows, idf, rank)))
         found = held.mapInArrow(_search(shared), f"id {kind}, h bigint, item bigint, cosine double, lcs_share double, answered boolean")
