@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions import prob, text
-from assay.storage import materialize
+from assay.storage import bounded_batches, materialize
 
 KEPT = "source string, id string, state string, label int, place long, extra string, content string"
 
@@ -38,7 +38,7 @@ def _marked(rows: DataFrame, reference: DataFrame, taken: DataFrame) -> DataFram
     keyed = rows.withColumn("content", text.content_key(text.json_string(F.col("state"))))
     own = F.array("content", F.concat(F.lit("example:"), "source", F.lit(":"), F.col("place").cast("string")), F.concat(F.lit("group:"), "source", F.lit(":"), F.col("place").cast("string")))
     keyed = materialize(keyed.withColumn("keys", own), "reserved")
-    leaks = keyed.select("place", F.explode("keys").alias("key")).join(reference.select("key").distinct(), "key", "left_semi").select("place").distinct().withColumn("leaked", F.lit(True))
+    leaks = keyed.select("place", F.explode("keys").alias("key")).join(reference, "key", "left_semi").select("place").distinct().withColumn("leaked", F.lit(True))
     held = keyed.drop("keys").join(leaks, "place", "left").withColumn("leaked", F.coalesce("leaked", F.lit(False)))
     held = held.join(taken.select("content", F.lit(True).alias("seen")), "content", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
     firsts = held.filter("not leaked and not seen").groupBy("content").agg(F.min("place").alias("first"))
@@ -57,6 +57,8 @@ def reserve(sources: list[Source], reference: DataFrame, prefix: str = "reserved
     if len({s.name for s in sources}) < len(sources) or not sources:
         raise ValueError("sources are named once each")
     spark = sources[0].rows.sparkSession
+    bounded_batches(spark)
+    reference = materialize(reference.select("key").distinct(), "reference")  # hashed once for all sources
     taken, counts = spark.createDataFrame([], KEPT), []
     for s in sources:
         rows = s.rows.withColumn("source", F.concat(F.lit(f"{prefix}:"), F.lit(s.name)))
