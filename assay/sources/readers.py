@@ -7,54 +7,73 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assay.functions import prob, text
 from assay.operators import loading, training
-from assay.storage import materialize
+from assay.storage import bounded_batches, materialize
 
 CANONICAL = "id string, group_id string, source string, state string, type string, answer_keys array<string>, target array<double>, original_target array<double>, target_origin string, provenance string, format_version int"
 
 
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with their place in their split: a task reads a split's lines in order, one split after another."""
-    split, n = None, 0
-    for batch in batches:
-        places = []
-        for now in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            split, n = (split, n + 1) if now == split else (now, 1)
-            places.append(n)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], [*batch.schema.names, "place"])
+def _placed(check: bool):
+    """Rows with their place in their split, and with ``check`` what is wrong with them: a task reads a split's lines in order, one split after another."""
 
+    def problem(line: str) -> str | None:
+        if not line.strip(" "):
+            return None
+        try:
+            text.parse(line)
+        except text.JSONRejected as e:
+            return str(e)
+        return None if line.lstrip(" ").startswith("{") else "not an object"
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_number, value) of every line, numbered from 1, of files of any size.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, n = None, 0
+        for batch in batches:
+            starts = pc.or_(pc.not_equal(batch.column(0)[1:], batch.column(0)[:-1]), pc.not_equal(batch.column(1)[1:], batch.column(1)[:-1])).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(starts) + 1).tolist(), batch.num_rows]
+            places = np.empty(batch.num_rows, np.int64)
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    now = (batch.column(0)[a].as_py(), batch.column(1)[a].as_py())
+                    split, n = now, n if now == split else 0
+                    places[a:b] = np.arange(n + 1, n + 1 + b - a)
+                    n += b - a
+            found = [pa.array([problem(line) for line in batch.column(2).to_pylist()], pa.string())] if check else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places), *found], [*batch.schema.names, "place", *["problem"] * check])
+
+    return run
+
+
+def numbered_lines(spark: SparkSession, path: str, check: bool = False) -> DataFrame:
+    """(file, line_number, value) of every line, numbered from 1, of files of any size; with ``check`` also ``problem``, what isn't strict JSON in it.
 
     A file is read in splits. Lines are counted for each split first; a line's number is its place in its
     split and the lines of the splits before. Lines end as they do in text files anywhere: LF, CR LF or CR.
     """
+    bounded_batches(spark)
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
     splits = raw.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    lines = raw.mapInArrow(_placed, "file string, block bigint, value string, place bigint")
-    return lines.join(splits, ["file", "block"]).select("file", (F.col("before") + F.col("place")).alias("line_number"), "value")
+    lines = raw.mapInArrow(_placed(check), "file string, block bigint, value string, place bigint" + ", problem string" * check)
+    return lines.join(splits, ["file", "block"]).select("file", (F.col("before") + F.col("place")).alias("line_number"), "value", *["problem"] * check)
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_number, value, problem): every line that isn't blank."""
-    rows = numbered_lines(spark, path).filter(F.trim("value") != "")
-    why = text.json_problem(F.col("value"))
-    return rows.withColumn("problem", F.coalesce(why, F.when(~F.ltrim("value").startswith("{"), "not an object")))
+    """(file, line_number, value, problem): every line that isn't blank. A line is numbered and parsed in one pass."""
+    return numbered_lines(spark, path, check=True).filter(F.trim("value") != "")
 
 
 def read_strict(spark: SparkSession, path: str) -> DataFrame:
     """Lines as JSON strings; the job fails at the first bad line, and an empty data set is an error."""
     rows = json_lines(spark, path)
-    if not rows.limit(1).count():
+    if not spark.read.text(path).filter(F.trim("value") != "").limit(1).count():
         raise ValueError(f"{path}: no rows")
     message = F.concat("file", F.lit(":"), F.col("line_number").cast("string"), F.lit(": "), "problem")
     return rows.select("file", "line_number", F.when(F.isnull("problem"), F.col("value")).otherwise(F.raise_error(message)).alias("value"))
@@ -62,7 +81,7 @@ def read_strict(spark: SparkSession, path: str) -> DataFrame:
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
     """Canonical examples with normalised targets; ids must be unique and the format known."""
-    parsed = read_strict(spark, path).select(F.from_json("value", CANONICAL, {"mode": "FAILFAST"}).alias("e")).select("e.*")
+    parsed = materialize(read_strict(spark, path).select(F.from_json("value", CANONICAL, {"mode": "FAILFAST"}).alias("e")).select("e.*"), "examples")  # lines are parsed once
     if bad := parsed.groupBy("id").count().filter("count > 1").limit(1).collect():
         raise ValueError(f"duplicate id {bad[0]['id']}")
     fine = prob.target_normalised(F.col("target"), F.size("answer_keys"))
@@ -116,15 +135,17 @@ def frozen_run(spark: SparkSession, path: str, most: int) -> DataFrame:
             raise ValueError("the cases differ from the frozen manifest")
 
     pinned()
-    of = lambda c, *names: reduce(text.json_field, names, F.col(c))
-    whole = lambda c, *names: text.sorted_json(F.coalesce(of(c, *names), F.lit("null")))
     plain = lambda c: F.from_json(F.concat(F.lit('{"v":'), c, F.lit("}")), "v string")["v"]
-    cases = read_strict(spark, f"{path}/cases.jsonl").select("value").withColumn("question", of("value", "example", "question"))
-    same = (whole("value", "request", "state") == whole("value", "example", "state")) & (whole("value", "request", "questions") == F.concat(F.lit('{"q":'), text.sorted_json("question"), F.lit("}")))
-    cases = cases.select(plain(of("value", "case")).alias("case"), plain(of("value", "example", "id")).alias("id"), question_parts(F.col("question"))["keys"].alias("answer_keys"), of("value", "example", "provenance", "gold_label").alias("gold_label"), same.alias("same"))
-    said = read_strict(spark, f"{path}/predictions.jsonl").select("value")
-    keys = F.from_json(of("value", "answer_keys"), "array<string>")
-    said = said.select(plain(of("value", "case")).alias("case"), plain(of("value", "id")).alias("own_id"), keys.alias("own_keys"), of("value", "gold_label").alias("own_label"), plain(of("value", "response", "model")).alias("model"), of("value", "response").alias("response"))
+    # a line is parsed once for all its fields
+    kept = {"case": ("case",), "id": ("example", "id"), "question": ("example", "question"), "gold_label": ("example", "provenance", "gold_label")}
+    held = {"own_state": ("example", "state"), "own_question": ("example", "question"), "state": ("request", "state"), "questions": ("request", "questions")}
+    cases = read_strict(spark, f"{path}/cases.jsonl").select(text.json_paths(F.col("value"), kept, held).alias("c")).select("c.*")
+    or_null = lambda c: F.coalesce(c, F.lit("null"))
+    same = (or_null("state") == or_null("own_state")) & (or_null("questions") == F.concat(F.lit('{"q":'), "own_question", F.lit("}")))
+    cases = cases.select(plain("case").alias("case"), plain("id").alias("id"), question_parts(F.col("question"))["keys"].alias("answer_keys"), "gold_label", same.alias("same"))
+    fields = {"case": ("case",), "id": ("id",), "keys": ("answer_keys",), "gold_label": ("gold_label",), "model": ("response", "model"), "response": ("response",)}
+    said = read_strict(spark, f"{path}/predictions.jsonl").select(text.json_paths(F.col("value"), fields).alias("p")).select("p.*")
+    said = said.select(plain("case").alias("case"), plain("id").alias("own_id"), F.from_json("keys", "array<string>").alias("own_keys"), F.col("gold_label").alias("own_label"), plain("model").alias("model"), "response")
     cases, said = materialize(cases, "cases"), materialize(said, "predictions")
     pinned()
     n, m, named = cases.limit(most + 1).count(), said.limit(most + 1).count(), cases.select("case").distinct().limit(most + 1).count()

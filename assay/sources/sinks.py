@@ -11,6 +11,9 @@ from assay.operators.pairing import unseen
 
 from .readers import file_hashes
 
+#: Lines of one file at most: a file is hashed whole, in one task.
+FILE_LINES = 100_000
+
 
 def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -42,7 +45,7 @@ def write_dataset(partitions: dict[str, DataFrame], path: str, about: dict | Non
         raise FileExistsError(path)
     manifest = {"about": about or {}, "partitions": {}}
     for name, df in partitions.items():
-        df.orderBy("id").write.mode("errorifexists").json(f"{path}/{name}")
+        df.orderBy("id").write.option("maxRecordsPerFile", FILE_LINES).mode("errorifexists").json(f"{path}/{name}")
         files = file_hashes(spark, f"{path}/{name}/part-*").orderBy("file").collect()
         manifest["partitions"][name] = {"records": df.count(), "files": {r["file"]: r["sha256"] for r in files}}
     write_text(spark, f"{path}/manifest.json", json.dumps(manifest, indent=1, sort_keys=True))
