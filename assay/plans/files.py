@@ -75,7 +75,7 @@ def frozen_files(spark, sf_dir):
     state = F.concat(F.lit('{"source":"'), "source", F.lit('","group":"'), "group_id", F.lit('"}'))
     turned = F.concat(F.lit('{"group":"'), "group_id", F.lit('","source":"'), "source", F.lit('"}'))  # the same state, its keys in another order
     case = F.concat(F.lit('{"case":"case-'), "id", F.lit('","example":{"id":"'), "id", F.lit('","state":'), state, F.lit(',"question":'), question, F.lit(',"provenance":{"gold_label":'), F.col("label").cast("string"), F.lit('}},"request":{"state":'), turned, F.lit(',"questions":{"q":'), question, F.lit("}}}"))
-    rows.select(case.alias("value")).write.text(f"{path}/cases.jsonl")
+    rows.select(case.alias("value")).write.option("maxRecordsPerFile", sinks.FILE_LINES).text(f"{path}/cases.jsonl")
     keys = F.when(kind == "choice", options).when(kind == "score", F.transform(options, lambda _, i: i.cast("string"))).otherwise(F.array(F.lit("no"), F.lit("yes")))
     said = F.struct(F.lit("model-1").alias("model"), F.col("predicted").alias("predicted"))
     rows.select(F.concat(F.lit("case-"), "id").alias("case"), "id", keys.alias("answer_keys"), F.col("label").alias("gold_label"), said.alias("response")).write.json(f"{path}/predictions.jsonl")
