@@ -35,7 +35,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.storage import drop_path, new_path, partitions
+from assay.storage import bounded_batches, drop_path, new_path, partitions
 
 from . import word_pairs
 from .langid import fold
@@ -516,6 +516,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     if order not in (1, 2):
         raise ValueError("order is 1 or 2")
     spark = docs.sparkSession
+    bounded_batches(spark)
     n, kind_name = partitions(spark), docs.select(id_col).schema[0].dataType.simpleString()
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), (fold(id_col, FOLDS) == 0).alias("out"))
     from pyspark.sql.pandas.types import to_arrow_type

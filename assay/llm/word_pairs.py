@@ -24,6 +24,8 @@ from .seating import STRENGTH, discount_of, pack, pack_planes, seat, unpack, unp
 PART, HOT, HOT_BITS = 1 << 21, 1 << 22, 20
 #: Draws of all tables, and those of them that come before the averaged ones.
 SWEEPS, BURN_IN = 3, 1
+#: Pairs whose parts are computed at once.
+_AT_ONCE = 1 << 16
 #: Steps in a factor of ten, in which a part knows the probability of a word; a word of one occurrence.
 STEPS, ONCE = 16, 255
 #: Rows of the blocks' side and of the parts' side.
@@ -38,6 +40,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+def placed(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and each key's place among them; ``keys`` holds one array, which is taken from it, so that it isn't kept beside its sorted copy."""
+    own = keys.pop()
+    order = np.argsort(own)
+    own = own[order]
+    fresh = np.ones(len(own), bool)
+    fresh[1:] = own[1:] != own[:-1]
+    own = own[fresh]
+    number = np.cumsum(fresh, dtype=np.int32)
+    number -= 1
+    where = np.empty(len(order), np.int32)
+    where[order] = number
+    return own, where
+
+
 class BlockPairs:
     """The distinct pairs of a block in the order of parts, first words, second words (numbers of the block; its last is the boundary).
 
@@ -48,17 +65,30 @@ class BlockPairs:
     def __init__(self, codes: np.ndarray, lengths: np.ndarray, numbers: np.ndarray, counts: np.ndarray, parts: int, hot: int):
         n = len(numbers)
         after = np.cumsum(lengths)
-        cur = np.insert(codes.astype(np.int64), after, n - 1)
+        cur = np.insert(codes.astype(np.int32), after, n - 1)
         self.starts = np.concatenate(([0], (after + np.arange(1, len(lengths) + 1))[:-1]))
-        pairs, step = np.unique(np.concatenate(([n - 1], cur[:-1])) * n + cur, return_inverse=True)
-        u, w = pairs // n, pairs % n
-        split = counts // hot + 1
-        salt = mixed(numbers[w]) % split[u].astype(np.uint64)
-        part = (mixed(numbers[u].astype(np.uint64) + (salt << np.uint64(1))) >> np.uint64(11)) % np.uint64(parts)
+        keys = np.empty(len(cur), np.int64)
+        keys[:1], keys[1:] = n - 1, cur[:-1]
+        keys *= n
+        keys += cur
+        del cur
+        held = [keys]
+        del keys
+        pairs, step = placed(held)
+        self.split = counts // hot + 1
+        part = np.empty(len(pairs), np.int32)
+        for at in range(0, len(pairs), _AT_ONCE):
+            u, w = np.divmod(pairs[at : at + _AT_ONCE], n)
+            salt = mixed(numbers[w]) % self.split[u].astype(np.uint64)
+            part[at : at + _AT_ONCE] = (mixed(numbers[u].astype(np.uint64) + (salt << np.uint64(1))) >> np.uint64(11)) % np.uint64(parts)
         order = np.argsort(part, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.u, self.w, self.part, self.step, self.split = u[order], w[order], part[order].astype(np.int64), place[step], split
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.step, self.part = place[step], part[order]
+        del place, step, part
+        pairs = pairs[order]
+        self.u, self.w = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
+        del pairs
         fresh = np.ones(len(order), bool)
         fresh[1:] = (self.u[1:] != self.u[:-1]) | (self.part[1:] != self.part[:-1])
         self.run = np.flatnonzero(fresh)
@@ -78,7 +108,7 @@ class BlockPairs:
 def seat_part(u, first, split, second, count, rough) -> tuple[np.ndarray, np.ndarray]:
     """(customers left after discounts, tables of the last draw) of distinct pairs; ``u`` is the place in ``first`` and ``split``."""
     discount = discount_of(int((count == 1).sum()), int((count == 2).sum()))
-    parent = 10.0 ** (-rough / STEPS)
+    parent = (10.0 ** (-np.arange(ONCE + 1) / STEPS))[rough]
     # a word of one occurrence has one table whatever its probability
     opened = np.bincount(u, count > 0, minlength=len(split))
     seed = mixed(mixed(first[u]) ^ (second.astype(np.uint64) << np.uint64(1)))
@@ -98,32 +128,39 @@ def _part(blobs: list[tuple[int, list[bytes]]]) -> tuple[list, np.ndarray, np.nd
     firsts, splits, seconds, counts, roughs, sizes, runs = [], [], [], [], [], [], []
     for _, data in blobs:
         first, split, lengths, second, count = (unpack_planes(x) for x in data[:5])
-        runs.append((first, lengths))
+        runs.append((len(first), lengths.astype(np.int32)))
         firsts.append(first)
         splits.append(split)
         seconds.append(second)
-        counts.append(count)
+        counts.append(count.astype(np.int32))  # of one block
         roughs.append(unpack(data[5], np.uint8))
         sizes.append(len(second))
     contexts, index, at = np.unique(np.concatenate(firsts), return_index=True, return_inverse=True)
     split = np.concatenate(splits)[index]
-    words, index, keys = np.unique(np.concatenate(seconds), return_index=True, return_inverse=True)
-    rough_of = np.concatenate(roughs)[index]
-    del firsts, splits, seconds, roughs, index
-    keys += np.repeat(at, np.concatenate([x[1] for x in runs])) * len(words)
-    pairs, where = np.unique(keys, return_inverse=True)
-    where = where.astype(np.int32)
+    del firsts, splits, index
+    held = [np.concatenate(seconds)]
+    del seconds
+    words, second = placed(held)
+    rough_of = np.empty(len(words), np.uint8)
+    rough_of[second] = np.concatenate(roughs)  # every block knows a word's alike
+    del roughs
+    keys = np.repeat(at, np.concatenate([x[1] for x in runs]))
+    keys *= len(words)
+    keys += second
+    del second
+    held = [keys]
     del keys
+    pairs, where = placed(held)
     count = np.bincount(where, np.concatenate(counts), minlength=len(pairs)).astype(np.int64)
     del counts
-    u, w = pairs // len(words), pairs % len(words)
+    u, w = (pairs // len(words)).astype(np.int32), (pairs % len(words)).astype(np.int32)
     del pairs
-    left, tables = seat_part(u, contexts, split, words[w], count, rough_of[w].astype(np.float64))
+    left, tables = seat_part(u, contexts, split, words[w], count, rough_of[w])
     given = np.bincount(u, count - left, minlength=len(contexts))
     replies, pair_from, run_from = [], 0, 0
-    for (block, _), size, (first, _) in zip(blobs, sizes, runs):
-        replies.append((block, [pack(left[where[pair_from : pair_from + size]].astype("<f4")), pack(given[at[run_from : run_from + len(first)]].astype("<f8"))]))
-        pair_from, run_from = pair_from + size, run_from + len(first)
+    for (block, _), size, (n, _) in zip(blobs, sizes, runs):
+        replies.append((block, [pack(left[where[pair_from : pair_from + size]].astype("<f4")), pack(given[at[run_from : run_from + n]].astype("<f8"))]))
+        pair_from, run_from = pair_from + size, run_from + n
     served = np.bincount(w, tables, minlength=len(words))
     several = (rough_of != ONCE) & (served > 0)
     shared = split > 1

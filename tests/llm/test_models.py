@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -144,6 +145,20 @@ def test_word_contexts_odd_rows(odd, spark):
     assert pitman_yor.score(untrained, order=2).filter("log10_prob < 0 and train_tokens = 0").count() == 3
 
 
+def test_word_pairs_memory_of_a_block():
+    rng = np.random.default_rng(5)
+    n, tokens, texts = 50_000, 1_000_000, 1000
+    codes, lengths = np.minimum(rng.zipf(1.2, tokens), n).astype(np.int64) - 1, np.full(texts, tokens // texts)
+    numbers, counts = np.append(np.arange(1, n + 1), 0), np.append(np.bincount(codes, minlength=n), texts)
+    tracemalloc.start()
+    pairs = word_pairs.BlockPairs(codes, lengths, numbers, counts, 3, 1 << 22)
+    kept, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 35 * tokens and kept < 11 * tokens  # before: 59 and 15 bytes a token
+    first = np.insert(codes, np.cumsum(lengths), n)
+    assert (pairs.w[pairs.step] == first).all() and (pairs.u[pairs.step] == np.concatenate(([n], first[:-1]))).all()
+
+
 def test_word_pairs_against_plain_counts():
     """Parts merge the blocks' pairs: what a context gives away and what its words keep make up its customers."""
     rng = np.random.default_rng(3)
