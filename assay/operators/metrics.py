@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions import prob
+from assay.storage import materialize
 
 BINS = 15
 #: Fixed thresholds of the risk-coverage curve and of confident errors.
@@ -123,19 +124,24 @@ def arm_marks(expected: DataFrame, outputs: DataFrame) -> DataFrame:
     right if it is among those expected. An answer that an arm lacks, or of a type that isn't known, has a
     null mark: it is not dropped.
     """
-    arms = [r["arm"] for r in outputs.select("arm").distinct().limit(ARMS + 1).collect()]
-    if len(arms) > ARMS:
-        raise ValueError(f"more than {ARMS} arms")
-    every = expected.withColumn("arm", F.explode(F.array(*[F.lit(a) for a in arms]).cast("array<string>")))
     p = F.map_values("probabilities")
     top = F.get(F.map_keys("probabilities"), F.array_position(p, F.array_max(p)).cast("int") - 1)
     said = F.when(F.col("type") == "noul", F.when(F.col("noul") >= 0.5, "true").when(F.col("noul") < 0.5, "false")).when(F.col("type").isin("choice", "score"), top)
-    return every.join(outputs, ["arm", "example", "qid"], "left").select("example", "qid", "arm", F.array_contains("expected", said).alias("correct"))
+    # files are parsed once, and what is joined are answers without their distributions
+    answers = materialize(outputs.select("arm", "example", "qid", said.alias("said")), "answers")
+    arms = [r["arm"] for r in answers.select("arm").distinct().limit(ARMS + 1).collect()]
+    if len(arms) > ARMS:
+        raise ValueError(f"more than {ARMS} arms")
+    every = expected.select("example", "qid", "expected", F.explode(F.array(*[F.lit(a) for a in arms]).cast("array<string>")).alias("arm"))
+    # a join sorts by its first key's first bytes, which tell answers apart and arms don't
+    return every.join(answers, ["qid", "example", "arm"], "left").select("example", "qid", "arm", F.array_contains("expected", F.col("said")).alias("correct"))
 
 
 def arm_table(marks: DataFrame) -> DataFrame:
     """(example, arm, n, n_correct, n_missing) for each example and, as ``Total``, each arm."""
-    sets = marks.groupingSets([["example", "arm"], ["arm"]], "example", "arm")
+    each = marks.groupBy("example", "arm").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"), F.count_if(F.isnull("correct")).alias("n_missing"))
+    # what is copied for the totals are these sums, not the marks
+    sets = each.groupingSets([["example", "arm"], ["arm"]], "example", "arm")
     total = F.when(F.grouping("example") == 1, "Total").otherwise(F.col("example"))
-    counted = sets.agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"), F.count_if(F.isnull("correct")).alias("n_missing"), total.alias("name"))
+    counted = sets.agg(*[F.sum(c).alias(c) for c in ("n", "n_correct", "n_missing")], total.alias("name"))
     return counted.select(F.col("name").alias("example"), "arm", "n", "n_correct", "n_missing")
