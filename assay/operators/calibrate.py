@@ -172,11 +172,12 @@ def _losses(points: dict[str, tuple[list[str], np.ndarray]]):
             logs[held] = np.log(np.maximum(vectors.flatten().to_numpy(zero_copy_only=False), prob.CLIP))
             for g in set(groups):
                 own = np.flatnonzero(groups == g)
-                less = logs[own] - logs[own].max(axis=1, keepdims=True)
-                at = less[np.arange(len(own)), label[own]]
+                less = np.ascontiguousarray((logs[own] - logs[own].max(axis=1, keepdims=True)).T)  # a row for each entry: sums run over whole columns
+                at, z = less[label[own], np.arange(len(own))], np.empty_like(less)
                 seen[g] += len(own)
                 for i, t in enumerate(points[g][1]):
-                    sums[g][i] += np.minimum(np.log(np.exp(less / t).sum(axis=1)) - at / t, most).sum()
+                    np.exp(np.divide(less, t, out=z), out=z)
+                    sums[g][i] += np.minimum(np.log(z.sum(axis=0)) - at / t, most).sum()
         for g, (names, _) in points.items():
             if seen[g]:
                 yield pa.RecordBatch.from_arrays([pa.array([g] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(sums[g]), pa.array([seen[g]] * len(names), pa.int64())], ["by", "point", "loss", "n"])
