@@ -23,7 +23,6 @@ word, so a word that fills a third of the corpus is one row for each block.
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,7 +34,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.storage import bounded_batches, drop_path, new_path, partitions
+from assay.storage import bounded_batches, drop_path, free_shuffles, new_path, partitions
 
 from . import word_pairs
 from .langid import fold
@@ -302,8 +301,8 @@ def _sum_words(table, mass: float, discount: float, sweeps: list[int]):
     return run
 
 
-def _values(table, drawn: float, mass: float, total: float, discount: float, sweeps: list[int], first: bool = True):
-    """For each task and block: places and log10 probabilities of the words that the block keeps; the ``first`` time their counts and numbers too."""
+def _values(table, drawn: float, mass: float, total: float, discount: float, sweeps: list[int]):
+    """For each task and block: places, log10 probabilities, occurrences (``seen``) and numbers of the words that the block keeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _regrouped(batches, 200_000):
@@ -320,8 +319,8 @@ def _values(table, drawn: float, mass: float, total: float, discount: float, swe
             block = places >> _IDX_BITS
             cut = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]))
             spans = [(a, b) for a, b in zip(cut[:-1], cut[1:]) if b > a]
-            idx, numbers, value = (places & ((1 << _IDX_BITS) - 1)).astype("<u4"), part.column("g").to_numpy(), value.astype("<f4")
-            columns = lambda a, b: [pack(idx[a:b]), pack(value[owner[a:b]])] + [pack_planes(x[owner[a:b]]) for x in (counts, numbers)][: 2 * first]
+            idx, seen, numbers, value = (places & ((1 << _IDX_BITS) - 1)).astype("<u4"), part.column("seen").to_numpy(), part.column("g").to_numpy(), value.astype("<f4")
+            columns = lambda a, b: [pack(idx[a:b]), pack(value[owner[a:b]])] + [pack_planes(x[owner[a:b]]) for x in (seen, numbers)]
             yield pa.RecordBatch.from_arrays([pa.array([int(block[a]) for a, _ in spans], pa.int64()), pa.array([columns(a, b) for a, b in spans], pa.list_(pa.binary()))], ["block", "data"])
 
     return run
@@ -350,8 +349,7 @@ def _of_words(n: int, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray,
     for data in words:
         at = unpack(data[0], "<u4")
         values[at] = unpack(data[1], "<f4")
-        if len(data) > 2:
-            counts[at], numbers[at] = unpack_planes(data[2]), unpack_planes(data[3])
+        counts[at], numbers[at] = unpack_planes(data[2]), unpack_planes(data[3])
     return values, counts, numbers
 
 
@@ -385,41 +383,36 @@ def _score(total: int, distinct: int, end_count: int, end_value: float, unknown:
     return run
 
 
-def _pair_up(total: int, distinct: int, end_count: int, end_value: float, parts: int, hot: int, kind: pa.DataType):
-    """A block's pairs, a row for each part (kind 1), and its texts with what is known of them (kind 2)."""
+def _pair_up(end_count: int, end_value: float, parts: int, hot: int):
+    """A block's pairs, a row for each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, words, _ in _by_block(batches, 2):
             values, counts, numbers = _of_words(row["cnt"], words)
-            codes, lengths, block = _codes(row["low"], row["high"]), np.array(row["lengths"], np.int64), row["block"]
-            known = _by_doc(codes, lengths, counts > 0, end_count > 0)
-            base = _by_doc(codes, lengths, _base_of(counts, total, distinct), _base_of(end_count, total, distinct))
             values, counts, numbers = np.append(values, end_value), np.append(counts, end_count), np.append(numbers, 0)
-            pairs = word_pairs.BlockPairs(codes, lengths, numbers, counts, parts, hot)
-            learned = np.repeat(~np.array(row["held"]), lengths + 1)
-
-            def sent(of_kind: int, part: int, ids, held, data: list[bytes]) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array([of_kind], pa.int32()), pa.array([block], pa.int64()), pa.array([part], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([held], pa.list_(pa.bool_())), pa.array([data], pa.list_(pa.binary()))], ["kind", "block", "part", "ids", "held", "data"])
-
-            for part, data in pairs.sent(learned, numbers, counts, values):
-                yield sent(1, part, None, None, data)
-            yield sent(2, 0, row["ids"], row["held"], [row["low"], row["high"], pack_planes(lengths), pack_planes(known), pack(base), pack_planes(counts), pack_planes(numbers)])
+            lengths, held, block = np.array(row["lengths"], np.int64), np.array(row["held"]), row["block"]
+            pairs = word_pairs.BlockPairs(_codes(row["low"], row["high"]), lengths, numbers, counts, parts, hot)
+            del row, words
+            for part, data in pairs.sent(np.repeat(~held, lengths + 1), numbers, counts, values):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([block], pa.int64()), pa.array([data], pa.list_(pa.binary()))], ["part", "block", "data"])
 
     return run
 
 
-def _score_pairs(total: int, end_value: float, unknown: float, parts: int, hot: int, shared, kind: pa.DataType):
-    """Scores of a block's texts from its words' values (kind 0), its pairs' (kind 1) and its texts (kind 2)."""
+def _score_pairs(total: int, distinct: int, end_count: int, end_value: float, unknown: float, parts: int, hot: int, shared, kind: pa.DataType):
+    """Scores of a block's texts from its words (kind 0), what its pairs keep (kind 1) and its texts (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, words, replies in _by_block(batches, 2):
-            low, high, *rest = row["data"]
-            lengths, known, counts, numbers = (unpack_planes(rest[i]) for i in (0, 1, 3, 4))
-            base, codes, n = unpack(rest[2], "<f8"), _codes(low, high), len(numbers)
-            values = np.append(_of_words(n - 1, words)[0], end_value)
+            values, counts, numbers = _of_words(row["cnt"], words)
+            codes, lengths = _codes(row["low"], row["high"]), np.array(row["lengths"], np.int64)
+            known = _by_doc(codes, lengths, counts > 0, end_count > 0).astype(np.int64)
+            base = _by_doc(codes, lengths, _base_of(counts, total, distinct), _base_of(end_count, total, distinct))
+            values, counts, numbers = np.append(values, end_value), np.append(counts, end_count), np.append(numbers, 0)
             pairs = word_pairs.BlockPairs(codes, lengths, numbers, counts, parts, hot)
+            del codes
             left = np.concatenate([unpack(x[0], "<f4") for x in replies]).astype(np.float64)
-            given = np.zeros(n)
+            given = np.zeros(len(numbers))
             given[pairs.u[pairs.run]] = np.concatenate([unpack(x[1], "<f8") for x in replies])
             keys, sums = shared.value
             split = np.flatnonzero(pairs.split > 1)
@@ -452,9 +445,9 @@ class Learned:
     unknown: float
     end_value: float
 
-    def values(self, words: DataFrame, first: bool = True) -> DataFrame:
-        of = _values(self.shared, self.drawn, self.mass, self.total, self.discount, self.last, first)
-        return words.select("word", "g", "c", "places").mapInArrow(of, "block bigint, data array<binary>")
+    def values(self, words: DataFrame, seen: str = "c") -> DataFrame:
+        of = _values(self.shared, self.drawn, self.mass, self.total, self.discount, self.last)
+        return words.select("word", "g", "c", F.col(seen).alias("seen"), "places").mapInArrow(of, "block bigint, data array<binary>")
 
 
 def _learn(known: DataFrame, ends: int, sweeps: int, burn_in: int, seed: int) -> Learned:
@@ -526,44 +519,46 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     def written(df: DataFrame, label: str, *apart: str) -> tuple[DataFrame, str]:
         path = new_path(spark, label)
         df.write.option("compression", "zstd").partitionBy(*apart).parquet(path)
-        gc.collect()  # the plan that was written goes, and with it its shuffle files
+        free_shuffles(spark)  # of the plan that was written
         return spark.read.schema(df.schema).parquet(path), path
 
-    blocks, blocks_path = written(read.mapInArrow(_blocks(kind, block_bytes), f"kind int, word binary, pos bigint, cnt bigint, ids array<{kind_name}>, held array<boolean>, lengths array<bigint>, low binary, high binary"), "blocks")
+    blocks, blocks_path = written(read.mapInArrow(_blocks(kind, block_bytes), f"kind int, word binary, pos bigint, cnt bigint, ids array<{kind_name}>, held array<boolean>, lengths array<bigint>, low binary, high binary"), "blocks", "kind")
     words, words_path = written(blocks.filter("kind = 0").select("word", "pos", "cnt").repartition(n, "word").sortWithinPartitions("word").mapInArrow(_merge, "word binary, g bigint, c bigint, first boolean, places array<bigint>"), "words")
+    drop_path(spark, f"{blocks_path}/kind=0")
     ends = blocks.filter("kind = 1").agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0)).alias("n")).first()["n"]
     learned = _learn(words.filter("first and c > 0").select("word", "c"), ends, sweeps, burn_in, seed)
     total = learned.total
 
     none = lambda k, name: F.lit(None).cast(k).alias(name)
-    lists = [f"array<{kind_name}>", "array<boolean>"]
-    sides = learned.values(words).select("block", F.lit(0).alias("kind"), "data", F.lit(0).cast("bigint").alias("cnt"), none(lists[0], "ids"), none(lists[1], "held"), none("array<bigint>", "lengths"), none("binary", "low"), none("binary", "high"))
-    coded = blocks.filter("kind = 1").select(F.shiftright("pos", _IDX_BITS).alias("block"), F.lit(2).alias("kind"), none("array<binary>", "data"), "cnt", "ids", "held", "lengths", "low", "high")
-    dealt = sides.union(coded).repartition(n, "block").sortWithinPartitions("block", "kind")
+    texts = {"cnt": "bigint", "ids": f"array<{kind_name}>", "held": "array<boolean>", "lengths": "array<bigint>", "low": "binary", "high": "binary"}
+
+    def dealt(sides: DataFrame, *columns: str) -> DataFrame:
+        """The texts of each block, in ``columns``, after what was found for it (kind, part, data)."""
+        coded = blocks.filter("kind = 1").select(F.shiftright("pos", _IDX_BITS).alias("block"), F.lit(2).alias("kind"), F.lit(0).cast("bigint").alias("part"), none("array<binary>", "data"), *columns)
+        return sides.select("block", "kind", "part", "data", *[none(texts[c], c) for c in columns]).union(coded).repartition(n, "block").sortWithinPartitions("block", "kind", "part")
+
+    def of_words(learned: Learned, words: DataFrame, seen: str = "c") -> DataFrame:
+        return learned.values(words, seen).select("block", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("part"), "data")
+
     out = f"id {kind_name}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, log10_prob double"
     if order == 1:
-        found = dealt.mapInArrow(_score(total, learned.distinct, ends, learned.end_value, learned.unknown, kind), out)
+        found = dealt(of_words(learned, words), *texts).mapInArrow(_score(total, learned.distinct, ends, learned.end_value, learned.unknown, kind), out)
     else:
-        parts, hot = max(1, total // part), max(hot, total >> word_pairs.HOT_BITS)
-        sent, sent_path = written(dealt.mapInArrow(_pair_up(total, learned.distinct, ends, learned.end_value, parts, hot, kind), word_pairs.SENT.format(kind_name)), "pairs", "kind")
-        del sides, coded, dealt, blocks
+        distinct, parts, hot = learned.distinct, max(1, total // part), max(hot, total >> word_pairs.HOT_BITS)
+        # pairs go from blocks to parts without being written, and texts stay in their blocks until they are scored
+        pairs = dealt(of_words(learned, words), "cnt", "held", "lengths", "low", "high").mapInArrow(_pair_up(ends, learned.end_value, parts, hot), word_pairs.SENT)
+        seated, _ = written(pairs.repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(word_pairs.seat_pairs, word_pairs.SEATED), "seated")
         learned.shared.destroy()
-        drop_path(spark, blocks_path)
-        seated, _ = written(sent.filter("kind = 1").select("part", "block", "data").repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(word_pairs.seat_pairs, word_pairs.SEATED), "seated")
-        drop_path(spark, f"{sent_path}/kind=1")
         served = seated.filter("kind = 2").groupBy("k").agg(F.sum("n").cast("bigint").alias("n"))
         # the customers of the words' restaurant are the tables of the contexts; a word that occurs once has one
-        several = words.filter("c > 1").join(served, F.col("g") == F.col("k")).select("word", "g", F.col("n").alias("c"), "first", "places")
-        words, _ = written(words.filter("c <= 1").union(several), "served")
+        several = words.filter("c > 1").join(served, F.col("g") == F.col("k")).select("word", "g", F.col("n").alias("c"), "first", "places", F.col("c").alias("seen"))
+        words, _ = written(words.filter("c <= 1").withColumn("seen", F.col("c")).union(several), "served")
         drop_path(spark, words_path)
         at_end = seated.filter("kind = 2 and k = 0").agg(F.coalesce(F.sum("n"), F.lit(0.0)).cast("bigint").alias("n")).first()["n"]
         learned = _learn(words.filter("first and c > 0").select("word", "c"), min(ends, 1) if ends < 2 else at_end, sweeps, burn_in, seed + 100)
         # at most 2**20 contexts have more than 2**-20 of all customers
         split = seated.filter("kind = 3").groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()
         shared = spark.sparkContext.broadcast((np.array([r["k"] for r in split], np.int64), np.array([r["n"] for r in split], np.float64)))
-        sides = learned.values(words, first=False).select("block", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("part"), none(lists[0], "ids"), none(lists[1], "held"), "data")
-        replies = seated.filter("kind = 1").select(F.col("k").alias("block"), "kind", "part", none(lists[0], "ids"), none(lists[1], "held"), "data")
-        texts = sent.filter("kind = 2").select("block", "kind", "part", "ids", "held", "data")
-        dealt = sides.union(replies).union(texts).repartition(n, "block").sortWithinPartitions("block", "kind", "part")
-        found = dealt.mapInArrow(_score_pairs(total, learned.end_value, learned.unknown, parts, hot, shared, kind), out)
+        replies = seated.filter("kind = 1").select(F.col("k").alias("block"), "kind", "part", "data")
+        found = dealt(of_words(learned, words, "seen").union(replies), *texts).mapInArrow(_score_pairs(total, distinct, ends, learned.end_value, learned.unknown, parts, hot, shared, kind), out)
     return found.withColumnRenamed("id", id_col).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n_tokens")))

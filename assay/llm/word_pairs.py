@@ -29,7 +29,7 @@ _AT_ONCE = 1 << 16
 #: Steps in a factor of ten, in which a part knows the probability of a word; a word of one occurrence.
 STEPS, ONCE = 16, 255
 #: Rows of the blocks' side and of the parts' side.
-SENT = "kind int, block bigint, part bigint, ids array<{0}>, held array<boolean>, data array<binary>"
+SENT = "part bigint, block bigint, data array<binary>"
 SEATED = "kind int, k bigint, part bigint, n double, data array<binary>"
 
 

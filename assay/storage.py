@@ -8,7 +8,9 @@ lineage, survives the loss of executors, and gives the next plan true sizes.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from functools import cache
 
@@ -51,6 +53,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are gone; else they stay until the driver's JVM happens to collect its garbage.
+
+    The plan that was run last is let go by what the first collection ends, so its files go with the second.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     """How many partitions a deliberate shuffle makes: the session's own setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

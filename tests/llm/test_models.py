@@ -2,7 +2,10 @@
 
 import itertools
 import math
+import os
+import time
 import tracemalloc
+import uuid
 import zlib
 from collections import Counter
 
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from assay.llm import decontam, langid, pitman_yor, simhash, word_pairs
 from assay.llm.seating import unpack
+from assay.storage import free_shuffles
 
 from .conftest import SF
 
@@ -145,6 +149,31 @@ def test_word_contexts_odd_rows(odd, spark):
     assert pitman_yor.score(untrained, order=2).filter("log10_prob < 0 and train_tokens = 0").count() == 3
 
 
+def test_word_contexts_keep_each_text_once(docs, monkeypatch, tmp_path):
+    """On disk when texts are scored: their codes once, the words and what parts say; before, codes were written again with the pairs."""
+    monkeypatch.setattr(pitman_yor, "new_path", lambda spark, label: f"file://{tmp_path}/{label}-{uuid.uuid4().hex}")
+    out = pitman_yor.score(docs, block_bytes=50_000, order=2)
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["blocks", "seated", "served"]
+    (blocks,) = tmp_path.glob("blocks-*")
+    assert [p.name for p in blocks.glob("kind=*")] == ["kind=1"]
+    assert out.count() == docs.count()
+
+
+def test_shuffle_files_of_a_written_table_go(spark, tmp_path):
+    """They stayed until the driver's JVM collected its garbage, beside the tables of later steps."""
+    made = lambda: set(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",").split(","))
+    before = made()
+    df = spark.range(100_000).repartition(4, "id").mapInArrow(lambda batches: batches, "id bigint")
+    df.write.parquet(f"file://{tmp_path}/t")
+    wrote = {p for p in made() - before if "shuffle_" in p}
+    free_shuffles(spark)
+    for _ in range(50):
+        if not (left := {p for p in wrote if os.path.exists(p)}):
+            break
+        time.sleep(0.1)
+    assert wrote and not left
+
+
 def test_word_pairs_memory_of_a_block():
     rng = np.random.default_rng(5)
     n, tokens, texts = 50_000, 1_000_000, 1000
