@@ -48,13 +48,14 @@ def one_format(rows: DataFrame, version: str = "format_version") -> DataFrame:
     return rows
 
 
-def within_length(rows: DataFrame, n_tokens: Column, longest: int) -> tuple[DataFrame, DataFrame]:
-    """(kept, skipped): rows of at most ``longest`` tokens, and one row with the count of longer ones.
+def within_length(rows: DataFrame, n_tokens: Column, longest: int, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(kept, skipped): rows of ``least`` to ``longest`` tokens, and one row with the count of longer ones.
 
-    Labels are checked before, so that a bad label in a long row still fails; a row without a token does too.
+    Labels are checked before, so that a bad label in a long row still fails; a row of fewer than ``least``
+    tokens does too, and so does one without a count.
     """
     fine = F.coalesce(F.size(F.array_distinct("labels")) == F.size("labels"), F.lit(False))
-    length = checked(fine & (n_tokens > 0), "labels are not distinct, or the prompt is empty", n_tokens)
+    length = checked(fine & (n_tokens >= least), "labels are not distinct, or the prompt is empty", n_tokens)
     held = rows.withColumn("n_tokens", length)
     return held.filter(F.col("n_tokens") <= longest), held.agg(F.count_if(F.col("n_tokens") > longest).alias("skipped"))
 

@@ -63,9 +63,13 @@ def legacy_rows(spark, sf_dir):
 
 @query("SELECT count(*) FILTER (n <= 300) AS kept, count(*) FILTER (n > 300) AS skipped FROM (SELECT len(regexp_extract_all(text, '\\S+')) AS n FROM documents)")
 def overlong_rows(spark, sf_dir):
-    """Rows within a length, and how many were skipped; labels are checked first. A word stands for a token."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.array(F.lit(" A"), F.lit(" B")).alias("labels"), F.regexp_count("text", F.lit("\\S+")).alias("n"))
-    kept, skipped = training.within_length(rows, F.col("n"), 300)
+    """Rows within a length, and how many were skipped; labels are checked first. A word stands for a token.
+
+    A text is the state in a prompt and not all of it, so one without a word is kept; a null text has no length and is in neither count.
+    """
+    texts = table(spark, sf_dir, "documents").filter("text is not null")
+    rows = texts.select("doc_id", F.array(F.lit(" A"), F.lit(" B")).alias("labels"), text.n_words(F.col("text")).alias("n"))
+    kept, skipped = training.within_length(rows, F.col("n"), 300, least=0)
     return kept.agg(F.count("*").alias("kept")).crossJoin(skipped)  # one row each
 
 
